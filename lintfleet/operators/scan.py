@@ -1,8 +1,9 @@
 """Running aggregates over one key's ordered rows, safe for keys of any size.
 
-A plain window sorts all rows of a key in one task. Here the key is cut into chunks of positions:
-rows are aggregated within (key, chunk), one summary row per chunk is carried forward, and the carry
-is added back. A task then never holds more than one chunk of raw rows.
+A plain window sorts all rows of a key in one task. That is the best plan while every key is small, and
+`chunk_width` finds out with one pre-aggregated count. When some key is too large, the key is cut into chunks
+of positions: rows are aggregated within (key, chunk), one summary row per chunk is carried forward, and the
+carry is added back. A task then never holds more than one chunk of raw rows.
 """
 
 from __future__ import annotations
@@ -13,9 +14,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintfleet.session import materialize
+
+ROWS_PER_TASK = 4_000_000
 CHUNK = 1 << 16
 
 
+def chunk_width(df: DataFrame, keys: Sequence[str], limit: int = ROWS_PER_TASK) -> int | None:
+    """None while every key has at most `limit` rows, else the chunk width to scan with.
+
+    Counts are combined before the shuffle, so the check itself does not suffer from a hot key. Keys that
+    refine the checked ones are covered by the same answer.
+    """
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()
+    return CHUNK if largest is not None and (largest[0] or 0) > limit else None
+
+
 @dataclass(frozen=True)
 class Running:
     """kind: sum, count, min, max, last or first (the last two skip nulls)."""
@@ -54,6 +68,10 @@ def _carry(agg: Running, value: Column, window) -> Column:
     return _local(agg, value, window)
 
 
+def _finished(agg: Running, value: Column) -> Column:
+    return F.coalesce(value, F.lit(0)) if agg.kind in ("sum", "count") else value
+
+
 def _combine(agg: Running, carry: Column, local: Column) -> Column:
     if agg.kind in ("sum", "count"):
         return F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0))
@@ -74,13 +92,18 @@ def running(
     *,
     before: bool = True,
     reverse: bool = False,
-    chunk: int = CHUNK,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Adds each running aggregate as a column.
 
     `order[0]` is numeric and decides the chunk; further order columns break ties. `before` leaves the
     current row out. `reverse` runs from the largest position down, so "last" is the next value.
+    `chunk` comes from `chunk_width`; None means one plain window per key.
     """
+    if chunk is None:
+        directed = [F.col(c).desc() if reverse else F.col(c) for c in order]
+        plain = Window.partitionBy(*keys).orderBy(*directed).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+        return df.select("*", *[_finished(a, _local(a, a.value, plain)).alias(a.name) for a in aggs])
     sign = -1 if reverse else 1
     order_cols = [F.col(c) if i else F.col(c) * sign for i, c in enumerate(order)]
     if reverse:
@@ -92,6 +115,8 @@ def running(
     for agg in aggs:
         rows = rows.withColumn(f"_in_{agg.name}", agg.value)
     group = [*keys, "_chunk"]
+    # both levels read the rows, so they are written once instead of being computed twice
+    rows = materialize(rows, "scan")
 
     window = Window.partitionBy(*group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
     local = rows.select("*", *[_local(a, F.col(f"_in_{a.name}"), window).alias(f"_lo_{a.name}") for a in aggs])
@@ -115,3 +140,31 @@ def running(
     return joined.select(
         *keep, *[_combine(a, F.col(f"_ca_{a.name}"), F.col(f"_lo_{a.name}")).alias(a.name) for a in aggs]
     )
+
+
+def seen_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    lookup: Column,
+    event: Column,
+    name: str,
+    *,
+    reverse: bool = False,
+    chunk: int | None = None,
+) -> DataFrame:
+    """Adds a flag: did an earlier row raise an event for the key this row asks about?
+
+    `lookup` is the struct a row asks about, `event` the struct it raises (null for none); both have the same
+    fields. The two are exploded from one row, so the input is read once.
+    """
+    marked = F.array(F.struct(F.lit(0).alias("_is_event"), lookup.alias("_key")),
+                     F.when(event.isNotNull(), F.struct(F.lit(1).alias("_is_event"), event.alias("_key"))))
+    rows = df.select("*", F.explode(F.filter(marked, lambda m: m.isNotNull())).alias("_mark"))
+    rows = rows.select(*df.columns, "_mark._is_event", "_mark._key")
+    tie = F.col("_is_event") if not reverse else -F.col("_is_event")
+    rows = rows.withColumn("_tie", tie)
+    flag = Running(name, "max", F.col("_is_event"))
+    found = running(rows, [*keys, "_key"], [order, "_tie"], [flag], reverse=reverse, chunk=chunk)
+    found = found.filter(F.col("_is_event") == 0)
+    return found.select(*df.columns, (F.coalesce(F.col(name), F.lit(0)) == 1).alias(name))
