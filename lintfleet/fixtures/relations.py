@@ -185,7 +185,7 @@ select cast(n_nationkey % 5 as int) db_id,
 from nation"""),
     "cat_extension": ([], """
 select cast(n_nationkey % 5 as int) db_id,
-  case cast(floor(n_nationkey / 5) as int) when 0 then 'plpgsql' when 1 then 'pgcrypto' when 2 then 'postgis' when 3 then 'pg_trgm' else concat('ext_', cast(n_nationkey as {S})) end extname,
+  case cast(floor(n_nationkey / 5) as int) when 0 then 'plpgsql' when 1 then 'pgcrypto' when 2 then 'postgis' when 3 then 'pg_trgm' else case when n_nationkey % 5 < 3 then 'pglinter' else 'hstore' end end extname,
   case n_nationkey % 3 when 0 then '1.3' else '1.1' end extversion,
   cast(case when n_nationkey % 2 = 0 then 1 else 2 end as bigint) extnamespace
 from nation"""),

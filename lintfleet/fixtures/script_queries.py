@@ -66,19 +66,20 @@ select kind, case when kind = 'word' then case when w in ({_RESERVED}) then 'res
   case when kind = 'word' and (w in ({_RESERVED}) or w in ({_OTHER})) then w end keyword, count(*) n, cast(sum(strlen(t)) as bigint) bytes
 from (select t, lower(t) w, {SQL_KIND} kind from (select unnest(regexp_extract_all(text, '{SQL_TOKEN}')) t from documents) a) b group by 1, 2, 3"""
 
-_DECLARED = """
+DECLARED = """
 , laid as (
-  select script_id, cast(row_number() over w as int) stmt_no, body, ender, prefix, gap,
+  select script_id, pos, cast(row_number() over w as int) stmt_no, body, ender, prefix, gap,
     strlen(h.header) + coalesce(sum(strlen(concat(prefix, body, ender, gap))) over (w rows between unbounded preceding and 1 preceding), 0) + strlen(prefix) b,
     len(string_split(concat(h.header, coalesce(string_agg(concat(prefix, body, ender, gap), '') over (w rows between unbounded preceding and 1 preceding), ''), prefix), chr(10))) - 1 l
   from stmt join hdr h on h.hno = script_id % {hn} window w as (partition by script_id order by pos))
 , spans as (
-  select script_id, stmt_no, cast(b as bigint) start_byte, cast(b + strlen(body) + strlen(ender) as bigint) end_byte, cast(l as int) start_line,
-    cast(l + len(string_split(body, chr(10))) - 1 as int) end_line, concat(body, ender) text, ender = ';' has_semicolon from laid)""".replace(
+  select script_id, pos, stmt_no, cast(b as bigint) start_byte, cast(b + strlen(body) + strlen(ender) as bigint) end_byte, cast(l as int) start_line,
+    cast(l + len(string_split(body, chr(10))) - 1 as int) end_line, 0 start_col,
+    cast(length(regexp_extract(concat(body, ender), '[^\n]*$')) as int) end_col, concat(body, ender) text, ender = ';' has_semicolon from laid)""".replace(
     "{hn}", str(len(corpus.HEADERS))
 )
 QUERIES["T03_split_statements"] = lambda spark, sf: split(spark, sf).drop("path")
-SQL["T03_split_statements"] = sql("select * from spans", _DECLARED)
+SQL["T03_split_statements"] = sql("select * exclude (pos) from spans", DECLARED)
 
 QUERIES["T04_line_index"] = lambda spark, sf: TK.lines(source(configure(spark), sf, "documents"), ["doc_id"], "text")
 SQL["T04_line_index"] = """
@@ -115,7 +116,7 @@ select script_id, cast(null as int) parent_stmt, stmt_no, start_byte, end_byte,
 union all
 select script_id, stmt_no, v.k, start_byte + strpos(text, v.part) - 1, start_byte + strpos(text, v.part) - 1 + strlen(v.part), v.part
 from spans join (values (1, 'SELECT 1;'), (2, 'SELECT a FROM users')) v(k, part) on text like 'CREATE FUNCTION %'""",
-    _DECLARED,
+    DECLARED,
 )
 QUERIES["T08_statement_identity"] = lambda spark, sf: ST.distinct_statements(statement_rows(spark, sf))
 SQL["T08_statement_identity"] = sql(

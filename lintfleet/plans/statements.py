@@ -41,7 +41,7 @@ WORDS = sorted(
 )
 
 NORMAL, PAREN, CASE, BLOCK, META = range(5)
-SPAN = "struct<meta:boolean,start:bigint,end:bigint,first:int,last:int,start_line:int,end_line:int>"
+SPAN = "struct<meta:boolean,start:bigint,end:bigint,first:int,last:int,start_line:int,end_line:int,start_col:int,end_col:int>"
 MIN_BLOCK = 256
 
 
@@ -70,6 +70,8 @@ def _describe(p: Column) -> Column:
         F.when(broken, F.regexp_count(lead, F.lit(NEWLINE))).otherwise(0).alias("lead_breaks"),
         F.when(p["core"].contains("\n") | p["core"].contains("\r"), F.regexp_count(p["core"], F.lit(NEWLINE)))
         .otherwise(0).alias("core_breaks"),
+        F.length(F.when(broken, F.regexp_extract(lead, r"[^\r\n]*\z", 0)).otherwise(lead)).alias("lead_tail"),
+        F.length(F.regexp_extract(p["core"], r"[^\r\n]*\z", 0)).alias("core_tail"),
     )
 
 
@@ -91,6 +93,7 @@ def _event(x: Column, i: Column) -> Column:
         i.alias("at"), x["size"].alias("size"), x["core_size"].alias("core_size"), kind.alias("kind"), hard.alias("hard"),
         F.when(starts, kind).alias("start"), ((kind == "BEGIN") & ~following.isin(AFTER_PLAIN_BEGIN)).alias("block"),
         x["broken"].alias("broken"), x["lead_breaks"].alias("lead_breaks"), x["core_breaks"].alias("core_breaks"),
+        x["lead_tail"].alias("lead_tail"), x["core_tail"].alias("core_tail"),
     )
 
 
@@ -98,6 +101,7 @@ def _open_span(s: Column, meta: bool, last: Column) -> Column:
     return F.struct(
         F.lit(meta).alias("meta"), s["start"].alias("start"), s["end"].alias("end"), s["first"].alias("first"),
         last.alias("last"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
+        s["start_col"].alias("start_col"), s["end_col"].alias("end_col"),
     )
 
 
@@ -128,6 +132,9 @@ def _advance(s: Column, x: Column, v: Column) -> Column:
     start = F.when(begins, token_start).otherwise(s["start"])
     first = F.when(begins, x["at"]).otherwise(s["first"])
     start_line = F.when(begins, token_line).otherwise(s["start_line"])
+    token_col = x["lead_tail"] + F.when(x["lead_breaks"] == 0, s["end_col"]).otherwise(0)
+    token_end_col = x["core_tail"] + F.when(x["core_breaks"] == 0, token_col).otherwise(0)
+    start_col = F.when(begins, token_col).otherwise(s["start_col"])
     end = s["end"] + x["size"]
 
     mode = (
@@ -153,7 +160,7 @@ def _advance(s: Column, x: Column, v: Column) -> Column:
     meta_over = (s["mode"] == META) & (v["mode"] == NORMAL)
     closed = F.struct(
         F.lit(False).alias("meta"), start.alias("start"), end.alias("end"), first.alias("first"), x["at"].alias("last"),
-        start_line.alias("start_line"), token_end_line.alias("end_line"),
+        start_line.alias("start_line"), token_end_line.alias("end_line"), start_col.alias("start_col"), token_end_col.alias("end_col"),
     )
     added = F.concat(
         F.when(meta_over, F.array(_open_span(s, True, x["at"] - 1))).otherwise(none),
@@ -164,7 +171,7 @@ def _advance(s: Column, x: Column, v: Column) -> Column:
     return F.struct(
         mode.alias("mode"), depth.alias("depth"), still_open.alias("open"), starter.alias("starter"), explain.alias("explain"),
         start.alias("start"), end.alias("end"), first.alias("first"), x["at"].alias("at"), start_line.alias("start_line"),
-        token_end_line.alias("end_line"), token_end_line.alias("lines"), F.when(any_added, added).otherwise(none).alias("added"),
+        token_end_line.alias("end_line"), token_end_line.alias("lines"), start_col.alias("start_col"), token_end_col.alias("end_col"), F.when(any_added, added).otherwise(none).alias("added"),
     )
 
 
@@ -197,7 +204,7 @@ def _fold(df: DataFrame) -> DataFrame:
     zero = F.struct(
         int0.alias("mode"), int0.alias("depth"), false.alias("open"), F.lit("").alias("starter"), false.alias("explain"),
         long0.alias("start"), long0.alias("end"), int0.alias("first"), F.lit(-1).alias("at"), int0.alias("start_line"),
-        int0.alias("end_line"), int0.alias("lines"), none.alias("added"),
+        int0.alias("end_line"), int0.alias("lines"), int0.alias("start_col"), int0.alias("end_col"), none.alias("added"),
     )
     n = F.size("_events")
     out = pin(df, _width=F.greatest(F.lit(MIN_BLOCK), F.ceil(F.cbrt(n) * 2).cast("int")))
@@ -243,7 +250,7 @@ def _spans(df: DataFrame, ids: list[str], content: str) -> DataFrame:
     text = F.transform(
         "_spans",
         lambda s: F.struct(
-            *[s[f].alias(f) for f in ("meta", "start", "end", "start_line", "end_line")],
+            *[s[f].alias(f) for f in ("meta", "start", "end", "start_line", "end_line", "start_col", "end_col")],
             F.concat(F.get("_parts", s["first"])["core"], F.array_join(elements("_raw", s["first"] + 1, s["last"]), "")).alias("text"),
             (F.get("_info", s["last"])["kind"] == ";").alias("has_semicolon"),
         ),
@@ -258,11 +265,12 @@ def _rows(df: DataFrame, ids: list[str], content: str, meta: bool) -> DataFrame:
 
 
 def split_statements(df: DataFrame, ids: list[str], content: str) -> DataFrame:
-    """One row per statement: ids, stmt_no (from 1), byte span, line span (from 0), text, has_semicolon."""
+    """One row per statement: ids, stmt_no (from 1), byte span, line and column span (from 0), text, has_semicolon."""
     rows = _rows(df, ids, content, meta=False)
     return rows.select(
         *ids, (F.col("_no") + 1).alias("stmt_no"), F.col("_s.start").alias("start_byte"), F.col("_s.end").alias("end_byte"),
-        F.col("_s.start_line").alias("start_line"), F.col("_s.end_line").alias("end_line"), F.col("_s.text").alias("text"),
+        F.col("_s.start_line").alias("start_line"), F.col("_s.end_line").alias("end_line"),
+        F.col("_s.start_col").alias("start_col"), F.col("_s.end_col").alias("end_col"), F.col("_s.text").alias("text"),
         F.col("_s.has_semicolon").alias("has_semicolon"),
     )
 
