@@ -14,10 +14,7 @@ from lintfleet.session import materialize
 from lintfleet.sources.catalog import Catalog
 
 
-def locate(findings: DataFrame, statements: DataFrame) -> DataFrame:
-    """Adds the statement's byte and line span to findings; (script_id, pos) is unique on the right."""
-    spans = statements.select("script_id", F.col("stmt_no").alias("pos"), "start_byte", "end_byte", "start_line", "end_line", "start_col", "end_col", F.col("text").alias("code"))
-    return findings.join(spans, ["script_id", "pos"])
+SPAN = ["start_byte", "end_byte", "start_line", "end_line", "start_col", "end_col"]
 
 
 def lint_scripts(scripts: DataFrame, rules: list[str] | None = None, cat: Catalog | None = None, write_facts: bool = False) -> DataFrame:
@@ -33,8 +30,7 @@ def lint_scripts(scripts: DataFrame, rules: list[str] | None = None, cat: Catalo
     else:
         # statements of one script come out of one cell, which bounds them
         chunk = None
-    findings = L.lint(extracted, rules, cat, chunk)
-    return locate(findings, extracted.withColumnRenamed("pos", "stmt_no"))
+    return L.lint(extracted, rules, cat, chunk, carry=[*SPAN, "text"]).withColumnRenamed("text", "code")
 
 
 def check(
@@ -49,6 +45,8 @@ def check(
     cols = ["script_id", "category", "severity", "message", "start_byte", "end_byte", "start_line", "end_line"]
     found = found.select(cols)
     if syntax_errors is not None:
+        found = materialize(found, "findings")
         left = X.drop_contained_syntax_errors(syntax_errors.select(cols), found)
         found = found.unionByName(left.select(cols))
-    return X.suppress(found, X.comments(scripts))
+    # both are read by several branches; the tables hold findings and comments only, not the texts
+    return X.suppress(materialize(found, "findings"), materialize(X.comments(scripts), "comments"))

@@ -449,9 +449,9 @@ def _() -> Column:
 _FAMILIES = [["locked_tables", "locks", "created"], ["neighbours"], ["first_transaction"], ["created_in_file"], ["earlier_alter"]]
 
 
-def _hit_rows(state: DataFrame, rules: list[LintRule]) -> DataFrame:
+def _hit_rows(state: DataFrame, rules: list[LintRule], carry: list[str]) -> DataFrame:
     found = [_tagged(r) for r in rules]
-    return state.select("script_id", "pos", F.inline(F.flatten(F.array(*found))))
+    return state.select("script_id", "pos", *carry, F.inline(F.flatten(F.array(*found))))
 
 
 def _tagged(r: LintRule) -> Column:
@@ -459,28 +459,41 @@ def _tagged(r: LintRule) -> Column:
     return F.transform(r.hits(), lambda h: F.struct(F.lit(r.name).alias("rule"), h["ord"].alias("ord"), h["message"].alias("message")))
 
 
-def lint(facts: DataFrame, rules: list[str] | None = None, cat: Catalog | None = None, chunk: int | None = None) -> DataFrame:
-    """Findings of the enabled rules: script_id, pos, ord, rule, message, severity, category.
+def lint(
+    facts: DataFrame,
+    rules: list[str] | None = None,
+    cat: Catalog | None = None,
+    chunk: int | None = None,
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """Findings of the enabled rules: script_id, pos, ord, rule, message, severity, category, and `carry` columns.
 
     `rules` are rule names; None enables all. Catalog rules need `cat` and are skipped without it. When many state
     rules are enabled, give `facts` as a written table: each state chain then reads only its own columns of it.
     """
     enabled = [r for r in RULES.values() if rules is None or r.name in rules]
+    carry = carry or []
     parts = []
     simple = [r for r in enabled if r.hits and not r.needs]
     if simple:
-        parts.append(_hit_rows(facts, simple))
+        parts.append(_hit_rows(facts, simple, carry))
     for family in _FAMILIES:
         members = [r for r in enabled if r.hits and r.needs and r.needs[0] in family]
         if members:
             needs = [n for n in family if any(r.needs[0] == n for r in members)]
-            parts.append(_hit_rows(W.with_state(facts, needs, chunk), members))
+            parts.append(_hit_rows(W.with_state(facts, needs, chunk), members, carry))
     for r in enabled:
         if r.build is _separate_validation:
-            parts.append(r.build(facts, None, chunk).withColumn("rule", F.lit(r.name)))
+            built = r.build(facts, None, chunk)
         elif r.build and cat is not None:
-            parts.append(r.build(facts, cat).withColumn("rule", F.lit(r.name)))
-    out = reduce(lambda a, b: a.unionByName(b), [p.select("script_id", "pos", "ord", "rule", "message") for p in parts])
+            built = r.build(facts, cat)
+        else:
+            continue
+        if carry:
+            built = built.join(facts.select("script_id", "pos", *carry), ["script_id", "pos"])
+        parts.append(built.withColumn("rule", F.lit(r.name)))
+    wanted = ["script_id", "pos", "ord", "rule", "message", *carry]
+    out = reduce(lambda a, b: a.unionByName(b), [p.select(*wanted) for p in parts])
     severity = F.lit(C.WARNING)
     errors = [r.name for r in enabled if r.severity == C.ERROR]
     if errors:
