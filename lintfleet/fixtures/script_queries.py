@@ -163,7 +163,7 @@ select distinct * from (
   select script_id, pos, 'relation' clause, tschema as "schema", tname as name, case when kind = 'select' then 'u' else '' end alias
     from stmt join tbl on tbl.target = stmt.target
     where kind in ('alter_table', 'rename', 'create_table', 'ctas', 'delete', 'update', 'select') or (kind = 'drop' and object_type = 'table')
-      or (kind = 'truncate' and cascade) or (kind = 'reindex' and body like 'REINDEX TABLE%' and not concurrent)
+      or (kind = 'truncate' and cascade) or (kind = 'reindex' and body like 'REINDEX TABLE%')
   union all select script_id, pos, 'relation', '', 'users', '' from stmt where body like '%REFERENCES users%' or body like '%max(x) FROM users%'
   union all select script_id, pos, 'select', '', 'a', '' from stmt where kind = 'select'
   union all select script_id, pos, 'select', '', 'b', 'u' from stmt where kind = 'select'

@@ -406,7 +406,7 @@ def extract(statements: DataFrame, text: str = "text") -> DataFrame:
 
 # ------------------------------------------------------------------ F05: mentions
 
-_MENTION = rf"(?is)\b(?:FROM|JOIN|INTO|UPDATE|TABLE(?: IF EXISTS| IF NOT EXISTS)?(?: ONLY)?|REFERENCES) (?!SELECT\b|ONLY\b|\()((?:{NAME} ?\. ?)?{NAME}(?:(?: AS)? (?!AS\b|ON\b|WHERE\b|SET\b|USING\b|JOIN\b|LEFT\b|RIGHT\b|FULL\b|INNER\b|CROSS\b|NATURAL\b|GROUP\b|ORDER\b|LIMIT\b|UNION\b|VALUES\b|SELECT\b|RETURNING\b|HAVING\b|ADD\b|DROP\b|ALTER\b|RENAME\b|VALIDATE\b|ATTACH\b|DETACH\b|ENABLE\b|DISABLE\b|DEFAULT\b|CASCADE\b|RESTRICT\b|OWNER\b|REPLICA\b|INHERIT\b|NO\b|FORCE\b|NOT\b|WINDOW\b|FOR\b|OFFSET\b|FETCH\b|EXCEPT\b|INTERSECT\b|TABLESAMPLE\b){NAME})?)"
+_MENTION = rf"(?is)\b(?:FROM|JOIN|INTO|UPDATE|TABLE(?: IF EXISTS| IF NOT EXISTS| CONCURRENTLY)?(?: ONLY)?|REFERENCES) (?!SELECT\b|ONLY\b|ON\b|OF\b|SET\b|NOWAIT\b|SKIP\b|\()((?:{NAME} ?\. ?)?{NAME}(?:(?: AS)? (?!AS\b|ON\b|WHERE\b|SET\b|USING\b|JOIN\b|LEFT\b|RIGHT\b|FULL\b|INNER\b|CROSS\b|NATURAL\b|GROUP\b|ORDER\b|LIMIT\b|UNION\b|VALUES\b|SELECT\b|RETURNING\b|HAVING\b|ADD\b|DROP\b|ALTER\b|RENAME\b|VALIDATE\b|ATTACH\b|DETACH\b|ENABLE\b|DISABLE\b|DEFAULT\b|CASCADE\b|RESTRICT\b|OWNER\b|REPLICA\b|INHERIT\b|NO\b|FORCE\b|NOT\b|WINDOW\b|FOR\b|OFFSET\b|FETCH\b|EXCEPT\b|INTERSECT\b|TABLESAMPLE\b){NAME})?)"
 _SELECT_LIST = r"^SELECT (?:DISTINCT )?(.*?) FROM\b"
 _WHERE_COLUMN = rf"(?is)((?:{NAME} ?\. ?)?{NAME}) ?(?:=|<>|!=|<=|>=|<|>| IN\b| IS\b| LIKE\b| BETWEEN\b)"
 
