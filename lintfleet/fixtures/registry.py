@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintfleet.fixtures import catalog_queries, lint_queries, resolve_queries, script_queries, selection_queries
+from lintfleet.fixtures import catalog_queries, lint_queries, report_queries, resolve_queries, script_queries, selection_queries
 
-_MODULES = [catalog_queries, script_queries, lint_queries, selection_queries, resolve_queries]
+_MODULES = [catalog_queries, script_queries, lint_queries, selection_queries, resolve_queries, report_queries]
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
 

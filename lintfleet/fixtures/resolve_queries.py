@@ -174,8 +174,8 @@ SQL["R04_candidate_ranking"] = ranked_sql(
 , k as (select *, row_number() over (partition by context_id order by score desc, label) rn from d where above is null or above <> label)
 , t as (select *, count(*) over (partition by context_id) n, max(case when rn = 2 then score end) over (partition by context_id) runner_up from k where rn <= 50)
 select context_id, cast(rn as int) rank, label, score, rn = 1 and (runner_up is null or score - runner_up > 15) and n >= 10 preselected,
-  lpad(cast(rn - 1 as varchar), length(cast(n as varchar)), '0') sort_text from t"""
-).replace("\n, s as", "\n, s as")
+  lpad(cast(rn - 1 as varchar), cast(length(cast(n as varchar)) as int), '0') sort_text from t"""
+)
 
 
 def _hover_columns(spark: SparkSession, sf: str) -> DataFrame:

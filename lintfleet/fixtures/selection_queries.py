@@ -183,7 +183,7 @@ union all select script_id, 'lint', 2, '{X.MISPLACED}', start_byte, end_byte fro
 union all select script_id, 'lint', 2, error, start_byte, end_byte from rng where error is not null
 union all select script_id, 'lint', 2, message, start_byte, end_byte from (
   {_UNUSED.replace('from fnd f', 'from everything f')}) u"""
-).replace("\n\n, everything", "\n, everything")
+)
 
 CONFIG_SQL = """
 select c_custkey project, case when c_custkey % 7 = 0 then true when c_custkey % 2 = 0 then false end all_rules,
