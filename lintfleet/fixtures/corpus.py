@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintfleet.fixtures.relations import source
+from lintfleet.session import spread
 
 
 @dataclass
@@ -272,7 +273,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     targets = spark.createDataFrame([(i, t[0]) for i, t in enumerate(TARGETS)], "tno int, target string")
     comments = spark.createDataFrame(list(enumerate(COMMENTS)), "cno int, prefix string")
-    orders = source(spark, sf_dir, "orders").select(
+    orders = spread(source(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(
         F.col("o_custkey").alias("script_id"), F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 5).cast("int").alias("db_id"),
         (F.col("o_orderkey") % N).cast("int").alias("tid"),
         (F.floor(F.col("o_orderkey") / N) % len(TARGETS)).cast("int").alias("tno"),

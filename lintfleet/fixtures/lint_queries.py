@@ -16,12 +16,14 @@ from lintfleet.fixtures.catalog_queries import catalog
 from lintfleet.fixtures.relations import cte
 from lintfleet.fixtures.script_queries import statement_rows
 from lintfleet.operators.scan import chunk_width
+from lintfleet.plans import audit_rules as D
 from lintfleet.plans import facts as FX
 from lintfleet.plans import lint_rules as L
+from lintfleet.plans import scorecard as P
 from lintfleet.plans import txstate as W
 from lintfleet.plans.lint_messages import MESSAGES
 from lintfleet.registry import rules_frame
-from lintfleet.session import configure
+from lintfleet.session import configure, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -268,6 +270,8 @@ def lint_sql(body: str) -> str:
 def lint(rules: list[str] | None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         df, chunk = facts(spark, sf)
+        if rules is None:  # several state chains read the facts, each only a few columns of them
+            df = materialize(df, "facts")
         return L.lint(df, rules, catalog(spark, sf), chunk)
 
     return run
@@ -296,3 +300,17 @@ def _listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["U02_rule_listing"] = _listing
+_REGISTERED = ", ".join(
+    f"('lint', '{r.group}', '{r.name}', '{r.category}', {r.severity}, {str(r.recommended).lower()})" for r in L.RULES.values()
+)
+_REGISTERED += ", " + ", ".join(
+    f"('catalog', '{r.group}', '{r.name}', 'catalog/{r.group}/{r.name}', {C.LEVEL_SEVERITY[r.level]}, true)" for r in D.RULES.values()
+)
+_REGISTERED += ", " + ", ".join(
+    f"('scorecard', '{r.scope}', '{r.name}', 'scorecard/{r.scope}/{r.name}', {C.WARNING}, true)" for r in P.RULES.values()
+)
+_STATELESS = "\nunion all\n".join(rule_rows(i) for i, r in L.RULES.items() if r.hits and not r.needs)
+SQL["U02_rule_listing"] = lint_sql(
+    f"""select g.*, coalesce(n, 0) findings from (values {_REGISTERED}) g(kind, grp, rule, category, severity, recommended)
+left join (select category c, count(*) n from ({_STATELESS}) x group by 1) f on f.c = g.category"""
+)

@@ -226,8 +226,8 @@ def _incremental(spark: SparkSession, sf: str) -> DataFrame:
     path, root = new_path(spark, "feed"), new_path(spark, "incremental")
     linter = MD.IncrementalLint(spark, root, XQ.NAMES)
     for part in (first, second):
-        part.write.mode("append").parquet(path)
-    stream = MD.read_stream(spark, path, "*.parquet", max_files=4)
+        part.coalesce(8).write.mode("append").parquet(path)
+    stream = MD.read_stream(spark, path, "*.parquet", max_files=16)
     MD.run(stream, "incremental", linter.process)
     return linter.findings()
 

@@ -152,8 +152,7 @@ def ranked_sql(body: str) -> str:
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.candidates(contexts(spark, sf), R.objects(catalog(spark, sf))).withColumn("_text", R.checked_text())
-    rows = rows.withColumn("match_score", R.text_score(F.col("query"), F.col("_text"))).filter("match_score is not null")
+    rows = R.candidates(contexts(spark, sf), R.objects(catalog(spark, sf)))
     return rows.withColumns({"own": R.own_score(), "by_clause": R.clause_score(), "by_statement": R.statement_score()})
 
 

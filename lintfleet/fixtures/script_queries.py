@@ -13,7 +13,7 @@ from lintfleet.fixtures.relations import source
 from lintfleet.plans import facts as FX
 from lintfleet.plans import statements as ST
 from lintfleet.plans import tokens as TK
-from lintfleet.session import configure
+from lintfleet.session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,10 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.scripts(configure(spark), sf_dir)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(source(configure(spark), sf_dir, "documents").select("doc_id", "text"))
+
+
 def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.statements(configure(spark), sf_dir).select("script_id", "pos", "db_id", "text")
 
@@ -59,7 +63,7 @@ SQL["T01_tokens"] = sql(
     select script_id, unnest(l) t, unnest(range(1, len(l) + 1)) ord from (select script_id, regexp_extract_all(content, '{SQL_TOKEN}') l from script) a) b) c"""
 )
 
-QUERIES["T02_token_statistics"] = lambda spark, sf: TK.token_statistics(source(configure(spark), sf, "documents"), "text")
+QUERIES["T02_token_statistics"] = lambda spark, sf: TK.token_statistics(documents(spark, sf), "text")
 _RESERVED, _OTHER = (", ".join(f"'{w}'" for w in ws) for ws in (C.RESERVED_WORDS, C.STATEMENT_WORDS))
 SQL["T02_token_statistics"] = f"""
 select kind, case when kind = 'word' then case when w in ({_RESERVED}) then 'reserved' when w in ({_OTHER}) then 'unreserved' else 'identifier' end end "class",
@@ -81,7 +85,7 @@ DECLARED = """
 QUERIES["T03_split_statements"] = lambda spark, sf: split(spark, sf).drop("path")
 SQL["T03_split_statements"] = sql("select * exclude (pos) from spans", DECLARED)
 
-QUERIES["T04_line_index"] = lambda spark, sf: TK.lines(source(configure(spark), sf, "documents"), ["doc_id"], "text")
+QUERIES["T04_line_index"] = lambda spark, sf: TK.lines(documents(spark, sf), ["doc_id"], "text")
 SQL["T04_line_index"] = """
 select doc_id, cast(i - 1 as int) line, cast(coalesce(sum(strlen(x) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as bigint) start_byte, x line_text
 from (select doc_id, unnest(l) x, unnest(range(1, len(l) + 1)) i from (select doc_id, string_split(text, chr(10)) l from documents) a) b"""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lintfleet import constants as C
 from lintfleet.functions import scalars as S
 from lintfleet.plans import catalog_dims as K
+from lintfleet.session import materialize
 from lintfleet.sources.catalog import Catalog
 from lintfleet.sources.globs import globs_to_regex
 
@@ -65,15 +66,36 @@ def _key(prefix: str, *parts: str | Column) -> Column:
 
 def relations(cat: Catalog, kinds: list[str] | None, excluded: list[str] | None = None) -> DataFrame:
     """Relations of the given kinds (or all) with their schema name; excluded schemas never reach the join."""
-    names = cat["namespace"].select("db_id", F.col("oid").alias("relnamespace"), "nspname")
     skip = C.EXCLUDED_SCHEMAS if excluded is None else excluded
+    if cat.base is not None:
+        rows = cat.base.filter(F.col("relkind").isin(kinds)) if kinds else cat.base
+        return rows.filter(~F.col("nspname").isin(skip)) if skip else rows
+    names = cat["namespace"].select("db_id", F.col("oid").alias("relnamespace"), "nspname")
     if skip:
         names = names.filter(~F.col("nspname").isin(skip))
     classes = cat["class"].filter(F.col("relkind").isin(kinds)) if kinds else cat["class"]
     return classes.join(names, ["db_id", "relnamespace"])
 
 
+def relation_base(cat: Catalog) -> DataFrame:
+    """Relations with their schema and, as flags, what the rules would otherwise each join for: extension
+    ownership and readability through the API. Both flags come from de-duplicated keys, so rows stay single."""
+    names = cat["namespace"].select("db_id", F.col("oid").alias("relnamespace"), "nspname")
+    owned = cat["depend"].filter(F.col("deptype") == "e").select("db_id", F.col("objid").alias("oid")).distinct()
+    readers = api_readable(cat).groupBy("db_id", "oid").agg(F.min("rolname").alias("_reader"))
+    exposed = exposed_schemas(cat).withColumn("_exposed", F.lit(True))
+    return (
+        cat["class"].join(names, ["db_id", "relnamespace"])
+        .join(owned.withColumn("_owned", F.lit(True)), ["db_id", "oid"], "left")
+        .join(readers, ["db_id", "oid"], "left")
+        .join(exposed, ["db_id", "nspname"], "left")
+        .withColumns({"_owned": F.coalesce("_owned", F.lit(False)), "_exposed": F.coalesce("_exposed", F.lit(False))})
+    )
+
+
 def not_extension_owned(df: DataFrame, cat: Catalog, key: str = "oid") -> DataFrame:
+    if "_owned" in df.columns:
+        return df.filter("not _owned")
     owned = cat["depend"].filter(F.col("deptype") == "e").select("db_id", F.col("objid").alias(key))
     return df.join(owned, ["db_id", key], "left_anti")
 
@@ -90,6 +112,8 @@ def api_readable(cat: Catalog) -> DataFrame:
 
 
 def in_api(df: DataFrame, cat: Catalog) -> DataFrame:
+    if "_reader" in df.columns:
+        return df.filter("_reader is not null and _exposed")
     readable = df.join(api_readable(cat), ["db_id", "oid"], "left_semi")
     return readable.join(exposed_schemas(cat), ["db_id", "nspname"], "left_semi")
 
@@ -584,10 +608,13 @@ def audit(
 ) -> DataFrame:
     """All findings of the enabled rules, with a severity number, without ignored objects.
 
-    Only enabled rules are planned. Ignore globs are matched against `schema.name`; rows lacking either
+    Relations are joined with schemas, extensions and grants once, into a table all rules read. Only enabled
+    rules are planned. Ignore globs are matched against `schema.name`; rows lacking either
     are kept. `rules` and the keys of `rule_ignore` are rule names.
     """
     gate = gated_databases(cat)
+    if cat.base is None:
+        cat.base = materialize(relation_base(cat), "relations")
     object_id = F.concat_ws(".", "schema_name", "object_name")
     unnamed = F.col("schema_name").isNull() | F.col("object_name").isNull()
     parts = []

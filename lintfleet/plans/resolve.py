@@ -217,31 +217,46 @@ def text_score(query: Column, text: Column) -> Column:
     return F.when(F.regexp_like(text, pattern), share)
 
 
-def letter_pairs(text: Column) -> Column:
-    """All ordered pairs of letters of a text, and its single letters: what any in-order match must start with."""
-    letters = F.split(text, "")
-    pairs = F.flatten(F.transform(letters, lambda a, i: F.transform(F.slice(letters, i + 2, F.size(letters)), lambda b: F.concat(a, b))))
-    return F.array_distinct(F.concat(letters, pairs))
+ITEM = ["db_id", "kind", "schema", "table_name", "name", "is_primary_key"]
+MATCH_KEY = ["db_id", "query", "qualifier"]
 
 
-def candidates(contexts: DataFrame, known: DataFrame) -> DataFrame:
-    """Objects that may match each context, joined on database and the first two letters of the query.
+def matches(contexts: DataFrame, known: DataFrame) -> DataFrame:
+    """Objects each distinct (db_id, query, qualifier) matches, with the text score.
 
-    `contexts`: context_id, db_id, query, qualifier, clause, is_invocation, has_mentions, mentions, mentioned_columns.
-    Only letter pairs some query begins with are kept before the join.
+    Objects and queries meet on database and a pair of letters: a query can only occur in order in a text that has
+    its first two letters in order. Only pairs some query begins with are kept before the join, and contexts that
+    share a query share its matching.
     """
-    asked = contexts.withColumn("query", F.lower(unquoted(F.col("query"))))
-    asked = asked.withColumn("pair", F.substring("query", 1, 2))
-    needed = asked.select("db_id", "pair").distinct()
-    indexed = known.withColumn("pair", F.explode(letter_pairs(F.lower(F.concat_ws(".", "table_name", "name")))))
-    return lookup(indexed, needed, ["db_id", "pair"], "left_semi").join(asked, ["db_id", "pair"])
+    asked = contexts.select(*MATCH_KEY).distinct().withColumn("_q", F.lower(unquoted(F.col("query"))))
+    asked = asked.withColumn("pair", F.substring("_q", 1, 2))
+    needed = asked.groupBy("db_id").agg(F.collect_set("pair").alias("_pairs"))  # at most the square of the alphabet
+    text = F.lower(F.concat_ws(".", "table_name", "name"))
+
+    def in_order(pair: Column) -> Column:
+        first, second = F.substring(pair, 1, 1), F.substring(pair, 2, 1)
+        at = F.instr(F.col("_text"), first)
+        return (at > 0) & ((second == "") | F.substring(F.col("_text"), at + 1, F.length("_text")).contains(second))
+
+    items = lookup(known.withColumn("_text", text), needed, ["db_id"], "inner")
+    items = items.withColumn("pair", F.explode(F.filter("_pairs", in_order))).select(*ITEM, "pair")
+    joined = asked.join(items, ["db_id", "pair"]).withColumn("_text", checked_text())
+    scored = joined.withColumn("match_score", text_score(F.col("_q"), F.col("_text")))
+    return scored.filter("match_score is not null").select(*ITEM, "query", "qualifier", "match_score")
+
+
+def candidates(contexts: DataFrame, known: DataFrame) -> DataFrame:
+    """Matching objects per context. `contexts`: context_id, db_id, query, qualifier, clause, is_invocation,
+    has_mentions, mentions, mentioned_columns."""
+    found = matches(contexts, known).withColumn("_qualifier", F.coalesce("qualifier", F.lit(""))).drop("qualifier")
+    asked = contexts.withColumn("_qualifier", F.coalesce("qualifier", F.lit("")))
+    return found.join(asked, ["db_id", "query", "_qualifier"]).drop("_qualifier")
 
 
 def scored(contexts: DataFrame, known: DataFrame) -> DataFrame:
-    text = checked_text()
-    rows = candidates(contexts, known).withColumn("_text", text).withColumn("_match", text_score(F.col("query"), F.col("_text")))
-    total = own_score() + clause_score() + statement_score() + F.col("_match")
-    return rows.filter("_match is not null").select("context_id", "db_id", "kind", "schema", "table_name", F.col("name").alias("label"), total.cast("int").alias("score"))
+    rows = candidates(contexts, known)
+    total = own_score() + clause_score() + statement_score() + F.col("match_score")
+    return rows.select("context_id", "db_id", "kind", "schema", "table_name", F.col("name").alias("label"), total.cast("int").alias("score"))
 
 
 def rank(rows: DataFrame, limit: int = LIMIT) -> DataFrame:

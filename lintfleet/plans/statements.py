@@ -105,7 +105,28 @@ def _open_span(s: Column, meta: bool, last: Column) -> Column:
     )
 
 
+STATE = ["mode", "depth", "open", "starter", "explain", "start", "end", "first", "at", "start_line", "end_line", "lines", "start_col",
+         "end_col", "added"]
+
+
+def _continue(s: Column, x: Column) -> Column:
+    """A token that can only lengthen the open statement: most of a script's tokens."""
+    lines = s["lines"] + x["lead_breaks"] + x["core_breaks"]
+    token_col = x["lead_tail"] + F.when(x["lead_breaks"] == 0, s["end_col"]).otherwise(0)
+    end_col = x["core_tail"] + F.when(x["core_breaks"] == 0, token_col).otherwise(0)
+    moved = {
+        "end": s["end"] + x["size"], "at": x["at"], "end_line": lines, "lines": lines, "end_col": end_col,
+        "explain": F.lit(False), "added": F.array().cast(f"array<{SPAN}>"),
+    }
+    return F.struct(*[moved.get(f, s[f]).alias(f) for f in STATE])
+
+
 def _step(s: Column, x: Column) -> Column:
+    plain = (x["kind"] == "") & ~x["hard"] & s["open"] & (s["mode"] != META) & ((s["mode"] != PAREN) | ~s["explain"])
+    return F.when(plain, _continue(s, x)).otherwise(_decide(s, x))
+
+
+def _decide(s: Column, x: Column) -> Column:
     mode = F.when((s["mode"] == META) & x["broken"], NORMAL).otherwise(s["mode"])
     inside = F.lit(False)
     for starter, words in PART_OF.items():
@@ -168,11 +189,12 @@ def _advance(s: Column, x: Column, v: Column) -> Column:
         F.when(closes, F.array(closed)).otherwise(none),
     )
     any_added = meta_over | v["ends"] | closes
-    return F.struct(
-        mode.alias("mode"), depth.alias("depth"), still_open.alias("open"), starter.alias("starter"), explain.alias("explain"),
-        start.alias("start"), end.alias("end"), first.alias("first"), x["at"].alias("at"), start_line.alias("start_line"),
-        token_end_line.alias("end_line"), token_end_line.alias("lines"), start_col.alias("start_col"), token_end_col.alias("end_col"), F.when(any_added, added).otherwise(none).alias("added"),
-    )
+    after = {
+        "mode": mode, "depth": depth, "open": still_open, "starter": starter, "explain": explain, "start": start, "end": end, "first": first,
+        "at": x["at"], "start_line": start_line, "end_line": token_end_line, "lines": token_end_line, "start_col": start_col,
+        "end_col": token_end_col, "added": F.when(any_added, added).otherwise(none),
+    }
+    return F.struct(*[after[f].alias(f) for f in STATE])
 
 
 def _rest(s: Column) -> Column:

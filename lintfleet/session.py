@@ -13,6 +13,8 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # text work is heavy per byte, so small shuffles should still use all cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -54,6 +56,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spreads an input that comes in fewer splits than there are cores; a large one is left as it is.
+
+    Only the plan is looked at. Meant for scans right before heavy work on each row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a result that several jobs read, as a table that survives lost executors."""
     path = new_path(df.sparkSession, name)

@@ -22,6 +22,8 @@ class Catalog:
     def __init__(self, load: Callable[[str], DataFrame]):
         self._load = load
         self._tables: dict[str, DataFrame] = {}
+        # relations joined once with schema, extension ownership and API access; set when many rules run together
+        self.base: DataFrame | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
