@@ -249,8 +249,15 @@ def cte(names: list[str], string: str = "varchar", relations: dict[str, tuple[li
     return ",\n".join(parts)
 
 
+_SOURCES: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table's scan; kept per application, so that its footer is read once."""
+    key = (spark.sparkContext.applicationId, sf_dir, table)
+    if key not in _SOURCES:
+        _SOURCES[key] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return _SOURCES[key]
 
 
 def register(spark: SparkSession, sf_dir: str, tables: list[str] | None = None) -> None:

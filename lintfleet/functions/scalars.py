@@ -90,3 +90,9 @@ def lookup_map(value: Column, table: dict[str, str], default: Column) -> Column:
     for k, v in table.items():
         pairs += [F.lit(k), F.lit(v)]
     return F.coalesce(F.element_at(F.create_map(*pairs), value), default)
+
+
+def in_words(name: str, words: Sequence[str]) -> Column:
+    """`name IN (...)` for a fixed word list, as one expression."""
+    quoted = ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"{name} IN ({quoted})")

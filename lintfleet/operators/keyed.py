@@ -30,3 +30,12 @@ def lookup(
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    """All parts by column name, paired up like a tree: a chain of unions is analysed anew at every link."""
+    parts = list(parts)
+    while len(parts) > 1:
+        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+        parts = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return parts[0]

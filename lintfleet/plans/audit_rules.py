@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lintfleet import constants as C
 from lintfleet.functions import scalars as S
+from lintfleet.operators.keyed import union_all
 from lintfleet.plans import catalog_dims as K
 from lintfleet.session import materialize
 from lintfleet.sources.catalog import Catalog
@@ -69,10 +70,10 @@ def relations(cat: Catalog, kinds: list[str] | None, excluded: list[str] | None
     skip = C.EXCLUDED_SCHEMAS if excluded is None else excluded
     if cat.base is not None:
         rows = cat.base.filter(F.col("relkind").isin(kinds)) if kinds else cat.base
-        return rows.filter(~F.col("nspname").isin(skip)) if skip else rows
+        return rows.filter(~S.in_words("nspname", skip)) if skip else rows
     names = cat["namespace"].select("db_id", F.col("oid").alias("relnamespace"), "nspname")
     if skip:
-        names = names.filter(~F.col("nspname").isin(skip))
+        names = names.filter(~S.in_words("nspname", skip))
     classes = cat["class"].filter(F.col("relkind").isin(kinds)) if kinds else cat["class"]
     return classes.join(names, ["db_id", "relnamespace"])
 
@@ -201,7 +202,7 @@ def unused_index(cat: Catalog) -> DataFrame:
     plain = cat["index"].filter("not indisunique and not indisprimary").select("db_id", "indexrelid")
     rows = (
         cat["stat_index"]
-        .filter((F.col("idx_scan") == 0) & ~F.col("schemaname").isin(C.EXCLUDED_SCHEMAS))
+        .filter((F.col("idx_scan") == 0) & ~S.in_words("schemaname", C.EXCLUDED_SCHEMAS))
         .join(plain, ["db_id", "indexrelid"], "left_semi")
         .withColumnRenamed("schemaname", "nspname")
     )
@@ -393,7 +394,7 @@ def security_definer_view(cat: Catalog) -> DataFrame:
 
 @rule("D12", "function_search_path_mutable", "security", "WARN")
 def function_search_path_mutable(cat: Catalog) -> DataFrame:
-    names = cat["namespace"].filter(~F.col("nspname").isin(C.EXCLUDED_SCHEMAS))
+    names = cat["namespace"].filter(~S.in_words("nspname", C.EXCLUDED_SCHEMAS))
     names = names.select("db_id", F.col("oid").alias("pronamespace"), "nspname")
     pinned = F.exists(S.word_list(F.col("proconfig")), lambda c: c.like("search_path=%"))
     rows = not_extension_owned(cat["proc"].filter(~pinned).join(names, ["db_id", "pronamespace"]), cat)
@@ -524,7 +525,7 @@ def sensitive_columns_exposed(cat: Catalog) -> DataFrame:
         cat["attribute"]
         .filter((F.col("attnum") > 0) & ~F.col("attisdropped"))
         .withColumn("pattern", pattern)
-        .filter(F.col("pattern").isin(C.SENSITIVE_COLUMNS))
+        .filter(S.in_words("pattern", C.SENSITIVE_COLUMNS))
         .join(owners, ["db_id", "attrelid"])
         .groupBy("db_id", "nspname", "relname")
         .agg(F.array_sort(F.collect_set("attname")).alias("names"), F.array_sort(F.collect_set("pattern")).alias("patterns"))
@@ -631,4 +632,4 @@ def audit(
     severity = F.lit(C.INFORMATION)
     for level, number in C.LEVEL_SEVERITY.items():
         severity = F.when(F.col("level") == level, number).otherwise(severity)
-    return reduce(DataFrame.unionByName, parts).withColumn("severity", severity)
+    return union_all(parts).withColumn("severity", severity)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lintfleet import constants as C
 from lintfleet.functions import scalars as S
+from lintfleet.operators.keyed import union_all
 from lintfleet.sources.catalog import Catalog
 
 EMPTY = "array<string>"
@@ -385,10 +386,7 @@ def objects(cat: Catalog) -> DataFrame:
         rows(schemas(cat).withColumn("schema", F.lit(None).cast("string")), C.PG_NAMESPACE, F.lit("schema"), 0),
         cols,
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(parts)
 
 
 def resolve_objects(refs: DataFrame, cat: Catalog) -> DataFrame:

@@ -7,13 +7,13 @@ evaluated in one pass and exploded once. Rules that read state name what they ne
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet import constants as C
 from lintfleet.functions import scalars as S
+from lintfleet.operators.keyed import union_all
 from lintfleet.plans import catalog_dims as K
 from lintfleet.plans import txstate as W
 from lintfleet.plans.lint_messages import MESSAGES
@@ -493,7 +493,7 @@ def lint(
             built = built.join(facts.select("script_id", "pos", *carry), ["script_id", "pos"])
         parts.append(built.withColumn("rule", F.lit(r.name)))
     wanted = ["script_id", "pos", "ord", "rule", "message", *carry]
-    out = reduce(lambda a, b: a.unionByName(b), [p.select(*wanted) for p in parts])
+    out = union_all([p.select(*wanted) for p in parts])
     severity = F.lit(C.WARNING)
     errors = [r.name for r in enabled if r.severity == C.ERROR]
     if errors:

@@ -6,13 +6,11 @@ and scores are column expressions. Equal lookups should be given once: a ranking
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintfleet.functions import scalars as S
-from lintfleet.operators.keyed import lookup
+from lintfleet.operators.keyed import lookup, union_all
 from lintfleet.plans import catalog_dims as K
 from lintfleet.sources.catalog import Catalog
 from lintfleet.sources.globs import glob_to_regex
@@ -37,7 +35,7 @@ def objects(cat: Catalog) -> DataFrame:
         rows(K.roles(cat), "role", none, none, "name"),
         rows(K.policies(cat), "policy", F.col("schema_name"), F.col("table_name"), "name"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def unquoted(name: Column) -> Column:

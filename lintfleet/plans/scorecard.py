@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet import constants as C
 from lintfleet.functions import scalars as S
+from lintfleet.operators.keyed import union_all
 from lintfleet.plans import audit_rules as D
 from lintfleet.plans import catalog_dims as K
 from lintfleet.sources.catalog import Catalog
@@ -118,7 +118,7 @@ def _named_objects(cat: Catalog) -> DataFrame:
         cat["index_class"].select("db_id", F.lit(C.PG_CLASS).alias("classid"), "oid", F.col("relname").alias("name")),
         cat["proc"].select("db_id", F.lit(C.PG_PROC).alias("classid"), "oid", F.col("proname").alias("name")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def _named(cat: Catalog, violates: Column) -> DataFrame:
@@ -167,7 +167,7 @@ def _(cat: Catalog) -> DataFrame:
 
 @rule("B010", "how_many_tables_with_reserved_keywords", "base", 20, 80)
 def _(cat: Catalog) -> DataFrame:
-    return _named(cat, F.lower("name").isin(C.RESERVED_WORDS))
+    return _named(cat, S.in_words("lower(name)", C.RESERVED_WORDS))
 
 
 @rule("B011", "several_table_owner_in_schema", "base", 1, 80)
@@ -239,7 +239,7 @@ EXTENSION = "pglinter"  # fixed value: the extension whose presence the scorecar
 def scorecard(cat: Catalog, enabled: list[str] | None = None, disabled_upstream: list[str] | None = None) -> DataFrame:
     """All scores of the enabled rules that are not disabled upstream."""
     rules = [r for r in RULES.values() if (enabled is None or r.id in enabled) and r.id not in (disabled_upstream or [])]
-    return reduce(DataFrame.unionByName, [r.score(cat) for r in rules])
+    return union_all([r.score(cat) for r in rules])
 
 
 def violations(cat: Catalog, rules: list[str]) -> DataFrame:
@@ -248,7 +248,7 @@ def violations(cat: Catalog, rules: list[str]) -> DataFrame:
         RULES[i].objects(cat).filter("violates").select(F.lit(i).alias("rule_code"), "db_id", "classid", "objid", F.lit(0).alias("objsubid"))
         for i in rules
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def report(

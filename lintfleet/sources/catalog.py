@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintfleet.operators.keyed import union_all
+
 # Snapshot tables a catalog may hold, named after the system catalog without its prefix.
 SNAPSHOT_TABLES = [
     "namespace", "class", "index", "index_class", "constraint", "depend", "rewrite", "attribute", "attrdef",
@@ -69,7 +71,4 @@ def export_json(dimensions: dict[str, DataFrame]) -> DataFrame:
         df.select(F.lit(kind).alias("kind"), "db_id", F.to_json(F.struct(*sorted(df.columns))).alias("json"))
         for kind, df in sorted(dimensions.items())
     ]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+    return union_all(rows)
