@@ -16,7 +16,7 @@ from lintfleet.fixtures.script_queries import scripts
 from lintfleet.functions import scalars as S
 from lintfleet.operators.scan import chunk_width
 from lintfleet.plans import reports as Q
-from lintfleet.session import configure, new_path
+from lintfleet.session import configure, materialize, new_path
 from lintfleet.sources import scripts as I
 from lintfleet.streaming import documents as MD
 from lintfleet.streaming import metrics as MM
@@ -140,7 +140,7 @@ SQL["Q03_traversal_summary"] = rep_sql(
 
 
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
-    rows = findings(spark, sf)
+    rows = materialize(findings(spark, sf), "findings")
     return Q.code_quality(rows, chunk=chunk_width(rows, ["script_id"]))
 
 

@@ -21,7 +21,7 @@ from lintfleet.plans import lint_rules as L
 from lintfleet.plans import scorecard as P
 from lintfleet.plans import selection as SEL
 from lintfleet.plans import suppressions as X
-from lintfleet.session import configure
+from lintfleet.session import configure, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,7 +156,7 @@ _CAP = 3
 
 
 def _capped(spark: SparkSession, sf: str) -> DataFrame:
-    kept, counts = SEL.cap(findings(spark, sf), ["script_id"], ["pos", "ord", "rule", "message"], _CAP)
+    kept, counts = SEL.cap(materialize(findings(spark, sf), "findings"), ["script_id"], ["pos", "ord", "rule", "message"], _CAP)
     return kept.select("script_id", "pos", "ord", "rule").join(counts, "script_id")
 
 

@@ -335,6 +335,11 @@ def setting(cat: Catalog, name: str, alias: str) -> DataFrame:
     return cat["setting"].filter(F.col("name") == name).select("db_id", F.col("value").alias(alias))
 
 
+def major_versions(cat: Catalog) -> DataFrame:
+    number = setting(cat, "server_version_num", "version_num")
+    return number.select("db_id", S.int_div(F.col("version_num").cast("bigint"), 10000).alias("major_version"))
+
+
 def versions(cat: Catalog) -> DataFrame:
     """One row per database, so every join on it is a small side table."""
     active = cat["activity"].groupBy("db_id").agg(F.count("*").alias("active_connections"))
@@ -364,26 +369,25 @@ FUNCTION_KINDS = {"f": "function", "p": "procedure", "a": "aggregate", "w": "win
 def objects(cat: Catalog) -> DataFrame:
     """Every addressable object as (db_id, classid, objid, objsubid) -> (schema, name, type)."""
 
-    def rows(df: DataFrame, classid: int, kind: Column, priority: int, name: Column | None = None) -> DataFrame:
+    def rows(df: DataFrame, classid: int, kind: Column, name: Column | None = None) -> DataFrame:
         return df.select(
             "db_id", F.lit(classid).cast("bigint").alias("classid"), F.col("id").alias("objid"), F.lit(0).alias("objsubid"),
             F.col("schema"), (name if name is not None else F.col("name")).alias("object_name"),
-            kind.alias("object_type"), F.lit(priority).alias("priority"),
+            kind.alias("object_type"),
         )
 
     cols = columns(cat).select(
         "db_id", F.lit(C.PG_ATTRIBUTE).cast("bigint").alias("classid"), F.col("table_oid").alias("objid"),
         F.col("number").cast("int").alias("objsubid"), F.col("schema_name").alias("schema"),
         F.concat_ws(".", "table_name", "name").alias("object_name"), F.lit("column").alias("object_type"),
-        F.lit(0).alias("priority"),
     )
     parts = [
-        rows(tables(cat), C.PG_CLASS, S.lookup_map(F.col("table_kind"), TABLE_KINDS, F.col("table_kind")), 0),
-        rows(indexes(cat), C.PG_CLASS, F.lit("index"), 1),
-        rows(sequences(cat), C.PG_CLASS, F.lit("sequence"), 2),
-        rows(functions(cat), C.PG_PROC, S.lookup_map(F.col("kind"), FUNCTION_KINDS, F.col("kind")), 0),
-        rows(types(cat), C.PG_TYPE, F.lit("type"), 0),
-        rows(schemas(cat).withColumn("schema", F.lit(None).cast("string")), C.PG_NAMESPACE, F.lit("schema"), 0),
+        rows(tables(cat), C.PG_CLASS, S.lookup_map(F.col("table_kind"), TABLE_KINDS, F.col("table_kind"))),
+        rows(indexes(cat), C.PG_CLASS, F.lit("index")),
+        rows(sequences(cat), C.PG_CLASS, F.lit("sequence")),
+        rows(functions(cat), C.PG_PROC, S.lookup_map(F.col("kind"), FUNCTION_KINDS, F.col("kind"))),
+        rows(types(cat), C.PG_TYPE, F.lit("type")),
+        rows(schemas(cat).withColumn("schema", F.lit(None).cast("string")), C.PG_NAMESPACE, F.lit("schema")),
         cols,
     ]
     return union_all(parts)
@@ -392,16 +396,15 @@ def objects(cat: Catalog) -> DataFrame:
 def resolve_objects(refs: DataFrame, cat: Catalog) -> DataFrame:
     """Adds schema, object_name and object_type to (db_id, classid, objid, objsubid) rows, null when unknown.
 
-    Only columns look at objsubid. Of several matches the first kind tried wins, which is an aggregate
-    with partial results rather than a sort of the candidates.
+    Only columns look at objsubid. A system catalog numbers its rows uniquely, so tables, indexes and sequences
+    never share an id and the order in which they are tried cannot matter. The objects are joined as they are, which
+    also lets a hot object's references be split over tasks.
     """
-    best = objects(cat).groupBy("db_id", "classid", "objid", "objsubid").agg(
-        F.min_by(F.struct("schema", "object_name", "object_type"), "priority").alias("found")
-    )
+    best = objects(cat)
     sub = F.when(F.col("classid") == C.PG_ATTRIBUTE, F.col("objsubid")).otherwise(F.lit(0))
     keyed = refs.withColumn("_sub", sub)
     return (
         keyed.join(best.withColumnRenamed("objsubid", "_sub"), ["db_id", "classid", "objid", "_sub"], "left")
         .drop("_sub")
-        .select(*refs.columns, "found.schema", "found.object_name", "found.object_type")
+        .select(*refs.columns, "schema", "object_name", "object_type")
     )

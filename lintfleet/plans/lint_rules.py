@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lintfleet import constants as C
 from lintfleet.functions import scalars as S
-from lintfleet.operators.keyed import union_all
+from lintfleet.operators.keyed import lookup, union_all
 from lintfleet.plans import catalog_dims as K
 from lintfleet.plans import txstate as W
 from lintfleet.plans.lint_messages import MESSAGES
@@ -121,11 +121,9 @@ def adding_field_with_default(facts: DataFrame, cat: Catalog) -> DataFrame:
         F.coalesce(F.max("default_schema"), F.lit("")).alias("default_schema"),
         F.max("default_function").alias("default_function"),
     )
-    versions = K.versions(cat).select("db_id", "major_version")
-    known = (
-        per_column.join(versions, "db_id", "left")
-        .join(safe_functions(cat), ["db_id", "default_schema", "default_function"], "left")
-    )
+    # both are side tables of a database, whose statements may be a large part of the corpus
+    known = lookup(per_column, K.major_versions(cat), ["db_id"])
+    known = lookup(known, safe_functions(cat), ["db_id", "default_schema", "default_function"])
     modern = F.coalesce(F.col("major_version") >= 11, F.lit(False))
     safe = (F.col("default_kind") == "constant") | F.coalesce("is_safe", F.lit(False))
     message = (
@@ -149,8 +147,7 @@ def _() -> Column:
 def adding_not_null_field(facts: DataFrame, cat: Catalog) -> DataFrame:
     wanted = F.filter("commands", lambda c: c["subtype"] == "set_not_null")
     rows = facts.select("script_id", "pos", "db_id", F.inline(wanted)).select("script_id", "pos", "db_id", "ord")
-    versions = K.versions(cat).select("db_id", "major_version")
-    known = rows.join(versions, "db_id", "left").filter(F.coalesce(F.col("major_version") < 11, F.lit(True)))
+    known = lookup(rows, K.major_versions(cat), ["db_id"]).filter(F.coalesce(F.col("major_version") < 11, F.lit(True)))
     return known.select("script_id", "pos", "ord", _message("addingNotNullField").alias("message"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lintfleet.functions import scalars as S
 from lintfleet.operators.keyed import lookup, union_all
 from lintfleet.plans import catalog_dims as K
+from lintfleet.session import materialize
 from lintfleet.sources.catalog import Catalog
 from lintfleet.sources.globs import glob_to_regex
 
@@ -385,5 +386,8 @@ def unresolved(mentions: DataFrame, cat: Catalog, globs: list[str]) -> DataFrame
     tables = K.tables(cat).select("db_id", "schema", "name")
     path = search_path(K.schemas(cat), globs).select("db_id", "schema")
     on_path = tables.join(path, ["db_id", "schema"], "left_semi").withColumn("schema", F.lit(""))
-    known = tables.unionByName(on_path).distinct()
-    return mentions.join(known, ["db_id", "schema", "name"], "left_anti")
+    known = tables.unionByName(on_path)
+    # names are judged once; a name that very many statements mention is then spread by the lookup
+    keys = ["db_id", "schema", "name"]
+    missing = materialize(mentions.select(*keys).distinct().join(known, keys, "left_anti"), "missing")
+    return lookup(mentions, missing, keys, "left_semi")

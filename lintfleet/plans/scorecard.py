@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lintfleet import constants as C
 from lintfleet.functions import scalars as S
-from lintfleet.operators.keyed import union_all
+from lintfleet.operators.keyed import lookup, union_all
 from lintfleet.plans import audit_rules as D
 from lintfleet.plans import catalog_dims as K
 from lintfleet.sources.catalog import Catalog
@@ -262,7 +262,7 @@ def report(
     resolved = K.resolve_objects(found.filter(F.col("rule_code").isin(runnable)).join(installed, "db_id", "left_semi"), cat)
     name = F.concat_ws(".", "schema", "object_name")
     text = F.coalesce(F.replace(F.col("message"), F.lit("{object}"), name), F.concat(F.col("rule_code"), F.lit(" violated by "), name))
-    rows = resolved.join(F.broadcast(messages), "rule_code", "left").select("db_id", "rule_code", "schema", "object_name", "object_type", text.alias("message"))
+    rows = lookup(resolved, messages, ["rule_code"]).select("db_id", "rule_code", "schema", "object_name", "object_type", text.alias("message"))
     none = F.lit(None).cast("string")
     mismatch = [r for r in enabled if r in disabled_upstream]
     if mismatch:
