@@ -17,6 +17,7 @@ from lintfleet import constants as C
 from lintfleet.functions import scalars as S
 from lintfleet.operators.keyed import union_all
 from lintfleet.plans import catalog_dims as K
+from lintfleet.plans.audit_messages import DETAILS
 from lintfleet.session import materialize
 from lintfleet.sources.catalog import Catalog
 from lintfleet.sources.globs import globs_to_regex
@@ -60,6 +61,10 @@ def _finding(df: DataFrame, detail: Column, cache_key: Column, kind: str | Colum
     return df.select(*cols)
 
 
+def _detail(rule_name: str, *args: Column) -> Column:
+    return S.format_text(DETAILS[rule_name], *args)
+
+
 def _key(prefix: str, *parts: str | Column) -> Column:
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     return S.format_text(prefix + "_%s" * len(cols), *cols)
@@ -158,9 +163,8 @@ def unindexed_foreign_keys(cat: Catalog) -> DataFrame:
     owners = relations(cat, None, skip)
     owners = not_extension_owned(owners, cat).select("db_id", F.col("oid").alias("conrelid"), "nspname", "relname")
     fks = uncovered_foreign_keys(foreign_keys(cat), cat).join(owners, ["db_id", "conrelid"])
-    detail = S.format_text(
-        "Table `%s.%s` has a foreign key `%s` without a covering index. This can lead to suboptimal query performance.",
-        F.col("nspname"), F.col("relname"), F.col("conname"),
+    detail = _detail(
+        "unindexed_foreign_keys", F.col("nspname"), F.col("relname"), F.col("conname"),
     )
     return _finding(fks, detail, _key("unindexed_foreign_keys", "nspname", "relname", "conname"),
                     fkey_name=F.col("conname"), fkey_columns=F.col("fk_cols"))
@@ -182,9 +186,8 @@ def auth_rls_initplan(cat: Catalog) -> DataFrame:
     skip = [s for s in C.EXCLUDED_SCHEMAS if s != "realtime"]
     rows = table_policies(cat, None, skip).filter("relrowsecurity")
     rows = rows.filter(_unwrapped_call("qual") | _unwrapped_call("with_check"))
-    detail = S.format_text(
-        "Table `%s.%s` has a row level security policy `%s` that re-evaluates current_setting() or auth.<function>() for each row.",
-        F.col("nspname"), F.col("relname"), F.col("polname"),
+    detail = _detail(
+        "auth_rls_initplan", F.col("nspname"), F.col("relname"), F.col("polname"),
     )
     return _finding(rows, detail, _key("auth_rls_init_plan", "nspname", "relname", "polname"))
 
@@ -193,7 +196,7 @@ def auth_rls_initplan(cat: Catalog) -> DataFrame:
 def no_primary_key(cat: Catalog) -> DataFrame:
     keyed = cat["index"].filter("indisprimary").select("db_id", F.col("indrelid").alias("oid"))
     rows = not_extension_owned(relations(cat, ["r"]), cat).join(keyed, ["db_id", "oid"], "left_anti")
-    detail = S.format_text("Table `%s.%s` does not have a primary key", F.col("nspname"), F.col("relname"))
+    detail = _detail("no_primary_key", F.col("nspname"), F.col("relname"))
     return _finding(rows, detail, _key("no_primary_key", "nspname", "relname"))
 
 
@@ -207,8 +210,7 @@ def unused_index(cat: Catalog) -> DataFrame:
         .withColumnRenamed("schemaname", "nspname")
     )
     rows = not_extension_owned(rows, cat, "relid")
-    detail = S.format_text("Index `%s` on table `%s.%s` has not been used",
-                           F.col("indexrelname"), F.col("nspname"), F.col("relname"))
+    detail = _detail("unused_index", F.col("indexrelname"), F.col("nspname"), F.col("relname"))
     return _finding(rows, detail, _key("unused_index", "nspname", "relname", "indexrelname"))
 
 
@@ -263,9 +265,8 @@ def multiple_permissive_policies(cat: Catalog) -> DataFrame:
         .filter(F.coalesce("n_named", F.lit(0)) + F.coalesce("n_public", F.lit(0)) > 1)
         .withColumn("names", F.array_sort(F.concat(F.coalesce("named_names", empty), F.coalesce("public_names", empty))))
     )
-    detail = S.format_text(
-        "Table `%s.%s` has multiple permissive policies for role `%s` for action `%s`. Policies include `%s`",
-        F.col("nspname"), F.col("relname"), F.col("rolname"), F.col("cmd"), pg_array(F.col("names")),
+    detail = _detail(
+        "multiple_permissive_policies", F.col("nspname"), F.col("relname"), F.col("rolname"), F.col("cmd"), pg_array(F.col("names")),
     )
     return _finding(rows, detail, _key("multiple_permissive_policies", "nspname", "relname", "rolname", "cmd"))
 
@@ -282,8 +283,7 @@ def duplicate_index(cat: Catalog) -> DataFrame:
         .filter("n > 1")
     )
     names = pg_array(F.col("names"))
-    detail = S.format_text("Table `%s.%s` has identical indexes %s. Drop all except one of them",
-                           F.col("nspname"), F.col("relname"), names)
+    detail = _detail("duplicate_index", F.col("nspname"), F.col("relname"), names)
     kind = F.when(F.col("relkind") == "r", "table").otherwise("materialized view")
     return _finding(rows, detail, _key("duplicate_index", "nspname", "relname", names), kind, indexes=F.col("names"))
 
@@ -313,7 +313,7 @@ def table_bloat(cat: Catalog) -> DataFrame:
         .withColumn("waste", F.when(F.col("relpages") < F.col("otta"), 0.0).otherwise(F.col("bs") * (F.col("relpages") - F.col("otta"))))
     )
     rows = sized.filter((F.col("bloat") > C.BLOAT_FACTOR) & (F.col("waste") > C.BLOAT_WASTE_BYTES))
-    detail = S.format_text("Table `%s`.`%s` has excessive bloat", F.col("nspname"), F.col("relname"))
+    detail = _detail("table_bloat", F.col("nspname"), F.col("relname"))
     return _finding(rows, detail, _key("table_bloat", "nspname", "relname"))
 
 
@@ -348,8 +348,7 @@ def auth_users_exposed(cat: Catalog) -> DataFrame:
     rows = rows.join(exposed_schemas(cat), ["db_id", "nspname"], "left_semi")
     rows = rows.filter((F.col("relkind") == "m") | ~_is_invoker_view() | ~F.col("users_rls"))
     rows = rows.filter(F.col("relname") != "0002_auth_users_exposed")
-    detail = S.format_text(
-        'View/Materialized View "%s" in the public schema may expose `auth.users` data to anon or authenticated roles.',
+    detail = _detail("auth_users_exposed",
         F.col("relname"),
     )
     return _finding(rows, detail, _key("auth_users_exposed", "nspname", "relname"), "view", exposed_to=F.array("reader"))
@@ -363,8 +362,7 @@ def policy_exists_rls_disabled(cat: Catalog) -> DataFrame:
         cat["policy"].select("db_id", "polrelid", "polname").join(owners, ["db_id", "polrelid"])
         .groupBy("db_id", "nspname", "relname").agg(S.sorted_names(F.col("polname")).alias("names"))
     )
-    detail = S.format_text("Table `%s.%s` has RLS policies but RLS is not enabled on the table. Policies include %s.",
-                           F.col("nspname"), F.col("relname"), pg_array(F.col("names")))
+    detail = _detail("policy_exists_rls_disabled", F.col("nspname"), F.col("relname"), pg_array(F.col("names")))
     return _finding(rows, detail, _key("policy_exists_rls_disabled", "nspname", "relname"))
 
 
@@ -373,7 +371,7 @@ def rls_enabled_no_policy(cat: Catalog) -> DataFrame:
     policied = cat["policy"].select("db_id", F.col("polrelid").alias("oid"))
     rows = not_extension_owned(relations(cat, ["r"]).filter("relrowsecurity"), cat)
     rows = rows.join(policied, ["db_id", "oid"], "left_anti").select("db_id", "nspname", "relname").distinct()
-    detail = S.format_text("Table `%s.%s` has RLS enabled, but no policies exist", F.col("nspname"), F.col("relname"))
+    detail = _detail("rls_enabled_no_policy", F.col("nspname"), F.col("relname"))
     return _finding(rows, detail, _key("rls_enabled_no_policy", "nspname", "relname"))
 
 
@@ -388,7 +386,7 @@ def security_definer_view(cat: Catalog) -> DataFrame:
     recent = _version_text(cat).filter(F.col("major") >= F.lit("15"))
     rows = in_api(not_extension_owned(relations(cat, ["v"]), cat), cat).filter(~_is_invoker_view())
     rows = rows.join(recent, "db_id", "left_semi")
-    detail = S.format_text("View `%s.%s` is defined with the SECURITY DEFINER property", F.col("nspname"), F.col("relname"))
+    detail = _detail("security_definer_view", F.col("nspname"), F.col("relname"))
     return _finding(rows, detail, _key("security_definer_view", "nspname", "relname"), "view")
 
 
@@ -399,7 +397,7 @@ def function_search_path_mutable(cat: Catalog) -> DataFrame:
     pinned = F.exists(S.word_list(F.col("proconfig")), lambda c: c.like("search_path=%"))
     rows = not_extension_owned(cat["proc"].filter(~pinned).join(names, ["db_id", "pronamespace"]), cat)
     rows = rows.withColumn("relname", F.col("proname"))
-    detail = S.format_text("Function `%s.%s` has a role mutable search_path", F.col("nspname"), F.col("proname"))
+    detail = _detail("function_search_path_mutable", F.col("nspname"), F.col("proname"))
     key = _key("function_search_path_mutable", "nspname", "proname", F.md5("prosrc"))
     return _finding(rows, detail, key, "function")
 
@@ -407,7 +405,7 @@ def function_search_path_mutable(cat: Catalog) -> DataFrame:
 @rule("D13", "rls_disabled_in_public", "security", "ERROR", gated=True)
 def rls_disabled_in_public(cat: Catalog) -> DataFrame:
     rows = in_api(relations(cat, ["r"]).filter("not relrowsecurity"), cat)
-    detail = S.format_text("Table `%s.%s` is public, but RLS has not been enabled.", F.col("nspname"), F.col("relname"))
+    detail = _detail("rls_disabled_in_public", F.col("nspname"), F.col("relname"))
     return _finding(rows, detail, _key("rls_disabled_in_public", "nspname", "relname"))
 
 
@@ -416,7 +414,7 @@ def extension_in_public(cat: Catalog) -> DataFrame:
     public = cat["namespace"].filter(F.col("nspname") == "public").select("db_id", F.col("oid").alias("extnamespace"), "nspname")
     rows = cat["extension"].filter(F.col("extname") != "plpgsql").join(public, ["db_id", "extnamespace"])
     rows = rows.withColumn("relname", F.col("extname"))
-    detail = S.format_text("Extension `%s` is installed in the public schema. Move it to another schema.", F.col("extname"))
+    detail = _detail("extension_in_public", F.col("extname"))
     return _finding(rows, detail, _key("extension_in_public", "extname"), "extension")
 
 
@@ -428,9 +426,8 @@ USER_METADATA = ["%auth.jwt()%user_metadata%", "%current_setting(%request.jwt.cl
 def rls_references_user_metadata(cat: Catalog) -> DataFrame:
     hits = [F.coalesce(F.col(e).like(p), F.lit(False)) for e in ("qual", "with_check") for p in USER_METADATA]
     rows = table_policies(cat, None).filter(reduce(lambda a, b: a | b, hits))
-    detail = S.format_text(
-        "Table `%s.%s` has a row level security policy `%s` that references `user_metadata`. `user_metadata` is editable by end users and should never be used in a security context.",
-        F.col("nspname"), F.col("relname"), F.col("polname"),
+    detail = _detail(
+        "rls_references_user_metadata", F.col("nspname"), F.col("relname"), F.col("polname"),
     )
     return _finding(rows, detail, _key("rls_references_user_metadata", "nspname", "relname", "polname"))
 
@@ -441,13 +438,13 @@ def _api_relations(cat: Catalog, kind: str) -> DataFrame:
 
 @rule("D16", "materialized_view_in_api", "security", "WARN", gated=True)
 def materialized_view_in_api(cat: Catalog) -> DataFrame:
-    detail = S.format_text("Materialized view `%s.%s` is selectable by anon or authenticated roles", F.col("nspname"), F.col("relname"))
+    detail = _detail("materialized_view_in_api", F.col("nspname"), F.col("relname"))
     return _finding(_api_relations(cat, "m"), detail, _key("materialized_view_in_api", "nspname", "relname"), "materialized view")
 
 
 @rule("D17", "foreign_table_in_api", "security", "WARN", gated=True)
 def foreign_table_in_api(cat: Catalog) -> DataFrame:
-    detail = S.format_text("Foreign table `%s.%s` is accessible over APIs", F.col("nspname"), F.col("relname"))
+    detail = _detail("foreign_table_in_api", F.col("nspname"), F.col("relname"))
     return _finding(_api_relations(cat, "f"), detail, _key("foreign_table_in_api", "nspname", "relname"), "foreign table")
 
 
@@ -461,8 +458,7 @@ def unsupported_reg_types(cat: Catalog) -> DataFrame:
     owners = relations(cat, None, C.REG_EXCLUDED_SCHEMAS)
     owners = owners.select("db_id", F.col("oid").alias("attrelid"), "nspname", "relname")
     rows = cat["attribute"].join(reg, ["db_id", "atttypid"]).join(owners, ["db_id", "attrelid"])
-    detail = S.format_text("Table `%s.%s` has a column `%s` with unsupported reg* type `%s`.",
-                           F.col("nspname"), F.col("relname"), F.col("attname"), F.col("typname"))
+    detail = _detail("unsupported_reg_types", F.col("nspname"), F.col("relname"), F.col("attname"), F.col("typname"))
     return _finding(rows, detail, _key("unsupported_reg_types", "nspname", "relname", "attname"), column=F.col("attname"))
 
 
@@ -475,7 +471,7 @@ def insecure_queue_exposed_in_api(cat: Catalog) -> DataFrame:
         .join(api_readable(cat), ["db_id", "oid"], "left_semi")
         .join(served, "db_id", "left_semi")
     )
-    detail = S.format_text("Table `%s.%s` is public, but RLS has not been enabled.", F.col("nspname"), F.col("relname"))
+    detail = _detail("insecure_queue_exposed_in_api", F.col("nspname"), F.col("relname"))
     return _finding(rows, detail, _key("rls_disabled_in_public", "nspname", "relname"))
 
 
@@ -491,8 +487,7 @@ def fkey_to_auth_unique(cat: Catalog) -> DataFrame:
         .join(unique, ["db_id", "conindid"], "left_semi")
         .join(owners, ["db_id", "conrelid"])
     )
-    detail = S.format_text("Table `%s`.`%s` has a foreign key `%s` referencing an auth unique constraint",
-                           F.col("nspname"), F.col("relname"), F.col("conname"))
+    detail = _detail("fkey_to_auth_unique", F.col("nspname"), F.col("relname"), F.col("conname"))
     return _finding(rows, detail, _key("fkey_to_auth_unique", "nspname", "relname", "conname"),
                     F.lit(None).cast("string"), foreign_key=F.col("conname"))
 
@@ -507,9 +502,8 @@ def extension_versions_outdated(cat: Catalog) -> DataFrame:
         .withColumn("nspname", F.lit(None).cast("string"))
         .withColumn("relname", F.lit(None).cast("string"))
     )
-    detail = S.format_text(
-        "Extension `%s` is using version `%s` but version `%s` is available. Using outdated extension versions may expose the database to security vulnerabilities.",
-        F.col("name"), F.col("installed_version"), F.col("default_version"),
+    detail = _detail(
+        "extension_versions_outdated", F.col("name"), F.col("installed_version"), F.col("default_version"),
     )
     return _finding(rows, detail, _key("extension_versions_outdated", "name", "installed_version"),
                     F.lit(None).cast("string"), extension_name=F.col("name"),
@@ -530,9 +524,8 @@ def sensitive_columns_exposed(cat: Catalog) -> DataFrame:
         .groupBy("db_id", "nspname", "relname")
         .agg(F.array_sort(F.collect_set("attname")).alias("names"), F.array_sort(F.collect_set("pattern")).alias("patterns"))
     )
-    detail = S.format_text(
-        "Table `%s.%s` is exposed via API without RLS and contains potentially sensitive column(s): %s. This may lead to data exposure.",
-        F.col("nspname"), F.col("relname"), F.concat_ws(", ", "names"),
+    detail = _detail(
+        "sensitive_columns_exposed", F.col("nspname"), F.col("relname"), F.concat_ws(", ", "names"),
     )
     return _finding(rows, detail, _key("sensitive_columns_exposed", "nspname", "relname"),
                     sensitive_columns=F.col("names"), matched_patterns=F.col("patterns"))
@@ -578,9 +571,8 @@ def rls_policy_always_true(cat: Catalog) -> DataFrame:
         .when(F.col("open_using"), " (USING clause is always true)")
         .otherwise(" (WITH CHECK clause is always true)")
     )
-    detail = S.format_text(
-        "Table `%s.%s` has an RLS policy `%s` for `%s` that allows unrestricted access%s. This effectively bypasses row-level security for %s.",
-        F.col("nspname"), F.col("relname"), F.col("polname"), F.col("command"), clause, F.concat_ws(", ", role_names),
+    detail = _detail(
+        "rls_policy_always_true", F.col("nspname"), F.col("relname"), F.col("polname"), F.col("command"), clause, F.concat_ws(", ", role_names),
     )
     return _finding(
         rows, detail, _key("rls_policy_always_true", "nspname", "relname", "polname"),

@@ -17,9 +17,14 @@ from lintfleet.sources.catalog import Catalog
 SPAN = ["start_byte", "end_byte", "start_line", "end_line", "start_col", "end_col"]
 
 
-def lint_scripts(scripts: DataFrame, rules: list[str] | None = None, cat: Catalog | None = None, write_facts: bool = False) -> DataFrame:
-    """Findings with spans. `write_facts` puts the facts in a table first, which pays when several state rules
-    each read a few columns of them."""
+def lint_scripts(scripts: DataFrame, rules: list[str] | None = None, cat: Catalog | None = None, write_facts: bool | None = None) -> DataFrame:
+    """Findings with spans.
+
+    `write_facts` puts the facts in a table first, so that the texts are read once and each state chain reads a few
+    columns of it. By default that is done when any enabled rule needs more than its own statement.
+    """
+    if write_facts is None:
+        write_facts = any((r.needs or r.build) for r in L.RULES.values() if rules is None or r.name in rules)
     statements = split_statements(scripts, ["script_id"], "content")
     extracted = FX.extract(statements.withColumnRenamed("stmt_no", "pos"))
     if "db_id" in scripts.columns:
@@ -38,7 +43,7 @@ def check(
     rules: list[str] | None = None,
     cat: Catalog | None = None,
     syntax_errors: DataFrame | None = None,
-    write_facts: bool = False,
+    write_facts: bool | None = None,
 ) -> DataFrame:
     """Findings of a corpus after syntax errors are subsumed and comments applied, with one row per bad comment."""
     found = lint_scripts(scripts, rules, cat, write_facts)
@@ -49,4 +54,6 @@ def check(
         left = X.drop_contained_syntax_errors(syntax_errors.select(cols), found)
         found = found.unionByName(left.select(cols))
     # both are read by several branches; the tables hold findings and comments only, not the texts
-    return X.suppress(materialize(found, "findings"), materialize(X.comments(scripts), "comments"))
+    found, comments = materialize(found, "findings"), materialize(X.comments(scripts), "comments")
+    chunk = chunk_width(found, ["script_id"]) or chunk_width(comments, ["script_id"])
+    return X.suppress(found, comments, chunk)
