@@ -15,7 +15,7 @@ from lintfleet.fixtures import corpus
 from lintfleet.fixtures.catalog_queries import catalog
 from lintfleet.fixtures.relations import cte
 from lintfleet.fixtures.script_queries import statement_rows
-from lintfleet.operators.scan import chunk_width
+from lintfleet.operators.scan import Chunks, chunk_width
 from lintfleet.plans import audit_rules as D
 from lintfleet.plans import facts as FX
 from lintfleet.plans import lint_rules as L
@@ -29,7 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def facts(spark: SparkSession, sf: str) -> tuple[DataFrame, int | None]:
+def facts(spark: SparkSession, sf: str) -> tuple[DataFrame, Chunks | None]:
     """Facts of all statements, and how their scripts must be scanned."""
     rows = statement_rows(spark, sf)
     return FX.extract(rows), chunk_width(rows, ["script_id"])

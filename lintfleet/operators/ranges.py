@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintfleet.operators.scan import Running, running
+from lintfleet.operators.scan import Chunks, Running, running
 
 
 def covered(
@@ -25,7 +25,7 @@ def covered(
     offer_at: Column,
     offer_reach: Column,
     name: str,
-    chunk: int | None = None,
+    chunk: Chunks | int | None = None,
 ) -> DataFrame:
     """Adds `name` to `asks`: some offer of the same key has offer_at <= ask_at and offer_reach >= ask_reach."""
     payload = [c for c in asks.columns if c not in keys]

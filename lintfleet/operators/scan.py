@@ -1,7 +1,7 @@
 """Running aggregates over one key's ordered rows, safe for keys of any size.
 
 A plain window sorts all rows of a key in one task. That is the best plan while every key is small, and
-`chunk_width` finds out with one pre-aggregated count. When some key is too large, the key is cut into chunks
+`chunk_width` finds out with one pre-aggregated count. When some key is too large, that key is cut into chunks
 of positions: rows are aggregated within (key, chunk), one summary row per chunk is carried forward, and the
 carry is added back. A task then never holds more than one chunk of raw rows.
 """
@@ -18,16 +18,36 @@ from lintfleet.session import materialize
 
 ROWS_PER_TASK = 4_000_000
 CHUNK = 1 << 16
+NAMED_KEYS = 1000
 
 
-def chunk_width(df: DataFrame, keys: Sequence[str], limit: int = ROWS_PER_TASK) -> int | None:
-    """None while every key has at most `limit` rows, else the chunk width to scan with.
+@dataclass(frozen=True)
+class Chunks:
+    """How to cut keys: by `width` positions, and only the keys whose hash is in `hot` (all when None)."""
+
+    keys: tuple[str, ...]
+    width: int
+    hot: tuple[int, ...] | None
+
+    def column(self, position: Column) -> Column:
+        cut = F.floor(position / F.lit(self.width))
+        if self.hot is None:
+            return cut
+        return F.when(F.xxhash64(*self.keys).isin(list(self.hot)), cut).otherwise(F.lit(0).cast("bigint"))
 
-    Counts are combined before the shuffle, so the check itself does not suffer from a hot key. Keys that
-    refine the checked ones are covered by the same answer.
+
+def chunk_width(df: DataFrame, keys: Sequence[str], limit: int = ROWS_PER_TASK) -> Chunks | None:
+    """None while every key has at most `limit` rows, else how to cut the larger ones.
+
+    Counts are combined before the shuffle, so the check itself does not suffer from a hot key. At most NAMED_KEYS
+    hashes come to the driver; with more hot keys than that, every key is cut. Keys that refine the checked ones are
+    covered by the same answer, as long as the checked columns are still there.
     """
-    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()
-    return CHUNK if largest is not None and (largest[0] or 0) > limit else None
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    hot = [r[0] for r in counts.select(F.xxhash64(*keys)).limit(NAMED_KEYS + 1).collect()]
+    if not hot:
+        return None
+    return Chunks(tuple(keys), CHUNK, tuple(hot) if len(hot) <= NAMED_KEYS else None)
 
 
 @dataclass(frozen=True)
@@ -92,13 +112,13 @@ def running(
     *,
     before: bool = True,
     reverse: bool = False,
-    chunk: int | None = None,
+    chunk: Chunks | int | None = None,
 ) -> DataFrame:
     """Adds each running aggregate as a column.
 
     `order[0]` is numeric and decides the chunk; further order columns break ties. `before` leaves the
     current row out. `reverse` runs from the largest position down, so "last" is the next value.
-    `chunk` comes from `chunk_width`; None means one plain window per key.
+    `chunk` comes from `chunk_width`; None means one plain window per key. Keys are not null.
     """
     if chunk is None:
         directed = [F.col(c).desc() if reverse else F.col(c) for c in order]
@@ -111,7 +131,8 @@ def running(
     summary_order = F.struct(*[F.col(c) for c in order])
     end = -1 if before else 0
 
-    rows = df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(chunk)) * sign)
+    cut = Chunks((), chunk, None) if isinstance(chunk, int) else chunk
+    rows = df.withColumn("_chunk", cut.column(F.col(order[0])) * sign)
     for agg in aggs:
         rows = rows.withColumn(f"_in_{agg.name}", agg.value)
     group = [*keys, "_chunk"]
@@ -130,12 +151,9 @@ def running(
 
     chunks = rows.groupBy(*group).agg(*[summarise(a).alias(f"_su_{a.name}") for a in aggs])
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = chunks.select(
-        *[F.col(c).alias(f"_k_{c}") for c in group],
-        *[_carry(a, F.col(f"_su_{a.name}"), over_chunks).alias(f"_ca_{a.name}") for a in aggs],
-    )
-    match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in group]
-    joined = local.join(carry, match, "left")
+    carry = chunks.select(*group, *[_carry(a, F.col(f"_su_{a.name}"), over_chunks).alias(f"_ca_{a.name}") for a in aggs])
+    # the raw rows are already partitioned and sorted by the group, so only the summary moves
+    joined = local.join(carry, group, "left")
     keep = [F.col(c) for c in df.columns]
     return joined.select(
         *keep, *[_combine(a, F.col(f"_ca_{a.name}"), F.col(f"_lo_{a.name}")).alias(a.name) for a in aggs]
@@ -151,7 +169,7 @@ def seen_before(
     name: str,
     *,
     reverse: bool = False,
-    chunk: int | None = None,
+    chunk: Chunks | int | None = None,
 ) -> DataFrame:
     """Adds a flag: did an earlier row raise an event for the key this row asks about?
 

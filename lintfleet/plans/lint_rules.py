@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lintfleet import constants as C
 from lintfleet.functions import scalars as S
 from lintfleet.operators.keyed import lookup, union_all
+from lintfleet.operators.scan import Chunks
 from lintfleet.plans import catalog_dims as K
 from lintfleet.plans import txstate as W
 from lintfleet.plans.lint_messages import MESSAGES
@@ -410,8 +411,9 @@ def _() -> Column:
     return on_statement(W.is_dangerous_lock() & ~F.col("idle_in_transaction_timeout_set"), _message("requireIdleInTransactionTimeout"))
 
 
-def _separate_validation(facts: DataFrame, cat: Catalog | None = None, chunk: int | None = None) -> DataFrame:
-    rows = W.with_validated(W.with_segment(facts, chunk), chunk).filter("added_in_transaction")
+def _separate_validation(facts: DataFrame, cat: Catalog | None = None, chunk: Chunks | int | None = None) -> DataFrame:
+    slim = facts.select(*W.SLIM, "commands", "constraints")
+    rows = W.with_validated(W.with_segment(slim, chunk), chunk).filter("added_in_transaction")
     message = _message("requireSeparateConstraintValidation", F.col("constraint_name"))
     return rows.select("script_id", "pos", "ord", message.alias("message"))
 
@@ -460,7 +462,7 @@ def lint(
     facts: DataFrame,
     rules: list[str] | None = None,
     cat: Catalog | None = None,
-    chunk: int | None = None,
+    chunk: Chunks | int | None = None,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """Findings of the enabled rules: script_id, pos, ord, rule, message, severity, category, and `carry` columns.
@@ -478,7 +480,9 @@ def lint(
         members = [r for r in enabled if r.hits and r.needs and r.needs[0] in family]
         if members:
             needs = [n for n in family if any(r.needs[0] == n for r in members)]
-            parts.append(_hit_rows(W.with_state(facts, needs, chunk), members, carry))
+            arrays = ["constraints"] if family == ["created_in_file"] else []
+            slim = W.slim(facts, [*arrays, *carry])
+            parts.append(_hit_rows(W.with_state(slim, needs, chunk), members, carry))
     for r in enabled:
         if r.build is _separate_validation:
             built = r.build(facts, None, chunk)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet import constants as C
-from lintfleet.operators.scan import Running, running
+from lintfleet.operators.scan import Chunks, Running, running
 
 
 def emitted(findings: DataFrame, level: int = C.HINT, verbose: bool = False) -> DataFrame:
@@ -56,7 +56,7 @@ def _word(words: list[str]) -> Column:
     return F.get(F.array(*map(F.lit, words)), F.col("severity"))
 
 
-def code_quality(findings: DataFrame, level: int = C.HINT, verbose: bool = False, chunk: int | None = None) -> DataFrame:
+def code_quality(findings: DataFrame, level: int = C.HINT, verbose: bool = False, chunk: Chunks | int | None = None) -> DataFrame:
     """Q04: Code Quality rows. Fingerprints hash (code, check, path) and are rehashed with a counter when taken.
 
     In verbose mode only verbose findings are kept, as in the reference.

@@ -9,7 +9,7 @@ from lintfleet import constants as C
 from lintfleet.functions.arrays import add_starts, pin
 from lintfleet.operators.keyed import lookup
 from lintfleet.operators.ranges import covered
-from lintfleet.operators.scan import Running, running
+from lintfleet.operators.scan import Chunks, Running, running
 from lintfleet.plans.tokens import LINE_BREAK
 from lintfleet.registry import LINT_RULES
 
@@ -91,7 +91,7 @@ def file_suppressions(parsed: DataFrame) -> DataFrame:
     return rows.select("script_id", "line", "start_byte", "end_byte", "specifier", F.when(~F.col("leading"), MISPLACED).alias("error"))
 
 
-def range_suppressions(parsed: DataFrame, chunk: int | None = None) -> DataFrame:
+def range_suppressions(parsed: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """An END closes the latest open START of the same specifier; whatever stays single is an error row.
 
     Depth is the running sum of +1 and -1, lifted whenever a stray END would push it below zero. A START and its
@@ -115,7 +115,7 @@ def range_suppressions(parsed: DataFrame, chunk: int | None = None) -> DataFrame
     return rows.select("script_id", "specifier", "line", "start_byte", end.alias("end_byte"), "error")
 
 
-def line_suppressions(parsed: DataFrame, chunk: int | None = None) -> DataFrame:
+def line_suppressions(parsed: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Line comments with the line they aim at: the first following one that holds no line comment itself."""
     rows = valid(parsed, "line").select("script_id", "specifier", "line", "start_byte", "end_byte")
     rows = running(rows, ["script_id"], ["line"], [Running("_next", "last", F.col("line"))], reverse=True, chunk=chunk)
@@ -154,7 +154,7 @@ def by_file(findings: DataFrame, parsed: DataFrame) -> DataFrame:
     return joined.withColumn("file_suppressed", hit).drop("_named")
 
 
-def line_hits(findings: DataFrame, targets: DataFrame, chunk: int | None = None) -> DataFrame:
+def line_hits(findings: DataFrame, targets: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Spans whose lines hold the target of a matching line comment."""
     asks = _exploded(spans_of(findings), targets)
     found = covered(
@@ -164,7 +164,7 @@ def line_hits(findings: DataFrame, targets: DataFrame, chunk: int | None = None)
     return found.filter("_hit").select(*SPAN).distinct()
 
 
-def range_hits(findings: DataFrame, ranges: DataFrame, chunk: int | None = None) -> DataFrame:
+def range_hits(findings: DataFrame, ranges: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Spans that lie wholly inside a matching START/END range."""
     good = ranges.filter("error is null")
     asks = _exploded(spans_of(findings), good)
@@ -175,7 +175,7 @@ def range_hits(findings: DataFrame, ranges: DataFrame, chunk: int | None = None)
     return found.filter("_hit").select(*SPAN).distinct()
 
 
-def unused(findings: DataFrame, targets: DataFrame, chunk: int | None = None) -> DataFrame:
+def unused(findings: DataFrame, targets: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Line comments whose target line no matching finding touches, judged before anything is suppressed."""
     offers = _exploded(spans_of(findings), targets)
     found = covered(
@@ -205,7 +205,7 @@ def comment_errors(parsed: DataFrame, ranges: DataFrame) -> DataFrame:
     return bad.unionByName(misplaced).unionByName(unpaired)
 
 
-def drop_contained_syntax_errors(syntax: DataFrame, findings: DataFrame, chunk: int | None = None) -> DataFrame:
+def drop_contained_syntax_errors(syntax: DataFrame, findings: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """A syntax error goes when any finding lies inside its span."""
     found = covered(
         syntax, findings.select("script_id", "start_byte", "end_byte").distinct(), ["script_id"], ask_at=-F.col("start_byte"),
@@ -214,7 +214,7 @@ def drop_contained_syntax_errors(syntax: DataFrame, findings: DataFrame, chunk:
     return found.filter("not _subsumed").drop("_subsumed")
 
 
-def suppress(findings: DataFrame, parsed: DataFrame, chunk: int | None = None) -> DataFrame:
+def suppress(findings: DataFrame, parsed: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Findings no comment suppresses, plus one row per faulty or unused comment."""
     ranges, targets = range_suppressions(parsed, chunk), line_suppressions(parsed, chunk)
     hits = line_hits(findings, targets, chunk).unionByName(range_hits(findings, ranges, chunk))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintfleet.operators.scan import Running, running, seen_before
+from lintfleet.operators.scan import Chunks, Running, running, seen_before
 
 SCRIPT = ["script_id"]
 TIMEOUTS = {
@@ -35,7 +35,7 @@ def _timeout_event(setting: str) -> Column:
     )
 
 
-def with_segment(facts: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_segment(facts: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """W00 segment, W01-W03 timeout flags."""
     aggs = [Running("segment", "sum", is_reset().cast("int"))]
     aggs += [Running(name, "last", _timeout_event(setting)) for name, setting in TIMEOUTS.items()]
@@ -45,7 +45,7 @@ def with_segment(facts: DataFrame, chunk: int | None = None) -> DataFrame:
     return out
 
 
-def with_created(state: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_created(state: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Was the target relation created earlier in this transaction? Names ignore case."""
     schema = F.lower(schema_or_public())
 
@@ -59,21 +59,34 @@ def with_created(state: DataFrame, chunk: int | None = None) -> DataFrame:
     return seen_before(state, ["script_id", "segment"], "pos", key("rel_name"), created, "created_before", chunk=chunk)
 
 
-def takes_lock() -> Column:
+SLIM = ["script_id", "pos", "kind", "tx_kind", "set_name", "set_kind", "rel_schema", "rel_name", "idx_name", "object_type", "concurrent",
+        "vacuum_full"]
+
+
+def heavy_alter() -> Column:
+    return (F.col("kind") == "alter_table") & F.exists("commands", lambda c: c["subtype"] != "validate_constraint")
+
+
+def slim(facts: DataFrame, also: list[str]) -> DataFrame:
+    """The columns state and its rules read: what is shuffled, and written when scripts are scanned in chunks."""
+    return facts.select(*SLIM, heavy_alter().alias("heavy_alter"), *also)
+
+
+def takes_lock(state: DataFrame) -> Column:
     """ALTER TABLE on an existing table with any sub-command but VALIDATE CONSTRAINT."""
-    heavy = F.exists("commands", lambda c: c["subtype"] != "validate_constraint")
-    return (F.col("kind") == "alter_table") & heavy & ~F.col("created_before")
+    heavy = F.col("heavy_alter") if "heavy_alter" in state.columns else heavy_alter()
+    return heavy & ~F.col("created_before")
 
 
-def with_locks(state: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_locks(state: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """W05 takes_access_exclusive, W06 holding_access_exclusive."""
     event = F.when(is_reset(), False).when(F.col("takes_access_exclusive"), True)
-    out = state.withColumn("takes_access_exclusive", takes_lock())
+    out = state.withColumn("takes_access_exclusive", takes_lock(state))
     out = running(out, SCRIPT, ["pos"], [Running("holding_access_exclusive", "last", event)], chunk=chunk)
     return out.withColumn("holding_access_exclusive", F.coalesce("holding_access_exclusive", F.lit(False)))
 
 
-def with_locked_tables(state: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_locked_tables(state: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Does the target table already hold the lock in this transaction, and how many lock statements came before?"""
     key = F.struct(schema_or_public().alias("schema"), F.col("rel_name").alias("name"))
     event = F.when(F.col("takes_access_exclusive"), key)
@@ -82,7 +95,7 @@ def with_locked_tables(state: DataFrame, chunk: int | None = None) -> DataFrame:
     return running(out, ["script_id", "segment"], ["pos"], [Running("locks_before", "sum", lock)], chunk=chunk)
 
 
-def with_depth(facts: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_depth(facts: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Nesting depth, never below zero: running sum minus the lowest value it has reached."""
     tx = F.col("tx_kind")
     change = (
@@ -118,7 +131,7 @@ def not_valid_events(state: DataFrame) -> DataFrame:
     )
 
 
-def with_validated(state: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_validated(state: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """One row per VALIDATE CONSTRAINT or NOT VALID constraint; the flag says the validated one is from this transaction."""
 
     def key(name: Column) -> Column:
@@ -140,14 +153,14 @@ def with_validated(state: DataFrame, chunk: int | None = None) -> DataFrame:
 # ------------------------------------------------------------------ state of the whole file
 
 
-def with_neighbours(facts: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_neighbours(facts: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Whether the script has any other statement."""
     out = running(facts, SCRIPT, ["pos"], [Running("_before", "count", F.lit(1))], chunk=chunk)
     out = running(out, SCRIPT, ["pos"], [Running("_after", "count", F.lit(1))], reverse=True, chunk=chunk)
     return out.withColumn("has_other_statements", (F.col("_before") + F.col("_after")) > 0).drop("_before", "_after")
 
 
-def with_first_transaction(facts: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_first_transaction(facts: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """The first of BEGIN, START, COMMIT, ROLLBACK among the earlier statements."""
     event = F.when(F.col("tx_kind").isin("begin", "start", "commit", "rollback"), F.col("tx_kind"))
     return running(facts, SCRIPT, ["pos"], [Running("first_transaction", "first", event)], chunk=chunk)
@@ -157,7 +170,7 @@ def _table_name() -> Column:
     return F.struct(F.col("rel_name").alias("name"))
 
 
-def with_created_in_file(facts: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_created_in_file(facts: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Whether an earlier, or any, CREATE TABLE of the script makes a table of this name (schema ignored, exact case)."""
     event = F.when(F.col("kind") == "create_table", _table_name())
     out = seen_before(facts, SCRIPT, "pos", _table_name(), event, "created_earlier_in_file", chunk=chunk)
@@ -165,7 +178,7 @@ def with_created_in_file(facts: DataFrame, chunk: int | None = None) -> DataFram
     return out.withColumn("created_in_file", F.col("created_earlier_in_file") | F.col("_later")).drop("_later")
 
 
-def with_earlier_alter(facts: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_earlier_alter(facts: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     key = F.struct(schema_or_public().alias("schema"), F.col("rel_name").alias("name"))
     event = F.when(F.col("kind") == "alter_table", key)
     return seen_before(facts, SCRIPT, "pos", key, event, "altered_earlier_in_file", chunk=chunk)
@@ -183,7 +196,7 @@ STEPS = {
 }
 
 
-def with_state(facts: DataFrame, needs: list[str], chunk: int | None = None) -> DataFrame:
+def with_state(facts: DataFrame, needs: list[str], chunk: Chunks | int | None = None) -> DataFrame:
     """Adds the wanted parts of the state, and what they build on, each once."""
     done: set[str] = set()
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintfleet.operators.scan import Running, running
+from lintfleet.operators.scan import Chunks, Running, running
 
 # Quantiles at which a histogram is cut: half of what is left each time.
 QUANTILES = [0.5, 0.75, 0.875, 0.9375, 0.96875, 1.0]
 
 
-def span_timings(events: DataFrame, chunk: int | None = None) -> DataFrame:
+def span_timings(events: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """Per span the time inside it (busy), outside it (idle) and both, in microseconds.
 
     `events`: span_id, callsite, seq (order), at (timestamp), kind (enter or exit). The time since the span's last

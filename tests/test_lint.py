@@ -80,7 +80,7 @@ def test_state_is_the_same_when_scripts_are_cut(spark, monkeypatch):
     whole = W.with_state(facts, needs).select(names).orderBy("script_id", "pos").collect()
     monkeypatch.setattr(scan, "CHUNK", 16)
     chunk = scan.chunk_width(facts, ["script_id"], limit=10)
-    assert chunk == 16
+    assert chunk.width == 16 and len(chunk.hot) == 2
     assert W.with_state(facts, needs, chunk).select(names).orderBy("script_id", "pos").collect() == whole
     flat = W.with_validated(W.with_segment(facts)).select("pos", "added_in_transaction").orderBy("pos").collect()
     cut = W.with_validated(W.with_segment(facts, chunk), chunk).select("pos", "added_in_transaction").orderBy("pos").collect()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintfleet.operators import keyed
 from lintfleet.operators.ranges import covered
-from lintfleet.operators.scan import Running, chunk_width, running, seen_before
+from lintfleet.operators.scan import Chunks, Running, chunk_width, running, seen_before
 
 
 def rows_for(seed=1, keys=3, n=60):
@@ -69,6 +69,15 @@ def test_chunk_width_sees_the_largest_key(spark):
     assert chunk_width(df.filter("k > 9"), ["k"]) is None
 
 
+def test_only_hot_keys_are_cut(spark):
+    rows = rows_for(keys=2) + [(9, p, 1, False) for p in range(5)]
+    df = spark.createDataFrame(rows, "k int, pos int, v int, e boolean")
+    cut = chunk_width(df, ["k"], limit=10)
+    assert len(cut.hot) == 2
+    got = running(df, ["k"], ["pos"], [Running("s", "sum", F.col("v"))], chunk=Chunks(cut.keys, 16, cut.hot)).collect()
+    assert {(r.k, r.pos): r.s for r in got} == brute(rows, "sum", True, False)
+
+
 @pytest.mark.parametrize("chunk", [None, 20])
 def test_covered_equals_brute_force(spark, chunk):
     rnd = random.Random(4)
