@@ -13,6 +13,11 @@ SYSTEM_SCHEMAS = ["pg_catalog", "information_schema", "pg_toast"]
 FK_EXCLUDED_SCHEMAS = ["pg_catalog", "information_schema", "auth", "storage", "vault", "extensions"]
 REG_EXCLUDED_SCHEMAS = ["pg_catalog", "information_schema", "pgsodium"]
 
+# Roles the policy rule leaves out (LIKE patterns), and where migration tools keep their books.
+IGNORED_ROLES = ["pg_%", "supabase%admin"]
+MIGRATION_TABLES = ["_sqlx_migrations"]
+MIGRATION_SCHEMAS = ["supabase_migrations"]
+
 # Roles whose presence opens the gated rules, and the two that count as API readers.
 GATE_ROLES = ["anon", "authenticated", "service_role"]
 API_ROLES = ["anon", "authenticated"]

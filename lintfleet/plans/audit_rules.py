@@ -245,7 +245,7 @@ def multiple_permissive_policies(cat: Catalog) -> DataFrame:
     )
     roles = (
         cat["role"]
-        .filter(~F.col("rolname").like("pg_%") & ~F.col("rolname").like("supabase%admin") & ~F.col("rolbypassrls"))
+        .filter(~reduce(lambda a, b: a | b, [F.col("rolname").like(p) for p in C.IGNORED_ROLES]) & ~F.col("rolbypassrls"))
         .select("db_id", F.col("oid").alias("role_oid"), "rolname")
     )
     named = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintfleet import constants as C
 from lintfleet.functions import scalars as S
 from lintfleet.operators.keyed import lookup, union_all
 from lintfleet.plans import catalog_dims as K
@@ -157,7 +158,7 @@ def own_score() -> Column:
     kind, schema = F.col("kind"), F.col("schema")
     public = F.when(schema == "public", F.when(kind == "schema", -2).otherwise(2)).otherwise(0)
     migrations = has_text("name", "migrations") | has_text("table_name", "migrations") | has_text("schema", "migrations")
-    well_known = F.when(F.col("table_name") == "_sqlx_migrations", -10).otherwise(0) + F.when(schema == "supabase_migrations", -10).otherwise(0)
+    well_known = F.when(F.col("table_name").isin(C.MIGRATION_TABLES), -10).otherwise(0) + F.when(schema.isin(C.MIGRATION_SCHEMAS), -10).otherwise(0)
     invoked = F.when(F.col("is_invocation"), F.when(kind == "function", 30).otherwise(-10)).otherwise(F.when(kind == "function", -10).otherwise(0))
     qualified = F.when(
         F.col("qualifier").isNotNull() & kind.isin("table", "function"), F.when(F.col("qualifier") == schema, 25).otherwise(-10)
