@@ -38,8 +38,8 @@ FREQUENT = 64  # documents that make a token class 2
 COMMON = 1024  # ... class 3
 MAX_FREQUENT = 1_000_000  # most frequent tokens that are broadcast; the others count as rare
 BITMAP_BITS = 1 << 27
-FLUSH = 4_000_000  # tokens a task sorts at once
-KNOWN_WORDS = 500_000
+FLUSH = 1_000_000  # tokens a task sorts at once
+KNOWN_WORDS = 200_000
 PIVOTS = 2  # rounds in which a signature's members are compared with one of them
 BLOCK = 512  # members that meet as many others in one task
 COLUMNS = 4096  # tokens of them that are counted at once
@@ -245,8 +245,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # one pair at a time: sets can be long
+                a, b = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
