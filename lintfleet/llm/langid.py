@@ -140,7 +140,8 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), modulus))
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_n") <= sample)
+    for keys in (["lang", F.pmod("_h", F.lit(64))], ["lang"]):  # in two steps, so that no task ranks a whole language
+        ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))).filter(F.col("_n") <= sample)
     # the ids are bounded by sample x languages; the limit holds even where ids repeat
     picked = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     found = sorted(tuple(r) for r in picked.select("lang", "doc_id", "text").dropDuplicates(["lang", "doc_id"]).toLocalIterator())
