@@ -168,6 +168,7 @@ def _counting(buckets: int, words: int):
                 held, size = [], 0
         if size:
             yield flush()
+        _WORD_HASH.clear()  # other operators' tasks use this worker too
 
     return run
 
@@ -377,6 +378,7 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
                     signature += found
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signature, pa.int64()), pa.array(node, pa.binary()), pa.array(size, pa.int64())], names=["signature", "node", "n"])
+        _WORD_HASH.clear()
 
     with_id = source.filter("doc_id is not null")
     index = with_id.mapInArrow(index_of, "signature bigint, node binary, n bigint").distinct()

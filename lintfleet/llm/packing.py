@@ -28,7 +28,7 @@ from lintfleet.session import materialize
 LENGTH = 2048
 END = 0
 BLOCK = 100_000
-CACHED_WORDS = 700_000
+CACHED_WORDS = 350_000
 CACHED_CHARS = 48
 # the vocabulary's own cut of a chunk, for lower-case ASCII
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
