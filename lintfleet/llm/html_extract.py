@@ -72,6 +72,14 @@ def features(page: Page) -> tuple[list[list[int]], list[list[float]], list[int]]
     return on, values, side_like
 
 
+def unseen_elements(page: Page) -> list[bool]:
+    """True for elements that are never shown as text, and all below them."""
+    unseen = [False] * len(page.elements)
+    for i, e in enumerate(page.elements):
+        unseen[i] = e.tag in UNSEEN or (e.parent >= 0 and unseen[e.parent])
+    return unseen
+
+
 def marginals(page: Page, weights: np.ndarray, edges: np.ndarray) -> tuple[list[float], list]:
     """P(content) of each element, and for each child its joint probabilities with its parent.
 
@@ -84,7 +92,10 @@ def marginals(page: Page, weights: np.ndarray, edges: np.ndarray) -> tuple[list[
     below0, below1 = [1.0] * n, [1.0] * n  # product of the children's messages
     up0, up1 = [1.0] * n, [1.0] * n
     parents = [x.parent for x in page.elements]
+    unseen = unseen_elements(page)
     for i in range(n - 1, 0, -1):
+        if unseen[i]:  # scripts and the like say nothing about what holds them
+            continue
         a, b, k = below0[i], below1[i] * unary[i], 4 * side[i]
         m0, m1 = a * e[k] + b * e[k + 1], a * e[k + 2] + b * e[k + 3]
         m0, m1 = m0 / (m0 + m1), m1 / (m0 + m1)
@@ -95,9 +106,13 @@ def marginals(page: Page, weights: np.ndarray, edges: np.ndarray) -> tuple[list[
     content, joint = [0.0] * n, [None] * n
     down0, down1 = [1.0] * n, [1.0] * n  # what an element hears from above
     for i in range(n):
+        if unseen[i]:
+            continue
         a, b = below0[i] * down0[i], below1[i] * unary[i] * down1[i]
         content[i] = b / (a + b)
         for c in page.elements[i].children:
+            if unseen[c]:
+                continue
             # belief without the child's own message
             x, y = a / max(up0[c], 1e-300), b / max(up1[c], 1e-300)
             x, y = x / (x + y), y / (x + y)
@@ -122,6 +137,8 @@ def fit(pages: list[tuple[Page, list[int]]], steps: int = 60, rate: float = 0.5,
         for page, labels, (on, values, side) in prepared:
             content, joint = marginals(page, weights, edges)
             for i, label in enumerate(labels):
+                if i and joint[i] is None:
+                    continue
                 miss = label - content[i]
                 for f, v in zip(on[i], values[i], strict=True):
                     gw[f] += miss * v
@@ -138,7 +155,7 @@ def fit(pages: list[tuple[Page, list[int]]], steps: int = 60, rate: float = 0.5,
     return weights, edges
 
 
-def labelled_pages(number: int = 120, seed: int = 11) -> list[tuple[Page, list[int]]]:
+def labelled_pages(number: int = 150, seed: int = 11) -> list[tuple[Page, list[int]]]:
     """Pages of many layouts with known labels. Elements that hold main text carry the mark `data-main`, which is no feature."""
     rng = random.Random(seed)
 
@@ -186,6 +203,11 @@ def labelled_pages(number: int = 120, seed: int = 11) -> list[tuple[Page, list[i
         main = f"<{holder} data-main>{''.join(inner)}</{holder.split()[0]}>"
         if rng.random() < 0.3:
             main = f"<main data-main>{main}</main>"
+        if n % 5 == 0:  # nothing but the main text, without a frame
+            inner = [f"<p data-main>{words(rng.randint(1, 5))}</p>" for _ in range(rng.randint(1, 3))]
+            source = f"<{rng.choice(['article', 'main'])} data-main>{''.join(inner)}"
+            pages.append((read_page(source), [1] * (len(inner) + 2)))
+            continue
         before = [side(s) for s in ("notice", "header", "menu", "ad", "sidebar") if rng.random() < 0.6]
         after = [side(s) for s in ("comments", "related", "sidebar", "form", "ad", "footer") if rng.random() < 0.5]
         source = f"<html><head><title>{words(3)}</title></head><body data-main>{''.join(before)}{main}{''.join(after)}</body></html>"
@@ -209,9 +231,7 @@ def main_text(source: str, weights: np.ndarray, edges: np.ndarray, least: float
     """Decoded text of all content elements: white space inside a block is one space, blocks are joined by one space."""
     page = read_page(source)
     content, _ = marginals(page, weights, edges)
-    hidden = [False] * len(page.elements)
-    for i, e in enumerate(page.elements):
-        hidden[i] = e.tag in UNSEEN or (e.parent >= 0 and hidden[e.parent])
+    hidden = unseen_elements(page)
     kept = [" " if owner < 0 else text for owner, text in page.pieces if owner < 0 or (not hidden[owner] and content[owner] >= least)]
     return " ".join("".join(kept).split())
 
