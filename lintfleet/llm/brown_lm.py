@@ -33,7 +33,7 @@ KNOWN_BYTES = 64
 CLUSTERED = 600  # of these, words that are exchanged one by one
 CLASSES = 16
 EXCHANGES = 12  # rounds at most
-STARTS = 4
+STARTS = 8
 DISCOUNT = 0.5
 FLUSH = 600_000  # distinct words a task counts before it puts them out
 END = b" "  # no word holds a blank
