@@ -268,7 +268,7 @@ SCORE_SQL: dict[str, tuple[list[str], str]] = {
     "B011": ([], "select db_id, (select count(distinct relowner) from tab t where t.db_id = s.db_id and t.relnamespace = s.oid) > 1 v from spc s"),
     "B012": (["cat_index"], "select db_id, exists (select 1 from cat_index i where i.db_id = t.db_id and i.indrelid = t.oid and i.indisprimary and len(string_split(i.indkey, ' ')) > 4) v from tab t"),
     "S001": (["cat_default_acl"], "select db_id, not exists (select 1 from cat_default_acl a where a.db_id = s.db_id and a.defaclnamespace = s.oid) v from spc s"),
-    "S002": ([], "select db_id, regexp_matches(lower(nspname), '^(staging|stg|preprod|prod|sandbox|sbox)_|_(staging|stg|preprod|prod|sandbox|sbox)$') v from spc"),
+    "S002": ([], "select db_id, regexp_matches(lower(nspname), '^(staging|stg|preprod|prod|sandbox|sbox)|(staging|stg|preprod|prod|sandbox|sbox)$') v from spc"),
     "S003": (["cat_ns_acl"], "select db_id, exists (select 1 from cat_ns_acl a where a.db_id = s.db_id and a.nspoid = s.oid and a.grantee = '-' and a.privilege_type = 'CREATE') v from spc s"),
     "S004": (["cat_role"], "select s.db_id, coalesce(r.rolsuper or starts_with(r.rolname, 'pg_') or r.rolname = 'postgres', false) v from spc s left join cat_role r on r.db_id = s.db_id and r.oid = s.nspowner"),
     "S005": ([], "select t.db_id, t.relowner <> s.nspowner v from tab t join spc s on s.db_id = t.db_id and s.oid = t.relnamespace"),
@@ -314,7 +314,7 @@ _V = " union all ".join(
 ) + " union all " + " union all ".join(
     f"select '{i}', s.db_id, s.oid, 'schema', null, s.nspname from spc s where {cond}"
     for i, cond in [
-        ("S002", "regexp_matches(lower(nspname), '^(staging|stg|preprod|prod|sandbox|sbox)_|_(staging|stg|preprod|prod|sandbox|sbox)$')"),
+        ("S002", "regexp_matches(lower(nspname), '^(staging|stg|preprod|prod|sandbox|sbox)|(staging|stg|preprod|prod|sandbox|sbox)$')"),
         ("S003", "exists (select 1 from cat_ns_acl a where a.db_id = s.db_id and a.nspoid = s.oid and a.grantee = '-' and a.privilege_type = 'CREATE')"),
     ]
 )

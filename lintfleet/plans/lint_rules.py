@@ -112,16 +112,21 @@ def safe_functions(cat: Catalog) -> DataFrame:
 
 
 @catalog_rule("L02", "addingFieldWithDefault", True)
-def adding_field_with_default(facts: DataFrame, cat: Catalog) -> DataFrame:
+def adding_field_with_default(facts: DataFrame, cat: Catalog | None) -> DataFrame:
+    """Without a catalog the server counts as older than 11, where every default rewrites the table."""
     wanted = F.filter("constraints", lambda c: (c["context"] == "add_column") & c["contype"].isin("generated", "default"))
-    rows = facts.select("script_id", "pos", "db_id", F.inline(wanted))
+    keys = ["script_id", "pos"] if cat is None else ["script_id", "pos", "db_id"]
+    rows = facts.select(*keys, F.inline(wanted))
     # a generated column hides its default
-    per_column = rows.groupBy("script_id", "pos", "db_id", "ord").agg(
+    per_column = rows.groupBy(*keys, "ord").agg(
         F.bool_or(F.col("contype") == "generated").alias("generated"),
         F.max("default_kind").alias("default_kind"),
         F.coalesce(F.max("default_schema"), F.lit("")).alias("default_schema"),
         F.max("default_function").alias("default_function"),
     )
+    if cat is None:
+        message = F.when(F.col("generated"), _message("addingFieldWithDefault.generated")).otherwise(_message("addingFieldWithDefault"))
+        return per_column.select("script_id", "pos", "ord", message.alias("message"))
     # both are side tables of a database, whose statements may be a large part of the corpus
     known = lookup(per_column, K.major_versions(cat), ["db_id"])
     known = lookup(known, safe_functions(cat), ["db_id", "default_schema", "default_function"])
@@ -145,10 +150,13 @@ def _() -> Column:
 
 
 @catalog_rule("L04", "addingNotNullField", True)
-def adding_not_null_field(facts: DataFrame, cat: Catalog) -> DataFrame:
+def adding_not_null_field(facts: DataFrame, cat: Catalog | None) -> DataFrame:
+    """Without a catalog the server counts as older than 11, which scans the whole table."""
     wanted = F.filter("commands", lambda c: c["subtype"] == "set_not_null")
-    rows = facts.select("script_id", "pos", "db_id", F.inline(wanted)).select("script_id", "pos", "db_id", "ord")
-    known = lookup(rows, K.major_versions(cat), ["db_id"]).filter(F.coalesce(F.col("major_version") < 11, F.lit(True)))
+    keys = ["script_id", "pos"] if cat is None else ["script_id", "pos", "db_id"]
+    known = facts.select(*keys, F.inline(wanted)).select(*keys, "ord")
+    if cat is not None:
+        known = lookup(known, K.major_versions(cat), ["db_id"]).filter(F.coalesce(F.col("major_version") < 11, F.lit(True)))
     return known.select("script_id", "pos", "ord", _message("addingNotNullField").alias("message"))
 
 
@@ -467,7 +475,8 @@ def lint(
 ) -> DataFrame:
     """Findings of the enabled rules: script_id, pos, ord, rule, message, severity, category, and `carry` columns.
 
-    `rules` are rule names; None enables all. Catalog rules need `cat` and are skipped without it. When many state
+    `rules` are rule names; None enables all. Without `cat` the rules that ask
+    for a database's version take it as unknown. When many state
     rules are enabled, give `facts` as a written table: each state chain then reads only its own columns of it.
     """
     enabled = [r for r in RULES.values() if rules is None or r.name in rules]
@@ -486,7 +495,7 @@ def lint(
     for r in enabled:
         if r.build is _separate_validation:
             built = r.build(facts, None, chunk)
-        elif r.build and cat is not None:
+        elif r.build:
             built = r.build(facts, cat)
         else:
             continue

@@ -191,7 +191,7 @@ def _(cat: Catalog) -> DataFrame:
 @rule("S002", "schema_prefixed_or_suffixed_with_envt", "schema", 1, 1)
 def _(cat: Catalog) -> DataFrame:
     words = "|".join(C.ENVIRONMENT_WORDS)
-    return _objects(_schemas(cat), F.col("nspname").rlike(f"(?i)^(?:{words})_|_(?:{words})$"), C.PG_NAMESPACE, "nspoid")
+    return _objects(_schemas(cat), F.col("nspname").rlike(f"(?i)^(?:{words})|(?:{words})$"), C.PG_NAMESPACE, "nspoid")
 
 
 @rule("S003", "unsecured_public_schema", "schema", 1, 80)

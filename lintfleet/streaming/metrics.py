@@ -27,13 +27,19 @@ def span_timings(events: DataFrame, chunk: Chunks | int | None = None) -> DataFr
     )
 
 
-def histogram(timings: DataFrame, value: str = "total") -> DataFrame:
-    """Count, mean, deviation and quantiles per call site; sketches are merged, no site is sorted in one task."""
-    quantiles = F.percentile_approx(value, QUANTILES, 100_000)
-    return timings.groupBy("callsite").agg(
-        F.count("*").alias("samples"), F.round(F.avg(value), 3).alias("mean"), F.round(F.stddev_pop(value), 3).alias("stdev"),
-        *[quantiles.getItem(i).alias(f"q{i + 1}") for i in range(len(QUANTILES))],
-    )
+def histogram(timings: DataFrame, value: str = "total", chunk: Chunks | int | None = None) -> DataFrame:
+    """Count, mean, deviation and exact quantiles per call site.
+
+    Equal values are counted first; a quantile is the smallest value whose running count reaches its share. `chunk` cuts
+    call sites with very many different values.
+    """
+    counts = timings.filter(F.col(value).isNotNull()).groupBy("callsite", F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = running(counts, ["callsite"], ["_v"], [Running("_to", "sum", F.col("_n"))], before=False, chunk=chunk)
+    sums = timings.groupBy("callsite").agg(
+        F.count("*").alias("samples"), F.count(value).alias("_all"), F.round(F.avg(value), 3).alias("mean"), F.round(F.stddev_pop(value), 3).alias("stdev"))
+    reached = ranked.join(sums.select("callsite", "_all"), "callsite").groupBy("callsite").agg(
+        *[F.min(F.when(F.col("_to") >= F.ceil(F.col("_all") * q), F.col("_v"))).alias(f"q{i + 1}") for i, q in enumerate(QUANTILES)])
+    return sums.drop("_all").join(reached, "callsite", "left")
 
 
 def rate(events: DataFrame, window: Column, kind: str) -> DataFrame:

@@ -37,6 +37,9 @@ CASES = [
     ("alter table a validate constraint c; select 1;", {"runningStatementWhileHoldingAccessExclusive": 0}),
     ("alter table a add constraint c check (x) not valid; alter table A validate constraint C;", {"requireSeparateConstraintValidation": 1}),
     ("alter table a add constraint c check (x) not valid; commit; alter table a validate constraint c;", {"requireSeparateConstraintValidation": 0}),
+    ("alter table t add column a int default 0; alter table t add column b timestamptz default now();", {"addingFieldWithDefault": 2}),
+    ("alter table t add column a int generated always as (1) stored;", {"addingFieldWithDefault": 1}),
+    ("alter table t alter column a set not null;", {"addingNotNullField": 1}),
     ("begin; begin; commit; begin;", {"transactionNesting": 6}),
     ("commit; begin; begin;", {"transactionNesting": 3}),
     ("alter table t alter a type text, alter b type varchar, alter c type varchar(9), alter d type numeric, alter e type int;", {"changingColumnType": 2, "preferTextField": 1}),
