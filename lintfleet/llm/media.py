@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet.llm.common import ship
@@ -30,6 +30,7 @@ MOST_ERRORS = 0.10  # share of differing bits of an aligned pair
 LEAST_FRAMES = 20  # that must overlap
 LEAST_VOTES = 2  # equal integers at one offset
 OFFSETS = 3  # best offsets that are tried
+BUCKET = 16384  # classes of the index whose hits on one query class are counted together
 NOTES = 24  # of a rendered clip
 
 
@@ -116,12 +117,44 @@ def errors_at(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[first : first + frames] ^ b[first + offset : first + offset + frames]).sum()), 32 * frames
 
 
+def best_offsets(votes: pa.Table) -> pa.Table:
+    """The offset histograms of one query class and one bucket of the index: per other class the offsets with most votes."""
+    votes = votes.combine_chunks()
+    found = votes["found"].combine_chunks()
+    hits = found.flatten()
+    c = hits.field("c").to_numpy(zero_copy_only=False)
+    offset = hits.field("c_place").to_numpy() - np.repeat(votes["q_place"].to_numpy(), found.value_lengths().to_numpy())
+    other = c != votes["q"][0].as_py()
+    classes, place = np.unique(c[other], return_inverse=True)
+    low, span = offset.min(initial=0), np.ptp(offset) + 1
+    cell, n = np.unique(place * span + (offset[other] - low), return_counts=True)  # class and offset as one number
+    c, offset = classes[cell // span], cell % span + low
+    c, offset, n = (x[n >= LEAST_VOTES] for x in (c, offset, n))
+    order = np.lexsort((offset, np.abs(offset), -n, c))
+    c, offset = c[order], offset[order]
+    first = np.flatnonzero(np.diff(c, prepend=c[:1] - 1)) if len(c) else np.empty(0, "i8")
+    sizes = np.diff(first, append=len(c))
+    offsets = [offset[at : at + min(k, OFFSETS)].tolist() for at, k in zip(first.tolist(), sizes.tolist(), strict=True)]
+    id_type = votes.schema.field("q").type
+    return pa.table({"q": pa.repeat(votes["q"][0], len(first)), "c": pa.array(c[first], id_type), "offsets": pa.array(offsets, pa.list_(pa.int32()))})
+
+
+def best_alignment(a: bytes, b: bytes, offsets: list[int]) -> dict | None:
+    """Of the offsets at which enough frames overlap and few enough bits differ, the one with the smallest share of them."""
+    tried = [(o, *errors_at(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), o)) for o in offsets]
+    alike = [(errors / bits, -bits, o, errors) for o, errors, bits in tried if bits >= 32 * LEAST_FRAMES and errors <= MOST_ERRORS * bits]
+    if not alike:
+        return None
+    _, less, offset, errors = min(alike)
+    return {"offset": offset, "errors": errors, "bits": -less}
+
+
 def align_clips(clips: DataFrame, every: int = 20, id_col: str = "clip_id", audio_col: str = "audio") -> DataFrame:
     """Which clips a query clip sounds like. Queries are all clips whose id is divisible by `every`, searched among all clips.
 
     Clips with equal fingerprints are one class, named by its smallest id. One row per query clip and matching class, its own
     class always among them: query_id, class_id (of the query), match_class, n_clips (in that class), frame_offset,
-    bit_errors, bits. A clip without fingerprint is a class by itself and matches nothing else. Null ids are left out;
+    bit_errors, bits. A clip without fingerprint is a class by itself and matches nothing else. Ids are integers; null ids are left out;
     repeated rows count in n_clips and give repeated query rows. Other columns are not read.
     """
     prints = materialize(fingerprints(clips.filter(F.col(id_col).isNotNull()), id_col, audio_col), "fingerprints")
@@ -131,30 +164,29 @@ def align_clips(clips: DataFrame, every: int = 20, id_col: str = "clip_id", audi
     classes = materialize(classes, "classes")
     asked = classes.filter("asked = 1")
 
-    # (place, integer) of each frame: the index holds every clip
+    # (place, integer) of each frame: the index holds every clip, in buckets of a bounded number of classes
     def frames(df: DataFrame, side: str) -> DataFrame:
         places = F.sequence(F.lit(0), F.length("codes").cast("int") - 1, F.lit(4))
         coded = F.transform(places, lambda p: F.struct((p / 4).cast("int").alias("place"), F.substring("codes", p + 1, F.lit(4)).alias("code")))
         return df.select(F.col("class_id").alias(side), F.explode(coded).alias("f")).select(side, F.col("f.place").alias(f"{side}_place"), "f.code")
 
-    votes = frames(asked, "q").join(frames(classes, "c"), "code").filter("q <> c")
-    votes = votes.groupBy("q", "c", (F.col("c_place") - F.col("q_place")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = Window.partitionBy("q", "c").orderBy(F.desc("votes"), F.abs("offset"), "offset")
-    tried = votes.filter(F.col("votes") >= LEAST_VOTES).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= OFFSETS)
+    buckets = -(-classes.count() // BUCKET)
+    bucket = F.pmod(F.xxhash64("c"), F.lit(max(1, buckets))).cast("int")
+    index = frames(classes, "c").groupBy("code", bucket.alias("bucket")).agg(F.collect_list(F.struct("c", "c_place")).alias("found"))
+    id_type = classes.schema["class_id"].dataType.simpleString()
+    votes = frames(asked, "q").join(index, "code").select("q", "bucket", "q_place", "found")
+    tried = votes.groupBy("q", "bucket").applyInArrow(best_offsets, f"q {id_type}, c {id_type}, offsets array<int>")
     tried = tried.join(asked.select(F.col("class_id").alias("q"), F.col("codes").alias("_a")), "q")
     tried = tried.join(classes.select(F.col("class_id").alias("c"), F.col("codes").alias("_b"), "n_clips"), "c")
 
     def compare(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b, offset in batches:
-            both = [errors_at(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o) for x, y, o in zip(a.to_pylist(), b.to_pylist(), offset.to_pylist(), strict=True)]
-            yield pa.StructArray.from_arrays([pa.array([e for e, _ in both], pa.int64()), pa.array([n for _, n in both], pa.int64())], ["errors", "bits"])
-
-    compared = tried.withColumn("_r", F.arrow_udf(compare, "errors bigint, bits bigint")("_a", "_b", F.col("offset").cast("int")))
-    alike = compared.filter((F.col("_r.bits") >= 32 * LEAST_FRAMES) & (F.col("_r.errors") <= MOST_ERRORS * F.col("_r.bits")))
-    least = F.min(F.struct((F.col("_r.errors") / F.col("_r.bits")).alias("rate"), (-F.col("_r.bits")).alias("less"), "offset", F.col("_r.errors").alias("errors"), F.col("_r.bits").alias("bits")))
-    matches = alike.groupBy("q", "c", "n_clips").agg(least.alias("m"))
-    matches = matches.select(F.col("q").alias("class_id"), F.col("c").alias("match_class"), "n_clips", F.col("m.offset").cast("int").alias("frame_offset"),
-                             F.col("m.errors").alias("bit_errors"), F.col("m.bits").alias("bits"))
+        shape = pa.struct([("offset", pa.int32()), ("errors", pa.int64()), ("bits", pa.int64())])
+        for batch in batches:
+            yield pa.array([best_alignment(*row) for row in zip(*(x.to_pylist() for x in batch), strict=True)], shape)
+
+    compared = tried.withColumn("m", F.arrow_udf(compare, "offset int, errors bigint, bits bigint")("_a", "_b", "offsets"))
+    matches = compared.filter("m is not null").select(F.col("q").alias("class_id"), F.col("c").alias("match_class"), "n_clips", F.col("m.offset").alias("frame_offset"),
+                                                      F.col("m.errors").alias("bit_errors"), F.col("m.bits").alias("bits"))
     itself = asked.select("class_id", F.col("class_id").alias("match_class"), "n_clips", F.lit(0).alias("frame_offset"), F.lit(0).cast("long").alias("bit_errors"),
                           (8 * F.length("codes")).cast("long").alias("bits"))
     queries = prints.filter(F.pmod("clip_id", F.lit(every)) == 0)

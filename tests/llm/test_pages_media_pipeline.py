@@ -4,8 +4,10 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -129,3 +131,28 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in ran.collect()} == {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in kept.collect()}
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language_id" and zlib.crc32(b"") == 0
     assert packing.LENGTH == 2048 and decontaminate.WINDOW == 10
+
+
+def test_best_offsets_against_counting(spark):
+    rng = random.Random(5)
+    rows = [(place, [(rng.randrange(6), rng.randrange(12)) for _ in range(rng.randrange(1, 30))]) for place in range(12)]
+    kind = pa.list_(pa.struct([("c", pa.int64()), ("c_place", pa.int32())]))
+    votes = pa.table({
+        "q": pa.array([2] * len(rows)), "bucket": pa.array([0] * len(rows), pa.int32()), "q_place": pa.array([p for p, _ in rows], pa.int32()),
+        "found": pa.array([[{"c": c, "c_place": at} for c, at in hits] for _, hits in rows], kind)})
+    count = Counter((c, at - place) for place, hits in rows for c, at in hits if c != 2)
+    want = {}
+    for c, offset in sorted(count, key=lambda x: (-count[x], abs(x[1]), x[1])):
+        if count[c, offset] >= media.LEAST_VOTES:
+            want.setdefault(c, []).append(offset)
+    got = {r["c"]: r["offsets"] for r in media.best_offsets(votes).to_pylist()}
+    assert got == {c: offsets[: media.OFFSETS] for c, offsets in want.items()}
+    alone = votes.slice(0, 1).set_column(3, "found", pa.array([[{"c": 2, "c_place": 0}]], kind))
+    assert media.best_offsets(alone).num_rows == 0
+
+
+def test_clips_without_rows_or_sound(spark):
+    shape = "clip_id int, audio binary, codes string, offset string"
+    assert media.align_clips(spark.createDataFrame([], shape)).count() == 0
+    odd = spark.createDataFrame([(None, None, "x", "x"), (20, None, "x", "x"), (40, b"", "x", "x"), (41, b"", "x", "x")], shape)
+    assert sorted((r.query_id, r.class_id, r.match_class) for r in media.align_clips(odd).collect()) == [(20, 20, 20), (40, 40, 40)]
