@@ -126,7 +126,7 @@ def best_offsets(votes: pa.Table) -> pa.Table:
     offset = hits.field("c_place").to_numpy() - np.repeat(votes["q_place"].to_numpy(), found.value_lengths().to_numpy())
     other = c != votes["q"][0].as_py()
     classes, place = np.unique(c[other], return_inverse=True)
-    low, span = offset.min(initial=0), np.ptp(offset) + 1
+    low, span = offset.min(), np.ptp(offset) + 1
     cell, n = np.unique(place * span + (offset[other] - low), return_counts=True)  # class and offset as one number
     c, offset = classes[cell // span], cell % span + low
     c, offset, n = (x[n >= LEAST_VOTES] for x in (c, offset, n))

@@ -147,6 +147,10 @@ def test_best_offsets_against_counting(spark):
             want.setdefault(c, []).append(offset)
     got = {r["c"]: r["offsets"] for r in media.best_offsets(votes).to_pylist()}
     assert got == {c: offsets[: media.OFFSETS] for c, offsets in want.items()}
+    late = [(place, [(c, at + 500) for c, at in hits]) for place, hits in rows]
+    shifted = votes.set_column(3, "found", pa.array([[{"c": c, "c_place": at} for c, at in hits] for _, hits in late], kind))
+    count = Counter((c, at - place) for place, hits in late for c, at in hits if c != 2)
+    assert {(r["c"], o) for r in media.best_offsets(shifted).to_pylist() for o in r["offsets"]} <= {k for k, n in count.items() if n >= media.LEAST_VOTES}
     alone = votes.slice(0, 1).set_column(3, "found", pa.array([[{"c": 2, "c_place": 0}]], kind))
     assert media.best_offsets(alone).num_rows == 0
 
