@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,8 +19,28 @@ ITEM_WORDS = bytes(_FOLD[c] if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122
 # Python also splits bytes at nothing but blanks and 0x09-0x0D, which both tables map to a blank
 
 
+BATCH_ROWS = 1000  # documents can be long, so Arrow batches hold few of them
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch, which takes memory of the executor and of its Python worker alike."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def take_worker(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """At the start of a task: drops what tasks of other operators keep in this Python worker. `clear` drops what this one will keep."""
+    for other in [x for x in _HELD if x != owner]:
+        _HELD.pop(other)()
+    if clear:
+        _HELD[owner] = clear
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session, where they don't find it by PYTHONPATH or working folder."""
+    bound_batches(spark)
     root, context = Path(__file__).resolve().parents[2], spark.sparkContext
     reached = [Path(p or ".").resolve() for p in [".", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
     if root in reached or getattr(context, "_lintfleet_sent", False):

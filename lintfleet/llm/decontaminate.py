@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintfleet.llm.common import ITEM_WORDS, utf8
+from lintfleet.llm.common import ITEM_WORDS, bound_batches, take_worker, utf8
 
 WINDOW = 10
 SLICE_BYTES = 32_000_000  # of item texts that one broadcast holds
@@ -88,6 +88,7 @@ def _search(spark: SparkSession, items: list[tuple[str, str]], window: int):
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        take_worker("decontamination")
         tables = searchers(held.value, window)
         for batch in batches:
             counts, spans, found = [], [], []
@@ -133,6 +134,7 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
     are refused, since the benchmark is then no small table.
     """
     listed = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).dropna()
+    bound_batches(docs.sparkSession)
     slices = _slices(listed, slice_bytes)
     parts = [f"_slice{i}" for i in range(len(slices))]
     rows = docs.drop(into).select("*", *[_search(docs.sparkSession, s, window)(F.col(text_col)).alias(p) for s, p in zip(slices, parts, strict=True)])

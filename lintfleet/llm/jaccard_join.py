@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintfleet.llm.common import SPACE_WORDS, texts_of, utf8
+from lintfleet.llm.common import SPACE_WORDS, bound_batches, take_worker, texts_of, utf8
 from lintfleet.llm.components import components
 from lintfleet.session import materialize
 
@@ -140,6 +140,7 @@ def _counting(buckets: int, words: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1) - 32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("ngram_jaccard_join")
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -356,6 +357,7 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     Other columns are not read. percent is 50 to 99.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    bound_batches(source.sparkSession)
     buckets = 1 << max(6, (8 * source.rdd.getNumPartitions() - 1).bit_length())
     buckets = min(buckets, 1 << 24)
     id_type = source.schema["doc_id"].dataType.simpleString()

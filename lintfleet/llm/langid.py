@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintfleet.llm.common import held_out, texts_of, utf8
+from lintfleet.llm.common import bound_batches, held_out, take_worker, texts_of, utf8
 
 WINDOW = 128
 WIDTHS = (2, 4, 6)
@@ -170,10 +170,12 @@ def identify(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", pre
     docs = docs.drop(*out)
     if model is None:
         return docs.select("*", F.lit(UNKNOWN).alias(out[0]), F.lit(0.0).alias(out[1]))
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     tables: list = []
 
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        take_worker("language_id")
         if not tables:
             tables.append(held.value.pairs())
         names = np.array(held.value.languages, object)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from lintfleet.llm.common import texts_of
+from lintfleet.llm.common import bound_batches, take_worker, texts_of
 from lintfleet.session import materialize
 
 LENGTH = 2048
@@ -83,6 +83,7 @@ def tokenize(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int =
     Each document's ids end with `end`; only what is longer than `length` is cut. A null or empty text is the end id
     alone. Null ids and repeated rows give rows like any other; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([
         T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
@@ -91,6 +92,7 @@ def tokenize(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int =
     tail, width = np.array([end], "<u4").tobytes(), 4 * length
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("packing", _CACHES.clear)
         cache = chunk_ids(vocabulary)
         for batch, texts in texts_of(batches):
             rows, piece, ids = [], [], []

@@ -306,3 +306,14 @@ def test_toxicity_held_out(spark, docs_of, odd_rows):
 def test_set_key_is_stable():
     assert jaccard_join.set_key(jaccard_join.shingles("a b c d e")) == jaccard_join.set_key(jaccard_join.shingles("A  b\tc D e"))
     assert hashlib.blake2b(b"").digest_size == 64
+
+
+def test_worker_drops_what_other_operators_hold():
+    from lintfleet.llm.common import take_worker
+
+    held = {"a": 1}
+    take_worker("one", held.clear)
+    take_worker("one", held.clear)
+    assert held
+    take_worker("two")
+    assert not held
