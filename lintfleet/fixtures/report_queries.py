@@ -220,14 +220,17 @@ with feed as ({table_sql(FEED)}) select doc_id, version, op, content from (selec
 
 
 def _incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """All scripts arrive twice; the second time some have one more statement."""
+    """All scripts arrive twice, some longer the second time; then some are closed, emptied, sent again or come late."""
     first = scripts(spark, sf).select(F.col("script_id").alias("doc_id"), F.lit(1).alias("version"), F.lit("open").alias("op"), "content")
     more = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("\nDROP TABLE extra;\n"))).otherwise(F.col("content"))
     second = first.select("doc_id", F.lit(2).alias("version"), F.lit("change").alias("op"), more.alias("content"))
+    closed = second.filter("doc_id % 7 = 1").select("doc_id", F.lit(3).alias("version"), F.lit("close").alias("op"), F.lit("").alias("content"))
+    emptied = second.filter("doc_id % 7 = 2").select("doc_id", F.lit(3).alias("version"), "op", F.lit("").alias("content"))
+    late = first.filter("doc_id % 4 = 0").select("doc_id", F.lit(0).alias("version"), "op", F.lit("DROP TABLE late;").alias("content"))
     path, root = new_path(spark, "feed"), new_path(spark, "incremental")
     linter = MD.IncrementalLint(spark, root, XQ.NAMES)
-    for part in (first, second):
-        part.coalesce(8).write.mode("append").parquet(path)
+    for part in (first, second, closed.unionByName(emptied).unionByName(late), second.filter("doc_id % 5 = 0")):
+        part.write.mode("append").parquet(path)
     stream = MD.read_stream(spark, path, "*.parquet", max_files=16)
     MD.run(stream, "incremental", linter.process)
     return linter.findings()
@@ -235,8 +238,9 @@ def _incremental(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["M04_incremental_lint"] = _incremental
 SQL["M04_incremental_lint"] = XQ.sql(
-    """select script_id doc_id, 2 version, stmt_no, ord, rule, message from fnd
-union all select script_id, 2, cast(count(*) + 1 as int), 0, 'banDropTable', 'Dropping a table may break existing clients.' from stmt where script_id % 3 = 0 group by script_id"""
+    """select * from (select script_id doc_id, 2 version, stmt_no, ord, rule, message from fnd
+union all select script_id, 2, cast(count(*) + 1 as int), 0, 'banDropTable', 'Dropping a table may break existing clients.' from stmt where script_id % 3 = 0 group by script_id) x
+where doc_id % 7 not in (1, 2)"""
 )
 
 

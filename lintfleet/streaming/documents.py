@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,7 +34,9 @@ def latest_versions(feed: DataFrame) -> DataFrame:
 
     Works on a stream (the state per document is one row) and on a table.
     """
-    newest = F.max_by(F.struct("op", "content", "version"), "version").alias("d")
+    # equal versions: the change that arrived last, then a fixed order, so that the result does not depend on the plan
+    order = [c for c in ("version", "at", "op", "content") if c in feed.columns]
+    newest = F.max_by(F.struct("op", "content", "version"), F.struct(*order)).alias("d")
     return feed.groupBy("doc_id").agg(newest).select("doc_id", "d.version", "d.op", "d.content")
 
 
@@ -77,50 +79,63 @@ def collected(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 class IncrementalLint:
     """Lints changed documents only, and each distinct statement text only once.
 
-    Findings of statement-level rules depend on the text alone, so they are kept under the text's hash. A batch
-    analyses the texts not seen before and joins all its statements with what is known about their hashes.
+    Findings of statement-level rules depend on the text alone, so they are kept under the text's hash, in folders by
+    the first digits of the hash. A batch analyses the texts not seen before and joins its statements with what is
+    known; it reads only the folders its own hashes fall into.
+
+    Every change leaves a row in `versions`, closes and empty texts included. The newest version over all batches
+    decides which findings count, so closed and emptied documents have none, late versions change nothing, and of a
+    version delivered again the last delivery counts.
     """
 
-    def __init__(self, spark: SparkSession, root: str, rules: list[str]):
-        self.spark, self.root, self.rules = spark, root, rules
+    def __init__(self, spark: SparkSession, root: str, rules: list[str], digits: int = 1):
+        """`digits` of the hash name a folder: more of them for a long history with small batches."""
+        self.spark, self.root, self.rules, self.digits = spark, root, rules, digits
         stateful = [r.name for r in L.RULES.values() if r.name in rules and (r.needs or r.build)]
         if stateful:
             raise ValueError(f"rules that need other statements cannot be cached: {stateful}")
 
-    CACHE = "stmt_key string, ord int, rule string, message string"
-    SEEN = "stmt_key string"
+    KNOWN = "stmt_key string, found array<struct<ord:int,rule:string,message:string>>"
+
+    def _slot(self) -> Column:
+        return F.substring("stmt_key", 1, self.digits).alias("slot")
+
+    def _write(self, df: DataFrame, name: str, batch_id: int, *by: str) -> DataFrame:
+        path = f"{self.root}/{name}/{BATCH}={batch_id}"
+        df.write.mode("overwrite").partitionBy(*by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    def _table(self, name: str, schema: str, before: int) -> DataFrame:
-        """Rows written by earlier batches."""
+    def _known(self, before: int, slots: list[str]) -> DataFrame:
+        """What earlier batches found out about texts, of these folders only."""
         try:
-            rows = self.spark.read.schema(f"{schema}, {BATCH} int").parquet(f"{self.root}/{name}")
+            rows = self.spark.read.schema(f"{self.KNOWN}, {BATCH} int, slot string").parquet(f"{self.root}/known")
         except Exception as missing:  # the folder does not exist before the first batch
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return self.spark.createDataFrame([], schema)
-        return rows.filter(F.col(BATCH) < before).drop(BATCH)
+            return self.spark.createDataFrame([], self.KNOWN)
+        return rows.filter((F.col(BATCH) < before) & F.col("slot").isin(slots)).select("stmt_key", "found")
 
     def process(self, changes: DataFrame, batch_id: int) -> None:
-        spark_changes = changes.filter(F.col("op") != "close")
-        newest = latest_versions(spark_changes).select("doc_id", "version", "content")
-        statements = split_statements(newest, ["doc_id", "version"], "content").withColumn("stmt_key", statement_key(F.col("text")))
-        statements.write.mode("overwrite").parquet(f"{self.root}/statements/{BATCH}={batch_id}")
-        statements = self.spark.read.parquet(f"{self.root}/statements/{BATCH}={batch_id}")
+        newest = self._write(latest_versions(changes), "changes", batch_id)
+        self._write(newest.select("doc_id", "version", "op"), "versions", batch_id)
+        still_open = newest.filter(F.col("op") != "close").select("doc_id", "version", "content")
+        statements = split_statements(still_open, ["doc_id", "version"], "content").withColumn("stmt_key", statement_key(F.col("text")))
+        statements = self._write(statements, "statements", batch_id)
 
+        slots = [r.slot for r in statements.select(self._slot()).distinct().collect()]  # at most 16 ** digits
         texts = statements.groupBy("stmt_key").agg(F.first("text").alias("text"))
-        fresh = texts.join(self._table("seen", self.SEEN, batch_id), "stmt_key", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{self.root}/fresh/{BATCH}={batch_id}")
-        fresh = self.spark.read.parquet(f"{self.root}/fresh/{BATCH}={batch_id}")
+        fresh = self._write(texts.join(self._known(batch_id, slots), "stmt_key", "left_anti"), "fresh", batch_id)
         keyed = fresh.select(F.col("stmt_key").alias("script_id"), F.lit(1).alias("pos"), "text")
-        found = L.lint(FX.extract(keyed), self.rules).select(F.col("script_id").alias("stmt_key"), "ord", "rule", "message")
-        found.write.mode("overwrite").parquet(f"{self.root}/cache/{BATCH}={batch_id}")
-        fresh.select("stmt_key").write.mode("overwrite").parquet(f"{self.root}/seen/{BATCH}={batch_id}")
+        hits = L.lint(FX.extract(keyed), self.rules).groupBy(F.col("script_id").alias("stmt_key"))
+        hits = hits.agg(F.sort_array(F.collect_list(F.struct("ord", "rule", "message"))).alias("found"))
+        found = fresh.select("stmt_key").join(hits, "stmt_key", "left").select("stmt_key", "found", self._slot())
+        self._write(found, "known", batch_id, "slot")
 
-        known = self._table("cache", self.CACHE, batch_id + 1)
-        hits = statements.join(known, "stmt_key").select("doc_id", "version", "stmt_no", "ord", "rule", "message")
-        hits.write.mode("overwrite").parquet(f"{self.root}/findings/{BATCH}={batch_id}")
+        found = statements.join(self._known(batch_id + 1, slots), "stmt_key").select("doc_id", "version", "stmt_no", F.inline("found"))
+        self._write(found, "findings", batch_id)
 
     def findings(self) -> DataFrame:
-        """Findings of each document's newest linted version."""
-        newest = self.spark.read.parquet(f"{self.root}/statements").groupBy("doc_id").agg(F.max("version").alias("version"))
-        return self.spark.read.parquet(f"{self.root}/findings").drop(BATCH).join(newest, ["doc_id", "version"], "left_semi")
+        """Findings of each document's newest version."""
+        versions = self.spark.read.parquet(f"{self.root}/versions")
+        last = versions.groupBy("doc_id").agg(F.max(F.struct("version", BATCH)).alias("d")).select("doc_id", "d.*")
+        return self.spark.read.parquet(f"{self.root}/findings").join(last, ["doc_id", "version", BATCH], "left_semi").drop(BATCH)

@@ -207,6 +207,26 @@ def test_incremental_lint_replays_a_batch(spark, tmp_path):
         MD.IncrementalLint(spark, str(tmp_path), ["lockTimeoutWarning"])
 
 
+def test_incremental_lint_of_closed_emptied_repeated_and_late_versions(spark, tmp_path):
+    linter = MD.IncrementalLint(spark, str(tmp_path), ["banDropTable"])
+    schema = "doc_id int, version int, op string, content string"
+    batches = [
+        [(d, 1, "open", "drop table a;") for d in (1, 2, 3, 4, 5)],
+        [(1, 2, "close", ""), (2, 2, "change", ""), (3, 1, "open", "drop table a;"), (4, 0, "open", "select 1; drop table b;")],
+        [(1, 1, "open", "drop table a;"), (5, 2, "close", None), (5, 3, "open", "drop table c; drop table a;")],
+    ]
+    for batch_id, rows in enumerate(batches):
+        linter.process(spark.createDataFrame(rows, schema), batch_id)
+    got = sorted((r.doc_id, r.version, r.stmt_no) for r in linter.findings().collect())
+    assert got == [(3, 1, 1), (4, 1, 1), (5, 3, 1), (5, 3, 2)]
+
+
+def test_latest_of_equal_versions_is_the_one_that_arrived_last(spark):
+    rows = [(1, 1, 2, "change", "b"), (1, 1, 1, "change", "z"), (2, 1, 1, "open", "x"), (2, 1, 1, "open", "y")]
+    df = spark.createDataFrame(rows, "doc_id int, version int, at int, op string, content string")
+    assert {r.doc_id: r.content for r in MD.latest_versions(df).collect()} == {1: "b", 2: "y"}
+
+
 def test_function_check_query_has_all_severities(spark):
     from lintfleet.fixtures.selection_queries import QUERIES
 
