@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet.functions.arrays import pin
-from lintfleet.plans.tokens import BLOCK_COMMENT, IDENT_PART, IDENT_START, LINE_COMMENT, QUOTED_IDENT, STRING, TAG_PART
+from lintfleet.plans.tokens import BLOCK_COMMENT, IDENT_PART, IDENT_START, LINE_COMMENT, QUOTED_IDENT, STRING, TAG_PART, nested
 
 QUOTED = r'"(?:[^"]|"")*+"'
 NAME = rf"(?:{QUOTED}|{IDENT_START}{IDENT_PART}*+)"
 REL = rf"(?:({NAME}) ?\. ?)?({NAME})"
 _TAG2 = rf"\$((?:{IDENT_START}{TAG_PART}*+)?)\$[\s\S]*?(?:\$\2\$|\z)"
 _KEEP = rf"({STRING}|{QUOTED_IDENT}|{_TAG2})"
+_COMMENTS = rf"{_KEEP}|{LINE_COMMENT}|{BLOCK_COMMENT}"
 MARK = "\u0001"
 
 # SQL type names and the catalog name a parser gives them.
@@ -52,13 +53,13 @@ def ident(text: Column) -> Column:
 
 
 def without_comments(text: Column) -> Column:
-    kept = F.regexp_replace(text, rf"{_KEEP}|{LINE_COMMENT}|{BLOCK_COMMENT}", "$1 ")
+    kept = F.regexp_replace(text, nested(_COMMENTS, text), F.lit("$1 "))
     return F.regexp_replace(F.trim(F.regexp_replace(kept, rf"({QUOTED})\s*+|\s+", "$1 ")), r"[\s;]+$", "")
 
 
 def masked(text: Column) -> Column:
     """Statement text with comments gone, literals emptied to '' and white space single."""
-    plain = F.regexp_replace(text, rf"{_KEEP}|{LINE_COMMENT}|{BLOCK_COMMENT}", "$1 ")
+    plain = F.regexp_replace(text, nested(_COMMENTS, text), F.lit("$1 "))
     marked = F.regexp_replace(plain, rf"({QUOTED})|{STRING}|{_TAG2}", f"$1{MARK}")
     emptied = F.regexp_replace(F.regexp_replace(marked, f'"{MARK}', '"'), MARK, "''")
     spaced = F.regexp_replace(emptied, rf"({QUOTED})\s*+|\s+", "$1 ")
@@ -86,6 +87,19 @@ def split_top_level(text: Column) -> Column:
     return F.when(text.contains(","), folded).otherwise(F.array(F.trim(text)))
 
 
+def first_brackets(text: Column) -> Column:
+    """What stands between the bracket a text begins with and the one that closes it; all the rest if none does."""
+    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit(False).alias("closed"))
+
+    def step(acc: Column, p: Column) -> Column:
+        depth = acc["depth"] + (p == "(").cast("int") - (p == ")").cast("int")
+        inside = ~acc["closed"] & (depth > 0) & (acc["depth"] > 0)
+        return F.struct(depth.alias("depth"), F.when(inside, F.concat(acc["out"], p)).otherwise(acc["out"]).alias("out"),
+                        (acc["closed"] | (depth == 0)).alias("closed"))
+
+    return F.aggregate(_pieces(text), zero, step, lambda a: a["out"])
+
+
 def outside_brackets(text: Column) -> Column:
     zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
 
@@ -96,7 +110,13 @@ def outside_brackets(text: Column) -> Column:
     return F.when(text.contains("("), F.aggregate(_pieces(text), zero, step, lambda a: a["out"])).otherwise(text)
 
 
-_TABLE_HEAD = rf"^ALTER TABLE (?:IF EXISTS )?(?:ONLY )?{REL}(?: ?\*)? "
+# relations that the same command serves; of a sequence only these sub-commands do
+_ALTERED = "TABLE|FOREIGN TABLE|MATERIALIZED VIEW|VIEW|INDEX"
+_SEQUENCE = rf"SEQUENCE(?= (?:IF EXISTS )?(?:{NAME} ?\. ?)?{NAME} (?:OWNER TO|SET LOGGED|SET UNLOGGED)\b)"
+_TABLE_HEAD = rf"^ALTER (?:{_ALTERED}|{_SEQUENCE}) (?:IF EXISTS )?(?:ONLY )?{REL}(?: ?\*)? "
+# a WITH list without what its brackets hold, see `outside_brackets`
+_QUERY_NAME = rf"{NAME} ?(?:\( ?)?AS (?:(?:NOT )?MATERIALIZED )?\( ?"
+_WITH_LIST = rf"^WITH (?:RECURSIVE )?{_QUERY_NAME}(?:, ?{_QUERY_NAME})*(?=(?:DELETE|UPDATE)\b)"
 _CREATE_TABLE = rf"^CREATE (?:(?:GLOBAL |LOCAL )?(?:TEMP |TEMPORARY )|UNLOGGED )?TABLE (IF NOT EXISTS )?{REL} ?"
 _CTAS = _CREATE_TABLE + r"(?:\([^()]*+\) ?)?(?:USING \w+ ?)?(?:WITH \([^()]*+\) ?|WITHOUT OIDS ?)?(?:ON COMMIT [A-Z ]+?)?(?:TABLESPACE \w+ ?)?AS\b"
 _MATVIEW = rf"^CREATE MATERIALIZED VIEW (IF NOT EXISTS )?{REL}"
@@ -146,8 +166,11 @@ def _first_match(text: Column, table: list[tuple[str, str]], default: Column) ->
 
 def statement_facts(statements: DataFrame, text: str = "text") -> DataFrame:
     """one row per statement with its kind, target relation and flags."""
-    m = F.col("masked")
     df = pin(statements, masked=masked(F.col(text)))
+    # DELETE and UPDATE after a WITH list are judged from their first word on
+    after_with = F.regexp_replace(outside_brackets(F.col("masked")), f"(?is){_WITH_LIST}", "")
+    df = pin(df, _main=F.when(like(F.col("masked"), r"^WITH\b.*\b(?:DELETE|UPDATE)\b") & ~like(after_with, r"^WITH\b"), after_with).otherwise(F.col("masked")))
+    m = F.col("_main")
     tx = _first_match(m, _TX, F.lit(None).cast("string"))
     df = pin(df, tx_kind=F.when(like(m, r"^(?:BEGIN|START|COMMIT|END|ROLLBACK|ABORT|SAVEPOINT|RELEASE)\b"), tx))
     kind = F.when(F.col("tx_kind").isNotNull(), "transaction").otherwise(_first_match(m, _KINDS, F.lit("other")))
@@ -172,6 +195,9 @@ def statement_facts(statements: DataFrame, text: str = "text") -> DataFrame:
         return ident(out.otherwise(F.lit("")))
 
     object_type = F.when(k == "drop", F.lower(pick(m, _DROP))).when(
+        # null for plain tables
+        k == "alter_table", F.nullif(F.lower(pick(m, rf"^ALTER ({_ALTERED}|SEQUENCE)\b")), F.lit("table"))
+    ).when(
         k == "rename",
         F.when(like(m, _RENAME + r"TO\b"), F.lower(pick(m, r"^ALTER (MATERIALIZED VIEW|FOREIGN TABLE|\w+)")))
         .when(like(m, _RENAME + r"CONSTRAINT\b"), "constraint")
@@ -215,7 +241,7 @@ def statement_facts(statements: DataFrame, text: str = "text") -> DataFrame:
         F.when(k == "vacuum", full).otherwise(False).alias("vacuum_full"),
         F.when(k == "alter_enum", like(m, r" ADD VALUE\b")).otherwise(False).alias("adds_value"),
         F.when(k == "create_enum", dotted(pick(m, rf"^CREATE TYPE ((?:{NAME} ?\. ?)?{NAME})"))).alias("type_name"),
-    )
+    ).drop("_main")
 
 
 def dotted(qualified: Column) -> Column:
@@ -294,14 +320,15 @@ def _column_fact(context: str, ord: Column, name: Column, rest: Column) -> Colum
     )
 
 
-_TABLE_BODY = _CREATE_TABLE + r"\((.*)\)"
+_TABLE_BODY = _CREATE_TABLE + r"(\(.*)$"
 _ELEMENT_CONSTRAINT = rf"^(?:{_CONSTRAINT_HEAD}|LIKE\b)"
 
 
 def add_elements(facts: DataFrame) -> DataFrame:
     """`elements`: the top-level parts of a CREATE TABLE body."""
     empty = F.array().cast("array<string>")
-    return pin(facts, elements=F.when(F.col("kind") == "create_table", split_top_level(pick(F.col("masked"), _TABLE_BODY, 4))).otherwise(empty))
+    body = split_top_level(first_brackets(pick(F.col("masked"), _TABLE_BODY, 4)))
+    return pin(facts, elements=F.when(F.col("kind") == "create_table", body).otherwise(empty))
 
 
 def add_columns(facts: DataFrame) -> DataFrame:

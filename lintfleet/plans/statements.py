@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet.functions.arrays import elements, pin
-from lintfleet.plans.tokens import BLOCK_COMMENT, CODE, LINE_COMMENT, NEWLINE, SPACE
+from lintfleet.plans.tokens import BLOCK_COMMENT, CODE, LINE_COMMENT, NEWLINE, SPACE, nested
 
 TRIVIA = rf"(?:{SPACE}|{NEWLINE}++|{LINE_COMMENT}|{BLOCK_COMMENT})*+"
 SIGNIFICANT = rf"\G{TRIVIA}(?:{CODE})"
 AFTER_TRIVIA = rf"^{TRIVIA}([\s\S]*)$"
+COMMENT = rf"{LINE_COMMENT}|{BLOCK_COMMENT}"
 
 # Keywords that begin a statement, and the words that make such a keyword part of another one.
 STARTS = ["WITH", "SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER"]
@@ -59,7 +60,7 @@ def _describe(p: Column) -> Column:
         .when(word.isin(WORDS), word)
         .otherwise("")
     )
-    no_comments = F.regexp_replace(lead, rf"{LINE_COMMENT}|{BLOCK_COMMENT}", " ")
+    no_comments = F.regexp_replace(lead, F.col("_comment"), F.lit(" "))
     broken = lead.contains("\n") | lead.contains("\r")
     return F.struct(
         F.octet_length(p["raw"]).cast("bigint").alias("size"),
@@ -256,13 +257,15 @@ def _fold(df: DataFrame) -> DataFrame:
 
 
 def _spans(df: DataFrame, ids: list[str], content: str) -> DataFrame:
-    raw = F.regexp_extract_all(F.col(content), F.lit(SIGNIFICANT), F.lit(0))
-    out = pin(df.select(*ids, content), _raw=raw).drop(content)
+    patterns = {"_significant": SIGNIFICANT, "_after": AFTER_TRIVIA, "_comment": COMMENT}
+    out = pin(df.select(*ids, content), **{name: nested(p, F.col(content)) for name, p in patterns.items()})
+    raw = F.regexp_extract_all(F.col(content), F.col("_significant"), F.lit(0))
+    out = pin(out, _raw=raw).drop(content)
     core = F.transform(
         "_raw",
         lambda m: F.struct(
             m.alias("raw"),
-            F.when(F.ascii(m).isin(9, 10, 11, 12, 13, 32, 45, 47), F.regexp_extract(m, AFTER_TRIVIA, 1)).otherwise(m).alias("core"),
+            F.when(F.ascii(m).isin(9, 10, 11, 12, 13, 32, 45, 47), F.call_function("regexp_extract", m, F.col("_after"), F.lit(1))).otherwise(m).alias("core"),
         ),
     )
     out = pin(out, _parts=core)

@@ -16,20 +16,38 @@ from lintfleet.functions.arrays import add_starts, pin
 IDENT_START = r"[A-Za-z_\x{80}-\x{FF}]"
 IDENT_PART = r"[A-Za-z0-9_$\x{80}-\x{FF}]"
 TAG_PART = r"[A-Za-z0-9_\x{80}-\x{FF}]"
-COMMENT_DEPTH = 8
 
 
-def _block_comment(depth: int = COMMENT_DEPTH) -> str:
-    """Block comments nest; a regular expression covers them down to a fixed depth."""
-    plain = r"[^*/]++|\*(?!/)|/(?!\*)"
-    inner = rf"/\*(?:{plain})*+(?:\*/|\z)"
-    for _ in range(depth):
-        inner = rf"/\*(?:{plain}|{inner})*+(?:\*/|\z)"
-    return inner
+# Block comments nest and a regular expression does not count, so patterns are written for the depth that a text needs.
+_PLAIN = r"[^*/]++|\*(?!/)|/(?!\*)"
+_OPEN, _CLOSE, _FLAT = rf"/\*(?:{_PLAIN}|", r")*+(?:\*/|\z)", rf"/\*(?:{_PLAIN})*+(?:\*/|\z)"
+BLOCK_COMMENT = "<block comment>"  # its place in patterns that go through `nested`
+
+
+def comment_depth(text: Column) -> Column:
+    """No block comment of the text nests deeper: the highest count of open ones, wherever `/*` and `*/` stand.
+
+    Where a `*` may belong to either mark, the opening one is counted.
+    """
+    marks = F.regexp_extract_all(text, F.lit(r"/\*|\*/(?!\*)"), F.lit(0))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, mark: Column) -> Column:
+        now = F.when(mark == "/*", a["now"] + 1).otherwise(F.greatest(a["now"] - 1, F.lit(0)))
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.when(text.rlike(r"/\*[\s\S]*?/\*"), F.aggregate(marks, zero, step, lambda a: a["most"])).otherwise(1)
+
+
+def nested(pattern: str, text: Column) -> Column:
+    """A pattern with `BLOCK_COMMENT` in it, for the depth of this text. Texts of one depth share one compiled pattern."""
+    inner = F.greatest(comment_depth(text) - 1, F.lit(0))
+    comment = F.concat(F.repeat(F.lit(_OPEN), inner), F.lit(_FLAT), F.repeat(F.lit(_CLOSE), inner))
+    before, *rest = pattern.split(BLOCK_COMMENT)
+    return F.concat(F.lit(before), *[x for part in rest for x in (comment, F.lit(part))])
 
 
 LINE_COMMENT = r"--[^\n]*+"
-BLOCK_COMMENT = _block_comment()
 NEWLINE = r"(?>\r\n|\n|\r)"
 STRING = r"(?:[uU]&|[eEbBxX])?'(?:[^']++|'')*+(?:'|\z)"
 QUOTED_IDENT = r'(?:[uU]&)?"(?:[^"]++|"")*+(?:"|\z)'
@@ -79,7 +97,7 @@ def kind_of(token: Column) -> Column:
 
 def tokens(df: DataFrame, ids: list[str], content: str) -> DataFrame:
     """One row per token: ids, ord (from 1), token, kind, start_byte, end_byte. Tokens tile the text."""
-    out = df.select(*ids, F.regexp_extract_all(F.col(content), F.lit(TOKEN), F.lit(0)).alias("_tokens"))
+    out = df.select(*ids, F.regexp_extract_all(F.col(content), nested(TOKEN, F.col(content)), F.lit(0)).alias("_tokens"))
     out = pin(out, _sizes=F.transform("_tokens", lambda t: F.octet_length(t).cast("bigint")))
     out = add_starts(out, "_sizes", "_starts")
     rows = out.select(*ids, F.posexplode(F.arrays_zip("_tokens", "_starts")).alias("_pos", "_t"))
@@ -101,7 +119,7 @@ def token_statistics(df: DataFrame, content: str) -> DataFrame:
 
     Only the token text is needed, so offsets are not computed, and counts are added up before the shuffle.
     """
-    rows = df.select(F.explode(F.regexp_extract_all(F.col(content), F.lit(TOKEN), F.lit(0))).alias("token"))
+    rows = df.select(F.explode(F.regexp_extract_all(F.col(content), nested(TOKEN, F.col(content)), F.lit(0))).alias("token"))
     rows = rows.select(kind_of(F.col("token")).alias("kind"), F.octet_length("token").alias("size"),
                        F.lower("token").alias("word"))
     rows = rows.withColumn("word", F.when(F.col("kind") == "word", F.col("word")))

@@ -154,3 +154,16 @@ def test_distinct_statements(spark):
     got = {r.text: (r.occurrences, r.scripts) for r in ST.distinct_statements(df).collect()}
     assert got == {"a": (3, 2), "b": (1, 1)}
     assert FX.split_top_level(F.lit("a")) is not None
+
+
+def test_comments_nest_to_any_depth(spark):
+    depths = [*range(1, 41), 200]
+    rows = [(d, f"select {d}; {'/* a ' * d}{' b */' * d} select 1;\n/**/-- /*\nselect 'it''s /*';") for d in depths]
+    rows += [(0, "select 1; /* " * 3 + "*/ open"), (-1, "select 1; /*/ a */ select 2; /***/ select 3 */*/* b */ 2 */ 1;")]
+    df = spark.createDataFrame(rows, "script_id int, content string")
+    kinds = TK.tokens(df, ["script_id"], "content").filter("kind = 'comment'").groupBy("script_id").agg(F.sort_array(F.collect_list("token"))).collect()
+    got = {r[0]: r[1] for r in kinds}
+    assert all(got[d] == sorted([f"{'/* a ' * d}{' b */' * d}", "/**/", "-- /*"]) for d in depths)
+    assert got[0] == [rows[-2][1][10:]] and got[-1] == ["/***/", "/*/ a */", "/*/* b */ 2 */"]
+    counts = ST.split_statements(df, ["script_id"], "content").groupBy("script_id").count().collect()
+    assert all(r["count"] == 3 for r in counts if r.script_id > 0)
