@@ -104,11 +104,20 @@ def _syntax(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES["X02_syntax_error_subsumption"] = lambda spark, sf: X.drop_contained_syntax_errors(_syntax(spark, sf), findings(spark, sf)).select(*_SYNTAX)
-SQL["X02_syntax_error_subsumption"] = sql(
-    """select script_id, start_byte, end_byte from spans s where not exists
-  (select 1 from fnd f where f.script_id = s.script_id and f.start_byte >= s.start_byte and f.end_byte <= s.end_byte)"""
-)
+def _database(spark: SparkSession, sf: str) -> DataFrame:
+    """Some statements as if the database had reported them; a third of these a little wider than the statement."""
+    return split(spark, sf).filter("stmt_no % 3 = 0").select(
+        "script_id", F.lit("database/check").alias("category"), F.lit(C.HINT).alias("severity"), F.lit("Reported").alias("message"),
+        "start_byte", (F.col("end_byte") + F.when(F.col("stmt_no") % 9 == 0, 1).otherwise(0)).alias("end_byte"), "start_line", "end_line",
+    )
+
+
+_DATABASE = f"""
+, dbf as (select script_id, 'database/check' category, {C.HINT} severity, 'Reported' message, start_byte,
+  end_byte + case when stmt_no % 9 = 0 then 1 else 0 end end_byte, start_line, end_line from spans where stmt_no % 3 = 0)"""
+_INSIDE = "exists (select 1 from dbf f where f.script_id = s.script_id and f.start_byte >= s.start_byte and f.end_byte <= s.end_byte)"
+QUERIES["X02_syntax_error_subsumption"] = lambda spark, sf: X.drop_contained_syntax_errors(_syntax(spark, sf), _database(spark, sf)).select(*_SYNTAX)
+SQL["X02_syntax_error_subsumption"] = sql(f"{_DATABASE} select script_id, start_byte, end_byte from spans s where not {_INSIDE}")
 _FILE_HIT = f"exists (select 1 from ok k where k.script_id = f.script_id and k.kind = 'file' and k.is_leading and {MATCH.format(s='k.spec')})"
 QUERIES["X03_file_suppression"] = lambda spark, sf: X.by_file(findings(spark, sf), parsed(spark, sf)).select(
     "script_id", "pos", "ord", "category", "message", "file_suppressed"
@@ -134,11 +143,10 @@ def _on_disabled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["X06b_disabled_rule_suppression"] = _on_disabled
-SQL["X06b_disabled_rule_suppression"] = sql(
-    f"""select script_id, line, start_byte, end_byte, '{X.DISABLED}' message from ok k
+_NAMED_OFF = f"""select script_id, line, start_byte, end_byte, '{X.DISABLED}' message from ok k
 where split_part(spec, '/', 3) in ('banDropTable', 'banDropColumn') and (kind = 'line' or (kind = 'file' and is_leading)
   or (kind = 'start' and exists (select 1 from rng r where r.script_id = k.script_id and r.line = k.line and r.error is null)))"""
-)
+SQL["X06b_disabled_rule_suppression"] = sql(_NAMED_OFF)
 QUERIES["X06c_specifier_match"] = lambda spark, sf: (
     findings(spark, sf).withColumn("specifier", F.explode(X.specifiers(F.col("category"))))
     .groupBy("category", "specifier").agg(F.count("*").alias("findings"))
@@ -168,19 +176,24 @@ SQL["X08_cap_with_remainder"] = sql(
 
 
 def _check(spark: SparkSession, sf: str) -> DataFrame:
-    return CH.check(scripts(spark, sf), NAMES, syntax_errors=_syntax(spark, sf)).drop("start_line", "end_line")
+    found = CH.check(
+        scripts(spark, sf), NAMES, syntax_errors=_syntax(spark, sf), database_findings=_database(spark, sf), levels=_LEVELS, disabled=_DISABLED
+    )
+    return found.drop("start_line", "end_line")
 
 
 QUERIES["X09_check"] = _check
-_INSIDE = "exists (select 1 from fnd f where f.script_id = s.script_id and f.start_byte >= s.start_byte and f.end_byte <= s.end_byte)"
 SQL["X09_check"] = sql(
-    f"""
-, everything as (select script_id, category, severity, message, start_byte, end_byte, start_line, end_line from fnd
+    f"""{_DATABASE}
+, everything as (select script_id, category, case rule when 'banDropTable' then 3 when 'banTruncate' then 0 else 2 end severity, message,
+    start_byte, end_byte, start_line, end_line from fnd where rule not in ('banDropTable', 'banDropColumn')
+  union all select * from dbf
   union all select script_id, 'syntax', 3, 'Invalid statement', start_byte, end_byte, start_line, end_line from spans s where not {_INSIDE})
 select script_id, category, severity, message, start_byte, end_byte from everything f where not {_FILE_HIT} and not {_LINE_HIT} and not {_RANGE_HIT}
 union all select script_id, 'lint', 2, error, start_byte, end_byte from sup where error is not null
 union all select script_id, 'lint', 2, '{X.MISPLACED}', start_byte, end_byte from ok where kind = 'file' and not is_leading
 union all select script_id, 'lint', 2, error, start_byte, end_byte from rng where error is not null
+union all select script_id, 'lint', 2, message, start_byte, end_byte from ({_NAMED_OFF}) d
 union all select script_id, 'lint', 2, message, start_byte, end_byte from (
   {_UNUSED.replace('from fnd f', 'from everything f')}) u"""
 )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintfleet.operators.keyed import union_all
 from lintfleet.operators.scan import chunk_width
 from lintfleet.plans import facts as FX
 from lintfleet.plans import lint_rules as L
 from lintfleet.plans import suppressions as X
+from lintfleet.plans.selection import override_severity
 from lintfleet.plans.statements import split_statements
 from lintfleet.session import materialize
 from lintfleet.sources.catalog import Catalog
@@ -44,16 +46,35 @@ def check(
     cat: Catalog | None = None,
     syntax_errors: DataFrame | None = None,
     write_facts: bool | None = None,
+    database_findings: DataFrame | None = None,
+    levels: dict[str, int] | None = None,
+    disabled: list[str] | None = None,
 ) -> DataFrame:
-    """Findings of a corpus after syntax errors are subsumed and comments applied, with one row per bad comment."""
-    found = lint_scripts(scripts, rules, cat, write_facts)
+    """The whole check of a corpus, in this order:
+
+    1. a syntax error goes where a finding of the database (audit, function checks) lies inside its statement;
+    2. the enabled rules run; `levels` gives severities by rule, the others are warnings;
+    3. faulty, ineffective and unused comments become rows, unused ones judged against everything found so far;
+    4. what a comment suppresses goes.
+
+    `disabled` holds rules, or the group's name; comments that name one of them get a row. Without a catalog every
+    database's version counts as unknown.
+    """
+    disabled = disabled or []
+    enabled = [r.name for r in L.RULES.values() if (rules is None or r.name in rules) and r.name not in disabled and "safety" not in disabled]
     cols = ["script_id", "category", "severity", "message", "start_byte", "end_byte", "start_line", "end_line"]
-    found = found.select(cols)
+    parts = []
+    if database_findings is not None:
+        parts.append(database_findings.select(cols))
     if syntax_errors is not None:
-        found = materialize(found, "findings")
-        left = X.drop_contained_syntax_errors(syntax_errors.select(cols), found)
-        found = found.unionByName(left.select(cols))
-    # both are read by several branches; the tables hold findings and comments only, not the texts
-    found, comments = materialize(found, "findings"), materialize(X.comments(scripts), "comments")
-    chunk = chunk_width(found, ["script_id"]) or chunk_width(comments, ["script_id"])
-    return X.suppress(found, comments, chunk)
+        syntax_errors = syntax_errors.select(cols)
+        parts.append(X.drop_contained_syntax_errors(syntax_errors, parts[0]) if parts else syntax_errors)
+    if enabled:
+        parts.append(override_severity(lint_scripts(scripts, enabled, cat, write_facts), levels or {}).select(cols))
+    parsed = X.comments(scripts)
+    if not parts:
+        return X.about_comments(materialize(parsed, "comments"), None, disabled)
+    # several branches read these; the tables hold findings and comments only, not the texts
+    found, parsed = materialize(union_all(parts), "findings"), materialize(parsed, "comments")
+    chunk = chunk_width(found, ["script_id"]) or chunk_width(parsed, ["script_id"])
+    return X.suppress(found, parsed, chunk, disabled)

@@ -12,6 +12,7 @@ from lintfleet.operators.ranges import covered
 from lintfleet.operators.scan import Chunks, Running, running
 from lintfleet.plans.tokens import LINE_BREAK
 from lintfleet.registry import LINT_RULES
+from lintfleet.session import materialize
 
 # Comment markers, tags and messages.
 MARKERS = ["-- pgt-ignore", "-- pgls-ignore"]
@@ -206,7 +207,7 @@ def comment_errors(parsed: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def drop_contained_syntax_errors(syntax: DataFrame, findings: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
-    """A syntax error goes when any finding lies inside its span."""
+    """A syntax error goes when a finding known before linting lies inside its span."""
     found = covered(
         syntax, findings.select("script_id", "start_byte", "end_byte").distinct(), ["script_id"], ask_at=-F.col("start_byte"),
         ask_reach=-F.col("end_byte"), offer_at=-F.col("start_byte"), offer_reach=-F.col("end_byte"), name="_subsumed", chunk=chunk,
@@ -214,14 +215,32 @@ def drop_contained_syntax_errors(syntax: DataFrame, findings: DataFrame, chunk:
     return found.filter("not _subsumed").drop("_subsumed")
 
 
-def suppress(findings: DataFrame, parsed: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
-    """Findings no comment suppresses, plus one row per faulty or unused comment."""
-    ranges, targets = range_suppressions(parsed, chunk), line_suppressions(parsed, chunk)
-    hits = line_hits(findings, targets, chunk).unionByName(range_hits(findings, ranges, chunk))
-    kept = by_file(findings, parsed).filter("not file_suppressed").drop("file_suppressed").join(hits, SPAN, "left_anti")
-    about = comment_errors(parsed, ranges).unionByName(unused(findings, targets, chunk))
-    rows = about.select(
+def about_comments(
+    parsed: DataFrame, findings: DataFrame | None, disabled: list[str], ranges: DataFrame | None = None, targets: DataFrame | None = None,
+    chunk: Chunks | int | None = None,
+) -> DataFrame:
+    """One finding row per faulty, ineffective or unused comment."""
+    ranges = range_suppressions(parsed, chunk) if ranges is None else ranges
+    targets = line_suppressions(parsed, chunk) if targets is None else targets
+    about = comment_errors(parsed, ranges)
+    if disabled:
+        about = about.unionByName(on_disabled(parsed, disabled, ranges))
+    if findings is None:
+        idle = targets.select("script_id", "line", "start_byte", "end_byte", F.lit(NO_EFFECT).alias("message"))
+    else:
+        idle = unused(findings, targets, chunk)
+    return about.unionByName(idle).select(
         "script_id", F.lit(SUPPRESSION).alias("category"), F.lit(C.WARNING).alias("severity"), "message", "start_byte", "end_byte",
         F.col("line").alias("start_line"), F.col("line").alias("end_line"),
     )
+
+
+def suppress(findings: DataFrame, parsed: DataFrame, chunk: Chunks | int | None = None, disabled: list[str] | None = None) -> DataFrame:
+    """Findings no comment suppresses, plus one row per faulty, ineffective or unused comment."""
+    # each is read by several branches
+    ranges = materialize(range_suppressions(parsed, chunk), "ranges")
+    targets = materialize(line_suppressions(parsed, chunk), "targets")
+    hits = line_hits(findings, targets, chunk).unionByName(range_hits(findings, ranges, chunk))
+    kept = by_file(findings, parsed).filter("not file_suppressed").drop("file_suppressed").join(hits, SPAN, "left_anti")
+    rows = about_comments(parsed, findings, disabled or [], ranges, targets, chunk)
     return kept.select(rows.columns).unionByName(rows)

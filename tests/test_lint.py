@@ -47,6 +47,11 @@ CASES = [
     ("alter table t detach partition p; alter table t detach partition q concurrently;", {"requireConcurrentDetachPartition": 1}),
     ("create type s.e as enum ('a'); alter type s.e add value 'b';", {"creatingEnum": 1, "avoidAlterEnumAddValue": 1}),
     ("delete from t; update t set a = 1; delete from t where a = 1;", {"banDeleteWithoutWhere": 1, "banUpdateWithoutWhere": 1}),
+    ("with x as (select 1 where true) delete from t; with x as (select 1), y (a, b) as materialized (select 1, 2) update t set a = 1;", {"banDeleteWithoutWhere": 1, "banUpdateWithoutWhere": 1}),
+    ("with recursive x as (select 1) delete from t where a in (select 1); with x as (delete from u) select 1;", {"banDeleteWithoutWhere": 0}),
+    ("create table t (a bigint, b text) partition by range (a, b); create table u (a bigint) inherits (t, v) with (fillfactor=70, c integer);", {"preferBigInt": 0}),
+    ("create table t (a numeric(9, 2) check (a > (0)), b integer) with (fillfactor=70);", {"preferBigInt": 1}),
+    ("alter foreign table t drop column a; alter view v alter column a drop default; alter foreign table if exists t drop column b;", {"banDropColumn": 2}),
     ("alter table t rename a to b; alter table t rename to u;", {"renamingColumn": 1, "renamingTable": 1}),
     ("create table t (a char, b json, c timestamp, d timestamptz, e smallint, f bigserial);", {"banCharField": 1, "preferJsonb": 1, "preferTimestamptz": 1, "preferBigintOverSmallint": 1, "preferBigInt": 1, "preferIdentity": 1}),
 ]
@@ -149,9 +154,20 @@ truncate c;
     df = spark.createDataFrame([(1, text)], "script_id int, content string")
     syntax = spark.createDataFrame([(1, "syntax", 3, "bad", text.index("truncate c"), text.index("truncate c") + 11, 7, 7), (1, "syntax", 3, "bad", 0, 1, 0, 0)],
                                    "script_id int, category string, severity int, message string, start_byte bigint, end_byte bigint, start_line int, end_line int")
-    rows = CH.check(df, ["banDropTable", "banTruncate", "banDropColumn"], syntax_errors=syntax).collect()
-    got = sorted((r.category, r.start_byte) for r in rows)
-    assert got == sorted([("lint/safety/banTruncate", text.index("truncate c")), ("lint", text.index("-- pgls-ignore lint/safety/banDropColumn")), ("syntax", 0)])
+    cols = syntax.columns
+    known = syntax.filter("start_byte > 0").selectExpr("script_id", "'database/x' category", "0 severity", "message", "start_byte + 1 as start_byte", "end_byte", "start_line", "end_line").select(cols)
+    names = ["banDropTable", "banTruncate", "banDropColumn"]
+    rows = CH.check(df, names, syntax_errors=syntax, database_findings=known, levels={"banTruncate": C.ERROR}, disabled=["banDropTable"]).collect()
+    at, column = text.index("truncate c"), text.index("-- pgls-ignore lint/safety/banDropColumn")
+    got = sorted((r.category, r.start_byte, r.severity) for r in rows)
+    assert got == sorted([
+        ("lint/safety/banTruncate", at, C.ERROR), ("database/x", at + 1, 0), ("syntax", 0, C.ERROR), ("lint", column, C.WARNING),
+        ("lint", 0, C.WARNING), ("lint", 0, C.WARNING),  # the first comment names a disabled rule and so has no effect
+    ])
+    # lint findings do not take a syntax error's place
+    rows = CH.check(df, names, syntax_errors=syntax).collect()
+    assert sorted((r.category, r.start_byte) for r in rows) == sorted([("lint/safety/banTruncate", at), ("lint", column), ("syntax", 0), ("syntax", at)])
+    assert {r.message for r in CH.check(df, [], disabled=["safety"]).collect()} == {X.NO_EFFECT, X.DISABLED}
 
 
 def test_check_with_written_facts(spark):
@@ -161,6 +177,18 @@ def test_check_with_written_facts(spark):
     assert sorted(map(tuple, CH.lint_scripts(df, write_facts=True).select(cols).collect())) == plain
 
 
+def test_facts_of_shapes_with_several_brackets(spark):
+    texts = ["with x as (select 1) delete from a.t where b", "create table t (a bigint, b text) partition by range (a, b)",
+             "create table t (a bigint) inherits (u, v) with (fillfactor=70, autovacuum_enabled=false)", "alter foreign table a.t drop column c",
+             "alter sequence s owner to me", "alter sequence s restart"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "script_id int, text string")
+    rows = FX.extract(df).orderBy("script_id").collect()
+    assert [r.kind for r in rows] == ["delete", "create_table", "create_table", "alter_table", "alter_table", "other"]
+    assert (rows[0].rel_schema, rows[0].rel_name, rows[0].has_where) == ("a", "t", True)
+    assert [[c.name for c in r.columns] for r in rows[1:3]] == [["a", "b"], ["a"]]
+    assert [r.object_type for r in rows[3:5]] == ["foreign table", "sequence"] and rows[3].commands[0].subtype == "drop_column"
+
+
 def test_selection(spark):
     row = "project int, all_rules boolean, recommended boolean, group_present boolean, rules_on array<string>, rules_off array<string>, only array<string>, skip array<string>"
     config = spark.createDataFrame(
