@@ -1,41 +1,46 @@
 """Class-based bigram language model: exchange clustering gives word classes, class transitions and word emissions the score.
 
-Counting passes over the training documents, each summed up in its tasks first:
-1. words, 2. neighbouring pairs of the most frequent words, 3. the other known words' neighbour classes,
-4. class transitions.
+Passes over the documents, each summed up in its tasks first:
+1. words, 2. neighbouring pairs of the most frequent words, 3. the other words' neighbour classes,
+4. every document as a line of classes, from which transitions are counted and scores are made.
 
 The most frequent words are clustered by exchange: each in turn moves to the class that raises the likelihood of the
-class bigrams most, until nothing moves. Other known words (up to KNOWN) go where their neighbours' classes fit best.
-All other words form one tail class; there a word's share of the class is its count, less a discount that pays for
-unseen words. The end of a document is a class of its own and also what stands before the first word.
+class bigrams most, until nothing moves. Every other word of the training documents goes where its neighbours' classes fit
+best. How many words are exchanged and how many classes there are follows the vocabulary. A class's share for unseen words
+is paid by a discount on each of its words; unseen words are one symbol. The end of a document is a class of its own and
+also what stands before the first word.
 
-Counts of tail words are never broadcast: scoring emits a row per document and distinct tail word and joins it with the
-count table.
+Class and count of frequent words are broadcast, those of all others are joined: a document puts out a row for each distinct
+one. Both ways give the same scores.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet.llm.common import SPACE_WORDS, held_out, texts_of, utf8
 from lintfleet.session import materialize
 
-KNOWN = 30_000  # words of at most KNOWN_BYTES that every task knows by class and count
+KNOWN = 30_000  # words of at most KNOWN_BYTES that every task knows by class and count; the others are joined
 KNOWN_BYTES = 64
-CLUSTERED = 600  # of these, words that are exchanged one by one
-CLASSES = 16
+CLUSTERED = 600  # words that are exchanged one by one, at least; beyond that the root of the vocabulary
+CLASSES = 16  # at least; beyond that the fourth root of the vocabulary
 EXCHANGES = 12  # rounds at most
 STARTS = 8
 DISCOUNT = 0.5
 FLUSH = 600_000  # distinct words a task counts before it puts them out
+TOKENS = 2_000_000  # tokens whose neighbours a task gathers before it sums them up
+STEPS = 2.0**16  # logarithms are whole numbers of such steps where words are assigned, so sums don't depend on their order
+TAIL = 65_535  # in a line: a word that is joined
 END = b" "  # no word holds a blank
 
 
@@ -47,31 +52,46 @@ def _x_log_x(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
+def sizes(words: int) -> tuple[int, int]:
+    """How many words are exchanged and how many classes there are for so many distinct words."""
+    return max(CLUSTERED, math.isqrt(words)), max(CLASSES, round(words**0.25))
+
+
 def exchange(pairs: np.ndarray, words: int, classes: int = CLASSES, rounds: int = EXCHANGES) -> np.ndarray:
-    """Class of each of the first `words` symbols of a bigram count matrix; each further symbol is a class of its own.
+    """Class of each of the first `words` symbols of a bigram count matrix; each further symbol is a class of its own."""
+    a, b = np.nonzero(pairs)
+    return exchange_cells(a, b, pairs[a, b], len(pairs), words, classes, rounds)
+
+
+def exchange_cells(a: np.ndarray, b: np.ndarray, n: np.ndarray, symbols: int, words: int, classes: int, rounds: int = EXCHANGES) -> np.ndarray:
+    """The same for the cells (a, b, n) of the matrix that are not 0.
 
     Maximizes the sum of N(c, c') log N(c, c') over class pairs, less that of 2 N(c) log N(c) over classes. Exchange stops at
     a local best, so the best of several starts counts: words dealt out in turn by frequency, and fixed random ones.
     """
     rng = np.random.default_rng(17)
     starts = [np.arange(words) % classes, *[rng.integers(0, classes, words) for _ in range(STARTS - 1)]]
-    found = [_exchange(pairs, words, classes, rounds, start) for start in starts]
+    by_first, by_second = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    after = np.split(np.stack([b, n])[:, by_first], np.searchsorted(a[by_first], np.arange(1, symbols)), axis=1)
+    before = np.split(np.stack([a, n])[:, by_second], np.searchsorted(b[by_second], np.arange(1, symbols)), axis=1)
+    itself = np.bincount(a[a == b].astype("i8"), weights=n[a == b], minlength=symbols)
+    followers = [(x[0].astype("i8"), x[1].astype("f8")) for x in after[:words]]
+    leaders = [(x[0].astype("i8"), x[1].astype("f8")) for x in before[:words]]
+    found = [_exchange((a, b, n), followers, leaders, itself, symbols, words, classes, rounds, start) for start in starts]
     return max(found, key=lambda x: x[0])[1]
 
 
-def _exchange(pairs: np.ndarray, words: int, classes: int, rounds: int, start: np.ndarray) -> tuple[float, np.ndarray]:
-    symbols = len(pairs)
+def _exchange(cells: tuple, followers: list, leaders: list, loops: np.ndarray, symbols: int, words: int, classes: int, rounds: int,
+              start: np.ndarray) -> tuple[float, np.ndarray]:
     cls = np.concatenate([start, classes + np.arange(symbols - words)])
     n = classes + symbols - words
-    one_hot = np.zeros((symbols, n))
-    one_hot[np.arange(symbols), cls] = 1
-    total = one_hot.T @ pairs @ one_hot
+    total = np.bincount(cls[cells[0]] * n + cls[cells[1]], weights=cells[2], minlength=n * n).reshape(n, n)
     for _ in range(rounds):
         moved = 0
         for w in range(words):
-            after = np.bincount(cls, weights=pairs[w], minlength=n)  # what follows w, by class
-            before = np.bincount(cls, weights=pairs[:, w], minlength=n)
-            itself = pairs[w, w]
+            after = np.bincount(cls[followers[w][0]], weights=followers[w][1], minlength=n)  # what follows w, by class
+            before = np.bincount(cls[leaders[w][0]], weights=leaders[w][1], minlength=n)
+            itself = loops[w]
             old = cls[w]
             after[old] -= itself
             before[old] -= itself
@@ -101,7 +121,7 @@ def _exchange(pairs: np.ndarray, words: int, classes: int, rounds: int, start: n
 
 @dataclass
 class Model:
-    """Classes 0 .. classes - 1 are clustered words, then the tail, then the end."""
+    """Classes 0 .. classes - 1 hold the words of the training documents, then come the unseen word and the end."""
 
     known: dict[bytes, int]  # word -> place
     cls: np.ndarray  # class of each known word
@@ -109,24 +129,39 @@ class Model:
     train_tokens: int
     distinct: int
     end_count: int
-    tail_tokens: int
-    tail_words: int
-    log_transition: np.ndarray  # log10 P(class | class before)
+    class_tokens: np.ndarray
+    class_words: np.ndarray
     classes: int = CLASSES
+    log_transition: np.ndarray | None = None  # log10 P(symbol | symbol before)
 
     @property
-    def tail(self) -> int:
+    def unseen(self) -> int:
         return self.classes
 
     @property
     def end(self) -> int:
         return self.classes + 1
 
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10(count + 1) - math.log10(self.train_tokens + self.distinct + 1)
+
+    def emission(self, count: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 P(word | its class) of words seen so often."""
+        return np.log10(count - DISCOUNT) - np.log10(np.maximum(self.class_tokens - DISCOUNT * self.class_words, DISCOUNT))[cls]
+
 
 def _arrays(names: list[str], *columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=names)
 
 
+def _places(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Places of a text's symbols: the end, its words (len(known): none of the known ones), the end (len(known) + 1)."""
+    get, other = known.get, len(known)
+    line = np.full(len(words) + 2, other + 1, "i8")
+    line[1:-1] = np.fromiter((get(w, other) for w in words), "i8", len(words))
+    return line
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -147,131 +182,244 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _tally(docs: DataFrame, known: dict[bytes, int], cells: int, cells_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sums up counts of cells 0 .. cells - 1 over all documents. cells_of: places of a text's symbols -> cells it adds 1 to.
+def _pairs(docs: DataFrame, first: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells (symbol, next symbol, n) over all documents, where all words but the first ones are one symbol."""
+    held, symbols = docs.sparkSession.sparkContext.broadcast(first), len(first) + 2
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(cells), return_counts=True)
+            cells.clear()
+            return _arrays(["cell", "n"], pa.array(at, pa.int64()), pa.array(n, pa.int64()))
 
-    A text's symbols are the end, its words (len(known): none of the known ones), the end (len(known) + 1). What comes
-    to the driver is bounded by `cells`.
+        waiting = 0
+        for _, texts in texts_of(batches, 200):
+            for text in texts:
+                line = _places(words_of(text), held.value)
+                cells.append(line[:-1] * symbols + line[1:])
+                waiting += len(line)
+            if waiting > TOKENS:
+                yield out()
+                waiting = 0
+        if cells:
+            yield out()
+
+    sums = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
+    order = np.argsort(cell)
+    return cell[order] // symbols, cell[order] % symbols, n[order].astype("f8")
+
+
+def _assign(docs: DataFrame, first: dict[bytes, int], class_of: np.ndarray, fit: np.ndarray, share: np.ndarray) -> DataFrame:
+    """word, n, class of every word but the first ones: the class that its neighbours' classes fit best.
+
+    fit: by class before, then by class behind, and by the word's class. Counts of a word's neighbour classes are packed as
+    pairs of 32-bit numbers, so a word takes one row of each task.
     """
-    held = docs.sparkSession.sparkContext.broadcast(known)
+    held = docs.sparkSession.sparkContext.broadcast((first, class_of, fit, share))
+    width = len(fit)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, other = held.value.get, len(held.value)
-        total = np.zeros(cells, "i8")
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, class_of = held.value[:2]
+        other = len(known)
+        ids: dict[bytes, int] = {}
+        cells: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(cells), return_counts=True)
+            ends = np.searchsorted(at, np.arange(len(ids) + 1) * width)
+            packed = np.stack([at % width, n], 1).astype("<i4").tobytes()
+            seen = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((ends * 8).astype("i4").tobytes()), pa.py_buffer(packed)])
+            batch = _arrays(["word", "seen"], pa.array(list(ids), pa.binary()), seen)
+            ids.clear()
+            cells.clear()
+            return batch
+
+        waiting = 0
         for _, texts in texts_of(batches, 200):
-            places = []
             for text in texts:
                 words = words_of(text)
-                line = np.full(len(words) + 2, other + 1, "i8")
-                line[1:-1] = np.fromiter((get(w, other) for w in words), "i8", len(words))
-                places.append(cells_of(line))
-            total += np.bincount(np.concatenate(places), minlength=cells)
-        at = np.flatnonzero(total)
-        yield _arrays(["cell", "n"], pa.array(at, pa.int64()), pa.array(total[at], pa.int64()))
+                line = _places(words, known)
+                at = np.flatnonzero(line == other)
+                word = np.fromiter((ids.setdefault(words[j], len(ids)) for j in (at - 1).tolist()), "i8", len(at)) * width
+                c = class_of[line]
+                cells += [word + c[at - 1], word + width // 2 + c[at + 1]]
+                waiting += len(at)
+            if waiting > TOKENS or len(ids) > FLUSH:
+                yield out()
+                waiting = 0
+        if ids:
+            yield out()
 
-    sums = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(cells, "i8")
-    for row in sums.toLocalIterator():
-        out[row["cell"]] = row["n"]
-    return out
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, fit, share = held.value
+        for batch in batches:
+            parts = batch.column(1)
+            flat = parts.flatten()
+            word = np.repeat(np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy()), pc.binary_length(flat).to_numpy() // 8)
+            pairs = np.frombuffer(b"".join(flat.to_pylist()), "<i4").reshape(-1, 2)
+            seen = np.bincount(word * width + pairs[:, 0], weights=pairs[:, 1], minlength=len(parts) * width).reshape(-1, width)
+            best = (seen @ fit + share).argmax(1)
+            n = seen[:, : width // 2].sum(1)
+            yield _arrays(["word", "n", "class"], batch.column(0), pa.array(n.astype("i8")), pa.array(best, pa.int32()))
 
+    gathered = docs.select("text").mapInArrow(gather, "word binary, seen binary").groupBy("word").agg(F.collect_list("seen").alias("seen"))
+    return gathered.mapInArrow(choose, "word binary, n bigint, class int")
 
-def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
-    """The model and the word counts of `docs` (column text). None if there is no document."""
+
+def learn_classes(docs: DataFrame) -> tuple[Model | None, DataFrame]:
+    """The model without transitions, and word, n, class of all words that it doesn't know. None if there is no document."""
     counts = materialize(count_words(docs), "word-counts")
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     if not whole["n"]:
         return None, counts
+    clustered, classes = sizes(whole["v"] - 1)
+    by_count = [F.desc("n"), F.col("word")]
     candidates = counts.filter((F.col("word") != F.lit(END)) & (F.length("word") <= KNOWN_BYTES))
-    top = [(bytes(r["word"]), r["n"]) for r in candidates.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    top = [(bytes(r["word"]), r["n"]) for r in candidates.orderBy(*by_count).limit(clustered).collect()]
     end_count = counts.filter(F.col("word") == F.lit(END)).first()["n"]
-    clustered = min(CLUSTERED, len(top))
-
-    first = {w: i for i, (w, _) in enumerate(top[:clustered])}
-    symbols = clustered + 2  # all other words, the end
-    pairs = _tally(docs, first, symbols * symbols, lambda line: line[:-1] * symbols + line[1:]).reshape(symbols, symbols)
-    cls = exchange(pairs.astype("f8"), clustered)
-
-    n = CLASSES + 2
-    known = {w: i for i, (w, _) in enumerate(top)}
-    if len(top) > clustered:
-        class_of = np.concatenate([cls, np.full(len(top) - clustered + 1, CLASSES), [CLASSES + 1]])
-        middle = len(top) - clustered
-
-        def neighbours(line: np.ndarray) -> np.ndarray:
-            c = class_of[line]
-            at = np.flatnonzero((line >= clustered) & (line < len(known)))
-            word = (line[at] - clustered) * (2 * n)
-            return np.concatenate([word + c[at - 1], word + n + c[at + 1]])
-
-        seen = _tally(docs, known, middle * 2 * n, neighbours).reshape(middle, 2, n).astype("f8")
-        mass = np.array([m for _, m in top[:clustered]], "f8")
-        one_hot = np.zeros((symbols, n))
-        one_hot[np.arange(symbols), np.concatenate([cls, [CLASSES, CLASSES + 1]])] = 1
-        total = one_hot.T @ pairs @ one_hot + 0.5
-        before = np.log((total / total.sum(1, keepdims=True))[:, :CLASSES])  # log P(class | class before)
-        after = np.log((total / total.sum(1, keepdims=True))[:CLASSES])  # log P(class after | class)
-        share = np.log(np.bincount(cls, weights=mass, minlength=CLASSES) + 1.0)
-        fit = seen[:, 0] @ before + seen[:, 1] @ after.T + 1e-3 * share
-        cls = np.concatenate([cls, fit.argmax(1)])
-
-    class_of = np.concatenate([cls, [CLASSES, CLASSES + 1]]).astype("i8")
-    moves = _tally(docs, known, n * n, lambda line: class_of[line[:-1]] * n + class_of[line[1:]]).reshape(n, n).astype("f8")
-    unigram = (moves.sum(0) + DISCOUNT) / (moves.sum() + DISCOUNT * n)
-    used = (moves > 0).sum(1, keepdims=True)
-    rows = np.maximum(moves.sum(1, keepdims=True), 1e-9)
-    transition = np.maximum(moves - DISCOUNT, 0) / rows + DISCOUNT * used / rows * unigram
-    transition = np.where(moves.sum(1, keepdims=True) > 0, transition, unigram)
-    known_tokens = sum(m for _, m in top)
-    model = Model(known, cls.astype("i8"), np.array([m for _, m in top], "i8"), whole["n"], whole["v"], end_count,
-                  whole["n"] - known_tokens - end_count, whole["v"] - 1 - len(top), np.log10(transition))
-    return model, counts
-
-
-def _partial(source: DataFrame, model: Model) -> DataFrame:
-    """Rows (_row, doc_id, word, times, tokens, known, base, score): one per document with its known part, one per tail word.
-
-    A document's own row has a key that no word has, so these rows are spread like the others.
+
+    first = {w: i for i, (w, _) in enumerate(top)}
+    symbols, n = len(top) + 2, classes + 2  # all other words, the end
+    a, b, times = _pairs(docs, first)
+    cls = exchange_cells(a, b, times, symbols, len(top), classes)
+    class_of = np.concatenate([cls, [classes, classes + 1]]).astype("i8")
+    total = np.bincount(class_of[a] * n + class_of[b], weights=times, minlength=n * n).reshape(n, n) + 0.5
+    log_p = np.log(total / total.sum(1, keepdims=True))
+    mass = np.array([m for _, m in top], "f8")
+    share = np.log(np.bincount(cls, weights=mass, minlength=classes) + 1.0)
+    fit = np.concatenate([log_p[:, :classes], log_p[:classes].T])  # log P(class | class before), log P(class after | class)
+    words = materialize(_assign(docs, first, class_of, np.rint(fit * STEPS), np.rint(1e-3 * share * STEPS)), "word-classes")
+
+    more = words.filter(F.length("word") <= KNOWN_BYTES).orderBy(*by_count).limit(max(0, KNOWN - len(top))).collect()
+    known = {**first, **{bytes(r["word"]): len(first) + i for i, r in enumerate(more)}}
+    rest = words
+    if more:
+        last = (F.col("n") < F.lit(more[-1]["n"])) | ((F.col("n") == F.lit(more[-1]["n"])) & (F.col("word") > F.lit(more[-1]["word"])))
+        rest = words.filter(last | (F.length("word") > KNOWN_BYTES))
+    tokens, distinct = np.bincount(cls, weights=mass, minlength=classes), np.bincount(cls, minlength=classes)
+    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens[r["class"]] += r["n"]
+        distinct[r["class"]] += r["v"]
+    model = Model(known, np.concatenate([cls, [r["class"] for r in more]]).astype("i8"), np.array([m for _, m in top] + [r["n"] for r in more], "i8"),
+                  whole["n"], whole["v"], end_count, tokens, distinct, classes)
+    return model, rest
+
+
+def class_lines(source: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
+    """doc_id, tokens, known, base, emission, line: each row of `source` (_row, doc_id, text) with its sums over words, and
+    its symbols' classes as 16-bit numbers, the end first and last.
+
+    A document's own row has a key that no word has, so these rows are spread like those of its joined words.
     """
     held = source.sparkSession.sparkContext.broadcast(model)
     id_type = source.schema["doc_id"].dataType.simpleString()
-    names = ["_row", "doc_id", "word", "times", "tokens", "known", "base", "score"]
+    names = ["_row", "doc_id", "word", "at", "base", "emission", "line", "rare"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        get, other = m.known.get, len(m.known)
-        size = math.log10(m.train_tokens + m.distinct + 1)
-        class_of = np.concatenate([m.cls, [m.tail, m.end]])
-        class_tokens = np.bincount(m.cls, weights=m.count, minlength=m.classes)
-        base = np.concatenate([np.log10(m.count + 1) - size, [0.0, math.log10(m.end_count + 1) - size]])
-        emission = np.concatenate([np.log10(m.count / class_tokens[m.cls]) if len(m.cls) else np.empty(0), [0.0, 0.0]])
-        flat = m.log_transition.ravel()
-        n = m.classes + 2
+        other = len(m.known)
+        class_of = np.concatenate([m.cls, [TAIL, m.end]]).astype("<u2")
+        base = np.concatenate([m.base(m.count), [0.0], m.base(np.array([m.end_count]))])
+        emission = np.concatenate([m.emission(m.count, m.cls), [0.0, 0.0]])
         for batch, texts in texts_of(batches, 200):
             out: list[list] = [[] for _ in names]
             for i, text in enumerate(texts):
                 row, words = batch.column(1)[i].as_py(), words_of(text)
-                line = np.full(len(words) + 2, other + 1, "i8")
-                line[1:-1] = np.fromiter((get(w, other) for w in words), "i8", len(words))
-                c, here = class_of[line], line[1:]
-                score = flat[c[:-1] * n + c[1:]].sum() + emission[here].sum()
-                tail = np.flatnonzero(here == other).tolist()
-                values = (row, i, END + row.to_bytes(8, "little", signed=True), 0, len(here), len(here) - len(tail), base[here].sum(), score)
+                line = _places(words, m.known)
+                here, rare = line[1:], {}
+                places = [rare.setdefault(words[j], len(rare)) for j in np.flatnonzero(here == other).tolist()]
+                key = END + row.to_bytes(8, "little", signed=True)
+                values = (row, i, key, -1, base[here].sum(), emission[here].sum(), class_of[line].tobytes(), np.array(places, "<i4").tobytes())
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-                rare = Counter([words[j] for j in tail])
                 out[0] += [row] * len(rare)
-                out[1] += [None] * len(rare)
-                out[2] += rare.keys()
-                out[3] += rare.values()
-                for column in out[4:]:
-                    column += [0] * len(rare)
+                out[2] += rare
+                out[3] += range(len(rare))
+                for column in (out[1], *out[4:]):
+                    column += [None] * len(rare)
             ids = batch.column(0).take(pa.array(out[1], pa.int64()))
-            yield _arrays(names, pa.array(out[0], pa.int64()), ids, pa.array(out[2], pa.binary()), *[pa.array(x, pa.int64()) for x in out[3:6]],
-                          *[pa.array(np.array(x, "f8")) for x in out[6:]])
+            yield _arrays(names, pa.array(out[0], pa.int64()), ids, pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()),
+                          *[pa.array(x, pa.float64()) for x in out[4:6]], *[pa.array(x, pa.binary()) for x in out[6:]])
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = held.value
+        for batch in batches:
+            words = batch.column(5).flatten()
+            at, n, cls = (pc.fill_null(words.field(k), x).to_numpy(zero_copy_only=False) for k, x in enumerate((0, 0, m.unseen)))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(5)).to_numpy())])
+            base, emission = batch.column(1).to_numpy().copy(), batch.column(2).to_numpy().copy()
+            lines, tokens, known = [], [], []
+            for i, (line, rare) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                line, rare, part = np.frombuffer(line, "<u2").copy(), np.frombuffer(rare, "<i4"), slice(ends[i], ends[i + 1])
+                place = np.argsort(at[part])[rare]
+                times, c = n[part][place], cls[part][place]
+                line[line == TAIL] = c
+                seen = times > 0
+                base[i] += m.base(times).sum()
+                emission[i] += m.emission(times[seen], c[seen]).sum()
+                lines.append(line.tobytes())
+                tokens.append(len(line) - 1)
+                known.append(len(line) - 1 - int((~seen).sum()))
+            yield _arrays(["doc_id", "tokens", "known", "base", "emission", "line"], batch.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
+                          pa.array(base), pa.array(emission), pa.array(lines, pa.binary()))
+
+    shape = f"_row bigint, doc_id {id_type}, word binary, at int, base double, emission double, line binary, rare binary"
+    joined = source.select("doc_id", "_row", "text").mapInArrow(run, shape).join(rest, "word", "left")
+    whole = joined.groupBy("_row").agg(
+        *[F.max(c).alias(c) for c in ("doc_id", "base", "emission", "line", "rare")],
+        F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "n", "class"))).alias("words"),
+    )
+    shape = f"doc_id {id_type}, tokens bigint, known bigint, base double, emission double, line binary"
+    return whole.drop("_row").mapInArrow(fill, shape)
+
+
+def transitions(lines: DataFrame, model: Model) -> np.ndarray:
+    """log10 P(symbol | symbol before), from the training documents' lines.
+
+    Class moves are discounted towards the classes' overall shares. Of a class's probability the unseen word gets what the
+    class's words were discounted; as the symbol before, it stands for each class by that class's number of words.
+    """
+    n = model.classes + 2
 
-    schema = f"_row bigint, doc_id {id_type}, word binary, times bigint, tokens bigint, known bigint, base double, score double"
-    return source.select("doc_id", "_row", "text").mapInArrow(run, schema)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, "i8")
+        for batch in batches:
+            line = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").astype("i8")
+            if len(line):
+                total += np.bincount(line[:-1] * n + line[1:], minlength=n * n)
+                total[-1] -= batch.num_rows - 1  # from one document's end to the next one's
+        at = np.flatnonzero(total)
+        yield _arrays(["cell", "n"], pa.array(at, pa.int64()), pa.array(total[at], pa.int64()))
+
+    moves = np.zeros(n * n)
+    for row in lines.select("line").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        moves[row["cell"]] = row["n"]
+    moves = moves.reshape(n, n)
+    holds = np.concatenate([model.class_words > 0, [True, True]])
+    unigram = (moves.sum(0) + DISCOUNT) * holds
+    unigram /= unigram.sum()
+    sums, used = moves.sum(1, keepdims=True), (moves > 0).sum(1, keepdims=True)
+    rows = np.maximum(sums, 1e-9)
+    p = np.where(sums > 0, np.maximum(moves - DISCOUNT, 0) / rows + DISCOUNT * used / rows * unigram, unigram)
+    if model.class_words.sum():
+        p[model.unseen] = model.class_words / model.class_words.sum() @ p[: model.classes]
+    share = DISCOUNT * model.class_words / np.maximum(model.class_tokens, 1)
+    p[:, model.unseen] += p[:, : model.classes] @ share
+    p[:, : model.classes] *= 1 - share
+    with np.errstate(divide="ignore"):  # a class without words is never met
+        return np.log10(p)
+
+
+def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
+    """The model and the words it doesn't know of `docs` (column text). None if there is no document."""
+    model, rest = learn_classes(docs)
+    if model is not None:
+        source = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row"))
+        model.log_transition = transitions(class_lines(source, model, rest), model)
+    return model, rest
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,26 +431,23 @@ def score_documents(docs: DataFrame, modulus: int = 7, id_col: str = "doc_id", t
     all words count as unseen. Other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_row"))
-    model, counts = train(source.filter(~held_out(F.col("doc_id"), modulus)))
+    model, rest = learn_classes(source.filter(~held_out(F.col("doc_id"), modulus)))
     if model is None:
         tokens = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
         return source.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), tokens.cast("long").alias("n_tokens"),
                              F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"),
                              F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    last = model.count[-1] if len(model.count) == KNOWN else 0
-    rare = counts.filter((F.col("word") != F.lit(END)) & ((F.col("n") <= F.lit(int(last))) | (F.length("word") > KNOWN_BYTES)) | F.lit(not last))
-    joined = _partial(source, model).join(rare, "word", "left")
-    c = F.coalesce("n", F.lit(0))
-    tail = max(model.tail_tokens, 1)
-    unseen = math.log10(max(DISCOUNT * model.tail_words, DISCOUNT) / tail) if model.tail_tokens else 0.0
-    base = F.log10((c + 1) / F.lit(model.train_tokens + model.distinct + 1))
-    emission = F.when(c > 0, F.log10((c - DISCOUNT) / tail)).otherwise(unseen)
-    is_word = F.col("times") > 0
-    sums = joined.groupBy("_row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(is_word, F.col("times") * base).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(is_word, F.col("times") * emission).otherwise(0.0)).alias("score"),
-    )
-    return sums.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), "n_tokens", "n_known",
-                       F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    lines = materialize(class_lines(source, model, rest), "class-lines")
+    flat = source.sparkSession.sparkContext.broadcast(transitions(lines.filter(~held_out(F.col("doc_id"), modulus)), model).ravel())
+    n = model.classes + 2
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, "<u2").astype("i8") for x in batch.column(5).to_pylist()]
+            score = np.array([flat.value[x[:-1] * n + x[1:]].sum() for x in found], "f8") + batch.column(4).to_numpy()
+            yield _arrays(["doc_id", "n_tokens", "n_known", "base_score", "score"], *batch.columns[:4], pa.array(score))
+
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    scored = lines.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

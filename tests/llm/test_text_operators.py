@@ -241,6 +241,25 @@ def test_base_score_is_exact_and_model_sums_to_one(docs_of, odd_rows):
     assert brown_lm.score_documents(docs_of([])).count() == 0
 
 
+def test_rare_words_have_classes(docs_of, monkeypatch):
+    """Words far down the ranks, each seen a few times, still tell what stands where; how they reach the tasks changes nothing."""
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 4)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"aa x{rng.randrange(300)} bb y{rng.randrange(300)}" for _ in range(10))) for i in range(200)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], "aa x7 bb y7 aa x8 bb y8"), (held[1], "aa y7 bb x7 aa y8 bb x8")]
+    scores = []
+    for known in (4, 100, 30_000):
+        monkeypatch.setattr(brown_lm, "KNOWN", known)
+        scores.append({r.doc_id: r.score for r in brown_lm.score_documents(docs_of(rows)).collect()})
+    assert scores[0] == pytest.approx(scores[1]) and scores[0] == pytest.approx(scores[2])
+    assert scores[0][held[0]] > scores[0][held[1]] + 2
+
+
+def test_classes_follow_the_vocabulary():
+    assert brown_lm.sizes(100) == (600, 16) and brown_lm.sizes(100_000_000) == (10_000, 100)
+
+
 def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(1)
     symbols, total = 22, np.zeros((22, 22))
