@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet.llm.common import ITEM_WORDS, held_out, texts_of, utf8
@@ -28,7 +28,7 @@ from lintfleet.session import materialize
 SAMPLE = 4000  # labelled documents of each class: the documented bound of what is learned from
 STEMS = (4, 5, 6, 7, 8)  # characters of a word's beginning that are features
 PRIOR = 1.0  # documents that the prior counts as, for each class
-CERTAIN = 4.0  # standard errors above 0 that a feature needs
+CERTAIN = 4.0  # standard errors, as the root of the likelihood ratio counts them, that a feature needs
 LEAST_ODDS = 3.0  # log-odds that it needs
 MAX_FEATURES = 100_000
 DRIFT = -0.3
@@ -144,6 +144,17 @@ def count_features(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(run, "feature binary, toxic int, n long")
 
 
+def certainty(t: Column, c: Column, nt: float, nc: float) -> Column:
+    """Root of the likelihood ratio statistic that t of nt toxic and c of nc clean documents have different rates; sound at 0."""
+
+    def term(seen: Column, of: float, both: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / (both * F.lit(of / (nt + nc))))).otherwise(0.0)
+
+    have, lack = t + c, F.lit(nt + nc) - t - c
+    ratio = term(t, nt, have) + term(c, nc, have) + term(F.lit(nt) - t, nt, lack) + term(F.lit(nc) - c, nc, lack)
+    return F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
+
+
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, modulus: int = 4, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> Model:
     """Learns from at most `size` labelled documents of each class outside the held-out fold.
@@ -161,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, modulus: int =
     rate = (F.col("t") + F.col("c")) / (nt + nc)  # the Dirichlet prior: this feature's overall rate, worth PRIOR documents
     yt, yc = F.col("t") + rate * PRIOR + 0.3, F.col("c") + rate * PRIOR + 0.3
     odds = F.log(yt / (nt + PRIOR + 1 - yt)) - F.log(yc / (nc + PRIOR + 1 - yc))
-    kept = counts.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / yt + 1 / yc)).alias("z"))
+    kept = counts.select("feature", odds.alias("odds"), certainty(F.col("t"), F.col("c"), nt, nc).alias("z"))
     rows = kept.filter((F.col("z") > CERTAIN) & (F.col("odds") > LEAST_ODDS) & (F.length("feature") <= 64))
     rows = rows.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
     return calibrate(Model({bytes(r["feature"]): min(6.0, r["odds"]) for r in rows}), sample)

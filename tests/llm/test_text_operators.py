@@ -322,6 +322,16 @@ def test_toxicity_held_out(spark, docs_of, odd_rows):
     assert toxicity.train(docs, labels.filter("toxic = 0")).odds == {}
 
 
+def test_toxic_words_that_few_documents_hold(spark, docs_of):
+    """Words in 1% of the toxic documents and in no clean one are features."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(WORDS, k=8)) + (f" vile{i // 2 % 100:02d}q" if i % 2 else "")) for i in range(6000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs_of(rows), labels)
+    assert sum(f"vile{k:02d}q".encode() in model.odds for k in range(100)) >= 90
+    assert not any(w.encode() in model.odds for w in WORDS)
+
+
 def test_set_key_is_stable():
     assert jaccard_join.set_key(jaccard_join.shingles("a b c d e")) == jaccard_join.set_key(jaccard_join.shingles("A  b\tc D e"))
     assert hashlib.blake2b(b"").digest_size == 64
