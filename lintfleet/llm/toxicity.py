@@ -105,12 +105,17 @@ class Model:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, size: int, modulus: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """doc_id, text, toxic: at most `size` documents of each label, those with the smallest id hash."""
+    """doc_id, text, toxic, weight: at most `size` documents of each label, those with the smallest id hash.
+
+    weight: how many labelled documents of the training fold each stands for.
+    """
     said = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).dropna()
     said = said.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), modulus))
     said = said.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # a document with two labels counts as toxic
     picked = said.filter("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(size)
     picked = picked.unionByName(said.filter("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(size))
+    weights = said.groupBy("toxic").agg(F.greatest(F.count("*") / size, F.lit(1.0)).alias("weight"))
+    picked = picked.join(F.broadcast(weights), "toxic")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     return rows.join(F.broadcast(picked), "doc_id")
 
@@ -162,14 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, modulus: int =
     Without documents of both classes the model knows no feature and gives every text the same low probability.
     """
     sample = materialize(sample_of(docs, labels, size, modulus, id_col, text_col, label_col), "labelled")
-    documents = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    nt, nc = float(documents.get(1, 0)), float(documents.get(0, 0))
+    documents = {r["toxic"]: r for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.first("weight").alias("weight")).collect()}
+    nt, nc = (float(documents[k]["n"]) if k in documents else 0.0 for k in (1, 0))
     if not nt or not nc:
         return Model({})
     toxic = F.col("toxic") == 1
     counts = count_features(sample).groupBy("feature").agg(
         F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("c"))
-    rate = (F.col("t") + F.col("c")) / (nt + nc)  # the Dirichlet prior: this feature's overall rate, worth PRIOR documents
+    wt, wc = documents[1]["weight"], documents[0]["weight"]
+    rate = (F.col("t") * wt + F.col("c") * wc) / (nt * wt + nc * wc)  # the Dirichlet prior: this feature's overall rate, worth PRIOR documents
     yt, yc = F.col("t") + rate * PRIOR + 0.3, F.col("c") + rate * PRIOR + 0.3
     odds = F.log(yt / (nt + PRIOR + 1 - yt)) - F.log(yc / (nc + PRIOR + 1 - yc))
     kept = counts.select("feature", odds.alias("odds"), certainty(F.col("t"), F.col("c"), nt, nc).alias("z"))
@@ -187,15 +193,16 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
             toxic = part.column(part.schema.get_field_index("toxic")).to_pylist()
             words = [words_of(t) for t in texts]
             line = [np.fromiter(map(held.value.word, w), "f8", len(w)) for w in words]
+            weight = part.column(part.schema.get_field_index("weight"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(toxic, pa.int32()), pa.array([len(w) for w in words], pa.int64()),
+                [pa.array(toxic, pa.int32()), weight, pa.array([len(w) for w in words], pa.int64()),
                  pa.array([s[s > 0].tolist() for s in line], pa.list_(pa.float64())),
                  pa.array([[x for _, _, x in segments(s)] for s in line], pa.list_(pa.float64()))],
-                names=["toxic", "words", "marks", "segments"],
+                names=["toxic", "weight", "words", "marks", "segments"],
             )
 
-    shape = "toxic int, words long, marks array<double>, segments array<double>"
-    rows = sample.select("text", "toxic").mapInArrow(scores, shape).collect()
+    shape = "toxic int, weight double, words long, marks array<double>, segments array<double>"
+    rows = sample.select("text", "toxic", "weight").mapInArrow(scores, shape).collect()
     clean = [r for r in rows if not r["toxic"]]
     n_words = sum(r["words"] for r in clean) + 1
     marks = np.array([m for r in clean for m in r["marks"]] + [3.0])  # one mark more than seen: lambda stays finite
@@ -208,12 +215,12 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
     reached = sum(x >= LEAST_ODDS for r in clean for x in r["segments"]) + 0.5
     model.chance = min(1.0, reached / n_words * math.exp(model.rate * LEAST_ODDS))
     x = np.array([model.total(r["segments"], r["words"]) for r in rows])
-    y = np.array([r["toxic"] for r in rows], "f8")
+    y, stands_for = np.array([r["toxic"] for r in rows], "f8"), np.array([r["weight"] for r in rows])
     w, design = np.array([-2.0, 0.5]), np.stack([np.ones_like(x), x], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + 0.05 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(hessian, design.T @ (y - p) - 0.05 * w), -2, 2)
+        hessian = design.T @ (design * (stands_for * p * (1 - p))[:, None]) + 0.05 * np.eye(2)
+        w = w + np.clip(np.linalg.solve(hessian, design.T @ (stands_for * (y - p)) - 0.05 * w), -2, 2)
     model.weights = (float(w[0]), float(w[1]))
     model.memory = {}
     return model
