@@ -31,7 +31,15 @@ BLOCK = 100_000
 CACHED_WORDS = 350_000
 CACHED_CHARS = 48
 # the vocabulary's own cut of a chunk, for lower-case ASCII
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+").findall
+# to str.split() these are white space too, to the vocabulary they are characters that have tokens
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+_CHUNKS = re.compile(rf"(?:[^\s]|[{_NOT_SPACE}])+").findall
+
+
+def chunks(text: str) -> list[str]:
+    """The text cut at what the vocabulary takes as white space."""
+    return _CHUNKS(text) if any(c in text for c in _NOT_SPACE) else text.split()
 
 
 class ChunkIds(dict):
@@ -63,7 +71,7 @@ class ChunkIds(dict):
         if len(self) > CACHED_WORDS:
             self.clear()
             self.parts.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, chunks(text)))
 
 
 _CACHES: dict[str, ChunkIds] = {}
