@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintfleet.llm import (
-    brown_lm, decontaminate, html_extract, jaccard_join, langid, media, packing, pii, sharding, sql, toxicity,
+    brown_lm, decontaminate, html_extract, jaccard_join, langid, manifest, media, packing, pii, sharding, sql, toxicity,
 )
 from lintfleet.llm.common import held_out, read
 
@@ -78,6 +78,17 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.align_clips(media.clips_of(read(spark, sf_dir, "embeddings")))
 
 
+def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in manifest.FIELDS]
+    tampered_leaf = F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0, manifest.leaf_of(tampered))
+    found = manifest.manifest(docs, carry={"tampered_leaf": tampered_leaf})
+    folded = found.withColumn("folded_root", manifest.folded(F.coalesce("tampered_leaf", "leaf"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -89,5 +100,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_media_columns": op10_media_columns,
+    "op12_merkle_dataset_manifest": op12_merkle_dataset_manifest,
 }
 SQL = sql.SQL

@@ -71,8 +71,51 @@ reach as (select doc_id as a, doc_id as b from sizes union select r.a, l.b from
 select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(m, d.doc_id) as component_id
 from documents d left join sizes s on s.doc_id = d.doc_id left join (select a, min(b) as m from reach group by 1) r on r.a = d.doc_id"""
 
+# crc32 of v, an id as decimal text: byte by byte, bit by bit
+_CRC = """xor(list_reduce(list_transform(range(1, length(v) + 1), lambda p: ascii(v[p])),
+    lambda c, x: list_reduce(range(8), lambda d, k: if(d & 1 = 1, xor(d >> 1, 3988292384), d >> 1), xor(c, x)), 4294967295), 4294967295)"""
+
+
+def _leaf(chars: str) -> str:
+    parts = [f"coalesce(cast(strlen(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _nodes(name: str, leaves: str) -> str:
+    """All nodes of the trees over the leaves (g, i, h, n): g, level, i, h, n nodes in that level."""
+    return f"""{name} as (select g, 0 as level, i, h, n from {leaves}
+    union all select g, any_value(level) + 1, i // 2, sha256(string_agg(h, '' order by i)), (any_value(n) + 1) // 2 from {name} where n > 1 group by g, i // 2)"""
+
+
+def _ways(name: str, leaves: str, nodes: str) -> str:
+    """Of each leaf (g, i) the digests before and after its node, level by level."""
+    return f"""{name} as (select s.g, s.i, list({{'l': coalesce(if(o.i < p.i, o.h, ''), ''), 'r': coalesce(if(o.i > p.i, o.h, ''), ''), 'h': ''}} order by p.level) as way
+    from {leaves} s join {nodes} p on p.g = s.g and p.i = s.i >> p.level and p.n > 1
+    left join {nodes} o on o.g = p.g and o.level = p.level and o.i = xor(p.i, 1) group by s.g, s.i)"""
+
+
+_MANIFEST = f"""
+with recursive ids as (select doc_id, cast(doc_id as varchar) as v from (select distinct doc_id from documents where doc_id is not null)),
+tampered as (select doc_id from ids where {_CRC} % 7 = 0),
+docs as (select doc_id, coalesce('=' || lang, '') as g, {_leaf("n_chars")} as h, {_leaf("n_chars + 1")} as changed from documents),
+leaves as (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as i, count(*) over (partition by g) as n from docs),
+{_nodes("nodes", "leaves")},
+subroots as (select '' as g, g as member, h, row_number() over (order by g) - 1 as i, count(*) over () as n from nodes where n = 1),
+{_nodes("upper", "subroots")},
+{_ways("low", "leaves", "nodes")},
+{_ways("high", "subroots", "upper")},
+placed as (select d.doc_id, d.h as leaf, s.h as subroot, (select h from upper where n = 1) as root, if(x.doc_id is null, d.h, d.changed) as start,
+        list_concat(coalesce(low.way, []), coalesce(high.way, [])) as way
+    from leaves d join subroots s on s.member = d.g left join low on low.g = d.g and low.i = d.i left join high on high.i = s.i
+    left join tampered x on x.doc_id = d.doc_id),
+folded as (select *, list_reduce(list_prepend({{'l': '', 'r': '', 'h': start}}, way), lambda a, b: {{'l': '', 'r': '', 'h': sha256(b.l || a.h || b.r)}}).h as folded_root
+    from placed)
+select doc_id, leaf, subroot, root, sha256(list_aggregate(list_prepend('', list_transform(way, lambda s: s.l || s.r)), 'string_agg', '')) as proof_sha256, folded_root,
+    folded_root = root as verified from folded"""
+
 SQL = {
     "op1_pii": _personal_data(),
     "op3_ngram_jaccard_join": _JOIN,
     "op9_benchmark_decontamination": _passages(),
+    "op12_merkle_dataset_manifest": _MANIFEST,
 }
