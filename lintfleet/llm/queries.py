@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintfleet.llm import (
-    brown_lm, decontaminate, html_extract, jaccard_join, langid, manifest, media, packing, pii, sharding, sql, toxicity,
+    brown_lm, decontaminate, html_extract, jaccard_join, langid, manifest, media, negatives, packing, pii, sharding, sql, toxicity,
 )
 from lintfleet.llm.common import held_out, read
 
@@ -89,6 +89,12 @@ def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(vectors, F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -101,5 +107,6 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_media_columns": op10_media_columns,
     "op12_merkle_dataset_manifest": op12_merkle_dataset_manifest,
+    "op13_hard_negative_mining": op13_hard_negative_mining,
 }
 SQL = sql.SQL

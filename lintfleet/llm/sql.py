@@ -113,9 +113,23 @@ folded as (select *, list_reduce(list_prepend({{'l': '', 'r': '', 'h': start}},
 select doc_id, leaf, subroot, root, sha256(list_aggregate(list_prepend('', list_transform(way, lambda s: s.l || s.r)), 'string_agg', '')) as proof_sha256, folded_root,
     folded_root = root as verified from folded"""
 
+_NEGATIVES = """
+with vectors as (select vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    from embeddings where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+    from vectors a join vectors b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.vec_id) as int) as rank, n.vec_id as negative_id,
+    positive_score, n.score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same and 50 * positive_score <= 100 * n.score and 100 * n.score <= 95 * positive_score
+qualify rank <= 3"""
+
 SQL = {
     "op1_pii": _personal_data(),
     "op3_ngram_jaccard_join": _JOIN,
     "op9_benchmark_decontamination": _passages(),
     "op12_merkle_dataset_manifest": _MANIFEST,
+    "op13_hard_negative_mining": _NEGATIVES,
 }
