@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintfleet.llm import (
-    brown_lm, decontaminate, html_extract, jaccard_join, langid, manifest, media, negatives, packing, pii, sharding, sql, toxicity,
+    brown_lm, decontaminate, html_extract, jaccard_join, langid, manifest, media, negatives, packing, pii, sharding, sql, toxicity, vector_dedup,
 )
 from lintfleet.llm.common import held_out, read
 
@@ -78,6 +78,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.align_clips(media.clips_of(read(spark, sf_dir, "embeddings")))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     tampered = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in manifest.FIELDS]
@@ -106,6 +110,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_media_columns": op10_media_columns,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
     "op12_merkle_dataset_manifest": op12_merkle_dataset_manifest,
     "op13_hard_negative_mining": op13_hard_negative_mining,
 }

@@ -126,10 +126,23 @@ select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_i
 from positives p join scored n on n.anchor_id = p.anchor_id and not n.same and 50 * positive_score <= 100 * n.score and 100 * n.score <= 95 * positive_score
 qualify rank <= 3"""
 
+_NEAR_VECTORS = """
+with recursive vectors as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.label = b.label and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach as (select vec_id as a, vec_id as b from vectors union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as component_id from reach group by a),
+counts as (select a, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0) as n_links, cast(coalesce(component_id, vec_id) as bigint) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings e left join least on least.a = e.vec_id left join counts on counts.a = e.vec_id"""
+
 SQL = {
     "op1_pii": _personal_data(),
     "op3_ngram_jaccard_join": _JOIN,
     "op9_benchmark_decontamination": _passages(),
+    "op11_embedding_near_dedup": _NEAR_VECTORS,
     "op12_merkle_dataset_manifest": _MANIFEST,
     "op13_hard_negative_mining": _NEGATIVES,
 }
