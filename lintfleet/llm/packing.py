@@ -1,7 +1,8 @@
 """Documents as token sequences of bounded length, by sum-of-squares packing.
 
 Tokens: white-space separated chunks are tokenized once per worker and remembered, which gives the same ids as the whole
-text, because the vocabulary's pre-tokenizer cuts at white space first and drops it.
+text, because the vocabulary's pre-tokenizer cuts at white space first and drops it. Those that are new in a batch go to the
+tokenizer together.
 
 Packing: only pieces shorter than a sequence are packed. They are dealt into blocks of bounded size; in a block, longest
 first, each goes into the open sequence (or a new one) that leaves the sum over all gaps of (open sequences with that
@@ -10,8 +11,10 @@ gap) squared smallest. The number of open sequences that a block leaves is small
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from lintfleet.llm.common import bound_batches, take_worker, texts_of
 from lintfleet.session import materialize
@@ -28,13 +31,16 @@ from lintfleet.session import materialize
 LENGTH = 2048
 END = 0
 BLOCK = 100_000
-CACHED_WORDS = 350_000
+CACHED_CHUNKS = 200_000  # of each of two generations; of parts half as many
 CACHED_CHARS = 48
-# the vocabulary's own cut of a chunk, for lower-case ASCII
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+").findall
+BATCH_CHARS = 4_000_000  # of texts that are tokenized together
 # to str.split() these are white space too, to the vocabulary they are characters that have tokens
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _CHUNKS = re.compile(rf"(?:[^\s]|[{_NOT_SPACE}])+").findall
+# the vocabulary's own cut of a chunk, for letters of Latin-1 and Latin Extended-A in lower case (but for U+0130, whose lower case is two characters)
+_LETTERS, _DIGITS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+").findall
+_LATIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
 
 
 def chunks(text: str) -> list[str]:
@@ -42,36 +48,94 @@ def chunks(text: str) -> list[str]:
     return _CHUNKS(text) if any(c in text for c in _NOT_SPACE) else text.split()
 
 
-class ChunkIds(dict):
-    """White-space separated chunk -> its ids as little-endian 32-bit numbers. Bounded: emptied when it is full."""
+class Generations(dict):
+    """A bounded cache: what was not asked for while as many others came in as a generation holds is forgotten."""
 
-    def __init__(self, path: str):
+    def __init__(self, most: int):
         super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.most = most
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk.isascii() or "<|" in chunk or len(chunk) > CACHED_CHARS:
-            ids = self.encode(chunk)
-        else:
-            parts, known = _PARTS(chunk.lower()), self.parts
-            for part in parts:
-                if part not in known:
-                    known[part] = self.encode(part)
-            ids = b"".join([known[p] for p in parts])
-        if len(chunk) <= CACHED_CHARS:
-            self[chunk] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if len(self) > CACHED_WORDS:
+    def lacking(self, keys: set[str]) -> set[str]:
+        """Those of the keys that are not known; the others are in the younger generation from now on."""
+        if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
-            self.parts.clear()
-        return b"".join(map(self.__getitem__, chunks(text)))
+        missing = keys.difference(self)
+        known = missing.intersection(self.old)
+        self.update((k, self.old[k]) for k in known)
+        return missing - known
+
+
+class ChunkIds:
+    """Ids of texts by white-space separated chunks. What is new in a batch of texts is tokenized in one call."""
+
+    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks, self.parts = Generations(cached), Generations(cached // 2)
+        self.words = self._of_words()
+
+    def _of_words(self) -> tuple[Tokenizer, np.ndarray] | None:
+        """The vocabulary without its own cutting, for parts between blanks, and which ids end a word; None where words have no end mark."""
+        spec = json.loads(self.tokenizer.to_str())
+        steps, mark = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [], spec["model"].get("end_of_word_suffix")
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or not mark:
+            return None
+        words = Tokenizer(self.tokenizer.model)
+        words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        ends[[i for token, i in words.get_vocab().items() if token.endswith(mark)]] = True
+        return words, ends
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """As `encode`, for texts in lower case that the vocabulary takes as one word each: they go as one text, cut behind each last id of a word."""
+        if self.words and parts:
+            words, ends = self.words
+            ids = np.array(words.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+            at = 4 * (np.flatnonzero(ends[ids]) + 1)
+            if len(at) == len(parts):
+                raw = ids.tobytes()
+                return [raw[a:b] for a, b in zip([0, *at.tolist()], at.tolist(), strict=False)]
+        return self.encode(parts)
+
+    def learn(self, wanted: list[str]) -> None:
+        """Puts the ids of chunks into the cache."""
+        new = self.chunks.lacking(set(wanted))
+        # `<|` may begin a special token, which knows no parts
+        latin = [c for c in new if _LATIN(c) and "<|" not in c]
+        other = list(new.difference(latin))
+        cut = [_PARTS(c.lower()) for c in latin]
+        unknown = list(self.parts.lacking({p for parts in cut for p in parts}))
+        parts = self.parts
+        parts.update(zip(unknown, self.encode_parts(unknown), strict=True))
+        self.chunks.update(zip(other, self.encode(other), strict=True))
+        self.chunks.update((c, parts[p[0]] if len(p) == 1 else b"".join([parts[x] for x in p])) for c, p in zip(latin, cut, strict=True))
+
+    def of(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each text's followed by `end`, and where each text's begin and the last one's end."""
+        words: list[str] = []
+        for text in texts:
+            words += chunks(text)
+            words.append(" ")  # no chunk: stands for the end
+        code, found = pd.factorize(np.array(words, object))
+        distinct = found.tolist()
+        stop = distinct.index(" ")
+        wanted = distinct[:stop] + distinct[stop + 1 :]
+        self.learn(wanted)
+        ids = [self.chunks[c] for c in wanted]
+        ids.insert(stop, np.array([end], "<u4").tobytes())
+        for c in wanted:
+            if len(c) > CACHED_CHARS:
+                del self.chunks[c]
+        size = np.array([len(x) for x in ids], "i8") // 4
+        first = np.cumsum(size) - size
+        here = np.cumsum(size[code])
+        from_place = np.repeat(first[code] - (here - size[code]), size[code]) + np.arange(here[-1])
+        return np.frombuffer(b"".join(ids), "<u4")[from_place], np.concatenate([[0], here[code == stop]])
 
 
 _CACHES: dict[str, ChunkIds] = {}
@@ -84,6 +148,19 @@ def chunk_ids(path: str) -> ChunkIds:
     return _CACHES[path]
 
 
+def bounded(batches: Iterable[tuple[pa.RecordBatch, list[str]]], chars: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The same rows in batches of about that many characters, or one text if that is longer."""
+    for batch, texts in batches:
+        first, held = 0, 0
+        for n, text in enumerate(texts):
+            if held and held + len(text) > chars:
+                yield batch.slice(first, n - first), texts[first:n]
+                first, held = n, 0
+            held += len(text)
+        if texts:
+            yield batch.slice(first), texts[first:]
+
+
 def tokenize(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian 32-bit numbers as binary).
@@ -97,23 +174,20 @@ def tokenize(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int =
         T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),
     ])
-    tail, width = np.array([end], "<u4").tobytes(), 4 * length
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("packing", _CACHES.clear)
         cache = chunk_ids(vocabulary)
-        for batch, texts in texts_of(batches):
-            rows, piece, ids = [], [], []
-            for n, text in enumerate(texts):
-                whole = cache.of(text) + tail
-                for at in range(0, len(whole), width):
-                    rows.append(n)
-                    piece.append(at // width)
-                    ids.append(whole[at : at + width])
-            number = np.array(piece, "i4")
+        for batch, texts in bounded(texts_of(batches)):
+            ids, at = cache.of(texts, end)
+            pieces = -(-np.diff(at) // length)
+            row = np.repeat(np.arange(len(texts)), pieces)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = at[row] + number * length
+            ends = np.append(begin, at[-1])
+            raw = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(number), pa.array(number.astype("i8") * length),
-                 pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                [batch.column(0).take(pa.array(row)), pa.array(number.astype("i4")), pa.array(number * length), pa.array(np.diff(ends)), raw.cast(pa.binary())],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
