@@ -1,8 +1,8 @@
 """Documents as token sequences of bounded length, by sum-of-squares packing.
 
-Tokens: white-space separated chunks are tokenized once per worker and remembered, which gives the same ids as the whole
-text, because the vocabulary's pre-tokenizer cuts at white space first and drops it. Those that are new in a batch go to the
-tokenizer together.
+Tokens: the vocabulary's pre-tokenizer cuts a text into parts before anything else. The same cut is made here for all texts
+of a batch at once; each distinct part is tokenized once per worker and remembered, new ones together, which gives the same
+ids as the whole text.
 
 Packing: only pieces shorter than a sequence are packed. They are dealt into blocks of bounded size; in a block, longest
 first, each goes into the open sequence (or a new one) that leaves the sum over all gaps of (open sequences with that
@@ -15,7 +15,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,21 +31,55 @@ from lintfleet.session import materialize
 LENGTH = 2048
 END = 0
 BLOCK = 100_000
-CACHED_CHUNKS = 200_000  # of each of two generations; of parts half as many
+CACHED = 200_000  # parts, and foreign chunks, of each of two generations
 CACHED_CHARS = 48
 BATCH_CHARS = 4_000_000  # of texts that are tokenized together
-# to str.split() these are white space too, to the vocabulary they are characters that have tokens
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
-_CHUNKS = re.compile(rf"(?:[^\s]|[{_NOT_SPACE}])+").findall
-# the vocabulary's own cut of a chunk, for letters of Latin-1 and Latin Extended-A in lower case (but for U+0130, whose lower case is two characters)
-_LETTERS, _DIGITS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+").findall
-_LATIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
+# Parts are cut here for ASCII, Latin-1 and Latin Extended-A, but for U+0130, whose lower case is two characters. A chunk
+# with another character, or with what may begin a special token, is foreign: it goes to the tokenizer as it is.
+_SPACES, _LETTERS, _DIGITS = "\t-\r \x85\xa0", "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_NEAR = "\x00-\u012f\u0131-\u017f"
+_IS_NEAR = re.compile(f"[{_NEAR}]*").fullmatch
+# in a foreign text, white space is what the vocabulary takes as such: to Python U+001C to U+001F are white space too
+_FOREIGN = re.compile(rf"(?:[^\s]|[\x1c-\x1f])*?(?:[^{_NEAR}\s]|<\|)(?:[^\s]|[\x1c-\x1f])*")
+_FAR_SPACE = re.compile(r"(?![\x00-\xff])\s")
+_MARK, _END = "\u0180", "\u0183"  # lower-case letters; stand for a foreign chunk and for a text's end
+_BLANK, _LETTER, _DIGIT, _OTHER, _ALONE = range(5)
+_APOSTROPHE = 39
+_ONE, _TWO = [ord(c) for c in "stmd"], [ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")]  # after it, parts of their own with it
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut at what the vocabulary takes as white space."""
-    return _CHUNKS(text) if any(c in text for c in _NOT_SPACE) else text.split()
+def _kinds() -> np.ndarray:
+    table = np.full(0x184, _OTHER, "i1")
+    for kind, pattern in ((_BLANK, _SPACES), (_LETTER, _LETTERS), (_DIGIT, _DIGITS), (_ALONE, _MARK + _END)):
+        table[[ord(c) for c in re.findall(f"[{pattern}]", "".join(map(chr, range(0x184))))]] = kind
+    return table
+
+
+_KINDS = _kinds()
+
+
+def cut_parts(text: str) -> pa.Array:
+    """The parts that the vocabulary cuts a text into: runs of letters, single digits, runs of other characters, and 's, 't, 're and the like.
+
+    The text is in lower case and holds no foreign chunk but marks.
+    """
+    code = np.frombuffer((text + "  ").encode("utf-32-le"), "<u4")
+    kind = _KINDS[code]
+    before = np.concatenate([[_BLANK], kind[:-1]])
+    starts = (kind != _BLANK) & ((kind != before) | (kind == _DIGIT) | (kind == _ALONE))
+    at = np.flatnonzero((code == _APOSTROPHE) & (before != _OTHER))
+    for width, found in ((2, np.isin(code[at + 1], _ONE)), (3, np.isin(code[at + 1] << 16 | code[at + 2], _TWO))):
+        mine = at[found]
+        starts[mine + 1] = False
+        after = mine + width
+        after = after[after < len(kind)]
+        starts[after] = kind[after] != _BLANK
+    full = kind != _BLANK
+    code, starts = code[full], starts[full]
+    sizes = np.where(code < 128, 1, 2)
+    offsets = np.append((np.cumsum(sizes) - sizes)[starts], sizes.sum())
+    raw = code.tobytes().decode("utf-32-le").encode()
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
 class Generations(dict):
@@ -67,13 +101,13 @@ class Generations(dict):
         return missing - known
 
 
-class ChunkIds:
-    """Ids of texts by white-space separated chunks. What is new in a batch of texts is tokenized in one call."""
+class TextIds:
+    """Ids of texts. What is new in a batch of texts is tokenized in one call."""
 
-    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
+    def __init__(self, path: str, cached: int = CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.parts = Generations(cached), Generations(cached // 2)
+        self.parts, self.foreign = Generations(cached), Generations(cached)
         self.words = self._of_words()
 
     def _of_words(self) -> tuple[Tokenizer, np.ndarray] | None:
@@ -102,49 +136,50 @@ class ChunkIds:
                 return [raw[a:b] for a, b in zip([0, *at.tolist()], at.tolist(), strict=False)]
         return self.encode(parts)
 
-    def learn(self, wanted: list[str]) -> None:
-        """Puts the ids of chunks into the cache."""
-        new = self.chunks.lacking(set(wanted))
-        # `<|` may begin a special token, which knows no parts
-        latin = [c for c in new if _LATIN(c) and "<|" not in c]
-        other = list(new.difference(latin))
-        cut = [_PARTS(c.lower()) for c in latin]
-        unknown = list(self.parts.lacking({p for parts in cut for p in parts}))
-        parts = self.parts
-        parts.update(zip(unknown, self.encode_parts(unknown), strict=True))
-        self.chunks.update(zip(other, self.encode(other), strict=True))
-        self.chunks.update((c, parts[p[0]] if len(p) == 1 else b"".join([parts[x] for x in p])) for c, p in zip(latin, cut, strict=True))
+    def known(self, cache: Generations, wanted: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        new = list(cache.lacking(set(wanted)))
+        cache.update(zip(new, encode(new), strict=True))
+        ids = [cache[w] for w in wanted]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del cache[w]
+        return ids
 
     def of(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each text's followed by `end`, and where each text's begin and the last one's end."""
-        words: list[str] = []
+        foreign: list[str] = []
+        near = []
         for text in texts:
-            words += chunks(text)
-            words.append(" ")  # no chunk: stands for the end
-        code, found = pd.factorize(np.array(words, object))
-        distinct = found.tolist()
-        stop = distinct.index(" ")
-        wanted = distinct[:stop] + distinct[stop + 1 :]
-        self.learn(wanted)
-        ids = [self.chunks[c] for c in wanted]
-        ids.insert(stop, np.array([end], "<u4").tobytes())
-        for c in wanted:
-            if len(c) > CACHED_CHARS:
-                del self.chunks[c]
+            if "<|" in text or not _IS_NEAR(text):
+                text = _FAR_SPACE.sub(" ", text)
+                foreign += _FOREIGN.findall(text)
+                text = _FOREIGN.sub(_MARK, text)
+            near.append(text)
+        coded = cut_parts((_END.join(near) + _END).lower()).dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        special = {_MARK: b"", _END: np.array([end], "<u4").tobytes()}
+        ids = dict(zip(plain := [p for p in distinct if p not in special], self.known(self.parts, plain, self.encode_parts), strict=True)) | special
+        ids = [ids[p] for p in distinct]
+        stops = code == distinct.index(_END)
+        if foreign:
+            place, chunks = pd.factorize(np.array(foreign, object))
+            code = code.astype("i8")
+            code[code == distinct.index(_MARK)] = len(ids) + place
+            ids += self.known(self.foreign, chunks.tolist(), self.encode)
         size = np.array([len(x) for x in ids], "i8") // 4
         first = np.cumsum(size) - size
         here = np.cumsum(size[code])
-        from_place = np.repeat(first[code] - (here - size[code]), size[code]) + np.arange(here[-1])
-        return np.frombuffer(b"".join(ids), "<u4")[from_place], np.concatenate([[0], here[code == stop]])
+        source = np.repeat(first[code] - (here - size[code]), size[code]) + np.arange(here[-1])
+        return np.frombuffer(b"".join(ids), "<u4")[source], np.concatenate([[0], here[stops]])
 
 
-_CACHES: dict[str, ChunkIds] = {}
+_CACHES: dict[str, TextIds] = {}
 
 
-def chunk_ids(path: str) -> ChunkIds:
+def text_ids(path: str) -> TextIds:
     """One per worker process and vocabulary."""
     if path not in _CACHES:
-        _CACHES[path] = ChunkIds(path)
+        _CACHES[path] = TextIds(path)
     return _CACHES[path]
 
 
@@ -177,7 +212,7 @@ def tokenize(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("packing", _CACHES.clear)
-        cache = chunk_ids(vocabulary)
+        cache = text_ids(vocabulary)
         for batch, texts in bounded(texts_of(batches)):
             ids, at = cache.of(texts, end)
             pieces = -(-np.diff(at) // length)
