@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet.functions.arrays import pin
-from lintfleet.plans.tokens import BLOCK_COMMENT, IDENT_PART, IDENT_START, LINE_COMMENT, QUOTED_IDENT, STRING, TAG_PART, nested
+from lintfleet.plans.tokens import BLOCK_COMMENT, IDENT_PART, IDENT_START, LINE_COMMENT, QUOTED_IDENT, STRING, TAG_PART, breaker, let, unnested
 
 QUOTED = r'"(?:[^"]|"")*+"'
 NAME = rf"(?:{QUOTED}|{IDENT_START}{IDENT_PART}*+)"
@@ -52,14 +52,18 @@ def ident(text: Column) -> Column:
     return F.when(text.startswith('"'), inner).otherwise(F.lower(text))
 
 
+def _comments_gone(text: Column) -> Column:
+    return F.regexp_replace(let(breaker(text), lambda b: unnested(text, b)), _COMMENTS, "$1 ")
+
+
 def without_comments(text: Column) -> Column:
-    kept = F.regexp_replace(text, nested(_COMMENTS, text), F.lit("$1 "))
+    kept = _comments_gone(text)
     return F.regexp_replace(F.trim(F.regexp_replace(kept, rf"({QUOTED})\s*+|\s+", "$1 ")), r"[\s;]+$", "")
 
 
 def masked(text: Column) -> Column:
     """Statement text with comments gone, literals emptied to '' and white space single."""
-    plain = F.regexp_replace(text, nested(_COMMENTS, text), F.lit("$1 "))
+    plain = _comments_gone(text)
     marked = F.regexp_replace(plain, rf"({QUOTED})|{STRING}|{_TAG2}", f"$1{MARK}")
     emptied = F.regexp_replace(F.regexp_replace(marked, f'"{MARK}', '"'), MARK, "''")
     spaced = F.regexp_replace(emptied, rf"({QUOTED})\s*+|\s+", "$1 ")

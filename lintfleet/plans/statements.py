@@ -7,13 +7,11 @@ the list of finished spans; nothing is shuffled and no script is split over task
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet.functions.arrays import elements, pin
-from lintfleet.plans.tokens import BLOCK_COMMENT, CODE, LINE_COMMENT, NEWLINE, SPACE, nested
+from lintfleet.plans.tokens import BLOCK_COMMENT, CODE, LINE_COMMENT, NEWLINE, SPACE, breaker, let, restored, unnested
 
 TRIVIA = rf"(?:{SPACE}|{NEWLINE}++|{LINE_COMMENT}|{BLOCK_COMMENT})*+"
 SIGNIFICANT = rf"\G{TRIVIA}(?:{CODE})"
@@ -46,21 +44,16 @@ SPAN = "struct<meta:boolean,start:bigint,end:bigint,first:int,last:int,start_lin
 MIN_BLOCK = 256
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with the value computed once."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
 def _describe(p: Column) -> Column:
     """Static facts of one token and the trivia before it."""
-    lead = F.substring(p["raw"], F.lit(1), F.length(p["raw"]) - F.length(p["core"]))
+    lead = restored(p["lead"], F.col("_broken_by"))
     word = F.upper(p["core"])
     kind = (
         F.when(p["core"].isin(";", ",", "(", ")", "\\"), p["core"])
         .when(word.isin(WORDS), word)
         .otherwise("")
     )
-    no_comments = F.regexp_replace(lead, F.col("_comment"), F.lit(" "))
+    no_comments = F.regexp_replace(p["lead"], COMMENT, " ")
     broken = lead.contains("\n") | lead.contains("\r")
     return F.struct(
         F.octet_length(p["raw"]).cast("bigint").alias("size"),
@@ -257,18 +250,19 @@ def _fold(df: DataFrame) -> DataFrame:
 
 
 def _spans(df: DataFrame, ids: list[str], content: str) -> DataFrame:
-    patterns = {"_significant": SIGNIFICANT, "_after": AFTER_TRIVIA, "_comment": COMMENT}
-    out = pin(df.select(*ids, content), **{name: nested(p, F.col(content)) for name, p in patterns.items()})
-    raw = F.regexp_extract_all(F.col(content), F.col("_significant"), F.lit(0))
-    out = pin(out, _raw=raw).drop(content)
-    core = F.transform(
-        "_raw",
-        lambda m: F.struct(
-            m.alias("raw"),
-            F.when(F.ascii(m).isin(9, 10, 11, 12, 13, 32, 45, 47), F.call_function("regexp_extract", m, F.col("_after"), F.lit(1))).otherwise(m).alias("core"),
-        ),
-    )
-    out = pin(out, _parts=core)
+    text, broken_by = F.col(content), F.col("_broken_by")
+    out = pin(df.select(*ids, content), _broken_by=breaker(text))
+    out = pin(out, _found=F.regexp_extract_all(unnested(text, broken_by), F.lit(SIGNIFICANT), F.lit(0))).drop(content)
+
+    def part(m: Column) -> Column:
+        core = F.when(F.ascii(m).isin(9, 10, 11, 12, 13, 32, 45, 47), F.regexp_extract(m, AFTER_TRIVIA, 1)).otherwise(m)
+        return let(core, lambda c: F.struct(
+            restored(m, broken_by).alias("raw"), restored(c, broken_by).alias("core"),
+            F.substring(m, F.lit(1), F.length(m) - F.length(c)).alias("lead"),
+        ))
+
+    out = pin(out, _parts=F.transform("_found", part)).drop("_found")
+    out = pin(out, _raw=F.transform("_parts", lambda p: p["raw"]))
     out = pin(out, _info=F.transform("_parts", _describe))
     out = pin(out, _events=F.transform("_info", _event))
     out = _fold(out)

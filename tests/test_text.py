@@ -1,5 +1,8 @@
 """Tokens, statements, facts and mentions."""
 
+import random
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -167,3 +170,55 @@ def test_comments_nest_to_any_depth(spark):
     assert got[0] == [rows[-2][1][10:]] and got[-1] == ["/***/", "/*/ a */", "/*/* b */ 2 */"]
     counts = ST.split_statements(df, ["script_id"], "content").groupBy("script_id").count().collect()
     assert all(r["count"] == 3 for r in counts if r.script_id > 0)
+
+
+def lexed(text):
+    """Plain lexer of what matters to comments: the outermost block comments of a text."""
+    out, i = [], 0
+    while i < len(text):
+        two = text[i : i + 2]
+        if two == "/*":
+            start, depth, i = i, 1, i + 2
+            while i < len(text) and depth:
+                step = {"/*": 1, "*/": -1}.get(text[i : i + 2], 0)
+                depth, i = depth + step, i + (2 if step else 1)
+            out.append(text[start:i])
+        elif two == "--":
+            end = text.find("\n", i)
+            i = len(text) if end < 0 else end
+        elif text[i] in "'\"":
+            end = text.find(text[i], i + 1)
+            i = len(text) if end < 0 else end + 1
+        elif word := re.match(r"[A-Za-z_\x80-\xff][A-Za-z0-9_$\x80-\xff]*", text[i:]):
+            i += len(word[0])
+        elif tag := re.match(r"\$([A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*)?\$", text[i:]):
+            end = text.find(tag[0], i + len(tag[0]))
+            i = len(text) if end < 0 else end + len(tag[0])
+        else:
+            i += 1
+    return out
+
+
+def test_comments_are_found_as_by_a_plain_lexer(spark):
+    rng = random.Random(4)
+    some = ["/*", "*/", "/", "*", "-", "--", "'", '"', "\n", "\r", "$$", "$a$", "$b$", "$", "a", "b1", " ", "1", ";", "/*/", "*/*", "", "", "é", "日"]
+    rows = [(n, "".join(rng.choice(some) for _ in range(rng.randrange(4, 40)))) for n in range(1500)]
+    df = spark.createDataFrame(rows, "script_id int, content string").repartition(8)
+    tokens = TK.tokens(df, ["script_id"], "content").groupBy("script_id").agg(F.sort_array(F.collect_list(F.struct("ord", "token", "kind"))).alias("t")).collect()
+    texts = dict(rows)
+    for row in tokens:
+        assert "".join(t.token for t in row.t) == texts[row.script_id]
+        found = [t.token for t in row.t if t.kind == "comment" and t.token.startswith("/*")]
+        assert found == lexed(texts[row.script_id]), texts[row.script_id]
+
+
+def test_thousands_of_open_marks(spark):
+    """Nothing is written for the depth of a text, so no text can be too deep, and each is judged by itself."""
+    n = 10_000
+    rows = [(1, "select '/*';\n" * n), (2, f"select 1; {'/* ' * n}{'*/ ' * n}select 2;"), (3, "select 1; " + "/* " * n), (4, "select 1; /* a */ select 2;"),
+            (5, "select 1; " + "/* /* a */ */ select 2; " * n)]
+    df = spark.createDataFrame(rows, "script_id int, content string").repartition(5)
+    statements = ST.split_statements(df, ["script_id"], "content")
+    assert {r[0]: r[1] for r in statements.groupBy("script_id").count().collect()} == {1: n, 2: 2, 3: 1, 4: 2, 5: n + 1}
+    facts = FX.statement_facts(statements.filter("script_id = 2")).select("masked").collect()
+    assert [r.masked for r in facts] == ["select 1", "select 2"]
