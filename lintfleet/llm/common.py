@@ -20,6 +20,7 @@ ITEM_WORDS = bytes(_FOLD[c] if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122
 
 
 BATCH_ROWS = 1000  # documents can be long, so Arrow batches hold few of them
+BATCH_BYTES = 16 << 20
 _HELD: dict[str, Callable[[], None]] = {}
 
 
@@ -28,6 +29,7 @@ def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def take_worker(owner: str, clear: Callable[[], None] | None = None) -> None:

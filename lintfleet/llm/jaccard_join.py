@@ -42,6 +42,7 @@ FLUSH = 1_000_000  # tokens a task sorts at once
 KNOWN_WORDS = 200_000
 PIVOTS = 2  # rounds in which a signature's members are compared with one of them
 BLOCK = 512  # members that meet as many others in one task
+BLOCK_TOKENS = 200_000  # of all members of a block, about
 COLUMNS = 4096  # tokens of them that are counted at once
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "u8")
 
@@ -201,7 +202,7 @@ def _bucket_statistics(bits: int):
 class TokenClasses:
     """What all tasks know about tokens: classes of the frequent ones, and the bitmap. Bounded by its two constants."""
 
-    def __init__(self, buckets: int, bits: int, rows: list, frequent: list):
+    def __init__(self, buckets: int, bits: int, rows: list, frequent: pa.Table):
         self.shift = np.uint64(64 - (buckets.bit_length() - 1) - 32)
         self.bit_shift = np.uint64(64 - (buckets.bit_length() - 1) - (bits.bit_length() - 1))
         bitmap = np.zeros(buckets * bits // 8, "u1")
@@ -209,10 +210,11 @@ class TokenClasses:
             at = row["bucket"] * bits // 8
             bitmap[at : at + bits // 8] = np.frombuffer(row["bitmap"], "u1")
         self.bitmap = bitmap
-        keys = np.array([(r["bucket"] << 32) | r["token"] for r in frequent], "u8")
+        bucket, token, n = (frequent[c].to_numpy() for c in ("bucket", "token", "n"))
+        keys = (bucket.astype("u8") << np.uint64(32)) | token.astype("u8")
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.classes = np.where(np.array([r["n"] for r in frequent], "i8")[order] >= COMMON, 3, 2).astype("i1")
+        self.classes = np.where(n[order] >= COMMON, 3, 2).astype("i1")
 
     def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, may another document have it) of each token."""
@@ -235,7 +237,7 @@ def token_classes(counted: DataFrame, buckets: int) -> TokenClasses:
         "token-statistics")
     often = stats.select("bucket", F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
     often = often.select("bucket", F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
-    frequent = often.orderBy(F.desc("n"), "bucket", "token").limit(MAX_FREQUENT).collect()
+    frequent = often.orderBy(F.desc("n"), "bucket", "token").limit(MAX_FREQUENT).toArrow()
     return TokenClasses(buckets, bits, stats.select("bucket", "bitmap").collect(), frequent)
 
 
@@ -309,8 +311,10 @@ def _compare_all(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Signatures with the same pivot mostly have the same members; they are taken together, so that a pair is not
     compared for each of them. Members are cut into blocks, and each two blocks meet in one task.
     """
-    members = rows.groupBy(F.col("pivot.node").alias("pivot"), "node").agg(F.first("label").alias("label"))
-    blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    members = rows.groupBy(F.col("pivot.node").alias("pivot"), "node").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+    needed = F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_TOKENS))
+    blocks = members.groupBy("pivot").agg(F.ceil(needed).cast("int").alias("blocks"))
+    members = members.drop("n")
     dealt = members.join(blocks, "pivot").withColumn("side", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("blocks")).cast("int"))
     dealt = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("pivot", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "label", "side", "tokens")
