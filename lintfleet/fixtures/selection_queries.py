@@ -21,13 +21,14 @@ from lintfleet.plans import lint_rules as L
 from lintfleet.plans import scorecard as P
 from lintfleet.plans import selection as SEL
 from lintfleet.plans import suppressions as X
+from lintfleet.plans.statements import split_statements
 from lintfleet.session import configure, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# rules whose findings the suppression queries work on
-RULES = ["L16", "L20", "L22", "L23", "L37", "L39", "L42"]
+# rules whose findings the suppression queries work on: all that judge a statement by itself; X09 runs all others too
+RULES = [i for i, r in L.RULES.items() if r.hits and not r.needs]
 NAMES = [L.RULES[i].name for i in RULES]
 
 
@@ -40,9 +41,9 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _KNOWN = ", ".join(f"'{s}'" for s in X.known_specifiers())
-FINDINGS = f"""
-, fnd as (select r.*, p.stmt_no, p.start_byte, p.end_byte, p.start_line, p.end_line, p.start_col, p.end_col, p.text code
-  from ({" union all ".join(LQ.rule_rows(i) for i in RULES)}) r join spans p on p.script_id = r.script_id and p.pos = r.pos)"""
+_FOUND = f"""
+, fnd as materialized (select r.*, p.stmt_no, p.start_byte, p.end_byte, p.start_line, p.end_line, p.start_col, p.end_col, p.text code
+  from ({{rows}}) r join spans p on p.script_id = r.script_id and p.pos = r.pos)"""
 COMMENTS = f"""
 , ln as (select script_id, cast(i - 1 as int) line, x raw, regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '') t,
     cast(coalesce(sum(strlen(x) + 1) over (partition by script_id order by i rows between unbounded preceding and 1 preceding), 0) as bigint) at0
@@ -72,8 +73,15 @@ COMMENTS = f"""
 MATCH = "(split_part(f.category, '/', 1) = {s} or concat(split_part(f.category, '/', 1), '/', split_part(f.category, '/', 2)) = {s} or f.category = {s})"
 
 
-def sql(body: str) -> str:
-    return f"with {SCRIPT_SQL}{LQ.STATE}{DECLARED}{FINDINGS}{COMMENTS}\n{body}"
+def sql(body: str, rules: list[str] = RULES) -> str:
+    rows = "\nunion all ".join(LQ.rule_rows(i) for i in rules)
+    relations = f", {LQ.CATALOG_SQL}" if rules is not RULES else ""
+    return f"with {SCRIPT_SQL}{LQ.STATE}{DECLARED}{relations}{_FOUND.format(rows=rows)}{COMMENTS}\n{body}"
+
+
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    """The sweep over findings and comments."""
+    return X.judge(findings(spark, sf).withColumn("origin", F.lit(X.LINT)), parsed(spark, sf))
 
 
 # ------------------------------------------------------------------ T09-T11
@@ -96,17 +104,17 @@ SQL["T11_start_end_pairs"] = sql("select * from rng")
 _SYNTAX = ["script_id", "start_byte", "end_byte"]
 
 
-def _syntax(spark: SparkSession, sf: str) -> DataFrame:
+def _syntax(statements: DataFrame) -> DataFrame:
     """Every statement as if it had failed to parse, so that each finding has something to subsume."""
-    return split(spark, sf).select(
+    return statements.select(
         "script_id", F.lit("syntax").alias("category"), F.lit(C.ERROR).alias("severity"), F.lit("Invalid statement").alias("message"),
         "start_byte", "end_byte", "start_line", "end_line",
     )
 
 
-def _database(spark: SparkSession, sf: str) -> DataFrame:
+def _database(statements: DataFrame) -> DataFrame:
     """Some statements as if the database had reported them; a third of these a little wider than the statement."""
-    return split(spark, sf).filter("stmt_no % 3 = 0").select(
+    return statements.filter("stmt_no % 3 = 0").select(
         "script_id", F.lit("database/check").alias("category"), F.lit(C.HINT).alias("severity"), F.lit("Reported").alias("message"),
         "start_byte", (F.col("end_byte") + F.when(F.col("stmt_no") % 9 == 0, 1).otherwise(0)).alias("end_byte"), "start_line", "end_line",
     )
@@ -116,21 +124,24 @@ _DATABASE = f"""
 , dbf as (select script_id, 'database/check' category, {C.HINT} severity, 'Reported' message, start_byte,
   end_byte + case when stmt_no % 9 = 0 then 1 else 0 end end_byte, start_line, end_line from spans where stmt_no % 3 = 0)"""
 _INSIDE = "exists (select 1 from dbf f where f.script_id = s.script_id and f.start_byte >= s.start_byte and f.end_byte <= s.end_byte)"
-QUERIES["X02_syntax_error_subsumption"] = lambda spark, sf: X.drop_contained_syntax_errors(_syntax(spark, sf), _database(spark, sf)).select(*_SYNTAX)
+QUERIES["X02_syntax_error_subsumption"] = lambda spark, sf: X.drop_contained_syntax_errors(_syntax(split(spark, sf)), _database(split(spark, sf))).select(*_SYNTAX)
 SQL["X02_syntax_error_subsumption"] = sql(f"{_DATABASE} select script_id, start_byte, end_byte from spans s where not {_INSIDE}")
 _FILE_HIT = f"exists (select 1 from ok k where k.script_id = f.script_id and k.kind = 'file' and k.is_leading and {MATCH.format(s='k.spec')})"
-QUERIES["X03_file_suppression"] = lambda spark, sf: X.by_file(findings(spark, sf), parsed(spark, sf)).select(
-    "script_id", "pos", "ord", "category", "message", "file_suppressed"
-)
+QUERIES["X03_file_suppression"] = lambda spark, sf: (
+    judged(spark, sf).filter("is_found").select("script_id", "category", F.col("by_file").alias("file_suppressed"), F.inline("found"))
+    .select("script_id", "pos", "ord", "category", "message", "file_suppressed")
+)
 SQL["X03_file_suppression"] = sql(f"select script_id, stmt_no pos, ord, category, message, {_FILE_HIT} file_suppressed from fnd f")
 _LINE_HIT = f"exists (select 1 from tgt k where k.script_id = f.script_id and {MATCH.format(s='k.spec')} and k.target_line between f.start_line and f.end_line)"
 _RANGE_HIT = f"exists (select 1 from rng k where k.script_id = f.script_id and k.error is null and {MATCH.format(s='k.specifier')} and k.start_byte <= f.start_byte and f.end_byte <= k.end_byte)"
 _SPAN = ", ".join(X.SPAN)
-QUERIES["X04_line_suppression"] = lambda spark, sf: X.line_hits(findings(spark, sf), X.line_suppressions(parsed(spark, sf)))
+QUERIES["X04_line_suppression"] = lambda spark, sf: judged(spark, sf).filter("by_line").select(*X.SPAN)
 SQL["X04_line_suppression"] = sql(f"select distinct {_SPAN} from fnd f where {_LINE_HIT}")
-QUERIES["X05_range_suppression"] = lambda spark, sf: X.range_hits(findings(spark, sf), X.range_suppressions(parsed(spark, sf)))
+QUERIES["X05_range_suppression"] = lambda spark, sf: judged(spark, sf).filter("by_range").select(*X.SPAN)
 SQL["X05_range_suppression"] = sql(f"select distinct {_SPAN} from fnd f where {_RANGE_HIT}")
-QUERIES["X06_unused_suppression"] = lambda spark, sf: X.unused(findings(spark, sf), X.line_suppressions(parsed(spark, sf)))
+QUERIES["X06_unused_suppression"] = lambda spark, sf: judged(spark, sf).filter("idle").select(
+    "script_id", F.col("start_line").alias("line"), "start_byte", "end_byte", F.lit(X.NO_EFFECT).alias("message")
+)
 _UNUSED = f"""select script_id, line, start_byte, end_byte, '{X.NO_EFFECT}' message from tgt k where not exists
   (select 1 from fnd f where f.script_id = k.script_id and {MATCH.format(s='k.spec')} and k.target_line between f.start_line and f.end_line)"""
 SQL["X06_unused_suppression"] = sql(_UNUSED)
@@ -176,9 +187,11 @@ SQL["X08_cap_with_remainder"] = sql(
 
 
 def _check(spark: SparkSession, sf: str) -> DataFrame:
-    found = CH.check(
-        scripts(spark, sf), NAMES, syntax_errors=_syntax(spark, sf), database_findings=_database(spark, sf), levels=_LEVELS, disabled=_DISABLED
-    )
+    """All rules with the catalog. Syntax errors and database findings are made of the statements, so these are split once."""
+    corpus = scripts(spark, sf).withColumn("db_id", (F.col("script_id") % 5).cast("int"))
+    statements = materialize(split_statements(corpus, ["script_id", "db_id"], "content"), "split")
+    found = CH.check(corpus, None, catalog(spark, sf), _syntax(statements), database_findings=_database(statements), levels=_LEVELS,
+                     disabled=_DISABLED, statements=statements)
     return found.drop("start_line", "end_line")
 
 
@@ -195,7 +208,8 @@ union all select script_id, 'lint', 2, '{X.MISPLACED}', start_byte, end_byte fro
 union all select script_id, 'lint', 2, error, start_byte, end_byte from rng where error is not null
 union all select script_id, 'lint', 2, message, start_byte, end_byte from ({_NAMED_OFF}) d
 union all select script_id, 'lint', 2, message, start_byte, end_byte from (
-  {_UNUSED.replace('from fnd f', 'from everything f')}) u"""
+  {_UNUSED.replace('from fnd f', 'from everything f')}) u""",
+    sorted(L.RULES),
 )
 
 CONFIG_SQL = """

@@ -19,25 +19,28 @@ from lintfleet.sources.catalog import Catalog
 SPAN = ["start_byte", "end_byte", "start_line", "end_line", "start_col", "end_col"]
 
 
-def lint_scripts(scripts: DataFrame, rules: list[str] | None = None, cat: Catalog | None = None, write_facts: bool | None = None) -> DataFrame:
-    """Findings with spans.
+def lint_scripts(scripts: DataFrame, rules: list[str] | None = None, cat: Catalog | None = None, write_facts: bool | None = None,
+                 statements: DataFrame | None = None, code: bool = True) -> DataFrame:
+    """Findings with spans, and with the statement's text as `code`.
+
+    `statements` are the scripts' statements where they have been split already (with db_id, for a catalog).
 
     `write_facts` puts the facts in a table first, so that the texts are read once and each state chain reads a few
     columns of it. By default that is done when any enabled rule needs more than its own statement.
     """
     if write_facts is None:
         write_facts = any((r.needs or r.build) for r in L.RULES.values() if rules is None or r.name in rules)
-    statements = split_statements(scripts, ["script_id"], "content")
+    if statements is None:
+        statements = split_statements(scripts, ["script_id", *[c for c in ("db_id",) if c in scripts.columns]], "content")
     extracted = FX.extract(statements.withColumnRenamed("stmt_no", "pos"))
-    if "db_id" in scripts.columns:
-        extracted = extracted.join(scripts.select("script_id", "db_id"), "script_id")
     if write_facts:
         extracted = materialize(extracted, "facts")
         chunk = chunk_width(extracted, ["script_id"])
     else:
         # statements of one script come out of one cell, which bounds them
         chunk = None
-    return L.lint(extracted, rules, cat, chunk, carry=[*SPAN, "text"]).withColumnRenamed("text", "code")
+    # texts are wide, and state chains shuffle what they carry
+    return L.lint(extracted, rules, cat, chunk, carry=[*SPAN, *["text"] * code]).withColumnRenamed("text", "code")
 
 
 def check(
@@ -49,6 +52,7 @@ def check(
     database_findings: DataFrame | None = None,
     levels: dict[str, int] | None = None,
     disabled: list[str] | None = None,
+    statements: DataFrame | None = None,
 ) -> DataFrame:
     """The whole check of a corpus, in this order:
 
@@ -65,16 +69,21 @@ def check(
     cols = ["script_id", "category", "severity", "message", "start_byte", "end_byte", "start_line", "end_line"]
     parts = []
     if database_findings is not None:
-        parts.append(database_findings.select(cols))
+        parts.append(database_findings.select(*cols, F.lit(X.KNOWN).alias("origin")))
     if syntax_errors is not None:
-        syntax_errors = syntax_errors.select(cols)
-        parts.append(X.drop_contained_syntax_errors(syntax_errors, parts[0]) if parts else syntax_errors)
+        parts.append(syntax_errors.select(*cols, F.lit(X.SYNTAX).alias("origin")))
     if enabled:
-        parts.append(override_severity(lint_scripts(scripts, enabled, cat, write_facts), levels or {}).select(cols))
+        linted = lint_scripts(scripts, enabled, cat, write_facts, statements, code=False)
+        parts.append(override_severity(linted, levels or {}).select(*cols, F.lit(X.LINT).alias("origin")))
     parsed = X.comments(scripts)
     if not parts:
         return X.about_comments(materialize(parsed, "comments"), None, disabled)
-    # several branches read these; the tables hold findings and comments only, not the texts
+    # the tables hold findings and comments only, not the texts
     found, parsed = materialize(union_all(parts), "findings"), materialize(parsed, "comments")
-    chunk = chunk_width(found, ["script_id"]) or chunk_width(parsed, ["script_id"])
-    return X.suppress(found, parsed, chunk, disabled)
+    chunk = chunk_width(found.select("script_id").unionByName(parsed.select("script_id")), ["script_id"])
+    if chunk is None:
+        return X.judged(found, parsed, disabled, subsume=syntax_errors is not None and database_findings is not None)
+    known, syntax = (found.filter(F.col("origin") == o).drop("origin") for o in (X.KNOWN, X.SYNTAX))
+    syntax = X.drop_contained_syntax_errors(syntax, known, chunk)
+    rest = found.filter(F.col("origin") != X.SYNTAX).drop("origin")
+    return X.suppress(materialize(rest.unionByName(syntax.select(rest.columns)), "findings"), parsed, chunk, disabled)

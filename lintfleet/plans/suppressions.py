@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintfleet import constants as C
@@ -235,6 +235,112 @@ def about_comments(
     )
 
 
+# ------------------------------------------------------------------ all of it in one sweep
+
+KNOWN, SYNTAX, LINT = range(3)  # where a finding comes from: known before linting, a syntax error, a lint rule
+AT = ["start_byte", "end_byte", "start_line", "end_line"]
+_OF_COMMENTS = {"kind": "string", "leading": "boolean", "off": "boolean", "error": "string", "unpaired": "string", "reach": "long", "target": "long"}
+
+
+def _comment_events(parsed: DataFrame, disabled: list[str]) -> DataFrame:
+    """One row per comment with what findings may meet: where a range ends (`reach`), the line that is aimed at (`target`)."""
+    rows = parsed.repartition("script_id")
+    whole, good = Window.unboundedPreceding, F.col("error").isNull()
+    kind = F.when(good, F.col("kind"))
+
+    # The running sum of starts and ends, lifted where a stray end would push it below zero, is a pair's depth
+    by_line = Window.partitionBy("script_id", "specifier").orderBy("line")
+    rows = rows.withColumn("_change", F.when(kind == "start", 1).when(kind == "end", -1))
+    rows = rows.withColumn("_before", F.coalesce(F.sum("_change").over(by_line.rowsBetween(whole, -1)), F.lit(0)))
+    low = F.min(F.when(F.col("_change").isNotNull(), F.col("_before"))).over(by_line.rowsBetween(whole, Window.currentRow))
+    depth = F.col("_before") - F.least(F.lit(0), low) + F.when(F.col("_change") == 1, 1).otherwise(0)
+    rows = rows.withColumn("_depth", F.when(F.col("_change").isNotNull(), depth))
+    after = F.lead(F.struct(kind.alias("kind"), "end_byte")).over(Window.partitionBy("script_id", "specifier", "_depth").orderBy("line"))
+    rows = rows.withColumn("_next", F.when(F.col("_change").isNotNull(), after))
+    open_start = (F.col("_change") == 1) & (F.coalesce(F.col("_next.kind"), F.lit("")) != "end")
+    rows = rows.withColumn("unpaired", F.when((F.col("_change") == -1) & (F.col("_depth") == 0), NO_START).when(open_start, NO_END))
+    reach = F.when((F.col("_change") == 1) & F.col("unpaired").isNull(), F.col("_next.end_byte"))
+
+    # the line that a line comment aims at is below the run of such lines that it stands in
+    up = Window.partitionBy("script_id").orderBy(F.desc("line"))
+    rows = rows.withColumn("_line", F.when(kind == "line", F.col("line")))
+    rows = rows.withColumn("_below", F.last("_line", ignorenulls=True).over(up.rowsBetween(whole, -1)))
+    ends_run = F.when(F.col("_below").isNull() | (F.col("_below") != F.col("_line") + 1), F.col("_line"))
+    rows = rows.withColumn("_ends", ends_run).withColumn("_stop", F.last("_ends", ignorenulls=True).over(up.rowsBetween(whole, Window.currentRow)))
+
+    off = F.coalesce(F.col("grp").isin([d for d in disabled if d == "safety"]), F.lit(False)) | F.coalesce(
+        F.col("rule").isin([d for d in disabled if d != "safety"]), F.lit(False))
+    return rows.select(
+        "script_id", F.col("specifier").alias("spec"), "start_byte", "end_byte", F.col("line").alias("start_line"), F.col("line").alias("end_line"),
+        kind.alias("kind"), "leading", off.alias("off"), "error", "unpaired", reach.cast("long").alias("reach"),
+        F.when(F.col("_line").isNotNull(), F.col("_stop") + 1).cast("long").alias("target"),
+    )
+
+
+def judge(findings: DataFrame, parsed: DataFrame, disabled: list[str] | None = None, subsume: bool = False) -> DataFrame:
+    """X03-X06 at once, and with `subsume` X02: findings and comments of a script in one exchange, then ordered scans over them.
+
+    `findings` has script_id, category, the columns of AT, `origin` (see KNOWN) and any others. The result has one row per
+    category and span of findings, with the findings as `found` (structs of the other columns) and whether a file comment, a
+    line comment or a range suppresses them, and one row per comment, with `messages` about it and `idle` for a line comment
+    without effect. Syntax errors that a finding known before linting lies inside of are gone. All windows are by
+    script_id, or by it and more, so rows are dealt once; a script comes out of one cell, which bounds them.
+    """
+    others = [c for c in findings.columns if c not in ("script_id", "category", "origin", *AT)]
+    payload = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    found = findings.select("script_id", "category", "origin", *AT, payload.alias("found"), F.lit(None).cast("string").alias("spec"),
+                            *[F.lit(None).cast(t).alias(c) for c, t in _OF_COMMENTS.items()])
+    about = _comment_events(parsed, disabled or []).select(
+        "script_id", F.lit(None).cast("string").alias("category"), F.lit(None).cast("int").alias("origin"), *AT,
+        F.lit(None).cast(found.schema["found"].dataType).alias("found"), "spec", *_OF_COMMENTS,
+    )
+    rows = found.unionByName(about).repartition("script_id").withColumn("is_found", F.col("origin").isNotNull())
+    whole, is_found, kind = Window.unboundedPreceding, F.col("is_found"), F.col("kind")
+    if subsume:  # from the last start on, the least end among the findings known before linting
+        down = Window.partitionBy("script_id").orderBy(F.desc("start_byte"), F.coalesce(F.col("origin"), F.lit(SYNTAX)) != KNOWN)
+        inner = F.min(F.when(F.col("origin") == KNOWN, F.col("end_byte"))).over(down.rowsBetween(whole, Window.currentRow))
+        rows = rows.withColumn("_inner", inner).filter(~F.coalesce((F.col("origin") == SYNTAX) & (F.col("_inner") <= F.col("end_byte")), F.lit(False))).drop("_inner")
+
+    # a finding answers to up to three specifiers
+    names = F.when(is_found, specifiers(F.col("category"))).otherwise(F.array("spec"))
+    rows = rows.select(*[c for c in rows.columns if c != "spec"], F.posexplode(names).alias("_part", "spec"))
+    rows = rows.withColumn("found", F.when(F.col("_part") == 0, F.col("found")))
+
+    # each asks for the farthest reach among what begins before it; what is asked for comes first where both begin at one place
+    def reach(value: Column, place: Column, asks: Column) -> Column:
+        return F.max(value).over(Window.partitionBy("script_id", "spec").orderBy(place, asks).rowsBetween(whole, Window.currentRow))
+
+    rows = rows.withColumn("_aimed", reach(F.col("target"), F.coalesce("target", "end_line"), is_found))
+    rows = rows.withColumn("_closed", reach(F.col("reach"), F.col("start_byte"), is_found))
+    rows = rows.withColumn("_touched", reach(F.when(is_found, F.col("end_line")), F.coalesce("target", "start_line"), ~is_found))
+    rows = rows.withColumn("_file", F.max(F.when(kind == "file", F.col("leading"))).over(Window.partitionBy("script_id", "spec")))
+
+    def hit(condition: Column) -> Column:
+        return F.bool_or(is_found & F.coalesce(condition, F.lit(False)))
+
+    idle = F.coalesce(kind == "line", F.lit(False)) & ~F.coalesce(F.col("_touched") >= F.col("target"), F.lit(False))
+    effective = (kind == "line") | ((kind == "file") & F.col("leading")) | ((kind == "start") & F.col("unpaired").isNull())
+    messages = F.array(
+        F.col("error"), F.when((kind == "file") & ~F.col("leading"), MISPLACED), F.col("unpaired"), F.when(F.col("off") & effective, DISABLED),
+        F.when(idle, NO_EFFECT),
+    )
+    return rows.groupBy("script_id", "is_found", "category", *AT).agg(
+        hit(F.col("_file")).alias("by_file"), hit(F.col("_aimed") >= F.col("start_line")).alias("by_line"),
+        hit(F.col("_closed") >= F.col("end_byte")).alias("by_range"), F.bool_or(idle).alias("idle"),
+        F.collect_list("found").alias("found"), F.flatten(F.collect_list(F.filter(messages, lambda m: m.isNotNull()))).alias("messages"),
+    )
+
+
+def judged(findings: DataFrame, parsed: DataFrame, disabled: list[str] | None = None, subsume: bool = False) -> DataFrame:
+    """Findings no comment suppresses, plus one row per faulty, ineffective or unused comment: severity and message are the other columns of `findings`."""
+    rows = judge(findings, parsed, disabled, subsume)
+    kept = F.when(F.col("is_found") & ~F.col("by_file") & ~F.col("by_line") & ~F.col("by_range"), F.transform("found", lambda f: F.struct(f["severity"].alias("severity"), f["message"].alias("message"))))
+    said = F.transform("messages", lambda m: F.struct(F.lit(C.WARNING).alias("severity"), m.alias("message")))
+    rows = rows.withColumn("_rows", F.when(F.col("is_found"), kept).otherwise(said))
+    category = F.coalesce("category", F.lit(SUPPRESSION)).alias("category")
+    return rows.select("script_id", category, *AT, F.inline("_rows")).select("script_id", "category", "severity", "message", *AT)
+
+
 def suppress(findings: DataFrame, parsed: DataFrame, chunk: Chunks | int | None = None, disabled: list[str] | None = None) -> DataFrame:
     """Findings no comment suppresses, plus one row per faulty, ineffective or unused comment."""
     # each is read by several branches
