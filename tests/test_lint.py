@@ -1,5 +1,7 @@
 """Lint rules on small scripts in expectation style, state on its chunked path, and the merged check."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lintfleet.plans import selection as SEL
 from lintfleet.plans import suppressions as X
 from lintfleet.plans import txstate as W
 from lintfleet.plans.statements import split_statements
+from lintfleet.session import materialize
 
 # script, expected findings per rule
 CASES = [
@@ -207,3 +210,33 @@ def test_cap(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (2, 3)]
     assert {r.k: r.skipped for r in counts.collect()} == {1: 0, 2: 2}
     assert SEL.override_severity(spark.createDataFrame([("a",), ("b",)], "rule string"), {"a": C.ERROR}).filter("severity = 3").count() == 1
+
+
+def test_the_sweep_equals_the_chunked_path(spark):
+    """Many findings and comments per script, at equal places, before, inside and behind ranges, with strays and runs of line comments."""
+    rng = random.Random(11)
+    marks = ["-- pgt-ignore lint/safety/banDropTable", "-- pgt-ignore lint/safety: all", "-- pgls-ignore lint", "-- pgt-ignore-all lint/safety/preferJsonb", "-- pgt-ignore",
+             "-- pgt-ignore-start lint/safety/banDropTable", "-- pgt-ignore-end lint/safety/banDropTable", "-- pgt-ignore-start lint", "-- pgt-ignore-end lint",
+             "-- pgt-ignore-what lint", "-- pgt-ignore lint/safety/nothing", "drop table a;", "select 1;", ""]
+    texts = [(n, "\n".join(rng.choice(marks) for _ in range(rng.randrange(1, 30)))) for n in range(40)]
+    parsed = X.comments(spark.createDataFrame(texts, "script_id int, content string"))
+    rules = ["lint/safety/banDropTable", "lint/safety/preferJsonb", "database/check", "syntax"]
+    found = []
+    for n, text in texts:
+        for _ in range(rng.randrange(25)):
+            start, line = rng.randrange(len(text) + 1), rng.randrange(30)
+            which = rng.randrange(4)
+            found.append((n, rules[which], rng.choice([0, 2, 3]), rng.choice("ab"), start, start + rng.choice([0, 5, 60, 400]), line, line + rng.randrange(3), {2: X.KNOWN, 3: X.SYNTAX}.get(which, X.LINT)))
+    shape = "script_id int, category string, severity int, message string, start_byte bigint, end_byte bigint, start_line int, end_line int, origin int"
+    everything = materialize(spark.createDataFrame(found, shape).repartition(4), "found")
+    known, syntax = (everything.filter(F.col("origin") == o) for o in (X.KNOWN, X.SYNTAX))
+    left = everything.filter(F.col("origin") != X.SYNTAX).unionByName(X.drop_contained_syntax_errors(syntax, known, 4)).drop("origin")
+    left = materialize(left, "left")
+    off = ["banDropTable"]
+    want = sorted(map(tuple, X.suppress(left, parsed, 4, off).collect()))
+    got = X.judged(everything, parsed, off, subsume=True)
+    assert got.columns == ["script_id", "category", "severity", "message", "start_byte", "end_byte", "start_line", "end_line"]
+    assert sorted(map(tuple, got.collect())) == want
+    assert len(want) > 200
+    bare = X.judged(everything.filter("script_id < 0"), parsed, off)
+    assert {r.message for r in bare.collect()} >= {X.NO_EFFECT, X.DISABLED, X.BAD_RULE}
