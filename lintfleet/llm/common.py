@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -22,6 +25,7 @@ ITEM_WORDS = bytes(_FOLD[c] if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122
 BATCH_ROWS = 1000  # documents can be long, so Arrow batches hold few of them
 BATCH_BYTES = 16 << 20
 _HELD: dict[str, Callable[[], None]] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -33,9 +37,16 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def take_worker(owner: str, clear: Callable[[], None] | None = None) -> None:
-    """At the start of a task: drops what tasks of other operators keep in this Python worker. `clear` drops what this one will keep."""
+    """At the start of a task: drops what tasks of other operators keep in this Python worker. `clear` drops what this one will keep.
+
+    Freed memory goes back to the system: a worker outlives many tasks, and its executor counts what it holds.
+    """
     for other in [x for x in _HELD if x != owner]:
         _HELD.pop(other)()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
     if clear:
         _HELD[owner] = clear
 

@@ -31,9 +31,9 @@ from lintfleet.session import materialize
 LENGTH = 2048
 END = 0
 BLOCK = 100_000
-CACHED = 200_000  # parts, and foreign chunks, of each of two generations
+CACHED = 100_000  # parts, and foreign chunks, of each of two generations
 CACHED_CHARS = 48
-BATCH_CHARS = 4_000_000  # of texts that are tokenized together
+BATCH_CHARS = 2_000_000  # of texts that are tokenized together
 # Parts are cut here for ASCII, Latin-1 and Latin Extended-A, but for U+0130, whose lower case is two characters. A chunk
 # with another character, or with what may begin a special token, is foreign: it goes to the tokenizer as it is.
 _SPACES, _LETTERS, _DIGITS = "\t-\r \x85\xa0", "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
