@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 # fixed values of HTML
@@ -44,6 +45,7 @@ def read_page(source: str) -> Page:
     """The tree of block elements; element 0 is the page. Inline elements belong to their block, and unclosed ones end with it."""
     elements, pieces = [Element("page", "", -1, 0)], []
     stack: list[tuple[str, int]] = [("page", 0)]  # open blocks and links
+    opened: dict[str, list[int]] = {}  # by tag, the places of its open elements in the stack, so that no tag walks the stack
     links = 0
     at, end = 0, len(source)
 
@@ -59,9 +61,13 @@ def read_page(source: str) -> Page:
             pieces.append((owner, value))
 
     def close_to(depth: int) -> None:
-        del stack[depth:]
+        while len(stack) > depth:
+            opened[stack.pop()[0]].pop()
         pieces.append((-1, ""))
 
+    def innermost(tags: Iterable[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     for_raw = None
     while at < end:
         if for_raw:
@@ -91,21 +97,15 @@ def read_page(source: str) -> Page:
             pieces.append((-1, "") if tag == "hr" else (stack[-1][1], " "))
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close_to(depth)
-                    links = 0
-                    break
+            if opened.get(tag):
+                close_to(opened[tag][-1])
+                links = 0
             continue
         if tag in CLOSES_P and stack[-1][0] == "p":
             close_to(len(stack) - 1)
-        ended = CLOSED_BY_SAME.get(tag, ())
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in CONTAINERS.get(tag, ()) or tag == "p":
-                break
-            if stack[depth][0] in ended:
-                close_to(depth)
-                break
+        ended = innermost(CLOSED_BY_SAME.get(tag, ()))
+        if tag != "p" and ended > innermost(CONTAINERS.get(tag, ())):
+            close_to(ended)
         pieces.append((-1, ""))
         names = " ".join(next(filter(None, m.groups()), "") for m in _NAMED.finditer(rest)) if "=" in rest else ""
         elements.append(Element(tag, names.lower(), stack[-1][1], len(stack)))
@@ -113,5 +113,6 @@ def read_page(source: str) -> Page:
         if tag in RAW:
             for_raw = tag
         elif not rest.endswith("/") or tag not in ("svg", "path"):
+            opened.setdefault(tag, []).append(len(stack))
             stack.append((tag, len(elements) - 1))
     return Page(elements, pieces)
