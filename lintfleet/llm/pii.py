@@ -6,6 +6,7 @@ has the length that its country gives it, whatever follows; each possible start
 
 A kind's matches and the pieces of text between them come from the same pattern, so a running sum over their lengths
 gives positions. Patterns are written so that no text makes them slow: runs are possessive and start where a run starts.
+Sums, contexts and replacements are worked out in blocks, so that time grows with the text and its number of matches.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintfleet.llm.inrow import blocks_of, let, piece, running, stretch
+
 # ISO 13616: characters of an account number by country, blanks not counted
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -95,42 +98,57 @@ KINDS = (
 BASE = ("email", "ip", "card", "phone")
 
 
+def _sum(total: Column, value: Column) -> Column:
+    return total + value
+
+
+def _later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """This kind's accepted spans of a non-null text, by start; positions in characters, end exclusive."""
     values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     between = F.split(text, kind.pattern, -1)
 
-    def locate(done: Column, i: Column) -> Column:
-        value = F.element_at(done["values"], i)
-        start = done["at"] + F.length(F.element_at(done["between"], i))
-        found = F.struct(start.cast("bigint").alias("start"), (start + F.length(value)).cast("bigint").alias("end"), value.alias("value"))
-        return F.struct(F.array_append(done["found"], found).alias("found"), (start + F.length(value)).cast("bigint").alias("at"),
-                        done["values"].alias("values"), done["between"].alias("between"))
-
-    start = F.struct(F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)").alias("found"),
-                     F.lit(0).cast("bigint").alias("at"), values.alias("values"), between.alias("between"))
-    count = F.size(values)
-    found = F.aggregate(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.expr("cast(array() as array<int>)")), start, locate, lambda d: d["found"])
-    if kind.whole:
-        def grown(s: Column) -> Column:
-            value = F.regexp_extract(F.substring(text, (s["start"] + 1).cast("int"), F.lit(_LONGEST)), kind.whole, 0)
-            return F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).cast("bigint").alias("end"), value.alias("value"))
-
-        found = F.filter(F.transform(found, grown), lambda s: F.length(s["value"]) > 0)
-    if kind.check:
-        found = F.filter(found, lambda s: kind.check(s["value"]))
-
-    def scored(s: Column) -> Column:
-        first = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.concat(F.substring(text, (first + 1).cast("int"), (s["start"] - first).cast("int")), F.lit("\n"),
-                        F.substring(text, (s["end"] + 1).cast("int"), F.lit(NEAR)))
-        score = F.lit(kind.score) + F.when(F.lower(near).rlike(kind.context), F.lit(0.2)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
-
-    spans = F.transform(found, scored)
-    if kind.name not in BASE:
-        spans = F.filter(spans, lambda s: s["score"] >= ACCEPT)
-    return F.when(kind.gate(text), spans).otherwise(F.expr(f"cast(array() as {SPANS})"))
+    def lengths(found: Column) -> Column:
+        return F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda v, gap: F.struct(
+            F.length(gap).cast("bigint").alias("gap"), F.length(v).cast("bigint").alias("long"), v.alias("value")))
+
+    def located(steps: Column) -> Column:
+        before = running(F.transform(steps, lambda s: s["gap"] + s["long"]), _sum, F.lit(0).cast("bigint"))
+        return F.zip_with(steps, before, lambda s, at: F.struct(
+            (at + s["gap"]).alias("start"), (at + s["gap"] + s["long"]).alias("end"), s["value"].alias("value")))
+
+    def judged(blocks: Column) -> Column:
+        found = let(let(values, lengths), located)
+        if kind.whole:
+            def grown(s: Column) -> Column:
+                value = F.regexp_extract(piece(blocks, s["start"], F.lit(_LONGEST)), kind.whole, 0)
+                return F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).cast("bigint").alias("end"), value.alias("value"))
+
+            found = F.filter(F.transform(found, grown), lambda s: F.length(s["value"]) > 0)
+        if kind.check:
+            found = F.filter(found, lambda s: kind.check(s["value"]))
+
+        def scored(s: Column) -> Column:
+            first = F.greatest(s["start"] - NEAR, F.lit(0))
+            near = F.concat(piece(blocks, first, s["start"] - first), F.lit("\n"), piece(blocks, s["end"], F.lit(NEAR)))
+            score = F.lit(kind.score) + F.when(F.lower(near).rlike(kind.context), F.lit(0.2)).otherwise(F.lit(0.0))
+            return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
+
+        spans = F.transform(found, scored)
+        if kind.name not in BASE:
+            spans = F.filter(spans, lambda s: s["score"] >= ACCEPT)
+        return spans
+
+    return F.when(kind.gate(text), let(blocks_of(text), judged)).otherwise(F.expr(f"cast(array() as {SPANS})"))
+
+
+def personal_data(text: Column) -> Column:
+    """All accepted spans of a text (null: empty), by kind in the order of KINDS, then by start."""
+    text = F.coalesce(text, F.lit(""))
+    return F.concat(*[spans_of(text, k) for k in KINDS])
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", into: str = "spans") -> DataFrame:
@@ -139,25 +157,33 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", into: str = "spa
     A null or empty text has none. Spans of different kinds may overlap. Rows are judged one by one, so null ids and
     repeated rows change nothing; a column named like `into` is replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.drop(into).select("*", F.concat(*[spans_of(text, k) for k in KINDS]).alias(into))
+    return docs.drop(into).select("*", personal_data(F.col(f"`{text_col}`")).alias(into))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with each stretch of personal data replaced by its first span's kind in brackets. Overlapping spans are one stretch."""
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    zero = F.lit(0).cast("bigint")
+
+    def stretches(found: Column) -> Column:
+        """A stretch begins where all spans before have ended. Each with where the one before it ended."""
+        ended = running(F.transform(found, lambda s: s["end"]), _later, zero)
+        spans_after = F.zip_with(found, ended, lambda s, e: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), e.alias("ended")))
+        return F.filter(spans_after, lambda s: s["start"] >= s["ended"])
+
+    def joined(blocks: Column) -> Column:
+        marked = F.transform(let(by_start, stretches), lambda s: F.concat(stretch(blocks, s["ended"], s["start"]), F.lit("["), s["kind"], F.lit("]")))
+        rest = stretch(blocks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text).cast("bigint"))
+        return F.concat(F.array_join(marked, ""), rest)
+
+    return F.when(F.size(spans) > 0, let(blocks_of(text), joined)).otherwise(text)
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same columns and rows; in the text each stretch of personal data is replaced by its first span's kind in brackets."""
-    found = find_personal_data(docs, text_col, "_spans")
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def join_up(done: Column, span: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(done) == 0) | (last["end"] <= span["start"]), F.array_append(done, span)).otherwise(
-            F.array_append(F.slice(done, 1, F.size(done) - 1), grown))
-
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string>>)")
-    apart = F.aggregate(by_start, none, join_up)
-    # from the end to the beginning, so that earlier positions stay right
-    text = F.aggregate(F.reverse(apart), F.col(text_col), lambda t, s: F.concat(
-        F.substring(t, F.lit(1), s["start"].cast("int")), F.lit("["), s["kind"], F.lit("]"), F.substring(t, (s["end"] + 1).cast("int"), F.length(t))))
-    kept = [F.when(F.size("_spans") > 0, text).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*kept)
+    """The same columns and rows; in the text each stretch of personal data is replaced by its first span's kind in brackets.
+
+    A null text stays null. No column is added on the way, so none of any name is lost.
+    """
+    text = F.col(f"`{text_col}`")
+    kept = [let(personal_data(text), lambda spans: replaced(text, spans)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(*kept)
