@@ -71,6 +71,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with as many underscores in front as it takes for no column (in any letter case) to begin with it."""
+    taken = [c.lower() for c in docs.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = "_" + name
+    return name
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, by the modulus: the fold that decides what may be learned from. Null ids give null."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintfleet.llm.common import ITEM_WORDS, bound_batches, take_worker, utf8
+from lintfleet.llm.common import ITEM_WORDS, bound_batches, free_name, take_worker, utf8
+from lintfleet.llm.inrow import let, running
+from lintfleet.session import materialize
 
 WINDOW = 10
-SLICE_BYTES = 32_000_000  # of item texts that one broadcast holds
-MAX_SLICES = 64
+SLICE_BYTES = 4_000_000  # of item texts that one broadcast holds; a worker's tables take over a hundred times that
 
 
 def words_of(text: str) -> list[bytes]:
@@ -109,18 +110,28 @@ def _search(spark: SparkSession, items: list[tuple[str, str]], window: int):
     return F.arrow_udf(run, "n_words bigint, spans array<struct<first:bigint,end:bigint>>, item_ids array<string>")
 
 
-def _slices(items: DataFrame, slice_bytes: int) -> list[list[tuple[str, str]]]:
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > MAX_SLICES * slice_bytes:
-        raise ValueError(f"benchmark texts of {total} bytes are over {MAX_SLICES} slices of {slice_bytes}")
-    slices, room = [[]], slice_bytes
+def _pieces(item: str, text: str, window: int, piece_bytes: int) -> Iterator[tuple[str, str]]:
+    """An item as it is, or, if it is over `piece_bytes`, in pieces that together hold each of its windows."""
+    if len(text) <= piece_bytes:
+        yield item, text
+        return
+    words = words_of(text)
+    step = max(1, piece_bytes * len(words) // len(text))
+    for first in range(0, max(1, len(words) - window + 1), step):
+        yield item, b" ".join(words[first : first + step + window - 1]).decode("utf-8", "replace")
+
+
+def _slices(items: DataFrame, slice_bytes: int, window: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in slices, one at a time: the driver never holds more than the one in use and a partition of the table."""
+    held, room = [], slice_bytes
     for row in items.toLocalIterator():
-        if slices[-1] and room < len(row["text"]):
-            slices.append([])
-            room = slice_bytes
-        slices[-1].append((row["item"], row["text"]))
-        room -= len(row["text"])
-    return slices
+        for piece in _pieces(row["item"], row["text"], window, slice_bytes):
+            if held and room < len(piece[1]):
+                yield held
+                held, room = [], slice_bytes
+            held.append(piece)
+            room -= len(piece[1])
+    yield held
 
 
 def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", into: str = "passages",
@@ -129,31 +140,49 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
 
     A window is `window` consecutive words of an item; a shorter item is one window. Null and empty texts have no words;
     items with a null id or text are left out; an empty benchmark hits nothing. Rows are searched one by one, so null ids and
-    repeated rows change nothing; a column named like `into` is replaced.
-    Items are broadcast in slices of at most `slice_bytes`, each searched in the same scan; more than MAX_SLICES slices
-    are refused, since the benchmark is then no small table.
+    repeated rows change nothing; a column named like `into` is replaced, all others stay, whatever their names.
+    Items are broadcast in slices of at most `slice_bytes`. With one slice the result is a plain scan. With more, the rows
+    are written once with the first slice's hits, each further slice adds a table of its hits alone, and these are joined.
     """
-    listed = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).dropna()
-    bound_batches(docs.sparkSession)
-    slices = _slices(listed, slice_bytes)
-    parts = [f"_slice{i}" for i in range(len(slices))]
-    rows = docs.drop(into).select("*", *[_search(docs.sparkSession, s, window)(F.col(text_col)).alias(p) for s, p in zip(slices, parts, strict=True)])
-    spans, ids = F.col(f"{parts[0]}.spans"), F.col(f"{parts[0]}.item_ids")
-    if len(parts) > 1:
-        spans = _joined_up(F.array_sort(F.concat(*[F.col(f"{p}.spans") for p in parts])))
-        ids = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{p}.item_ids") for p in parts])))
+    listed = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("text")).dropna()
+    spark = docs.sparkSession
+    bound_batches(spark)
+    docs = docs.drop(into)
+    row, part = free_name(docs, "_row"), free_name(docs, "_part")
+    text, kept = F.col(f"`{text_col}`"), [F.col(f"`{c}`") for c in docs.columns]
+    slices = _slices(listed, slice_bytes, window)
+    rows = docs.select("*", _search(spark, next(slices), window)(text).alias(part))
+    spans, ids = F.col(f"{part}.spans"), F.col(f"{part}.item_ids")
+    hits = None
+    for n, some in enumerate(slices):
+        if n == 0:
+            rows = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "passages")
+        found = rows.select(row, _search(spark, some, window)(text).alias(part)).filter(F.size(F.col(f"{part}.spans")) > 0)
+        found = materialize(found.select(row, F.col(f"{part}.spans").alias("spans"), F.col(f"{part}.item_ids").alias("item_ids")), "passages")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is not None:
+        more = free_name(rows, "_more")
+        hits = hits.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
+        rows = rows.join(hits.select(row, F.struct("spans", "item_ids").alias(more)), row, "left")
+        spans = F.when(F.col(more).isNull(), spans).otherwise(_joined_up(F.array_sort(F.concat(spans, F.col(f"{more}.spans")))))
+        ids = F.when(F.col(more).isNull(), ids).otherwise(F.array_sort(F.array_distinct(F.concat(ids, F.col(f"{more}.item_ids")))))
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["first"])
-    result = F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), hit.alias("n_hit"), spans.alias("spans"), ids.alias("item_ids"))
-    return rows.withColumn(into, result).drop(*parts)
+    result = F.struct(F.col(f"{part}.n_words").alias("n_words"), hit.alias("n_hit"), spans.alias("spans"), ids.alias("item_ids"))
+    return rows.select(*kept, result.alias(into))
 
 
 def _joined_up(spans: Column) -> Column:
-    """Sorted spans with overlapping or touching ones as one."""
+    """Sorted spans, at least one, with overlapping or touching ones as one."""
+
+    def starts(found: Column) -> Column:
+        ended = running(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(-1).cast("bigint"))
+        marked = F.zip_with(found, ended, lambda s, e: F.struct(s["first"].alias("first"), e.alias("ended")))
+        # the last stretch ends where all have ended
+        return F.array_append(F.filter(marked, lambda s: s["first"] > s["ended"]), F.struct(
+            F.lit(None).cast("bigint").alias("first"), F.array_max(F.transform(found, lambda s: s["end"])).alias("ended")))
 
-    def add(done: Column, span: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.struct(last["first"].alias("first"), F.greatest(last["end"], span["end"]).alias("end"))
-        apart = (F.size(done) == 0) | (last["end"] < span["first"])
-        return F.when(apart, F.array_append(done, span)).otherwise(F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), grown))
+    def ends(marks: Column) -> Column:
+        n = F.size(marks) - 1
+        return F.zip_with(F.slice(marks, F.lit(1), n), F.slice(marks, F.lit(2), n), lambda s, after: F.struct(s["first"].alias("first"), after["ended"].alias("end")))
 
-    return F.aggregate(spans, F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)"), add)
+    return let(let(spans, starts), ends)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintfleet.llm.common import bound_batches, held_out, take_worker, texts_of, utf8
+from lintfleet.llm.common import bound_batches, free_name, held_out, take_worker, texts_of, utf8
 
 WINDOW = 128
 WIDTHS = (2, 4, 6)
@@ -188,12 +188,13 @@ def identify(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", pre
                 score += list(p.max(axis=1))
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
-    text = F.col(text_col)
+    text = F.col(f"`{text_col}`")
     has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     udf = F.arrow_udf(classify, "lang string, score double")
-    both = docs.withColumn("_language", udf(text))
+    found = free_name(docs, "_language")
+    both = docs.withColumn(found, udf(text))
     return both.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(has_letter, F.col("_language.lang")).otherwise(UNKNOWN).alias(out[0]),
-        F.when(has_letter, F.col("_language.score")).otherwise(0.0).alias(out[1]),
+        F.when(has_letter, F.col(f"{found}.lang")).otherwise(UNKNOWN).alias(out[0]),
+        F.when(has_letter, F.col(f"{found}.score")).otherwise(0.0).alias(out[1]),
     )
