@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintfleet.llm import decontaminate, jaccard_join, langid, pii
-from lintfleet.llm.common import read
+from lintfleet.llm.common import free_name, read
 from lintfleet.llm.queries import packed
 from lintfleet.session import materialize
 
@@ -17,8 +17,9 @@ NEAR_PERCENT = 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, without a text, or of no language that the classifier tells from the others, go."""
-    found = langid.identify(docs, langid.train(docs), prefix="_language_")
-    kept = found.filter((F.col("_language_lang_pred") != langid.UNKNOWN) & (F.col("_language_score") >= LEAST_LANGUAGE_SCORE))
+    prefix = free_name(docs, "_language_")
+    found = langid.identify(docs, langid.train(docs), prefix=prefix)
+    kept = found.filter((F.col(f"`{prefix}lang_pred`") != langid.UNKNOWN) & (F.col(f"`{prefix}score`") >= LEAST_LANGUAGE_SCORE))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -29,13 +30,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = docs.join(first, "doc_id", "left_semi")
     if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.find_passages(docs, read(spark, sf_dir, "benchmark"), into="_passages")
-    return found.filter("_passages.n_hit = 0").drop("_passages")
+    """Documents that hold a window of a benchmark item go. Null and empty texts hold none and stay; of repeated rows all stay or go."""
+    into = free_name(docs, "_passages")
+    found = decontaminate.find_passages(docs, read(spark, sf_dir, "benchmark"), into=into)
+    return found.filter(F.col(f"{into}.n_hit") == 0).drop(into)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents, packed into sequences."""
+    """The token pieces of all documents, packed into sequences. A null text is packed as an empty one, repeated rows each for themselves."""
     return packed(docs)
 
 
