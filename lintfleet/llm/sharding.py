@@ -27,7 +27,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(text).alias("_order"),
+        F.md5(text.cast("binary")).alias("_order"),
         F.monotonically_increasing_id().alias("_row"),  # parts a third of all rows even where id and text repeat
     )
     order = ["_order", "doc_id", "_row"]

@@ -138,9 +138,20 @@ counts as (select a, count(*) as n_links from links group by a)
 select vec_id, coalesce(n_links, 0) as n_links, cast(coalesce(component_id, vec_id) as bigint) as component_id, coalesce(component_id, vec_id) = vec_id as kept
 from embeddings e left join least on least.a = e.vec_id left join counts on counts.a = e.vec_id"""
 
+# crc32 of every text's bytes by the table of the 256 byte remainders, which the CTE builds by rule
+_SHARDS = r"""
+with remainders as (select list(list_reduce(list_prepend(b, range(8)), lambda d, k: if(d & 1 = 1, xor(d >> 1, 3988292384), d >> 1)) order by b) as t from range(256) as r(b)),
+docs as (select doc_id, md5(text) as o, coalesce(strlen(text), 0) + 1 as size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: cast('0x' || h as bigint))),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as text_crc32 from documents, remainders),
+placed as (select doc_id, size, text_crc32, o, least((2 * sum(size) over (order by o nulls first, doc_id) - size) * 8 // (2 * sum(size) over ()), 7) as shard from docs)
+select doc_id, size, text_crc32, 'bytes' as law, cast(shard as int) as shard, row_number() over (partition by shard order by o nulls first, doc_id) - 1 as slot,
+    cast(null as int) as grown_shard from placed"""
+
 SQL = {
     "op1_pii": _personal_data(),
     "op3_ngram_jaccard_join": _JOIN,
+    "op7_sharding": _SHARDS,
     "op9_benchmark_decontamination": _passages(),
     "op11_embedding_near_dedup": _NEAR_VECTORS,
     "op12_merkle_dataset_manifest": _MANIFEST,

@@ -50,6 +50,20 @@ def test_shards_are_even_and_gapless(spark, docs_of, odd_rows):
         assert sorted(r.slot for r in mine) == list(range(len(mine)))
 
 
+def test_shards_are_those_of_one_running_sum(spark, docs_of, odd_rows):
+    rows = odd_rows + [(100 + i, "w " * (i % 37)) for i in range(400)]
+    ordered = sorted(rows, key=lambda r: ("" if r[1] is None else hashlib.md5(r[1].encode()).hexdigest(), r[0] is not None, r[0]))
+    sizes = [len((t or "").encode()) + 1 for _, t in ordered]
+    want, before, places = Counter(), 0, Counter()
+    for (i, _), size in zip(ordered, sizes, strict=True):
+        shard = min(8 * (2 * before + size) // (2 * sum(sizes)), 7)
+        want[i, size, shard, places[shard]] += 1
+        before, places[shard] = before + size, places[shard] + 1
+    for parts in (1, 5):
+        spread = sharding.shard_by_bytes(docs_of(rows).repartition(parts)).collect()
+        assert Counter((r.doc_id, r.size, r.shard, r.slot) for r in spread) == want
+
+
 def test_shards_of_nothing(docs_of):
     assert sharding.shard_by_bytes(docs_of([])).count() == 0
 
