@@ -16,6 +16,7 @@ from lintfleet.plans import facts as FX
 from lintfleet.plans import lint_rules as L
 from lintfleet.plans.statements import split_statements, statement_key
 from lintfleet.session import new_path
+from lintfleet.streaming.folders import Folder, Folders
 
 BATCH = "batch"
 
@@ -86,56 +87,67 @@ class IncrementalLint:
     Every change leaves a row in `versions`, closes and empty texts included. The newest version over all batches
     decides which findings count, so closed and emptied documents have none, late versions change nothing, and of a
     version delivered again the last delivery counts.
+
+    A batch becomes visible as a whole. Folders of many batches are merged into one; versions that a newer one replaced
+    and their findings go then. Scratch tables of a batch are gone with the next one.
     """
 
-    def __init__(self, spark: SparkSession, root: str, rules: list[str], digits: int = 1):
-        """`digits` of the hash name a folder: more of them for a long history with small batches."""
-        self.spark, self.root, self.rules, self.digits = spark, root, rules, digits
+    KNOWN = "stmt_key string, found array<struct<ord:int,rule:string,message:string>>, batch int, slot string"
+
+    def __init__(self, spark: SparkSession, root: str, rules: list[str], digits: int = 1, fan: int = 8):
+        """`digits` of the hash name a folder: more of them for a long history with small batches. `fan` folders are merged."""
+        self.spark, self.rules, self.digits = spark, rules, digits
         stateful = [r.name for r in L.RULES.values() if r.name in rules and (r.needs or r.build)]
         if stateful:
             raise ValueError(f"rules that need other statements cannot be cached: {stateful}")
-
-    KNOWN = "stmt_key string, found array<struct<ord:int,rule:string,message:string>>"
+        tables = {"known": self.KNOWN, "versions": None, "findings": None, "statements": None, "fresh": None}
+        self.store = Folders(spark, root, tables, {"known": ["slot"]}, fan)
 
     def _slot(self) -> Column:
         return F.substring("stmt_key", 1, self.digits).alias("slot")
 
-    def _write(self, df: DataFrame, name: str, batch_id: int, *by: str) -> DataFrame:
-        path = f"{self.root}/{name}/{BATCH}={batch_id}"
-        df.write.mode("overwrite").partitionBy(*by).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _known(self, before: int, slots: list[str]) -> DataFrame:
-        """What earlier batches found out about texts, of these folders only."""
-        try:
-            rows = self.spark.read.schema(f"{self.KNOWN}, {BATCH} int, slot string").parquet(f"{self.root}/known")
-        except Exception as missing:  # the folder does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return self.spark.createDataFrame([], self.KNOWN)
-        return rows.filter((F.col(BATCH) < before) & F.col("slot").isin(slots)).select("stmt_key", "found")
+    def _scratch(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        """Written, so that all who read it see the same rows; never published."""
+        return self.store.read(name, [self.store.write(name, df, batch_id)])
 
-    def process(self, changes: DataFrame, batch_id: int) -> None:
-        newest = self._write(latest_versions(changes), "changes", batch_id)
-        self._write(newest.select("doc_id", "version", "op"), "versions", batch_id)
-        still_open = newest.filter(F.col("op") != "close").select("doc_id", "version", "content")
-        statements = split_statements(still_open, ["doc_id", "version"], "content").withColumn("stmt_key", statement_key(F.col("text")))
-        statements = self._write(statements, "statements", batch_id)
+    def _newest(self, entries: list[Folder]) -> DataFrame:
+        """Per document the newest version and the batch that delivered it last."""
+        versions = self.store.read("versions", entries)
+        return versions.groupBy("doc_id").agg(F.max(F.struct("version", BATCH)).alias("d")).select("doc_id", "d.*")
 
-        slots = [r.slot for r in statements.select(self._slot()).distinct().collect()]  # at most 16 ** digits
-        texts = statements.groupBy("stmt_key").agg(F.first("text").alias("text"))
-        fresh = self._write(texts.join(self._known(batch_id, slots), "stmt_key", "left_anti"), "fresh", batch_id)
+    def _current(self, findings: DataFrame, entries: list[Folder]) -> DataFrame:
+        return findings.join(self._newest(entries), ["doc_id", "version", BATCH], "left_semi").select(findings.columns)
+
+    def _analysed(self, fresh: DataFrame) -> DataFrame:
         keyed = fresh.select(F.col("stmt_key").alias("script_id"), F.lit(1).alias("pos"), "text")
         hits = L.lint(FX.extract(keyed), self.rules).groupBy(F.col("script_id").alias("stmt_key"))
         hits = hits.agg(F.sort_array(F.collect_list(F.struct("ord", "rule", "message"))).alias("found"))
-        found = fresh.select("stmt_key").join(hits, "stmt_key", "left").select("stmt_key", "found", self._slot())
-        self._write(found, "known", batch_id, "slot")
+        return fresh.select("stmt_key").join(hits, "stmt_key", "left")
+
+    def process(self, changes: DataFrame, batch_id: int) -> None:
+        earlier, batch = self.store.before(batch_id), F.lit(batch_id).alias(BATCH)
+        newest = latest_versions(changes).persist()
+        added = [self.store.write("versions", newest.select("doc_id", "version", "op", batch), batch_id)]
+        still_open = newest.filter(F.col("op") != "close").select("doc_id", "version", "content")
+        statements = split_statements(still_open, ["doc_id", "version"], "content")
+        statements = self._scratch(statements.select("doc_id", "version", "stmt_no", "text", statement_key(F.col("text")).alias("stmt_key")), "statements", batch_id)
+        newest.unpersist()
 
-        found = statements.join(self._known(batch_id + 1, slots), "stmt_key").select("doc_id", "version", "stmt_no", F.inline("found"))
-        self._write(found, "findings", batch_id)
+        slots = [r.slot for r in statements.select(self._slot()).distinct().collect()]  # at most 16 ** digits
+        texts = statements.groupBy("stmt_key").agg(F.first("text").alias("text"))
+        known = self.store.read("known", earlier).filter(F.col("slot").isin(slots))
+        fresh = self._scratch(texts.join(known, "stmt_key", "left_anti"), "fresh", batch_id)
+        if not fresh.isEmpty():
+            added.append(self.store.write("known", self._analysed(fresh).select("stmt_key", "found", batch, self._slot()), batch_id))
+
+        known = self.store.read("known", earlier + added).filter(F.col("slot").isin(slots) & (F.size("found") > 0))
+        found = statements.select("doc_id", "version", "stmt_no", "stmt_key").join(known.select("stmt_key", "found"), "stmt_key")
+        added.append(self.store.write("findings", found.select("doc_id", "version", "stmt_no", F.inline("found"), batch), batch_id))
+        last = {"versions": lambda rows, _: rows.groupBy("doc_id").agg(F.max(F.struct("version", BATCH, "op")).alias("d")).select("doc_id", "d.version", "d.op", f"d.{BATCH}"),
+                "findings": self._current}
+        self.store.publish(batch_id, added, last)
 
     def findings(self) -> DataFrame:
         """Findings of each document's newest version."""
-        versions = self.spark.read.parquet(f"{self.root}/versions")
-        last = versions.groupBy("doc_id").agg(F.max(F.struct("version", BATCH)).alias("d")).select("doc_id", "d.*")
-        return self.spark.read.parquet(f"{self.root}/findings").join(last, ["doc_id", "version", BATCH], "left_semi").drop(BATCH)
+        entries = self.store.snapshot()
+        return self._current(self.store.read("findings", entries), entries).drop(BATCH)
