@@ -239,7 +239,8 @@ def _incremental(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["M04_incremental_lint"] = _incremental
 SQL["M04_incremental_lint"] = XQ.sql(
     """select * from (select script_id doc_id, 2 version, stmt_no, ord, rule, message from fnd
-union all select script_id, 2, cast(count(*) + 1 as int), 0, 'banDropTable', 'Dropping a table may break existing clients.' from stmt where script_id % 3 = 0 group by script_id) x
+union all select script_id, 2, n, 0, rule, message from (select script_id, cast(count(*) + 1 as int) n from stmt where script_id % 3 = 0 group by script_id) s,
+  (values ('banDropTable', 'Dropping a table may break existing clients.'), ('preferRobustStmts', 'DROP TABLE should use IF EXISTS.')) v(rule, message)) x
 where doc_id % 7 not in (1, 2)"""
 )
 
