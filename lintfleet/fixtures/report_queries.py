@@ -14,7 +14,7 @@ from lintfleet.fixtures.corpus import PATH_SQL, script_path
 from lintfleet.fixtures.relations import cte, relation, source
 from lintfleet.fixtures.script_queries import scripts
 from lintfleet.functions import scalars as S
-from lintfleet.operators.scan import chunk_width
+from lintfleet.operators.scan import chunk_width, equi_depth
 from lintfleet.plans import reports as Q
 from lintfleet.session import configure, materialize, new_path
 from lintfleet.sources import scripts as I
@@ -183,7 +183,7 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def timings(spark: SparkSession, sf: str) -> DataFrame:
     rows = spans(spark, sf)
-    return MM.span_timings(rows, chunk_width(rows, ["callsite", "span_id"]))
+    return MM.span_timings(rows, equi_depth(rows, ["callsite", "span_id"], F.unix_micros("at")))
 
 
 QUERIES["M01_span_timing"] = timings
@@ -252,7 +252,7 @@ def _rates(spark: SparkSession, sf: str) -> DataFrame:
     newest = tumbling.groupBy("kind", "event_type", "start", "end").agg(F.max_by(F.struct("n", "total"), MD.BATCH).alias("v"))
     events = source(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     sliding = MM.rate(events, F.window("ts", "2 days", "1 day"), "sliding")
-    session = MM.rate(events, F.session_window("ts", "30 minutes"), "session")
+    session = MM.sessions(events, 1800, equi_depth(events, ["event_type"], F.unix_micros("ts")))
     rates = newest.select("kind", "event_type", "start", "end", "v.n", "v.total").unionByName(sliding).unionByName(session)
     return rates.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 

@@ -19,6 +19,7 @@ from lintfleet.session import materialize
 ROWS_PER_TASK = 4_000_000
 CHUNK = 1 << 16
 NAMED_KEYS = 1000
+CUTS = 200_000  # of all hot keys, 1.6 MB
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,49 @@ class Chunks:
             return cut
         return F.when(F.xxhash64(*self.keys).isin(list(self.hot)), cut).otherwise(F.lit(0).cast("bigint"))
 
+    def add(self, df: DataFrame, position: Column, name: str) -> DataFrame:
+        return df.withColumn(name, self.column(position))
+
+
+@dataclass(frozen=True)
+class EquiDepth(Chunks):
+    """Cuts hot keys at quantiles of their positions, so chunks hold about as many rows each, however positions lie.
+
+    `cuts` has one row per hot key: `keys` and `_cuts`, the ascending first positions of all chunks but the first. Rows of
+    equal position stay in one chunk.
+    """
+
+    cuts: DataFrame
+
+    def add(self, df: DataFrame, position: Column, name: str) -> DataFrame:
+        cuts = F.col("_cuts")
+        # binary search for the number of cuts at or before the position; a key without cuts is one chunk
+        steps = F.lit([1 << k for k in range(CUTS.bit_length(), -1, -1)])
+        reached = F.aggregate(steps, F.lit(0).cast("bigint"), lambda at, step: F.when(F.get(cuts, (at + step - 1).cast("int")) <= position, at + step).otherwise(at))
+        joined = df.join(F.broadcast(self.cuts), list(self.keys), "left")
+        return joined.withColumn(name, F.when(cuts.isNull(), F.lit(0).cast("bigint")).otherwise(reached)).select(*df.columns, name)
+
+
+def equi_depth(df: DataFrame, keys: Sequence[str], position: Column, limit: int = ROWS_PER_TASK) -> Chunks | None:
+    """None while every key has at most `limit` rows, else cuts of the larger ones into chunks of about `limit` / 2 rows.
+
+    Counts and quantile sketches are combined before the shuffle. The table of cuts is broadcast, since it is bounded:
+    at most NAMED_KEYS keys, and at most CUTS cuts in all. Beyond that keys are cut by position width.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    hot = counts.limit(NAMED_KEYS + 1).collect()
+    if not hot:
+        return None
+    pieces = max(-(-2 * r["_n"] // limit) for r in hot)
+    if len(hot) > NAMED_KEYS or len(hot) * pieces > CUTS:
+        return chunk_width(df, keys, limit)
+    hot_keys = df.sparkSession.createDataFrame([r[:-1] for r in hot], counts.drop("_n").schema)
+    shares = [k / pieces for k in range(1, pieces)]
+    rows = df.withColumn("_position", position).join(F.broadcast(hot_keys), list(keys), "left_semi")
+    sketch = F.percentile_approx("_position", shares, max(10_000, 20 * pieces))
+    cuts = materialize(rows.groupBy(*keys).agg(F.array_distinct(sketch).alias("_cuts")), "cuts")
+    return EquiDepth(tuple(keys), CHUNK, None, cuts)
+
 
 def chunk_width(df: DataFrame, keys: Sequence[str], limit: int = ROWS_PER_TASK) -> Chunks | None:
     """None while every key has at most `limit` rows, else how to cut the larger ones.
@@ -132,7 +176,7 @@ def running(
     end = -1 if before else 0
 
     cut = Chunks((), chunk, None) if isinstance(chunk, int) else chunk
-    rows = df.withColumn("_chunk", cut.column(F.col(order[0])) * sign)
+    rows = cut.add(df, F.col(order[0]), "_chunk").withColumn("_chunk", F.col("_chunk") * sign)
     for agg in aggs:
         rows = rows.withColumn(f"_in_{agg.name}", agg.value)
     group = [*keys, "_chunk"]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintfleet.operators.scan import Chunks, Running, running
+from lintfleet.session import materialize
 
 # Quantiles at which a histogram is cut: half of what is left each time.
 QUANTILES = [0.5, 0.75, 0.875, 0.9375, 0.96875, 1.0]
@@ -42,6 +43,37 @@ def histogram(timings: DataFrame, value: str = "total", chunk: Chunks | int | No
     return sums.drop("_all").join(reached, "callsite", "left")
 
 
+def sessions(events: DataFrame, gap_seconds: int, chunk: Chunks | None = None) -> DataFrame:
+    """M05 over a table: sessions per type, for types of any size.
+
+    A session ends where the next event comes `gap_seconds` or more after the last. Each chunk of a type's time makes its
+    own sessions. Only a chunk's first and last one can go on in its neighbours, so these two alone are merged over the
+    whole type; a session that fills several chunks is merged from one row of each. `chunk` comes from `equi_depth` over
+    event_type and the microseconds of ts.
+    """
+    gap = 1_000_000 * gap_seconds
+    rows = events.select("event_type", F.unix_micros("ts").alias("_at"), "value").filter("_at is not null")
+    rows = chunk.add(rows, F.col("_at"), "_chunk") if chunk else rows.withColumn("_chunk", F.lit(0).cast("bigint"))
+    part = ["event_type", "_chunk"]
+    inside = Window.partitionBy(*part).orderBy("_at")
+    begins = F.coalesce(F.col("_at") - F.lag("_at").over(inside) >= gap, F.lit(True))
+    rows = rows.withColumn("_begins", begins.cast("int")).withColumn("_no", F.sum("_begins").over(inside))
+    parts = rows.groupBy(*part, "_no").agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count("*").alias("n"), F.sum("value").alias("total"))
+    if chunk:
+        parts = parts.withColumn("_last", F.max("_no").over(Window.partitionBy(*part)))
+        parts = materialize(parts.withColumn("_edge", (F.col("_no") == 1) | (F.col("_no") == F.col("_last"))), "sessions")
+        along = Window.partitionBy("event_type").orderBy("_from")
+        edges = parts.filter("_edge").withColumn("_begins", F.coalesce(F.col("_from") - F.lag("_to").over(along) >= gap, F.lit(True)).cast("int"))
+        merged = edges.withColumn("_no", F.sum("_begins").over(along)).groupBy("event_type", "_no").agg(
+            F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+        kept = ["event_type", "_from", "_to", "n", "total"]
+        parts = parts.filter("not _edge").select(*kept).unionByName(merged.select(*kept))
+    return parts.select(
+        F.lit("session").alias("kind"), "event_type", F.timestamp_micros("_from").alias("start"), F.timestamp_micros(F.col("_to") + gap).alias("end"),
+        "n", F.round("total", 2).alias("total"),
+    )
+
+
 def rate(events: DataFrame, window: Column, kind: str) -> DataFrame:
     """Events and their value per type and time window (tumbling, sliding or session)."""
     return events.groupBy(F.col("event_type"), window.alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(

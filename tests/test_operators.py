@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lintfleet.operators import keyed
 from lintfleet.operators.ranges import covered
-from lintfleet.operators.scan import Chunks, Running, chunk_width, running, seen_before
+from lintfleet.operators.scan import Chunks, Running, chunk_width, equi_depth, running, seen_before
+from lintfleet.streaming import metrics as MM
 
 
 def rows_for(seed=1, keys=3, n=60):
@@ -102,3 +103,51 @@ def test_lookup_is_the_same_broadcast_and_salted(spark, how):
 def test_union_all(spark):
     parts = [spark.createDataFrame([(i,)], "a int") for i in range(7)]
     assert sorted(r.a for r in keyed.union_all(parts).collect()) == list(range(7))
+
+
+def bursts(seed=5):
+    """One hot key with microseconds in bursts of very different density, and a small key."""
+    rnd = random.Random(seed)
+    rows, at = [], 0
+    for i in range(3000):
+        at += 1 if i % 500 < 400 else rnd.randrange(1, 40_000_000)
+        rows.append(("hot", at))
+    return rows + [("cold", 7_000_000 * i) for i in range(40)] + [("cold", None)]
+
+
+def test_hot_keys_are_cut_into_chunks_of_like_size(spark):
+    df = spark.createDataFrame([r for r in bursts() if r[1] is not None], "k string, at long").withColumn("n", F.lit(1))
+    assert equi_depth(df, ["k"], F.col("at"), limit=5000) is None
+    cut = equi_depth(df, ["k"], F.col("at"), limit=300)
+    sizes = {(r.k, r.c): r["count"] for r in cut.add(df, F.col("at"), "c").groupBy("k", "c").count().collect()}
+    hot = [n for (k, _), n in sizes.items() if k == "hot"]
+    assert sizes["cold", 0] == 40 and len(hot) == 20 and max(hot) <= 2 * 3000 / len(hot)
+    for reverse in (False, True):
+        plain, chunked = (running(df, ["k"], ["at"], [Running("s", "sum", F.col("n"))], reverse=reverse, chunk=c) for c in (None, cut))
+        assert sorted(plain.collect()) == sorted(chunked.collect())
+
+
+def test_sessions_of_a_hot_type_are_merged_from_chunks(spark):
+    df = spark.createDataFrame([(k, at, 1.0) for k, at in bursts()], "event_type string, at long, value double").withColumn("ts", F.timestamp_micros("at"))
+    cut = equi_depth(df, ["event_type"], F.unix_micros("ts"), limit=300)
+    want = []
+    for key in ("hot", "cold"):
+        ats = sorted(at for k, at in bursts() if k == key and at is not None)
+        first = last = ats[0]
+        n = 0
+        for at in [*ats, None]:
+            if at is None or at - last >= 10_000_000:
+                want.append((key, first, last + 10_000_000, n, float(n)))
+                first, n = at, 0
+            last, n = at, n + 1
+    for chunk in (None, cut):
+        rows = MM.sessions(df, 10, chunk).select("event_type", F.unix_micros("start"), F.unix_micros("end"), "n", "total").collect()
+        assert sorted(tuple(r) for r in rows) == sorted(want)
+    assert any(n > 300 for *_, n, _ in want)  # a session over several chunks
+
+
+def test_span_timings_of_a_hot_call_site(spark):
+    rows = [(k, 1, i, at, "enter" if i % 2 else "exit") for i, (k, at) in enumerate(bursts()) if at is not None]
+    df = spark.createDataFrame(rows, "callsite string, span_id int, seq int, micros long, kind string").withColumn("at", F.timestamp_micros("micros"))
+    cut = equi_depth(df, ["callsite", "span_id"], F.unix_micros("at"), limit=300)
+    assert sorted(MM.span_timings(df).collect()) == sorted(MM.span_timings(df, cut).collect())
