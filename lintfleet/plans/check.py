@@ -10,6 +10,7 @@ from lintfleet.operators.scan import chunk_width
 from lintfleet.plans import facts as FX
 from lintfleet.plans import lint_rules as L
 from lintfleet.plans import suppressions as X
+from lintfleet.plans.known_facts import KnownFacts
 from lintfleet.plans.selection import override_severity
 from lintfleet.plans.statements import split_statements
 from lintfleet.session import materialize
@@ -20,19 +21,21 @@ SPAN = ["start_byte", "end_byte", "start_line", "end_line", "start_col", "end_co
 
 
 def lint_scripts(scripts: DataFrame, rules: list[str] | None = None, cat: Catalog | None = None, write_facts: bool | None = None,
-                 statements: DataFrame | None = None, code: bool = True) -> DataFrame:
+                 statements: DataFrame | None = None, code: bool = True, known: KnownFacts | None = None) -> DataFrame:
     """Findings with spans, and with the statement's text as `code`.
 
     `statements` are the scripts' statements where they have been split already (with db_id, for a catalog).
 
     `write_facts` puts the facts in a table first, so that the texts are read once and each state chain reads a few
-    columns of it. By default that is done when any enabled rule needs more than its own statement.
+    columns of it. By default that is done when any enabled rule needs more than its own statement. With `known`, only
+    texts that no earlier run has seen are analysed.
     """
     if write_facts is None:
         write_facts = any((r.needs or r.build) for r in L.RULES.values() if rules is None or r.name in rules)
     if statements is None:
         statements = split_statements(scripts, ["script_id", *[c for c in ("db_id",) if c in scripts.columns]], "content")
-    extracted = FX.extract(statements.withColumnRenamed("stmt_no", "pos"))
+    statements = statements.withColumnRenamed("stmt_no", "pos")
+    extracted = known.extract(statements) if known else FX.extract(statements)
     if write_facts:
         extracted = materialize(extracted, "facts")
         chunk = chunk_width(extracted, ["script_id"])
@@ -53,6 +56,7 @@ def check(
     levels: dict[str, int] | None = None,
     disabled: list[str] | None = None,
     statements: DataFrame | None = None,
+    known: KnownFacts | None = None,
 ) -> DataFrame:
     """The whole check of a corpus, in this order:
 
@@ -62,7 +66,7 @@ def check(
     4. what a comment suppresses goes.
 
     `disabled` holds rules, or the group's name; comments that name one of them get a row. Without a catalog every
-    database's version counts as unknown.
+    database's version counts as unknown. `known` shares facts of equal texts between runs.
     """
     disabled = disabled or []
     enabled = [r.name for r in L.RULES.values() if (rules is None or r.name in rules) and r.name not in disabled and "safety" not in disabled]
@@ -73,7 +77,7 @@ def check(
     if syntax_errors is not None:
         parts.append(syntax_errors.select(*cols, F.lit(X.SYNTAX).alias("origin")))
     if enabled:
-        linted = lint_scripts(scripts, enabled, cat, write_facts, statements, code=False)
+        linted = lint_scripts(scripts, enabled, cat, write_facts, statements, code=False, known=known)
         parts.append(override_severity(linted, levels or {}).select(*cols, F.lit(X.LINT).alias("origin")))
     parsed = X.comments(scripts)
     if not parts:

@@ -13,6 +13,7 @@ from lintfleet.plans import lint_rules as L
 from lintfleet.plans import selection as SEL
 from lintfleet.plans import suppressions as X
 from lintfleet.plans import txstate as W
+from lintfleet.plans.known_facts import KnownFacts
 from lintfleet.plans.statements import split_statements
 from lintfleet.session import materialize
 
@@ -180,6 +181,32 @@ def test_check_with_written_facts(spark):
     assert sorted(map(tuple, CH.lint_scripts(df, write_facts=True).select(cols).collect())) == plain
 
 
+def test_second_run_analyses_no_text_again(spark, tmp_path):
+    df = spark.createDataFrame([(i, CASES[i % 7][0]) for i in range(14)], "script_id int, content string")
+    cols = ["script_id", "pos", "ord", "rule", "message", "start_byte", "code"]
+    names = ["banTruncate", "addSerialColumn", "preferRobustStmts", "lockTimeoutWarning"]
+
+    def linted(frame, known=None):
+        return sorted(map(tuple, CH.lint_scripts(frame, names, known=known).select(cols).collect()))
+
+    def shared(frame):
+        return linted(frame, KnownFacts(spark, str(tmp_path)))
+
+    table, plain = KnownFacts(spark, str(tmp_path)).store, linted(df)
+    assert plain and shared(df) == plain
+    entries, texts = table.snapshot(), split_statements(df, ["script_id"], "content").select("text").distinct().count()
+    assert table.read("facts").count() == texts and len(entries) == 1
+    assert shared(df) == plain
+    assert table.snapshot() == entries  # nothing was analysed, nothing written
+    more = spark.createDataFrame([(20, "truncate only_here;"), (21, CASES[0][0])], "script_id int, content string")
+    assert "banTruncate" in {r[3] for r in linted(more)} and shared(more) == linted(more)
+    assert table.read("facts").count() == texts + 1 and len(table.snapshot()) == 2
+    nothing = spark.createDataFrame([], "script_id int, content string")
+    assert shared(nothing) == []
+    missing = KnownFacts(spark, str(tmp_path)).extract(spark.createDataFrame([(1, None)], "script_id int, text string")).collect()
+    assert [r.kind for r in missing] == [r.kind for r in FX.extract(spark.createDataFrame([(1, "")], "script_id int, text string")).collect()]
+
+
 def test_facts_of_shapes_with_several_brackets(spark):
     texts = ["with x as (select 1) delete from a.t where b", "create table t (a bigint, b text) partition by range (a, b)",
              "create table t (a bigint) inherits (u, v) with (fillfactor=70, autovacuum_enabled=false)", "alter foreign table a.t drop column c",
