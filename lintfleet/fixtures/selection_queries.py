@@ -80,8 +80,9 @@ def sql(body: str, rules: list[str] = RULES) -> str:
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
-    """The sweep over findings and comments."""
-    return X.judge(findings(spark, sf).withColumn("origin", F.lit(X.LINT)), parsed(spark, sf))
+    """The sweep over findings and comments. What is no part of a result, such as the statement's text, is not moved."""
+    found = CH.lint_scripts(scripts(spark, sf), NAMES, code=False).select("script_id", "pos", "ord", "category", "message", *X.AT)
+    return X.judge(found.withColumn("origin", F.lit(X.LINT)), parsed(spark, sf))
 
 
 # ------------------------------------------------------------------ T09-T11

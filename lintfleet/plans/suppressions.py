@@ -58,7 +58,7 @@ def comments(scripts: DataFrame, content: str = "content") -> DataFrame:
     others = F.filter("_trimmed", is_other)
     found = F.filter("_trimmed", lambda t: t["text"].startswith(marks[0]) | t["text"].startswith(marks[1]))
     out = pin(out, _first_other=F.get(others, F.lit(0))["line"])
-    rows = out.select("script_id", "_first_other", F.inline(found))
+    rows = pin(out, _marks=found).select("script_id", "_first_other", F.inline("_marks"))
 
     head = F.split_part("text", F.lit(":"), F.lit(1))
     words = F.split(_trim(head), r"\s+")
