@@ -76,16 +76,29 @@ LITERAL_TYPES = {"int": ["int2", "int4", "int8"], "float": ["float4", "float8"],
 def literal_types(literals: DataFrame, cat: Catalog) -> DataFrame:
     """Type ids each literal (literal_id, db_id, literal, value) may have. A null literal fits every type and gets no row.
 
-    Strings also fit enums with that label: an equality on (db_id, label) against the exploded labels.
+    Strings also fit enums with that label: an equality on (db_id, label) against the exploded labels. Of equal rows one comes out.
     """
     kinds = [F.struct(F.lit(k).alias("literal"), F.lit(t).alias("name")) for k, ts in LITERAL_TYPES.items() for t in ts]
     types = K.types(cat)
     builtin = types.filter(F.col("schema") == "pg_catalog").withColumn("_k", F.explode(F.array(*kinds)))
     builtin = builtin.filter(F.col("name") == F.col("_k.name")).select("db_id", F.col("_k.literal").alias("literal"), F.col("id").alias("type_id"))
-    labels = types.select("db_id", F.col("id").alias("type_id"), F.explode(F.array_distinct("enums")).alias("value"))
-    by_kind = lookup(literals, builtin, ["db_id", "literal"], "inner").select("literal_id", "db_id", "type_id")
-    by_label = literals.filter(F.col("literal") == "string").join(labels, ["db_id", "value"]).select("literal_id", "db_id", "type_id")
-    return by_kind.unionByName(by_label).distinct()
+    builtin = materialize(builtin.distinct(), "builtin")
+    texts = builtin.filter(F.col("literal") == "string").select("db_id", "type_id")
+    labels = types.select("db_id", F.col("id").alias("type_id"), F.explode(F.array_distinct("enums")).alias("value")).distinct()
+    labels = materialize(labels.join(texts, ["db_id", "type_id"], "left_anti"), "labels")
+
+    # Pairs can be as many as literals times types, so they are never shuffled: repeats go before the joins. Only ids given
+    # with several literals may still meet a type twice.
+    value = F.when(F.col("literal") == "string", F.col("value"))
+    given = literals.groupBy("literal_id", "db_id").agg(F.collect_set(F.struct("literal", value.alias("value"))).alias("_given"))
+
+    def paired(ids: DataFrame) -> DataFrame:
+        rows = ids.select("literal_id", "db_id", F.inline("_given"))
+        by_kind = lookup(rows.drop("value"), builtin, ["db_id", "literal"], "inner")
+        by_label = lookup(rows.filter(F.col("literal") == "string").drop("literal"), labels, ["db_id", "value"], "inner")
+        return union_all([found.select("literal_id", "db_id", "type_id") for found in (by_kind, by_label)])
+
+    return paired(given.filter(F.size("_given") == 1)).unionByName(paired(given.filter(F.size("_given") > 1)).distinct())
 
 
 def typed_functions(cat: Catalog) -> DataFrame:
