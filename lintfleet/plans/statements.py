@@ -46,7 +46,7 @@ MIN_BLOCK = 256
 
 def _describe(p: Column) -> Column:
     """Static facts of one token and the trivia before it."""
-    lead = restored(p["lead"], F.col("_broken_by"))
+    lead, broken, core_broken = p["shown"], p["broken"], p["core_broken"]
     word = F.upper(p["core"])
     kind = (
         F.when(p["core"].isin(";", ",", "(", ")", "\\"), p["core"])
@@ -54,7 +54,6 @@ def _describe(p: Column) -> Column:
         .otherwise("")
     )
     no_comments = F.regexp_replace(p["lead"], COMMENT, " ")
-    broken = lead.contains("\n") | lead.contains("\r")
     return F.struct(
         F.octet_length(p["raw"]).cast("bigint").alias("size"),
         F.octet_length(p["core"]).cast("bigint").alias("core_size"),
@@ -62,10 +61,9 @@ def _describe(p: Column) -> Column:
         F.when(broken, no_comments.rlike(rf"{NEWLINE}{{2}}")).otherwise(False).alias("blank"),
         F.when(broken, no_comments.rlike(r"[\r\n]")).otherwise(False).alias("broken"),
         F.when(broken, F.regexp_count(lead, F.lit(NEWLINE))).otherwise(0).alias("lead_breaks"),
-        F.when(p["core"].contains("\n") | p["core"].contains("\r"), F.regexp_count(p["core"], F.lit(NEWLINE)))
-        .otherwise(0).alias("core_breaks"),
+        F.when(core_broken, F.regexp_count(p["core"], F.lit(NEWLINE))).otherwise(0).alias("core_breaks"),
         F.length(F.when(broken, F.regexp_extract(lead, r"[^\r\n]*\z", 0)).otherwise(lead)).alias("lead_tail"),
-        F.length(F.regexp_extract(p["core"], r"[^\r\n]*\z", 0)).alias("core_tail"),
+        F.length(F.when(core_broken, F.regexp_extract(p["core"], r"[^\r\n]*\z", 0)).otherwise(p["core"])).alias("core_tail"),
     )
 
 
@@ -229,7 +227,7 @@ def _fold(df: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), count - 1),
         lambda k: elements("_events", k * F.col("_width"), F.least(n - 1, (k + 1) * F.col("_width") - 1)),
     )
-    out = pin(out, _blocks=blocks)
+    out = pin(out, _blocks=F.when(n <= F.col("_width"), F.array("_events")).otherwise(blocks)).drop("_events")
     whole = F.slice("_blocks", 1, F.size("_blocks") - 1)
     starts = F.aggregate(
         whole, F.array(zero), lambda acc, b: F.array_append(acc, F.aggregate(b, F.element_at(acc, -1), _step))
@@ -252,35 +250,46 @@ def _fold(df: DataFrame) -> DataFrame:
 def _spans(df: DataFrame, ids: list[str], content: str) -> DataFrame:
     text, broken_by = F.col(content), F.col("_broken_by")
     out = pin(df.select(*ids, content), _broken_by=breaker(text))
-    out = pin(out, _found=F.regexp_extract_all(unnested(text, broken_by), F.lit(SIGNIFICANT), F.lit(0))).drop(content)
+    out = pin(out, _found=F.regexp_extract_all(unnested(text, broken_by), F.lit(SIGNIFICANT), F.lit(0)))
+
+    def has_break(t: Column) -> Column:
+        return t.contains("\n") | t.contains("\r")
+
+    def core_of(m: Column) -> Column:
+        # most tokens have no trivia before them, or blanks only
+        bare = F.ltrim(m)
+        cut = F.when(F.ascii(bare).isin(9, 10, 11, 12, 13, 45, 47), F.regexp_extract(m, AFTER_TRIVIA, 1)).otherwise(bare)
+        return F.when(F.ascii(m).isin(9, 10, 11, 12, 13, 32, 45, 47), cut).otherwise(m)
 
     def part(m: Column) -> Column:
-        core = F.when(F.ascii(m).isin(9, 10, 11, 12, 13, 32, 45, 47), F.regexp_extract(m, AFTER_TRIVIA, 1)).otherwise(m)
-        return let(core, lambda c: F.struct(
-            restored(m, broken_by).alias("raw"), restored(c, broken_by).alias("core"),
-            F.substring(m, F.lit(1), F.length(m) - F.length(c)).alias("lead"),
-        ))
+        def with_lead(c: Column) -> Column:
+            lead = F.substring(m, F.lit(1), F.length(m) - F.length(c))
+            return let(F.struct(c.alias("core"), lead.alias("lead"), restored(lead, broken_by).alias("shown")), lambda l: let(
+                F.struct(restored(m, broken_by).alias("raw"), restored(l["core"], broken_by).alias("core"), l["lead"].alias("lead"), l["shown"].alias("shown"),
+                         has_break(l["shown"]).alias("broken"), has_break(l["core"]).alias("core_broken")), _describe))
+
+        return let(core_of(m), with_lead)
 
-    out = pin(out, _parts=F.transform("_found", part)).drop("_found")
-    out = pin(out, _raw=F.transform("_parts", lambda p: p["raw"]))
-    out = pin(out, _info=F.transform("_parts", _describe))
+    out = pin(out, _info=F.transform("_found", part)).drop("_found")
     out = pin(out, _events=F.transform("_info", _event))
     out = _fold(out)
-    text = F.transform(
-        "_spans",
-        lambda s: F.struct(
+
+    def with_text(whole: Column) -> Column:
+        """Tokens tile the text, so a span's text is its bytes."""
+        return F.transform("_spans", lambda s: F.struct(
             *[s[f].alias(f) for f in ("meta", "start", "end", "start_line", "end_line", "start_col", "end_col")],
-            F.concat(F.get("_parts", s["first"])["core"], F.array_join(elements("_raw", s["first"] + 1, s["last"]), "")).alias("text"),
+            F.substring(whole, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).cast("string").alias("text"),
             (F.get("_info", s["last"])["kind"] == ";").alias("has_semicolon"),
-        ),
-    )
-    return pin(out, _found=text).select(*ids, "_found")
+        ))
+
+    return pin(out, _found=let(F.make_valid_utf8(text).cast("binary"), with_text)).select(*ids, "_found")
 
 
 def _rows(df: DataFrame, ids: list[str], content: str, meta: bool) -> DataFrame:
     found = _spans(df, ids, content)
-    kept = F.filter("_found", lambda s: s["meta"] if meta else ~s["meta"])
-    return found.select(*ids, F.posexplode(kept).alias("_no", "_s"))
+    # kept in a column: the optimizer also asks for the size of what is exploded
+    kept = pin(found, _kept=F.filter("_found", lambda s: s["meta"] if meta else ~s["meta"]))
+    return kept.select(*ids, F.posexplode("_kept").alias("_no", "_s"))
 
 
 def split_statements(df: DataFrame, ids: list[str], content: str) -> DataFrame:
