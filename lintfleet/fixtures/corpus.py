@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintfleet.fixtures.relations import source
-from lintfleet.session import spread
+from lintfleet.session import dealt
 
 
 @dataclass
@@ -266,14 +266,18 @@ col as (select s.script_id, s.pos, c.* from stmt s join tmpl_col c on c.tid = s.
 con as (select s.script_id, s.pos, s.rel_schema, s.rel_name, c.* from stmt s join tmpl_con c on c.tid = s.tid)"""
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(script_id, pos, db_id, text) plus the pieces a script is put together from."""
+STATEMENTS_PER_TASK = 25_000  # text work takes about half a millisecond a statement
+
+
+def statements(spark: SparkSession, sf_dir: str, by_script: bool = False) -> DataFrame:
+    """(script_id, pos, db_id, text) plus the pieces a script is put together from; `by_script` keeps a script's in one task."""
     templates = spark.createDataFrame(
         [(i, t.text, t.kind != "transaction") for i, t in enumerate(TEMPLATES)], "tid int, template string, may_lack boolean"
     )
     targets = spark.createDataFrame([(i, t[0]) for i, t in enumerate(TARGETS)], "tno int, target string")
     comments = spark.createDataFrame(list(enumerate(COMMENTS)), "cno int, prefix string")
-    orders = spread(source(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(
+    dealing = ["o_custkey"] if by_script else []
+    orders = dealt(source(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), *dealing, rows=STATEMENTS_PER_TASK).select(
         F.col("o_custkey").alias("script_id"), F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 5).cast("int").alias("db_id"),
         (F.col("o_orderkey") % N).cast("int").alias("tid"),
         (F.floor(F.col("o_orderkey") / N) % len(TARGETS)).cast("int").alias("tno"),
@@ -292,7 +296,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(script_id, path, content): whole script texts."""
     headers = spark.createDataFrame(list(enumerate(HEADERS)), "hno int, header string")
-    parts = statements(spark, sf_dir).select("script_id", "pos", F.concat("prefix", "text", "ending").alias("part"))
+    parts = statements(spark, sf_dir, by_script=True).select("script_id", "pos", F.concat("prefix", "text", "ending").alias("part"))
     bodies = parts.groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
     joined = bodies.withColumn("hno", (F.col("script_id") % len(HEADERS)).cast("int")).join(F.broadcast(headers), "hno")
     content = F.concat("header", F.array_join(F.transform("parts", lambda p: p["part"]), ""))

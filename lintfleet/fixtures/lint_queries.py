@@ -5,7 +5,7 @@ The Spark side extracts facts from statement text; the SQL side starts from the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def facts(spark: SparkSession, sf: str) -> tuple[DataFrame, Chunks | None]:
+def facts(spark: SparkSession, sf: str, arrays: Collection[str]) -> tuple[DataFrame, Chunks | None]:
     """Facts of all statements, and how their scripts must be scanned."""
     rows = statement_rows(spark, sf)
-    return FX.extract(rows), chunk_width(rows, ["script_id"])
+    return FX.extract(rows, arrays=arrays), chunk_width(rows, ["script_id"])
 
 
 # ------------------------------------------------------------------ SQL state
@@ -74,7 +74,7 @@ def sql(body: str) -> str:
 
 def state(needs: list[str], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        df, chunk = facts(spark, sf)
+        df, chunk = facts(spark, sf, ["commands"] if {"locks", "locked_tables"} & {*needs} else [])
         return W.with_state(df, needs, chunk).select("script_id", "pos", *columns)
 
     return run
@@ -110,7 +110,7 @@ SQL["W07_locked_tables"] = sql("select script_id, pos, table_locked_before, lock
 
 
 def _not_valid(spark: SparkSession, sf: str) -> DataFrame:
-    df, chunk = facts(spark, sf)
+    df, chunk = facts(spark, sf, ["constraints"])
     return W.not_valid_events(W.with_segment(df, chunk))
 
 
@@ -122,7 +122,7 @@ from seg s join con k on k.script_id = s.script_id and k.pos = s.pos where k.con
 
 
 def _dangerous(spark: SparkSession, sf: str) -> DataFrame:
-    df, chunk = facts(spark, sf)
+    df, chunk = facts(spark, sf, [])
     return W.with_state(df, ["created"], chunk).select("script_id", "pos", W.is_dangerous_lock().alias("is_dangerous_lock"))
 
 
@@ -131,7 +131,7 @@ SQL["W09_is_dangerous_lock"] = sql("select script_id, pos, is_dangerous_lock fro
 
 
 def _depth(spark: SparkSession, sf: str) -> DataFrame:
-    df, chunk = facts(spark, sf)
+    df, chunk = facts(spark, sf, [])
     return W.with_depth(df, chunk).select("script_id", "pos", "depth")
 
 
@@ -269,7 +269,7 @@ def lint_sql(body: str) -> str:
 
 def lint(rules: list[str] | None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        df, chunk = facts(spark, sf)
+        df, chunk = facts(spark, sf, L.arrays_of(rules))
         if rules is None:  # several state chains read the facts, each only a few columns of them
             df = materialize(df, "facts")
         return L.lint(df, rules, catalog(spark, sf), chunk)

@@ -146,13 +146,13 @@ QUERIES["F02_command_facts"] = lambda spark, sf: (
 SQL["F02_command_facts"] = sql("select script_id, pos, ord, subtype, name, detach_concurrent concurrent from cmd")
 
 QUERIES["F03_column_facts"] = lambda spark, sf: (
-    FX.extract(statement_rows(spark, sf)).select("script_id", "pos", F.inline("columns"))
+    FX.extract(statement_rows(spark, sf), arrays=["columns"]).select("script_id", "pos", F.inline("columns"))
     .withColumn("type_names", F.array_join("type_names", "."))
 )
 SQL["F03_column_facts"] = sql("select script_id, pos, context, ord, name, type_names, has_modifier from col")
 
 QUERIES["F04_constraint_facts"] = lambda spark, sf: (
-    FX.extract(statement_rows(spark, sf)).select("script_id", "pos", F.inline("constraints")).drop("default_schema")
+    FX.extract(statement_rows(spark, sf), arrays=["constraints"]).select("script_id", "pos", F.inline("constraints")).drop("default_schema")
 )
 SQL["F04_constraint_facts"] = sql(
     """select script_id, pos, context, ord, contype, name, skip_validation, initially_valid, index_name, generated_when, default_kind, default_function from con"""

@@ -6,6 +6,10 @@ Extraction is therefore a projection. Shapes the patterns do not know stay "othe
 
 from __future__ import annotations
 
+import re
+from collections.abc import Collection
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +52,22 @@ def like(text: Column, pattern: str) -> Column:
 
 def ident(text: Column) -> Column:
     """Name as the parser stores it: quotes removed, unquoted names in lower case."""
-    inner = F.replace(F.substring(text, F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))
-    return F.when(text.startswith('"'), inner).otherwise(F.lower(text))
+
+    def stored(name: Column) -> Column:
+        inner = F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))
+        return F.when(name.startswith('"'), inner).otherwise(F.lower(name))
+
+    return let(text, stored)
+
+
+def _any_of(text: Column, *parts: str) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
 
 
 def _comments_gone(text: Column) -> Column:
-    return F.regexp_replace(let(breaker(text), lambda b: unnested(text, b)), _COMMENTS, "$1 ")
+    # the pattern finds nothing without one of these
+    gone = F.regexp_replace(let(breaker(text), lambda b: unnested(text, b)), _COMMENTS, "$1 ")
+    return F.when(_any_of(text, "'", '"', "$", "--", "/*"), gone).otherwise(text)
 
 
 def without_comments(text: Column) -> Column:
@@ -63,11 +77,17 @@ def without_comments(text: Column) -> Column:
 
 def masked(text: Column) -> Column:
     """Statement text with comments gone, literals emptied to '' and white space single."""
-    plain = _comments_gone(text)
-    marked = F.regexp_replace(plain, rf"({QUOTED})|{STRING}|{_TAG2}", f"$1{MARK}")
-    emptied = F.regexp_replace(F.regexp_replace(marked, f'"{MARK}', '"'), MARK, "''")
-    spaced = F.regexp_replace(emptied, rf"({QUOTED})\s*+|\s+", "$1 ")
-    return F.regexp_replace(F.trim(spaced), r"[\s;]+$", "")
+
+    def emptied(plain: Column) -> Column:
+        marked = F.regexp_replace(plain, rf"({QUOTED})|{STRING}|{_TAG2}", f"$1{MARK}")
+        bare = F.regexp_replace(F.regexp_replace(marked, f'"{MARK}', '"'), MARK, "''")
+        return F.when(_any_of(plain, "'", '"', "$", MARK), bare).otherwise(plain)
+
+    def spaced(bare: Column) -> Column:
+        single = F.regexp_replace(bare, rf"({QUOTED})\s*+|\s+", "$1 ")
+        return F.when(bare.rlike(r'"|  |[\t\n\x0B\f\r]'), single).otherwise(bare)
+
+    return let(_comments_gone(text), lambda plain: let(emptied(plain), lambda bare: F.regexp_replace(F.trim(spaced(bare)), r"[\s;]+$", "")))
 
 
 def _pieces(text: Column) -> Column:
@@ -168,6 +188,23 @@ def _first_match(text: Column, table: list[tuple[str, str]], default: Column) ->
     return out.otherwise(default)
 
 
+def _kind(text: Column) -> Column:
+    """The kind by `_KINDS`; only patterns that begin with the text's first word are tried."""
+    by_word: dict[str, list[tuple[str, str]]] = {}
+    for name, pattern in _KINDS:
+        for word in re.findall("[A-Z]+", re.match(r"\^(?:\(\?:([A-Z|]+)\)|([A-Z]+))", pattern).group(0)):
+            by_word.setdefault(word, []).append((name, pattern))
+
+    def of(word: Column) -> Column:
+        other = F.lit("other")
+        out = F.when(word == "", other)
+        for first, table in by_word.items():
+            out = out.when(word == first, _first_match(text, table, other))
+        return out.otherwise(other)
+
+    return let(F.upper(F.regexp_extract(text, "^[A-Za-z]*", 0)), of)
+
+
 def statement_facts(statements: DataFrame, text: str = "text") -> DataFrame:
     """one row per statement with its kind, target relation and flags."""
     df = pin(statements, masked=masked(F.col(text)))
@@ -177,7 +214,7 @@ def statement_facts(statements: DataFrame, text: str = "text") -> DataFrame:
     m = F.col("_main")
     tx = _first_match(m, _TX, F.lit(None).cast("string"))
     df = pin(df, tx_kind=F.when(like(m, r"^(?:BEGIN|START|COMMIT|END|ROLLBACK|ABORT|SAVEPOINT|RELEASE)\b"), tx))
-    kind = F.when(F.col("tx_kind").isNotNull(), "transaction").otherwise(_first_match(m, _KINDS, F.lit("other")))
+    kind = F.when(F.col("tx_kind").isNotNull(), "transaction").otherwise(_kind(m))
     df = pin(df, kind=kind)
     k = F.col("kind")
 
@@ -313,15 +350,17 @@ _TYPE = (
 
 
 def _column_fact(context: str, ord: Column, name: Column, rest: Column) -> Column:
-    base = F.trim(F.regexp_replace(F.regexp_replace(F.lower(pick(rest, _TYPE)), r" ?\(\d+\) ?", " "), " +", " "))
     pairs = [F.lit(x) for kv in TYPE_ALIASES.items() for x in kv]
-    alias = F.element_at(F.create_map(*pairs), base)
-    own = F.transform(F.regexp_extract_all(pick(rest, _TYPE), F.lit(NAME), F.lit(0)), ident)
-    names = F.when(alias.isNotNull(), F.array(F.lit("pg_catalog"), alias)).otherwise(own)
-    return F.struct(
-        F.lit(context).alias("context"), ord.alias("ord"), ident(name).alias("name"), names.alias("type_names"),
-        (pick(rest, _TYPE, 2) != "").alias("has_modifier"),
-    )
+
+    def named(written: Column) -> Column:
+        base = F.trim(F.regexp_replace(F.regexp_replace(F.lower(written), r" ?\(\d+\) ?", " "), " +", " "))
+        own = F.transform(F.regexp_extract_all(written, F.lit(NAME), F.lit(0)), ident)
+        return let(F.element_at(F.create_map(*pairs), base), lambda alias: F.when(alias.isNotNull(), F.array(F.lit("pg_catalog"), alias)).otherwise(own))
+
+    return let(rest, lambda r: F.struct(
+        F.lit(context).alias("context"), ord.alias("ord"), ident(name).alias("name"), let(pick(r, _TYPE), named).alias("type_names"),
+        (pick(r, _TYPE, 2) != "").alias("has_modifier"),
+    ))
 
 
 _TABLE_BODY = _CREATE_TABLE + r"(\(.*)$"
@@ -387,24 +426,32 @@ _DEFAULT_END = r"(?: (?:NOT NULL|NULL|UNIQUE|PRIMARY KEY|CHECK|REFERENCES|CONSTR
 
 
 def _inline_constraints(ord: Column, rest: Column) -> Column:
-    none = F.lit(None).cast(CONSTRAINT_FACT)
+    """What follows a new column's type; each part of the text is cut out once."""
     after_type = F.regexp_replace(rest, f"(?is){_TYPE}", "")
-    flat = outside_brackets(after_type)
-    default = F.trim(pick(after_type, rf"\bDEFAULT (.*?){_DEFAULT_END}"))
+    return let(after_type, lambda after: let(outside_brackets(after), lambda flat: _found_inline(ord, after, flat)))
+
+
+def _default(ord: Column, default: Column) -> Column:
     kind = F.when(like(default, _CONSTANT), "constant").when(like(default, _CALL), "function").otherwise("expression")
+    return let(kind, lambda k: _constraint(
+        "add_column", ord, "default", default_kind=k,
+        default_schema=F.when(k == "function", ident(pick(default, _CALL))),
+        default_function=F.when(k == "function", ident(pick(default, _CALL, 2)))))
+
+
+def _found_inline(ord: Column, after_type: Column, flat: Column) -> Column:
+    none = F.lit(None).cast(CONSTRAINT_FACT)
+    default = F.trim(pick(after_type, rf"\bDEFAULT (.*?){_DEFAULT_END}"))
     generated = like(flat, r"\bGENERATED ALWAYS AS ?(?!IDENTITY)") & ~like(flat, r"\bGENERATED ALWAYS AS IDENTITY\b")
     found = [
         (like(flat, r"\bNOT NULL\b"), _constraint("add_column", ord, "not_null")),
-        (like(flat, r"\bDEFAULT\b"), _constraint(
-            "add_column", ord, "default", default_kind=kind,
-            default_schema=F.when(kind == "function", ident(pick(default, _CALL))),
-            default_function=F.when(kind == "function", ident(pick(default, _CALL, 2))))),
+        (like(flat, r"\bDEFAULT\b"), let(default, lambda d: _default(ord, d))),
         (generated, _constraint("add_column", ord, "generated", generated_when=F.lit("a"))),
         (like(flat, r"\bREFERENCES\b"), _constraint("add_column", ord, "foreign", initially_valid=F.lit(True))),
         (like(flat, r"\bCHECK\b"), _constraint("add_column", ord, "check", initially_valid=F.lit(True))),
         (like(flat, r"\bUNIQUE\b"), _constraint("add_column", ord, "unique")),
         (like(flat, r"\bPRIMARY KEY\b"), _constraint("add_column", ord, "primary")),
-    ]
+    ]
     rows = F.array(*[F.when(hit, value.cast(CONSTRAINT_FACT)).otherwise(none) for hit, value in found])
     return F.filter(rows, lambda c: c.isNotNull())
 
@@ -429,10 +476,21 @@ def add_constraints(facts: DataFrame) -> DataFrame:
     return pin(facts, constraints=F.concat(created, altered))
 
 
-def extract(statements: DataFrame, text: str = "text") -> DataFrame:
-    """All facts of a statement table, in one pass over its text."""
-    df = add_elements(add_commands(statement_facts(statements, text)))
-    return add_constraints(add_columns(df)).drop("elements")
+ARRAYS = ("commands", "columns", "constraints")
+
+
+def extract(statements: DataFrame, text: str = "text", arrays: Collection[str] = ARRAYS) -> DataFrame:
+    """The facts of a statement table, in one pass over its text; of the arrays only those asked for."""
+    df = statement_facts(statements, text)
+    if arrays:
+        df = add_commands(df)
+    if "columns" in arrays or "constraints" in arrays:
+        df = add_elements(df)
+    if "columns" in arrays:
+        df = add_columns(df)
+    if "constraints" in arrays:
+        df = add_constraints(df)
+    return df.drop("elements", *[a for a in ARRAYS if a not in arrays])
 
 
 # ------------------------------------------------------------------ F05: mentions

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from lintfleet import constants as C
 from lintfleet.functions import scalars as S
+from lintfleet.functions.arrays import pin
 from lintfleet.operators.keyed import lookup, union_all
 from lintfleet.operators.scan import Chunks
 from lintfleet.plans import catalog_dims as K
+from lintfleet.plans import facts as FX
 from lintfleet.plans import txstate as W
 from lintfleet.plans.lint_messages import MESSAGES
 from lintfleet.registry import LINT_RULES as RULES
@@ -452,13 +454,36 @@ def _() -> Column:
 
 # ------------------------------------------------------------------ driver
 
+# Which arrays of facts a rule looks into, beside the one that state is built from.
+_READS = {
+    "commands": ["L04", "L06", "L09", "L11", "L16", "L18", "L43", "L49"],
+    "columns": ["L01", "L13", "L26", "L33", "L34", "L35", "L36", "L37", "L39", "L40"],
+    "constraints": ["L01", "L02", "L03", "L05", "L07", "L28", "L30", "L49"],
+}
+_PLAIN = ["L08", "L10", "L15", "L17", "L19", "L20", "L21", "L22", "L23", "L24", "L25", "L27", "L29", "L38", "L41", "L42", "L45", "L46", "L47"]
+
+
+def arrays_of(rules: list[str] | None = None) -> list[str]:
+    """The arrays of facts that the named rules (None: all) need; a rule not listed here may need any."""
+    found: set[str] = set()
+    for r in RULES.values():
+        if rules is not None and r.name not in rules:
+            continue
+        reads = [a for a, ids in _READS.items() if r.id in ids]
+        if r.needs:
+            reads.append("commands")
+            reads += ["constraints"] if r.needs[0] == "created_in_file" else []
+        found.update(reads if reads or r.id in _PLAIN else FX.ARRAYS)
+    return [a for a in FX.ARRAYS if a in found]
+
 # state chains that one pass can serve together
 _FAMILIES = [["locked_tables", "locks", "created"], ["neighbours"], ["first_transaction"], ["created_in_file"], ["earlier_alter"]]
 
 
 def _hit_rows(state: DataFrame, rules: list[LintRule], carry: list[str]) -> DataFrame:
-    found = [_tagged(r) for r in rules]
-    return state.select("script_id", "pos", *carry, F.inline(F.flatten(F.array(*found))))
+    # kept in a column: the optimizer also asks for the size of what is exploded, and would run all rules anew for it
+    found = pin(state, _hits=F.flatten(F.array(*[_tagged(r) for r in rules])))
+    return found.select("script_id", "pos", *carry, F.inline("_hits"))
 
 
 def _tagged(r: LintRule) -> Column:

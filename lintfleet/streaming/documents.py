@@ -120,7 +120,7 @@ class IncrementalLint:
 
     def _analysed(self, fresh: DataFrame) -> DataFrame:
         keyed = fresh.select(F.col("stmt_key").alias("script_id"), F.lit(1).alias("pos"), "text")
-        hits = L.lint(FX.extract(keyed), self.rules).groupBy(F.col("script_id").alias("stmt_key"))
+        hits = L.lint(FX.extract(keyed, arrays=L.arrays_of(self.rules)), self.rules).groupBy(F.col("script_id").alias("stmt_key"))
         hits = hits.agg(F.sort_array(F.collect_list(F.struct("ord", "rule", "message"))).alias("found"))
         return fresh.select("stmt_key").join(hits, "stmt_key", "left")
 
