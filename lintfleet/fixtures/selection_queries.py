@@ -22,7 +22,7 @@ from lintfleet.plans import scorecard as P
 from lintfleet.plans import selection as SEL
 from lintfleet.plans import suppressions as X
 from lintfleet.plans.statements import split_statements
-from lintfleet.session import configure, materialize
+from lintfleet.session import configure, materialize, tasks_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,7 +82,7 @@ def sql(body: str, rules: list[str] = RULES) -> str:
 def judged(spark: SparkSession, sf: str) -> DataFrame:
     """The sweep over findings and comments. What is no part of a result, such as the statement's text, is not moved."""
     found = CH.lint_scripts(scripts(spark, sf), NAMES, code=False).select("script_id", "pos", "ord", "category", "message", *X.AT)
-    return X.judge(found.withColumn("origin", F.lit(X.LINT)), parsed(spark, sf))
+    return X.judge(found.withColumn("origin", F.lit(X.LINT)), parsed(spark, sf), tasks=tasks_for(source(spark, sf, "orders")))  # a row per statement
 
 
 # ------------------------------------------------------------------ T09-T11

@@ -421,8 +421,12 @@ def _() -> Column:
     return on_statement(W.is_dangerous_lock() & ~F.col("idle_in_transaction_timeout_set"), _message("requireIdleInTransactionTimeout"))
 
 
-def _separate_validation(facts: DataFrame, cat: Catalog | None = None, chunk: Chunks | int | None = None) -> DataFrame:
-    slim = facts.select(*W.SLIM, "commands", "constraints")
+def _separate_validation(
+    facts: DataFrame, cat: Catalog | None = None, chunk: Chunks | int | None = None, dealt: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
+    # of the arrays only what is looked into is moved
+    read = {"commands": W.validates, "constraints": W.not_valid}
+    slim = dealt(facts.select(*W.SLIM, *[F.filter(a, reads).alias(a) for a, reads in read.items()]))
     rows = W.with_validated(W.with_segment(slim, chunk), chunk).filter("added_in_transaction")
     message = _message("requireSeparateConstraintValidation", F.col("constraint_name"))
     return rows.select("script_id", "pos", "ord", message.alias("message"))
@@ -497,13 +501,18 @@ def lint(
     cat: Catalog | None = None,
     chunk: Chunks | int | None = None,
     carry: list[str] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Findings of the enabled rules: script_id, pos, ord, rule, message, severity, category, and `carry` columns.
 
     `rules` are rule names; None enables all. Without `cat` the rules that ask
     for a database's version take it as unknown. When many state
-    rules are enabled, give `facts` as a written table: each state chain then reads only its own columns of it.
+    rules are enabled, give `facts` as a written table: each state chain then reads only its own columns of it. State is
+    made in `tasks` tasks (see `tasks_for`), unless scripts are cut into chunks.
     """
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, *W.SCRIPT) if tasks and chunk is None else df
+
     enabled = [r for r in RULES.values() if rules is None or r.name in rules]
     carry = carry or []
     parts = []
@@ -515,11 +524,11 @@ def lint(
         if members:
             needs = [n for n in family if any(r.needs[0] == n for r in members)]
             arrays = ["constraints"] if family == ["created_in_file"] else []
-            slim = W.slim(facts, [*arrays, *carry])
+            slim = dealt(W.slim(facts, [*arrays, *carry]))
             parts.append(_hit_rows(W.with_state(slim, needs, chunk), members, carry))
     for r in enabled:
         if r.build is _separate_validation:
-            built = r.build(facts, None, chunk)
+            built = r.build(facts, None, chunk, dealt)
         elif r.build:
             built = r.build(facts, cat)
         else:

@@ -131,6 +131,15 @@ def not_valid_events(state: DataFrame) -> DataFrame:
     )
 
 
+def validates(command: Column) -> Column:
+    return command["subtype"] == "validate_constraint"
+
+
+def not_valid(constraint: Column) -> Column:
+    """Named, and added NOT VALID by a command of its own."""
+    return (constraint["context"] == "add_constraint") & constraint["skip_validation"] & (constraint["name"] != "")
+
+
 def with_validated(state: DataFrame, chunk: Chunks | int | None = None) -> DataFrame:
     """One row per VALIDATE CONSTRAINT or NOT VALID constraint; the flag says the validated one is from this transaction."""
 
@@ -138,11 +147,11 @@ def with_validated(state: DataFrame, chunk: Chunks | int | None = None) -> DataF
         return F.struct(F.lower(schema_or_public()).alias("schema"), F.lower("rel_name").alias("rel"), F.lower(name).alias("name"))
 
     validated = F.transform(
-        F.filter("commands", lambda c: c["subtype"] == "validate_constraint"),
+        F.filter("commands", validates),
         lambda c: F.struct(c["ord"].alias("ord"), key(c["name"]).alias("ask"), F.lit(None).cast("struct<schema:string,rel:string,name:string>").alias("raise"), c["name"].alias("constraint_name")),
     )
     added = F.transform(
-        F.filter("constraints", lambda c: (c["context"] == "add_constraint") & c["skip_validation"] & (c["name"] != "")),
+        F.filter("constraints", not_valid),
         lambda c: F.struct(c["ord"].alias("ord"), key(c["name"]).alias("ask"), key(c["name"]).alias("raise"), c["name"].alias("constraint_name")),
     )
     rows = state.select("script_id", "segment", "pos", F.inline(F.concat(validated, added)))

@@ -7,7 +7,8 @@ from lintfleet.fixtures import selection_queries as XQ
 from lintfleet.plans import facts as FX
 from lintfleet.plans import lint_rules as L
 from lintfleet.plans import resolve as R
-from lintfleet.session import dealt
+from lintfleet.plans import suppressions as X
+from lintfleet.session import dealt, tasks_for
 
 
 def test_rows_are_dealt_out_by_their_number(spark):
@@ -18,6 +19,25 @@ def test_rows_are_dealt_out_by_their_number(spark):
     assert out.count() == 10 and out.select("k", F.spark_partition_id()).distinct().count() == 3
 
 
+def _ran(df):
+    return df.rdd.getNumPartitions()  # after adaptive execution
+
+
+def test_sweep_and_state_have_tasks_by_rows(spark):
+    assert tasks_for(spark.range(0, 100_000, 1, 1), 1000) == 100 and tasks_for(spark.range(3), 1000) == spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame([(i, 1, "ALTER TABLE a ADD COLUMN b int NOT NULL;") for i in range(200)], "script_id long, pos long, text string")
+    scripts = spark.createDataFrame([(i, "-- pgls-ignore lint\n-- pgls-ignore-all x\n") for i in range(0, 200, 2)], "script_id long, content string")
+    names = ["multipleAlterTable", "lockTimeoutWarning", "requireSeparateConstraintValidation"]
+    linted = L.lint(FX.extract(rows), names, tasks=40)
+    assert _ran(linted) >= 40 and _ran(L.lint(FX.extract(rows), names)) < 40
+    zero = [F.lit(0).cast("long").alias(c) for c in X.AT]
+    found = linted.select("script_id", "category", F.lit(X.LINT).alias("origin"), "severity", "message", *zero)
+    few, many = X.judged(found, X.comments(scripts)), X.judged(found, X.comments(scripts), tasks=40)
+    assert _ran(many) == 40 and _ran(few) < 40
+    order = sorted(map(tuple, few.collect()))
+    assert order == sorted(map(tuple, many.collect())) and order
+
+
 def test_rules_name_the_arrays_they_read(spark):
     rows = spark.createDataFrame([(1, 1, "DROP TABLE a;")], "script_id long, pos long, text string")
     facts = spark.createDataFrame([], FX.extract(rows).schema)
