@@ -10,16 +10,17 @@ best. How many words are exchanged and how many classes there are follows the vo
 is paid by a discount on each of its words; unseen words are one symbol. The end of a document is a class of its own and
 also what stands before the first word.
 
-Class and count of frequent words are broadcast, those of all others are joined: a document puts out a row for each distinct
-one. Both ways give the same scores.
+Class and count of frequent words are broadcast, those of all others are joined: documents are taken in blocks, and a block
+puts out a row for each distinct one. Both ways give the same scores.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import compress, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ STARTS = 8
 DISCOUNT = 0.5
 FLUSH = 600_000  # distinct words a task counts before it puts them out
 TOKENS = 2_000_000  # tokens whose neighbours a task gathers before it sums them up
+BLOCK_WORDS = 200_000  # distinct joined words of a block of documents, about; it has about TOKENS tokens at most
+GATHERED = 8_000  # rows of words that get their classes at once
 STEPS = 2.0**16  # logarithms are whole numbers of such steps where words are assigned, so sums don't depend on their order
 TAIL = 65_535  # in a line: a word that is joined
 END = b" "  # no word holds a blank
@@ -154,12 +157,52 @@ def _arrays(names: list[str], *columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=names)
 
 
-def _places(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Places of a text's symbols: the end, its words (len(known): none of the known ones), the end (len(known) + 1)."""
-    get, other = known.get, len(known)
-    line = np.full(len(words) + 2, other + 1, "i8")
-    line[1:-1] = np.fromiter((get(w, other) for w in words), "i8", len(words))
-    return line
+def _symbols(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The end, then each text's words and the end, in one list; and where the ends are."""
+    out, ends = [END], [0]
+    for text in texts:
+        out += words_of(text)
+        ends.append(len(out))
+        out.append(END)
+    return out, np.array(ends)
+
+
+def _lookup(known: dict[bytes, int]) -> dict[bytes, int]:
+    return {**known, END: len(known) + 1}
+
+
+def _places(symbols: list[bytes], lookup: dict[bytes, int]) -> np.ndarray:
+    """Places of symbols by `_lookup`: words that are none of the known ones have their number, the end has one more."""
+    return np.fromiter(map(lookup.get, symbols, repeat(len(lookup) - 1)), "i8", len(symbols))
+
+
+def _numbers() -> defaultdict:
+    """Numbers things from 0 as they are looked up first."""
+    return defaultdict(count().__next__)
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by their first column in batches of about `rows` or more, each value of that column in one batch."""
+    held: list[pa.RecordBatch] = []
+    waiting = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and waiting >= rows:
+            keys = batch.column(0)
+            start = pc.index(keys, keys[-1]).as_py()  # where the last group begins, or goes on
+            if start or keys[0] != held[-1].column(0)[-1]:
+                yield pa.concat_batches([*held, batch.slice(0, start)])
+                held, waiting, batch = [], 0, batch.slice(start)
+        held.append(batch)
+        waiting += batch.num_rows
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _starts(keys: pa.Array) -> np.ndarray:
+    """True where a row's key is not that of the row before."""
+    return np.concatenate([[True], pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -184,7 +227,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def _pairs(docs: DataFrame, first: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells (symbol, next symbol, n) over all documents, where all words but the first ones are one symbol."""
-    held, symbols = docs.sparkSession.sparkContext.broadcast(first), len(first) + 2
+    held, symbols = docs.sparkSession.sparkContext.broadcast(_lookup(first)), len(first) + 2
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: list[np.ndarray] = []
@@ -196,10 +239,9 @@ def _pairs(docs: DataFrame, first: dict[bytes, int]) -> tuple[np.ndarray, np.nda
 
         waiting = 0
         for _, texts in texts_of(batches, 200):
-            for text in texts:
-                line = _places(words_of(text), held.value)
-                cells.append(line[:-1] * symbols + line[1:])
-                waiting += len(line)
+            line = _places(_symbols(texts)[0], held.value)
+            cells.append(line[:-1] * symbols + line[1:])
+            waiting += len(line)
             if waiting > TOKENS:
                 yield out()
                 waiting = 0
@@ -216,37 +258,39 @@ def _assign(docs: DataFrame, first: dict[bytes, int], class_of: np.ndarray, fit:
     """word, n, class of every word but the first ones: the class that its neighbours' classes fit best.
 
     fit: by class before, then by class behind, and by the word's class. Counts of a word's neighbour classes are packed as
-    pairs of 32-bit numbers, so a word takes one row of each task.
+    pairs of 32-bit numbers, so a word takes one row of each task. Nearly all of these words differ, so they are not summed up
+    before the shuffle.
     """
-    held = docs.sparkSession.sparkContext.broadcast((first, class_of, fit, share))
+    held = docs.sparkSession.sparkContext.broadcast((_lookup(first), class_of, fit, share))
     width = len(fit)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, class_of = held.value[:2]
-        other = len(known)
-        ids: dict[bytes, int] = {}
+        lookup, class_of = held.value[:2]
+        other = len(lookup) - 1
+        ids = _numbers()
         cells: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
+            nonlocal ids
             at, n = np.unique(np.concatenate(cells), return_counts=True)
             ends = np.searchsorted(at, np.arange(len(ids) + 1) * width)
             packed = np.stack([at % width, n], 1).astype("<i4").tobytes()
             seen = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((ends * 8).astype("i4").tobytes()), pa.py_buffer(packed)])
             batch = _arrays(["word", "seen"], pa.array(list(ids), pa.binary()), seen)
-            ids.clear()
+            ids = _numbers()
             cells.clear()
             return batch
 
         waiting = 0
         for _, texts in texts_of(batches, 200):
-            for text in texts:
-                words = words_of(text)
-                line = _places(words, known)
-                at = np.flatnonzero(line == other)
-                word = np.fromiter((ids.setdefault(words[j], len(ids)) for j in (at - 1).tolist()), "i8", len(at)) * width
-                c = class_of[line]
-                cells += [word + c[at - 1], word + width // 2 + c[at + 1]]
-                waiting += len(at)
+            symbols, _ = _symbols(texts)
+            line = _places(symbols, lookup)
+            mask = line == other
+            at = np.flatnonzero(mask)
+            word = np.fromiter(map(ids.__getitem__, compress(symbols, mask.tobytes())), "i8", len(at)) * width
+            c = class_of[line]
+            cells += [word + c[at - 1], word + width // 2 + c[at + 1]]
+            waiting += len(at)
             if waiting > TOKENS or len(ids) > FLUSH:
                 yield out()
                 waiting = 0
@@ -255,17 +299,17 @@ def _assign(docs: DataFrame, first: dict[bytes, int], class_of: np.ndarray, fit:
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, fit, share = held.value
-        for batch in batches:
-            parts = batch.column(1)
-            flat = parts.flatten()
-            word = np.repeat(np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy()), pc.binary_length(flat).to_numpy() // 8)
-            pairs = np.frombuffer(b"".join(flat.to_pylist()), "<i4").reshape(-1, 2)
-            seen = np.bincount(word * width + pairs[:, 0], weights=pairs[:, 1], minlength=len(parts) * width).reshape(-1, width)
+        for batch in _whole_groups(batches, GATHERED):
+            starts, parts = _starts(batch.column(0)), batch.column(1)
+            at = np.flatnonzero(starts)
+            word = np.repeat(np.cumsum(starts) - 1, pc.binary_length(parts).to_numpy() // 8)
+            pairs = np.frombuffer(b"".join(parts.to_pylist()), "<i4").reshape(-1, 2)
+            seen = np.bincount(word * width + pairs[:, 0], weights=pairs[:, 1], minlength=len(at) * width).reshape(-1, width)
             best = (seen @ fit + share).argmax(1)
             n = seen[:, : width // 2].sum(1)
-            yield _arrays(["word", "n", "class"], batch.column(0), pa.array(n.astype("i8")), pa.array(best, pa.int32()))
+            yield _arrays(["word", "n", "class"], batch.column(0).take(pa.array(at)), pa.array(n.astype("i8")), pa.array(best, pa.int32()))
 
-    gathered = docs.select("text").mapInArrow(gather, "word binary, seen binary").groupBy("word").agg(F.collect_list("seen").alias("seen"))
+    gathered = docs.select("text").mapInArrow(gather, "word binary, seen binary").repartition("word").sortWithinPartitions("word")
     return gathered.mapInArrow(choose, "word binary, n bigint, class int")
 
 
@@ -312,68 +356,80 @@ def class_lines(source: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
     """doc_id, tokens, known, base, emission, line: each row of `source` (_row, doc_id, text) with its sums over words, and
     its symbols' classes as 16-bit numbers, the end first and last.
 
-    A document's own row has a key that no word has, so these rows are spread like those of its joined words.
+    A block of documents puts out each word to be joined once, and has the number of its first row. A document's own row has a
+    key that no word has, so these rows are spread like those of the joined words.
     """
     held = source.sparkSession.sparkContext.broadcast(model)
     id_type = source.schema["doc_id"].dataType.simpleString()
-    names = ["_row", "doc_id", "word", "at", "base", "emission", "line", "rare"]
+    names = ["_block", "doc_id", "word", "at", "base", "emission", "line", "rare"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        other = len(m.known)
+        lookup, other = _lookup(m.known), len(m.known)
         class_of = np.concatenate([m.cls, [TAIL, m.end]]).astype("<u2")
         base = np.concatenate([m.base(m.count), [0.0], m.base(np.array([m.end_count]))])
         emission = np.concatenate([m.emission(m.count, m.cls), [0.0, 0.0]])
+        ids, doc_ids, docs, waiting = _numbers(), [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            block, n = docs[0][0], len(ids)
+            columns = list(zip(*docs, strict=True))
+            keys = [END + row.to_bytes(8, "little", signed=True) for row in columns[0]]
+            yield _arrays(names, pa.array([block] * len(docs), pa.int64()), pa.concat_arrays(doc_ids), pa.array(keys, pa.binary()), pa.array([-1] * len(docs), pa.int32()),
+                          *[pa.array(x, pa.float64()) for x in columns[1:3]], *[pa.array(x, pa.binary()) for x in columns[3:]])
+            if n:
+                yield _arrays(names, pa.array(np.full(n, block)), pa.nulls(n, doc_ids[0].type), pa.array(list(ids), pa.binary()), pa.array(np.arange(n, dtype="i4")),
+                              *[pa.nulls(n, pa.float64())] * 2, *[pa.nulls(n, pa.binary())] * 2)
+
         for batch, texts in texts_of(batches, 200):
-            out: list[list] = [[] for _ in names]
-            for i, text in enumerate(texts):
-                row, words = batch.column(1)[i].as_py(), words_of(text)
-                line = _places(words, m.known)
-                here, rare = line[1:], {}
-                places = [rare.setdefault(words[j], len(rare)) for j in np.flatnonzero(here == other).tolist()]
-                key = END + row.to_bytes(8, "little", signed=True)
-                values = (row, i, key, -1, base[here].sum(), emission[here].sum(), class_of[line].tobytes(), np.array(places, "<i4").tobytes())
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-                out[0] += [row] * len(rare)
-                out[2] += rare
-                out[3] += range(len(rare))
-                for column in (out[1], *out[4:]):
-                    column += [None] * len(rare)
-            ids = batch.column(0).take(pa.array(out[1], pa.int64()))
-            yield _arrays(names, pa.array(out[0], pa.int64()), ids, pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()),
-                          *[pa.array(x, pa.float64()) for x in out[4:6]], *[pa.array(x, pa.binary()) for x in out[6:]])
+            symbols, ends = _symbols(texts)
+            line = _places(symbols, lookup)
+            mask = line == other
+            places = np.fromiter(map(ids.__getitem__, compress(symbols, mask.tobytes())), "<i4", np.count_nonzero(mask))
+            before = np.concatenate([[0], np.cumsum(mask)])  # joined words up to each symbol
+            cls, bases, emissions = class_of[line], base[line], emission[line]
+            for row, start, end in zip(batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                here = slice(start + 1, end + 1)
+                docs.append((row, bases[here].sum(), emissions[here].sum(), cls[start : end + 1].tobytes(), places[before[start] : before[end]].tobytes()))
+            doc_ids.append(batch.column(0))
+            waiting += len(line)
+            if waiting > TOKENS or len(ids) > BLOCK_WORDS:
+                yield from out()
+                ids, doc_ids, docs, waiting = _numbers(), [], [], 0
+        if docs:
+            yield from out()
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        for batch in batches:
-            words = batch.column(5).flatten()
-            at, n, cls = (pc.fill_null(words.field(k), x).to_numpy(zero_copy_only=False) for k, x in enumerate((0, 0, m.unseen)))
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(5)).to_numpy())])
-            base, emission = batch.column(1).to_numpy().copy(), batch.column(2).to_numpy().copy()
-            lines, tokens, known = [], [], []
-            for i, (line, rare) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                line, rare, part = np.frombuffer(line, "<u2").copy(), np.frombuffer(rare, "<i4"), slice(ends[i], ends[i + 1])
-                place = np.argsort(at[part])[rare]
-                times, c = n[part][place], cls[part][place]
-                line[line == TAIL] = c
-                seen = times > 0
-                base[i] += m.base(times).sum()
-                emission[i] += m.emission(times[seen], c[seen]).sum()
-                lines.append(line.tobytes())
-                tokens.append(len(line) - 1)
-                known.append(len(line) - 1 - int((~seen).sum()))
-            yield _arrays(["doc_id", "tokens", "known", "base", "emission", "line"], batch.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                          pa.array(base), pa.array(emission), pa.array(lines, pa.binary()))
-
-    shape = f"_row bigint, doc_id {id_type}, word binary, at int, base double, emission double, line binary, rare binary"
+        for batch in _whole_groups(batches, 1):
+            starts = np.flatnonzero(_starts(batch.column(0)))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                part = batch.slice(start, end - start)
+                at, n, cls = (pc.fill_null(part.column(k), x).to_numpy(zero_copy_only=False) for k, x in ((1, 0), (2, 0), (3, m.unseen)))
+                joined = np.flatnonzero(at >= 0)
+                times, classes = np.zeros(len(joined), "i8"), np.zeros(len(joined), "<u2")
+                times[at[joined]], classes[at[joined]] = n[joined], cls[joined]
+                seen, word_base, word_emission = times > 0, m.base(times), np.zeros(len(joined))
+                word_emission[seen] = m.emission(times[seen], classes[seen])
+                docs = part.take(pa.array(np.flatnonzero(at < 0)))
+                base, emission = docs.column(5).to_numpy().copy(), docs.column(6).to_numpy().copy()
+                lines, tokens, known = [], [], []
+                for i, (line, rare) in enumerate(zip(docs.column(7).to_pylist(), docs.column(8).to_pylist(), strict=True)):
+                    line, rare = np.frombuffer(line, "<u2").copy(), np.frombuffer(rare, "<i4")
+                    line[line == TAIL] = classes[rare]
+                    met = rare[seen[rare]]
+                    base[i] += word_base[rare].sum()
+                    emission[i] += word_emission[met].sum()
+                    lines.append(line.tobytes())
+                    tokens.append(len(line) - 1)
+                    known.append(len(line) - 1 - len(rare) + len(met))
+                yield _arrays(["doc_id", "tokens", "known", "base", "emission", "line"], docs.column(4), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
+                              pa.array(base), pa.array(emission), pa.array(lines, pa.binary()))
+
+    shape = f"_block bigint, doc_id {id_type}, word binary, at int, base double, emission double, line binary, rare binary"
     joined = source.select("doc_id", "_row", "text").mapInArrow(run, shape).join(rest, "word", "left")
-    whole = joined.groupBy("_row").agg(
-        *[F.max(c).alias(c) for c in ("doc_id", "base", "emission", "line", "rare")],
-        F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "n", "class"))).alias("words"),
-    )
-    shape = f"doc_id {id_type}, tokens bigint, known bigint, base double, emission double, line binary"
-    return whole.drop("_row").mapInArrow(fill, shape)
+    blocks = joined.select("_block", "at", "n", "class", "doc_id", "base", "emission", "line", "rare").repartition("_block").sortWithinPartitions("_block")
+    return blocks.mapInArrow(fill, f"doc_id {id_type}, tokens bigint, known bigint, base double, emission double, line binary")
 
 
 def transitions(lines: DataFrame, model: Model) -> np.ndarray:

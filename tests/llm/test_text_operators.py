@@ -1,6 +1,7 @@
 """Each operator against a plain version on small tables, and on odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -270,6 +272,37 @@ def test_rare_words_have_classes(docs_of, monkeypatch):
     assert scores[0][held[0]] > scores[0][held[1]] + 2
 
 
+def test_joined_words_leave_a_block_once(docs_of, odd_rows, monkeypatch):
+    """Documents travel in blocks, whose number changes nothing; neither joined words nor documents are collected by aggregates."""
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 4)
+    monkeypatch.setattr(brown_lm, "KNOWN", 8)
+    rng = random.Random(8)
+    rows = odd_rows + [(100 + i, " ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(6)))) for i in range(900)]
+    docs, found = docs_of(rows).coalesce(1), []
+    for size in (1, 40, 100_000):
+        monkeypatch.setattr(brown_lm, "BLOCK_WORDS", size)
+        monkeypatch.setattr(brown_lm, "GATHERED", size)
+        found.append(sorted(map(repr, brown_lm.score_documents(docs).collect())))
+    assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+    source = docs.selectExpr("doc_id", "text", "monotonically_increasing_id() _row")
+    model, rest = brown_lm.learn_classes(source)
+    assert "ObjectHash" not in brown_lm.class_lines(source, model, rest)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_groups_are_not_cut():
+    rng = random.Random(4)
+    for _ in range(200):
+        keys = sorted(rng.randrange(6) for _ in range(rng.randrange(1, 30)))
+        cuts = [0, *sorted(rng.randrange(len(keys) + 1) for _ in range(6)), len(keys)]
+        whole = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(range(len(keys)))], names=["k", "v"])
+        rows = rng.randrange(1, 12)
+        out = [b.to_pylist() for b in brown_lm._whole_groups([whole.slice(a, b - a) for a, b in itertools.pairwise(cuts)], rows)]
+        assert [r["v"] for b in out for r in b] == list(range(len(keys)))
+        groups = [{r["k"] for r in b} for b in out]
+        assert sum(map(len, groups)) == len(set(keys))
+        assert [int(x) for x in brown_lm._starts(whole.column(0))] == [1] + [int(a != b) for a, b in itertools.pairwise(keys)]
+
+
 def test_classes_follow_the_vocabulary():
     assert brown_lm.sizes(100) == (600, 16) and brown_lm.sizes(100_000_000) == (10_000, 100)
 
