@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintfleet.fixtures import selection_queries as XQ
+from lintfleet.operators import keyed
 from lintfleet.plans import facts as FX
 from lintfleet.plans import lint_rules as L
 from lintfleet.plans import resolve as R
@@ -83,3 +84,14 @@ def test_sweep_moves_no_statement_text(spark, tmp_path):
         spark.createDataFrame([row], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     found = XQ.judged(spark, str(tmp_path)).schema["found"].dataType.elementType
     assert found.names == ["pos", "ord", "message"]
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_side_repeated_per_salt_is_never_broadcast(spark, how, tmp_path):
+    spark.range(1000).selectExpr("id % 7 k", "id a").write.parquet(f"{tmp_path}/left")
+    spark.range(10).selectExpr("id k", "id b").write.parquet(f"{tmp_path}/right")  # few bytes, as compressed files are
+    left, right = (spark.read.parquet(f"{tmp_path}/{side}") for side in ("left", "right"))
+    found = keyed.lookup(left, right, ["k"], how, limit=5)
+    assert found.count() == 1000
+    assert "SortMergeJoin" in _plan(found) and "BroadcastHashJoin" not in _plan(found)
+    assert "BroadcastHashJoin" in _plan(keyed.lookup(left, right, ["k"], how))
