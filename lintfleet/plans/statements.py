@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintfleet.functions.arrays import elements, pin
-from lintfleet.plans.tokens import BLOCK_COMMENT, CODE, LINE_COMMENT, NEWLINE, SPACE, breaker, let, restored, unnested
+from lintfleet.plans.tokens import (
+    BLOCK_COMMENT, DOLLAR_STRING, IDENT_PART, IDENT_START, LINE_COMMENT, NAMED_PARAM, NEWLINE, NUMBER, QUOTED_IDENT, SPACE, STRING, WORD,
+    breaker, let, restored, unnested,
+)
 
 TRIVIA = rf"(?:{SPACE}|{NEWLINE}++|{LINE_COMMENT}|{BLOCK_COMMENT})*+"
-SIGNIFICANT = rf"\G{TRIVIA}(?:{CODE})"
 AFTER_TRIVIA = rf"^{TRIVIA}([\s\S]*)$"
 COMMENT = rf"{LINE_COMMENT}|{BLOCK_COMMENT}"
 
@@ -39,13 +41,53 @@ WORDS = sorted(
      for w in ws if w.isalpha()}
 )
 
+
+def _any_word(words: list[str]) -> str:
+    by_letter = "|".join(f"{a}(?:{'|'.join(w[1:] for w in words if w[0] == a)})" for a in sorted({w[0] for w in words}))
+    return rf"(?i:{by_letter})(?!{IDENT_PART})"
+
+
+# Most tokens can only lengthen the open statement. A run of them is one token for the fold: no keyword, no blank line and no mark
+# is in it that could begin, end or nest anything. These are always tokens of their own:
+ALONE = [w for w in WORDS if w in {*STARTS, *BLOCK_WORDS, *EXPLAIN_OPTIONS}]
+# these count right before a keyword that begins a statement, the others right behind WITH and BEGIN, which no run goes beyond
+BEFORE = [w for w in WORDS if w in {*BEFORE_SELECT, *BEFORE_DML, *BEFORE_CREATE} and w not in ALONE]
+_LITERALS = "|".join(["::", NAMED_PARAM, r"\$[0-9]*+", NUMBER, r"[^;,()\\\s]"])
+_BLANKS = r"[ \t\x0B\f]*+"
+_HARMLESS = rf"(?={_BLANKS}(?!{_any_word(['SELECT', *DML, 'CREATE'])})[A-Za-z0-9_\"'])"
+_JOINS = rf"(?:{_any_word(BEFORE)}|,){_HARMLESS}"
+
+
+def _significant(gap: str) -> str:
+    """Trivia and a run, or a token of its own. `gap` may stand between the tokens of a run."""
+
+    def plain(dollar: str) -> str:
+        return rf"(?:{WORD}|{STRING}|{QUOTED_IDENT}|{dollar}{_LITERALS})"
+
+    code = r"(?!--|/\*)"
+    inner = rf"{code}(?!{_any_word(ALONE)})(?:{_JOINS}|(?![$,]|{_any_word(BEFORE)}){plain('')})"
+    brackets = rf"\({gap}(?:{inner}{gap})*+\)"
+    first = rf"(?:,{_HARMLESS}|(?!{_any_word(WORDS)}){plain(f'{DOLLAR_STRING}|')})"
+    second_tag = DOLLAR_STRING.replace(r"\1", r"\2")
+    later = rf"{code}(?!{_any_word(ALONE)})(?:{_JOINS}|{brackets}|(?!{_any_word(BEFORE)}){plain(f'{second_tag}|')})"
+    return rf"\G{TRIVIA}(?:{first}(?:{gap}{later})*+|[;,()\\]|{IDENT_START}{IDENT_PART}*+)"
+
+
+# a line's end may end a psql command, so runs go beyond it only in texts without any
+SIGNIFICANT = _significant(rf"{_BLANKS}(?:{NEWLINE}{_BLANKS})?+")
+SIGNIFICANT_IN_LINE = _significant(_BLANKS)
+
 NORMAL, PAREN, CASE, BLOCK, META = range(5)
 SPAN = "struct<meta:boolean,start:bigint,end:bigint,first:int,last:int,start_line:int,end_line:int,start_col:int,end_col:int>"
 MIN_BLOCK = 256
 
 
 def _describe(p: Column) -> Column:
-    """Static facts of one token and the trivia before it."""
+    """Static facts of one token (or run of tokens) and the trivia before it."""
+
+    def last_line(t: Column) -> Column:
+        return F.substring_index(F.substring_index(t, "\n", -1), "\r", -1)
+
     lead, broken, core_broken = p["shown"], p["broken"], p["core_broken"]
     word = F.upper(p["core"])
     kind = (
@@ -62,8 +104,8 @@ def _describe(p: Column) -> Column:
         F.when(broken, no_comments.rlike(r"[\r\n]")).otherwise(False).alias("broken"),
         F.when(broken, F.regexp_count(lead, F.lit(NEWLINE))).otherwise(0).alias("lead_breaks"),
         F.when(core_broken, F.regexp_count(p["core"], F.lit(NEWLINE))).otherwise(0).alias("core_breaks"),
-        F.length(F.when(broken, F.regexp_extract(lead, r"[^\r\n]*\z", 0)).otherwise(lead)).alias("lead_tail"),
-        F.length(F.when(core_broken, F.regexp_extract(p["core"], r"[^\r\n]*\z", 0)).otherwise(p["core"])).alias("core_tail"),
+        F.length(F.when(broken, last_line(lead)).otherwise(lead)).alias("lead_tail"),
+        F.length(F.when(core_broken, last_line(p["core"])).otherwise(p["core"])).alias("core_tail"),
     )
 
 
@@ -250,7 +292,9 @@ def _fold(df: DataFrame) -> DataFrame:
 def _spans(df: DataFrame, ids: list[str], content: str) -> DataFrame:
     text, broken_by = F.col(content), F.col("_broken_by")
     out = pin(df.select(*ids, content), _broken_by=breaker(text))
-    out = pin(out, _found=F.regexp_extract_all(unnested(text, broken_by), F.lit(SIGNIFICANT), F.lit(0)))
+    out = pin(out, _shown=unnested(text, broken_by))
+    in_line, found = (F.regexp_extract_all("_shown", F.lit(p), F.lit(0)) for p in (SIGNIFICANT_IN_LINE, SIGNIFICANT))
+    out = pin(out, _found=F.when(F.col("_shown").contains("\\"), in_line).otherwise(found)).drop("_shown")
 
     def has_break(t: Column) -> Column:
         return t.contains("\n") | t.contains("\r")

@@ -7,8 +7,11 @@ from lintfleet.fixtures import selection_queries as XQ
 from lintfleet.operators import keyed
 from lintfleet.plans import facts as FX
 from lintfleet.plans import lint_rules as L
+from lintfleet.plans import reports as Q
 from lintfleet.plans import resolve as R
+from lintfleet.plans import statements as ST
 from lintfleet.plans import suppressions as X
+from lintfleet.plans import tokens as T
 from lintfleet.session import dealt, tasks_for
 
 
@@ -95,3 +98,46 @@ def test_side_repeated_per_salt_is_never_broadcast(spark, how, tmp_path):
     assert found.count() == 1000
     assert "SortMergeJoin" in _plan(found) and "BroadcastHashJoin" not in _plan(found)
     assert "BroadcastHashJoin" in _plan(keyed.lookup(left, right, ["k"], how))
+
+
+def test_exit_status_makes_findings_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def severity(i):
+        made.add(1)
+        return int(i % 4)
+
+    findings = spark.range(0, 40, 1, 2).select(severity("id").alias("severity"))
+    scripts = spark.createDataFrame([("a", "changed"), ("b", "skipped")], "path string, status string")
+    got = Q.exit_status(scripts, findings).collect()
+    assert [tuple(r) for r in got] == [(10, 10, "errors", True)] and made.value == 40
+
+
+RUNS = [
+    "CREATE TABLE t (a int, b text, c int);SELECT a, b FROM t AS select_x\nWHERE x = 'a;b' AND y IN (1, 2)\n\nSELECT 1",
+    "INSERT INTO t (a, b)\n  SELECT 1, 2 UNION\nSELECT 3; GRANT SELECT, UPDATE ON t TO x; CREATE RULE r AS ON UPDATE TO t DO INSERT INTO x VALUES (1)",
+    "WITH ORDINALITY x SELECT a, -- c ;\nselect b; BEGIN NOT ATOMIC x; BEGIN ISOLATION a; BEGIN x; y END; CASE (a END) SELECT",
+    "EXPLAIN (ANALYZE, (a b)) SELECT 1 EXPLAIN x (y) SELECT 2; f((a), (b, (c)), $$ ;) $$, $t$ ; $t$, '(') alter table (a\n\nb) x",
+    "a, b\n\\d foo, bar (x)\nselect 1 \\g\n\\set x 'y\nz'\nSELECT $1, :v, @p, 1.5e3 - -1 /* a /* ; */ ; */ AS /* x */ SELECT",
+    "", "a", ",", "(a", "a, ", "a AS", "x \ue000 ß ; y(\ue000)\r\nz\r\rselect é$1 (é, 'ß')\t(",
+]
+
+
+def test_runs_of_tokens_split_like_single_tokens(spark, monkeypatch):
+    texts = spark.createDataFrame(list(enumerate([*RUNS, "\n".join(RUNS), " ".join(RUNS[:4] * 20)])), "id int, t string")
+
+    def split():
+        found = [ST.split_statements(texts, ["id"], "t"), ST.meta_commands(texts, ["id"], "t")]
+        return [sorted(map(tuple, f.collect())) for f in found]
+
+    runs = split()
+    for name in ("SIGNIFICANT", "SIGNIFICANT_IN_LINE"):
+        monkeypatch.setattr(ST, name, rf"\G{ST.TRIVIA}(?:{T.CODE})")
+    assert split() == runs and all(runs)
+
+
+def test_a_run_of_tokens_is_folded_at_once(spark):
+    text = "CREATE TABLE t (" + ", ".join(f"c{i} int DEFAULT {i}\n" for i in range(50)) + ");"
+    found = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(ST.SIGNIFICANT), F.lit(0)).alias("f")).first().f
+    assert [f.split()[0] for f in found] == ["CREATE", "TABLE", ";"] and "".join(found) == text
