@@ -13,6 +13,7 @@ from lintfleet.plans import statements as ST
 from lintfleet.plans import suppressions as X
 from lintfleet.plans import tokens as T
 from lintfleet.session import dealt, tasks_for
+from lintfleet.streaming.folders import Folders
 
 
 def test_rows_are_dealt_out_by_their_number(spark):
@@ -141,3 +142,26 @@ def test_a_run_of_tokens_is_folded_at_once(spark):
     text = "CREATE TABLE t (" + ", ".join(f"c{i} int DEFAULT {i}\n" for i in range(50)) + ");"
     found = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(ST.SIGNIFICANT), F.lit(0)).alias("f")).first().f
     assert [f.split()[0] for f in found] == ["CREATE", "TABLE", ";"] and "".join(found) == text
+
+
+def test_objects_answer_only_as_their_kind_is_asked_for(spark):
+    known = [(1, kind, s, t, "id", False) for kind in ("column", "policy", "role") for s in ("a", None) for t in ("t", None)]
+    objects = spark.createDataFrame(known, "db_id int, kind string, schema string, table_name string, name string, is_primary_key boolean")
+    asks = [(1, 1, "column", "id", None, "t"), (2, 1, "role", '"id"', None, None), (3, 1, None, "id", None, None), (4, 1, "role", "id", "a", None)]
+    lookups = spark.createDataFrame(asks, "lookup_id int, db_id int, kind string, name string, schema string, table_name string")
+    found = R.find(lookups, objects)
+    got = sorted((r["lookup_id"], r["schema"] or "", r["table_name"] or "") for r in found.collect())
+    assert got == [(1, "", "t"), (1, "a", "t"), (2, "", ""), (2, "", "t"), (2, "a", ""), (2, "a", "t"), (4, "a", ""), (4, "a", "t")]
+    assert _plan(found).count("Generate explode") == 1
+    assert R.find(lookups.filter("lookup_id > 9"), objects).count() == 0
+
+
+def test_manifests_are_read_without_jobs(spark, tmp_path):
+    store = Folders(spark, str(tmp_path / "store"), {"t": "a long"})
+    for batch in range(3):
+        store.publish(batch, [store.write("t", spark.range(batch, batch + 1).toDF("a"), batch)])
+    spark.sparkContext.setJobGroup("manifests", "")
+    entries = store.snapshot()
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("manifests")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [e.low for e in entries] == [0, 1, 2] and sorted(r.a for r in store.read("t", entries).collect()) == [0, 1, 2]
