@@ -61,8 +61,13 @@ class Folders:
         return sorted(int(n.removesuffix(".json")) for n in self._children("manifest") if n.endswith(".json"))
 
     def _entries(self, number: int) -> list[Folder]:
-        lines = self.spark.read.text(f"{self.root}/manifest/{number:0{DIGITS}}.json").collect()
-        return [Folder(**json.loads(r.value)) for r in lines]
+        """Read by the file system: a batch looks into several manifests, and each would be a job of its own."""
+        source = self._fs.open(self._path(f"{self.root}/manifest/{number:0{DIGITS}}.json"))
+        try:
+            lines = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8").splitlines()
+        finally:
+            source.close()
+        return [Folder(**json.loads(line)) for line in lines]
 
     # ------------------------------------------------------------------ reading
 
